@@ -6,6 +6,14 @@ The heavy work -- scans, aggregates, ranks, Gram/IRLS partial sums -- runs on
 the executors; the driver only ever holds bounded, p-by-p sized state.
 """
 
-from cohortlens.session import get_session, ensure_checkpoint_dir, materialize
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Executor-side code (mapInPandas / applyInPandas bodies) is shipped by value,
+# so Python workers need no installed copy of this package.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
+from cohortlens.session import get_session, ensure_checkpoint_dir, materialize  # noqa: E402
 
 __all__ = ["get_session", "ensure_checkpoint_dir", "materialize"]

@@ -17,19 +17,25 @@ from cohortlens.operators.ranking import hash_rank
 
 
 def split_train_test(df: DataFrame, id_col: str = "id", frac: float = 0.8, seed=46,
-                     out: str = "split") -> DataFrame:
+                     out: str = "split", within: str | None = None) -> DataFrame:
     """M1: exactly floor(frac * n) rows get ``split='train'``, the rest ``'test'``.
 
     J2 (the complement) is ``where(split == 'test')`` -- no anti join.
+    ``within``: split only the rows whose 0/1 column ``within`` is 1 (the
+    others get NULL), keeping every row in the frame.
     """
-    ranked = hash_rank(df.withColumn("_key", order_key(id_col, seed)), "_key", out="_rank", total="_n")
+    pcols = [within] if within else []
+    ranked = hash_rank(df.withColumn("_key", order_key(id_col, seed)), "_key", partition_cols=pcols,
+                       out="_rank", total="_n")
     n_train = F.floor(F.lit(float(frac)) * F.col("_n"))
-    return (ranked.withColumn(out, F.when(F.col("_rank") <= n_train, F.lit("train")).otherwise(F.lit("test")))
-            .drop("_key", "_rank", "_n"))
+    lab = F.when(F.col("_rank") <= n_train, F.lit("train")).otherwise(F.lit("test"))
+    if within:
+        lab = F.when(F.col(within) == 1, lab)
+    return ranked.withColumn(out, lab).drop("_key", "_rank", "_n")
 
 
 def downsample_majority(df: DataFrame, label: str = "final", id_col: str = "id", minority=0,
-                        seed=1) -> DataFrame:
+                        seed=1, flag: str | None = None, within: str | None = None) -> DataFrame:
     """M2 + U2: keep every minority row and M majority rows, M = minority size.
 
     The label must be binary (it is the rank's partition key, so the broadcast
@@ -37,15 +43,21 @@ def downsample_majority(df: DataFrame, label: str = "final", id_col: str = "id",
     classes is a single filter on the within-class rank.
     """
     keyed = df.withColumn("_key", order_key(id_col, seed))
-    ranked = hash_rank(keyed, "_key", partition_cols=[label], out="_rank", total=None)
-    # minority size M: a partial aggregate of the input (two groups), spread
-    # to both classes with an un-ordered window over those two rows
-    sizes = keyed.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    m = F.max(F.when(F.col(label) == F.lit(minority), F.col("_n"))).over(Window.partitionBy())
-    sizes = sizes.select(label, F.coalesce(m, F.lit(0)).alias("_m"))
-    out = ranked.join(F.broadcast(sizes), label)
-    keep = (F.col(label) == F.lit(minority)) | (F.col("_rank") <= F.col("_m"))
-    return out.where(keep).drop("_key", "_rank", "_m")
+    if within:  # rows outside ``within`` form their own (ignored) groups
+        keyed = keyed.withColumn("_in", F.coalesce(F.col(within), F.lit(0)))
+    else:
+        keyed = keyed.withColumn("_in", F.lit(1))
+    ranked = hash_rank(keyed, "_key", partition_cols=["_in", label], out="_rank", total=None)
+    # minority size M: a partial aggregate of the input (<= 4 groups), spread
+    # to both classes with an un-ordered window over those rows
+    sizes = keyed.groupBy("_in", label).agg(F.count(F.lit(1)).alias("_n"))
+    m = F.max(F.when(F.col(label) == F.lit(minority), F.col("_n"))).over(Window.partitionBy("_in"))
+    sizes = sizes.select("_in", label, F.coalesce(m, F.lit(0)).alias("_m"))
+    out = ranked.join(F.broadcast(sizes), ["_in", label])
+    keep = (F.col("_in") == 1) & ((F.col(label) == F.lit(minority)) | (F.col("_rank") <= F.col("_m")))
+    if flag:
+        return out.withColumn(flag, keep.cast("int")).drop("_key", "_rank", "_m", "_in")
+    return out.where(keep).drop("_key", "_rank", "_m", "_in")
 
 
 def balanced_then_split(df: DataFrame, label: str = "final", id_col: str = "id", minority=0,
