@@ -105,10 +105,13 @@ def order_statistics(df: DataFrame, col: str, ranks: Sequence[int], local_limit:
 
     Iterative selection; every pass is one distributed aggregate over the
     current candidate range, and only ranges holding at most ``local_limit``
-    rows are ever brought to the driver, sorted.
+    rows are ever brought to the driver, sorted.  Each pass strictly shrinks
+    the range (split points are taken inside (min, max]; a range whose
+    quantiles all equal its minimum -- one heavy value -- peels that value
+    off), so heavy duplicates cannot stall it.
     """
     vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    # pending: (lo, hi, base) -> list of ranks; range is lo <= v < hi, base = #rows below lo
+    # pending: (lo, hi, base) -> ranks; the range is lo <= v < hi, base = #rows below lo
     pending = {(-math.inf, math.inf, 0): sorted(set(int(r) for r in ranks))}
     result: dict[int, float] = {}
     while pending:
@@ -119,30 +122,38 @@ def order_statistics(df: DataFrame, col: str, ranks: Sequence[int], local_limit:
                 cand = cand.where(F.col("v") >= F.lit(lo))
             if math.isfinite(hi):
                 cand = cand.where(F.col("v") < F.lit(hi))
-            stats = cand.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-            n = stats["n"]
+            st = cand.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+            n, vmin, vmax = st["n"], st["lo"], st["hi"]
             if n == 0:
                 raise ValueError("rank outside the data")
-            if stats["lo"] == stats["hi"]:
+            if vmin == vmax:
                 for r in rks:
-                    result[r] = float(stats["lo"])
+                    result[r] = float(vmin)
                 continue
             if n <= local_limit:
                 local = [row["v"] for row in cand.orderBy("v").collect()]
                 for r in rks:
                     result[r] = float(local[r - base])
                 continue
-            splits = quantile_splits(cand, "v", n_buckets)
+            inner = [x for x in quantile_splits(cand, "v", n_buckets)[1:-1] if vmin < x <= vmax]
+            if not inner:  # one value holds the quantiles: peel the minimum off
+                c_eq = cand.where(F.col("v") == F.lit(vmin)).count()
+                for r in rks:
+                    if r < base + c_eq:
+                        result[r] = float(vmin)
+                    else:
+                        nxt.setdefault((math.nextafter(vmin, math.inf), hi, base + c_eq), []).append(r)
+                continue
+            splits = [-math.inf, *inner, math.inf]
             counts = {row[_BKT]: row["c"] for row in
                       range_bucket(cand, "v", splits).groupBy(_BKT).agg(F.count(F.lit(1)).alias("c")).collect()}
+            edges = [lo, *inner, hi]
             cum = base
-            for b in range(len(splits) - 1):
+            for b in range(len(edges) - 1):
                 c = counts.get(b, 0)
                 hit = [r for r in rks if cum <= r < cum + c]
                 if hit:
-                    blo = max(lo, splits[b])
-                    bhi = min(hi, splits[b + 1])
-                    nxt.setdefault((blo, bhi, cum), []).extend(hit)
+                    nxt.setdefault((edges[b], edges[b + 1], cum), []).extend(hit)
                 cum += c
         pending = nxt
     return result
