@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -250,6 +251,42 @@ def fit_many(df: DataFrame, specs: Mapping[str, Spec], label: str, family: str =
     features = sorted({c for s in specs.values() for c in s.cols})
     pos = {c: i for i, c in enumerate(features)}
     idx = {k: [pos[c] for c in s.cols] for k, s in specs.items()}
+    # Iterative: like Spark ML's own estimators, keep a compact copy of the
+    # (columns-pruned) input for the duration of the fit when it is not
+    # already cached, so each pass does not replay the upstream plan.
+    extra = sorted({c for s in specs.values() for c in (s.include, s.fold_col or fold_col) if c})
+    needed = [*features, label, *([weight_col] if weight_col else []), *extra]
+    owned = None
+    if not df.storageLevel.useMemory and not df.storageLevel.useDisk:
+        owned = _sized_cache(df.select(*needed))
+        df = owned
+    try:
+        return _fit_loop(df, specs, label, family, weight_col, fold_col, tol, max_iter, features, idx)
+    finally:
+        if owned is not None:
+            owned.unpersist()
+
+
+ROWS_PER_PARTITION = 100_000
+
+
+def _sized_cache(df: DataFrame) -> DataFrame:
+    """Cache the pruned input once for all passes, merging partitions so each
+    pass runs about ``ROWS_PER_PARTITION`` rows per task (large inputs keep
+    their partitioning; small ones stop paying one Python task per tiny
+    shuffle partition on every iteration)."""
+    first = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = first.count()
+    target = max(1, -(-n // ROWS_PER_PARTITION))
+    if first.rdd.getNumPartitions() <= target:
+        return first
+    merged = first.coalesce(target).persist(StorageLevel.MEMORY_AND_DISK)
+    merged.count()
+    first.unpersist()
+    return merged
+
+
+def _fit_loop(df, specs, label, family, weight_col, fold_col, tol, max_iter, features, idx) -> dict[str, Fit]:
     state = {k: (None if s.beta0 is None else np.asarray(s.beta0, dtype=float)) for k, s in specs.items()}
     prev = {k: None for k in specs}
     kept_of: dict[str, list[int]] = {}
@@ -320,12 +357,13 @@ def score_many(df: DataFrame, models: Mapping[str, tuple[Spec, Fit]], response:
         for pdf in it:
             X = pdf[feats].to_numpy(dtype=np.float64) if feats else np.zeros((len(pdf), 0))
             ones = np.ones((len(pdf), 1))
+            new = {}
             for n, idx, beta, four, fam in payload:
                 eta = np.hstack([ones, _basis(X[:, idx], four)]) @ beta
                 if response and fam == "binomial":
                     eta = 1.0 / (1.0 + np.exp(-eta))
-                pdf[n] = eta
-            yield pdf
+                new[n] = eta
+            yield pd.concat([pdf, pd.DataFrame(new, index=pdf.index)], axis=1)
 
     return df.mapInPandas(run, out_schema)
 

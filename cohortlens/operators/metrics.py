@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import safe_ratio
-from cohortlens.operators.ranking import cumulative, quantile_splits, range_bucket
+from cohortlens.session import materialize
+from cohortlens.operators.ranking import cumulative, quantile_splits, range_bucket, small_frame
 
 CELLS = ("tn", "fn", "fp", "tp")
 
@@ -127,7 +128,9 @@ def _grouped(df: DataFrame, group_cols: Sequence[str]):
 
 
 def _cumulative_scores(df, label, score, g, n_buckets):
-    u = score_counts(df, label, score, g)
+    # the unique-score table feeds four jobs (splits, offsets, directions,
+    # result): checkpoint it once instead of replaying the scoring upstream
+    u = materialize(score_counts(df, label, score, g))
     splits = quantile_splits(u, "score", n_buckets)
     return cumulative(range_bucket(u, "score", splits), ["score"], ["pos", "neg"],
                       partition_cols=g, with_next="next_score")
@@ -163,7 +166,7 @@ def roc_curve(df: DataFrame, label: str = "final", score: str = "score",
     cum = _cumulative_scores(df, label, score, g, n_buckets)
     # one row per group: bounded, broadcast (a shuffle on the group key would
     # put all unique scores of an ungrouped call into one task)
-    dirs = _directions(cum, g)
+    dirs = small_frame(_directions(cum, g))
     lt = F.col("direction") == "<"
     inner = cum.join(F.broadcast(dirs), g).select(
         *g, F.when(F.col("next_score").isNull(), F.lit(float("inf")))
@@ -193,7 +196,7 @@ def auc(df: DataFrame, label: str = "final", score: str = "score", group_cols: S
     """
     df, g, extra = _grouped(df, group_cols)
     cum = _cumulative_scores(df, label, score, g, n_buckets)
-    dirs = _directions(cum, g)
+    dirs = small_frame(_directions(cum, g))
     u = cum.groupBy(*g).agg(F.sum(F.col("pos") * (F.col("neg_cum") - F.col("neg") * F.lit(0.5))).alias("u"))
     lt = F.col("u") / (F.col("n_pos").cast("double") * F.col("n_neg").cast("double"))
     return u.join(F.broadcast(dirs), g).select(

@@ -105,6 +105,14 @@ def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def pretty(lo: float, hi: float, n: int, min_n: int | None = None, shrink_sml: float = 0.75,
            high_u_bias: float = 1.5) -> list[float]:
     """R's ``pretty()`` break points (the public algorithm, default biases)."""
+    ns, nu, unit, k = pretty_bounds(lo, hi, n, min_n, shrink_sml, high_u_bias)
+    lo_b, hi_b = ns * unit, nu * unit
+    return [lo_b + (hi_b - lo_b) * i / k for i in range(k + 1)] if k else [lo_b]
+
+
+def pretty_bounds(lo: float, hi: float, n: int, min_n: int | None = None, shrink_sml: float = 0.75,
+                  high_u_bias: float = 1.5) -> tuple[int, int, float, int]:
+    """(ns, nu, unit, k) of ``pretty()``: breaks are ns*unit .. nu*unit, k bins."""
     u5_bias = 0.5 + 1.5 * high_u_bias
     min_n = n // 3 if min_n is None else min_n
     eps = 1e-10
@@ -151,8 +159,7 @@ def pretty(lo: float, hi: float, n: int, min_n: int | None = None, shrink_sml: f
             ns -= k // 2
             nu += k // 2 + k % 2
         k = min_n
-    lo_b, hi_b = ns * unit, nu * unit
-    return [lo_b + (hi_b - lo_b) * i / k for i in range(k + 1)] if k else [lo_b]
+    return int(ns), int(nu), unit, k
 
 
 def sturges_breaks(n: int, lo: float, hi: float) -> list[float]:
@@ -168,8 +175,8 @@ def density_histogram(df: DataFrame, col: str) -> DataFrame:
     numbers), one grouped count for the bins.
     """
     st = df.agg(F.count(col).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-    breaks = sturges_breaks(st["n"], float(st["lo"]), float(st["hi"]))
-    lo, width = breaks[0], breaks[1] - breaks[0]
+    ns, _, width, _ = pretty_bounds(float(st["lo"]), float(st["hi"]), int(math.ceil(math.log2(st["n"]) + 1)), 1)
+    lo = ns * width
     fuzz = 1e-7 * width
     x = F.col(col).cast("double")
     b = F.greatest(F.lit(1), F.ceil((x - F.lit(lo) - F.lit(fuzz)) / F.lit(width))).cast("int")

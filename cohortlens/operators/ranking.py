@@ -51,6 +51,21 @@ def range_bucket(df: DataFrame, col: str, splits: Sequence[float], out: str = _B
     return b.transform(df).withColumn(out, F.col(out).cast("int"))
 
 
+def small_frame(df: DataFrame) -> DataFrame:
+    """Evaluate a *bounded* summary now and re-create it as a local frame.
+
+    Used for per-bucket offsets, class sizes and per-group constants: the
+    summary is computed by its own job and the big input then appears only
+    once in the downstream plan (a plan that re-embeds its input for every
+    use grows exponentially along a chain of ranks).  Callers guarantee the
+    size bound (buckets x groups rows).
+    """
+    table = df.toArrow()  # Arrow keeps NULLs (a pandas round trip turns them into NaN)
+    if table.num_rows == 0:
+        return df.sparkSession.createDataFrame([], df.schema)
+    return df.sparkSession.createDataFrame(table, schema=df.schema)
+
+
 def cumulative(df: DataFrame, order_cols: Sequence[str], values: Sequence[str], bucket: str = _BKT,
                partition_cols: Sequence[str] = (), suffix: str = "_cum",
                with_next: str | None = None, with_total: bool = True) -> DataFrame:
@@ -60,7 +75,8 @@ def cumulative(df: DataFrame, order_cols: Sequence[str], values: Sequence[str],
     ``<v>_cum`` for every value (and ``<v>_tot`` per partition when
     ``with_total``).  ``with_next`` names a column to receive the next row's
     first order column (NULL on the last row), used for ROC midpoints.
-    The per-bucket table is bounded by #buckets x #partition groups.
+    The per-bucket offset table (bounded by #buckets x #partition groups) is
+    computed by one small job and broadcast.
     """
     pcols = list(partition_cols)
     per_bucket = df.groupBy(*pcols, bucket).agg(
@@ -74,7 +90,7 @@ def cumulative(df: DataFrame, order_cols: Sequence[str], values: Sequence[str],
         *([F.sum(f"{v}_bsum").over(Window.partitionBy(*pcols)).alias(f"{v}_tot") for v in values]
           if with_total else []),
         *([F.lead("_bmin").over(wb).alias("_next_bmin")] if with_next else []))
-    joined = df.join(F.broadcast(offs), [*pcols, bucket])
+    joined = df.join(F.broadcast(small_frame(offs)), [*pcols, bucket])
     wi = Window.partitionBy(*pcols, bucket).orderBy(*order_cols)
     run = wi.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = joined.withColumns({f"{v}{suffix}": F.col(f"{v}_off") + F.sum(v).over(run) for v in values})

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import order_key
-from cohortlens.operators.ranking import hash_rank
+from cohortlens.operators.ranking import hash_rank, small_frame
 
 
 def split_train_test(df: DataFrame, id_col: str = "id", frac: float = 0.8, seed=46,
@@ -52,7 +52,7 @@ def downsample_majority(df: DataFrame, label: str = "final", id_col: str = "id",
     # to both classes with an un-ordered window over those rows
     sizes = keyed.groupBy("_in", label).agg(F.count(F.lit(1)).alias("_n"))
     m = F.max(F.when(F.col(label) == F.lit(minority), F.col("_n"))).over(Window.partitionBy("_in"))
-    sizes = sizes.select("_in", label, F.coalesce(m, F.lit(0)).alias("_m"))
+    sizes = small_frame(sizes.select("_in", label, F.coalesce(m, F.lit(0)).alias("_m")))
     out = ranked.join(F.broadcast(sizes), ["_in", label])
     keep = (F.col("_in") == 1) & ((F.col(label) == F.lit(minority)) | (F.col("_rank") <= F.col("_m")))
     if flag:

@@ -93,3 +93,17 @@ FROM events GROUP BY user_id
 def user_group_summary(spark, sf_dir):
     """A3: per-user group size and row-id range."""
     return ev.group_summary(load(spark, sf_dir, "events"), "user_id", "event_id")
+
+
+@register("event_frequency_stream", """
+SELECT event_type, count(*) AS n FROM events GROUP BY event_type
+""")
+def event_frequency_stream(spark, sf_dir):
+    """A1 maintained by Structured Streaming: a file-stream source over the
+    events file, a complete-mode streaming aggregation (state = one counter
+    per type) run to completion with an availableNow trigger."""
+    from cohortlens.streaming import frequency_stream, read_log_stream, run_available
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type").schema
+    # a file source watches a folder or glob; the glob names the one log file
+    stream = read_log_stream(spark, f"{sf_dir}/events.parquet*", schema)
+    return run_available(frequency_stream(stream, [KEY]), "event_frequency")

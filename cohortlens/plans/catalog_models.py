@@ -15,6 +15,7 @@ from cohortlens.operators import diagnostics as dg
 from cohortlens.operators import features as fe
 from cohortlens.operators import glm
 from cohortlens.operators import metrics as mt
+from cohortlens.operators import profile as pf
 from cohortlens.operators.linear import gram, stepwise_gram
 from cohortlens.operators.sampling import split_train_test
 from cohortlens.operators.selection import Search, compare_models, stepwise_many, univariable_screen
@@ -390,9 +391,10 @@ def _chrono_logistic(spark, sf_dir):
 def q_chrono_reduced(spark, sf_dir):
     """Reduced calendar (10 time points) on the six cross-year pairs,
     prior-corrected probabilities (tau = 0.3)."""
-    des = _student_design(spark, sf_dir, "pairs")
-    res, _ = ch.chronological_logistic(des, REDUCED_SETS, prior_tau=_TAU)
-    return res
+    def build():
+        des = _student_design(spark, sf_dir, "pairs")
+        return ch.chronological_logistic(des, REDUCED_SETS, prior_tau=_TAU)[0]
+    return _cached(spark, sf_dir, "chrono_reduced", build)
 
 
 @register("chronological_linear")
@@ -553,3 +555,112 @@ def q_linear_step(spark, sf_dir):
     chosen, f, path = stepwise_gram(g, terms, SETS[-1])
     return spark.createDataFrame([(i, a, t, float(aic)) for i, (a, t, aic) in enumerate(path)],
                                  "step int, action string, term string, aic double")
+
+
+@register("flagship_evaluation")
+def q_flagship(spark, sf_dir):
+    """Prepare -> exact 80/20 split -> logistic fit of the full formula on the
+    training rows -> score the held-out rows -> confusion at p > 0.5, exact
+    AUC, and the Youden-best threshold of the training ROC, as one row."""
+    from cohortlens.operators.sampling import split_train_test
+    from cohortlens.session import materialize
+    p = prepared(spark, sf_dir)
+    enc = fe.fit_encoding(p, CATEGORICAL)
+    d = split_train_test(fe.one_hot(p, enc), "id", 0.8, 46)
+    cols = [*enc.columns["segment"], *enc.columns["region"], *NUMERICS]
+    d = d.withColumn("_train", (F.col("split") == "train").cast("int"))
+    spec = glm.Spec(tuple(cols), include="_train")
+    f = glm.fit_many(d, {"m": spec}, "final")["m"]
+    # scored in the executor tasks: an opaque column keeps the fitted
+    # expression out of the optimizer's constraint propagation
+    scored = materialize(glm.score_many(d, {"prob": (spec, f)}, response=True)
+                         .withColumn("pred", mt.classify("prob", 0.5, strict=True)))
+    train, test = scored.where(F.col("_train") == 1), scored.where(F.col("_train") == 0)
+    best = mt.best_threshold(mt.roc_curve(train, "final", "prob")).select(F.col("threshold").alias("best_threshold"))
+    rep = mt.classification_report(test, "final", "pred").withColumn("_k", F.lit(1))
+    a = mt.auc(test, "final", "prob").select("auc").withColumn("_k", F.lit(1))
+    meta = spark.createDataFrame([(1, float(f.aic()), int(f.rank), bool(f.converged))],
+                                 "_k int, aic double, rank int, converged boolean")
+    return rep.join(a, "_k").join(meta, "_k").join(best.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+@register("influential_rows", _OLS_SQL + """,
+flag AS (SELECT id, resid * resid * h / (s2 * 2 * power(1 - h, 2)) AS cooks_d, n FROM e)
+SELECT p.id, p.year, p.segment, p.region, p.acctbal, p.final, round(flag.cooks_d, 9) AS cooks_d,
+       CASE WHEN flag.cooks_d > 0.015 THEN CAST(p.id AS VARCHAR) ELSE '' END AS label
+FROM prepared_num p JOIN flag ON p.id = flag.id WHERE flag.cooks_d > 4.0 / (flag.n - 2 - 1)
+""")
+def q_influential(spark, sf_dir):
+    """P13 + P14 + D5: rows above the Cook's-distance cut-off, looked up by
+    their row key, labelled when the distance exceeds 0.015."""
+    p, f = _ols(spark, sf_dir)
+    infl = dg.label_influential(dg.with_influence(p, f, "final"), 0.015)
+    above = infl.where(F.col("cooks_d") > F.lit(dg.cooks_cutoff(f))).select("id", "cooks_d", "label")
+    rows = p.join(above, "id", "left_semi")  # lookup by row key
+    return rows.join(above, "id").select("id", "year", "segment", "region", "acctbal", "final",
+                                         F.round("cooks_d", 9).alias("cooks_d"), "label")
+
+
+@register("relevel_dummies", PREPARED_SQL + """
+SELECT id, """ + ", ".join(
+    f"CAST(region = '{v}' AS DOUBLE) AS region_{v.lower().replace(' ', '_')}"
+    for v in ["AFRICA", "AMERICA", "ASIA", "MIDDLE EAST"]) + """ FROM prepared
+""")
+def q_relevel(spark, sf_dir):
+    """Treatment dummies with a chosen reference level (region base EUROPE)."""
+    p = prepared(spark, sf_dir)
+    enc = fe.fit_encoding(p, ["region"], base={"region": "EUROPE"})
+    return fe.one_hot(p, enc).select("id", *enc.columns["region"])
+
+
+@register("ols_truth_vs_fitted", _OLS_SQL + """
+SELECT id, final, acctbal, round(final - resid, 9) AS fitted FROM e JOIN prepared_num USING (id, acctbal)
+""")
+def q_truth_fitted(spark, sf_dir):
+    """D11 + P16: truth, predictor and fitted value appended to every row."""
+    p, f = _ols(spark, sf_dir)
+    return dg.with_fitted(p, f).select("id", "final", "acctbal", F.round("fitted", 9).alias("fitted"))
+
+
+@register("scores_sorted", PREPARED_SQL + "SELECT id, final, score FROM scored ORDER BY score, id")
+def q_sorted(spark, sf_dir):
+    """Rows ordered by score (for output; the sweep itself needs no sort)."""
+    return with_score(prepared(spark, sf_dir)).select("id", "final", "score").orderBy("score", "id")
+
+
+_HIST_SQL = NUMERIC_PREPARED_SQL + """,
+st AS (SELECT count(final) AS n, min(final) AS lo, max(final) AS hi FROM prepared_num),
+c0 AS (SELECT n, lo, hi, (hi - lo) / ceil(log2(n) + 1) AS cell FROM st),
+c1 AS (SELECT *, pow(10, floor(log10(cell))) AS base FROM c0),
+c2 AS (SELECT *, CASE WHEN NOT (2 * base - cell < 1.5 * (cell - base)) THEN base
+                      WHEN NOT (5 * base - cell < 2.75 * (cell - 2 * base)) THEN 2 * base
+                      WHEN NOT (10 * base - cell < 1.5 * (cell - 5 * base)) THEN 5 * base
+                      ELSE 10 * base END AS unit FROM c1),
+c3 AS (SELECT *, floor(lo / unit + 1e-10) AS ns0 FROM c2),
+c4 AS (SELECT *, CASE WHEN ns0 * unit > lo + 1e-10 * unit THEN ns0 - 1 ELSE ns0 END AS ns FROM c3),
+b AS (SELECT greatest(1, CAST(ceil((final - ns * unit - 1e-7 * unit) / unit) AS INTEGER)) AS bin, ns, unit, n
+      FROM prepared_num, c4)
+"""
+
+
+@register("final_histogram", _HIST_SQL + """
+SELECT bin, round(ns * unit + (bin - 1) * unit, 9) AS lower, round(ns * unit + bin * unit, 9) AS upper,
+       count(*) AS count, round(count(*) / (max(n) * max(unit)), 12) AS density
+FROM b GROUP BY bin, ns, unit
+""")
+def q_hist(spark, sf_dir):
+    """Density histogram of the final mark (Sturges classes, pretty
+    breaks, right-closed bins, lowest included)."""
+    h = pf.density_histogram(prepared(spark, sf_dir, mark=None), "final")
+    return h.select("bin", F.round("lower", 9).alias("lower"), F.round("upper", 9).alias("upper"), "count",
+                    F.round("density", 12).alias("density"))
+
+
+@register("year_pair_means")
+def q_pair_means(spark, sf_dir):
+    """Mean of the two runs that share a training cohort (tested on the
+    two other cohorts), over the reduced-calendar time-point means."""
+    res = q_chrono_reduced(spark, sf_dir)
+    perf = ch.performance_summary(res, ["auc", "accuracy", "specificity", "fn"])
+    pairs = {f"train_{y}": [f"y{y}_on_{o}" for o in (2015, 2016, 2017) if o != y] for y in (2015, 2016, 2017)}
+    return ch.pair_means(perf, pairs, ["mean_auc", "mean_accuracy", "mean_specificity", "mean_fn"])

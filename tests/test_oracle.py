@@ -35,4 +35,4 @@ def test_every_query_is_registered_with_a_docstring():
 def test_entry_runs(spark):
     df = se.entry(spark)
     assert df.count() >= 0
-    assert "n" in df.columns
+    assert "auc" in df.columns
