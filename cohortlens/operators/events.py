@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.operators.ranking import small_frame
+
 
 def event_frequency(events: DataFrame, key: str = "event_id") -> DataFrame:
     """A1: count per value of ``key`` over the whole log -> (key, n)."""
@@ -54,17 +56,25 @@ def with_description(top: DataFrame, types: DataFrame, key: str = "event_id",
                      description: str = "description") -> DataFrame:
     """Look up each key's description; unmatched keys keep a NULL.
 
-    ``top`` is bounded by k rows, so it is the broadcast (build) side of a
-    right-outer hash join: the dimension is streamed once, never shuffled.
+    Only the bounded side is ever broadcast: the dimension is streamed once
+    through a left-semi join against the broadcast top-k keys (<= k rows),
+    and the top-k is then left-joined to that filtered remainder (at most k
+    rows for a keyed dimension).  The dimension is never shuffled or
+    broadcast whole, whatever its size.
     """
     dim = types.select(key, description)
-    return dim.join(F.broadcast(top), key, "right")
+    matched = dim.join(F.broadcast(top.select(key)), key, "left_semi")
+    return top.join(F.broadcast(matched), key, "left")
 
 
 def top_events_described(events: DataFrame, types: DataFrame, k: int = 50, key: str = "event_id",
                          description: str = "description") -> DataFrame:
-    """A1 + T1 + J1: top-k event types with description and count."""
-    top = top_k(event_frequency(events, key), k, key)
+    """A1 + T1 + J1: top-k event types with description and count.
+
+    The top-k (k rows) is evaluated once and reused by both joins, instead of
+    re-aggregating the log for each use.
+    """
+    top = small_frame(top_k(event_frequency(events, key), k, key))
     return with_description(top, types, key, description).select(key, description, "n")
 
 

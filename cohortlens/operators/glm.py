@@ -19,6 +19,7 @@ reports them NA; AIC counts the kept columns only.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -173,17 +174,25 @@ def _pass(df: DataFrame, features: list[str], label: str, batch: list[tuple], fa
     cols = [*features, label, *([weight_col] if weight_col else []), *extra]
     payload = list(batch)
 
+    # candidates sharing a row set (include flag, fold column, left-out fold,
+    # class weights) share one masked design matrix per batch
+    groups: dict[tuple, list] = {}
+    for key, idx, beta, cost, inc, fcol, excl, cw, four in payload:
+        bkey = None if four is None else hashlib.md5(
+            four[0].tobytes() + four[1].tobytes() + np.asarray(idx).tobytes()).hexdigest()
+        groups.setdefault((inc, fcol, excl, cw), []).append((key, idx, beta, cost, four, bkey))
+
     def run(it):
         acc: dict[str, np.ndarray] = {}
         for pdf in it:
             if pdf.empty:
                 continue
-            X = pdf[features].to_numpy(dtype=np.float64) if features else np.zeros((len(pdf), 0))
+            X1 = np.hstack([np.ones((len(pdf), 1)),
+                            pdf[features].to_numpy(dtype=np.float64) if features else np.zeros((len(pdf), 0))])
             y = pdf[label].to_numpy(dtype=np.float64)
             wt = pdf[weight_col].to_numpy(dtype=np.float64) if weight_col else np.ones(len(pdf))
             aux = {c: pdf[c].to_numpy() for c in extra}
-            ones = np.ones((len(pdf), 1))
-            for key, idx, beta, _cost, inc, fcol, excl, cw, four in payload:
+            for (inc, fcol, excl, cw), members in groups.items():
                 m = np.ones(len(pdf), dtype=bool)
                 if inc:
                     m &= aux[inc] == 1
@@ -191,12 +200,19 @@ def _pass(df: DataFrame, features: list[str], label: str, batch: list[tuple], fa
                     m &= aux[fcol] != excl
                 if not m.any():
                     continue
-                Xc = np.hstack([ones[m], _basis(X[m][:, idx], four)])
-                yc, wc = y[m], wt[m]
+                Xm, yc, wc = X1[m], y[m], wt[m]
                 if cw is not None:
                     wc = wc * np.where(yc == 1, cw[1], cw[0])
-                part = _partials(Xc, yc, wc, beta, family, _cost)
-                acc[key] = part if key not in acc else acc[key] + part
+                bases: dict[str, np.ndarray] = {}  # one Fourier basis per distinct map
+                for key, idx, beta, _cost, four, bkey in members:
+                    if four is None:
+                        Xc = Xm[:, [0, *[i + 1 for i in idx]]]
+                    else:
+                        if bkey not in bases:
+                            bases[bkey] = np.hstack([Xm[:, :1], _basis(Xm[:, [i + 1 for i in idx]], four)])
+                        Xc = bases[bkey]
+                    part = _partials(Xc, yc, wc, beta, family, _cost)
+                    acc[key] = part if key not in acc else acc[key] + part
         if acc:
             yield pd.DataFrame({"cand": list(acc.keys()), "v": [a.tolist() for a in acc.values()]})
 
@@ -272,12 +288,13 @@ ROWS_PER_PARTITION = 100_000
 
 def _sized_cache(df: DataFrame) -> DataFrame:
     """Cache the pruned input once for all passes, merging partitions so each
-    pass runs about ``ROWS_PER_PARTITION`` rows per task (large inputs keep
-    their partitioning; small ones stop paying one Python task per tiny
-    shuffle partition on every iteration)."""
+    pass runs about ``ROWS_PER_PARTITION`` rows per task but never fewer tasks
+    than the cluster's default parallelism (the per-row work is CPU-heavy);
+    large inputs keep their partitioning, small ones stop paying one Python
+    task per tiny shuffle partition on every iteration."""
     first = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = first.count()
-    target = max(1, -(-n // ROWS_PER_PARTITION))
+    target = max(df.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_PER_PARTITION))
     if first.rdd.getNumPartitions() <= target:
         return first
     merged = first.coalesce(target).persist(StorageLevel.MEMORY_AND_DISK)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.operators import events as ev
+from cohortlens.operators.ranking import small_frame
 from cohortlens.plans.registry import register
 from cohortlens.sources.sinks import description_lines
 from cohortlens.sources.tables import load
@@ -71,8 +72,8 @@ def drilldown_top_user(spark, sf_dir):
     a left-semi join on that one-row result (broadcast, bounded to 1 row).
     """
     events = load(spark, sf_dir, "events")
-    one = events.join(F.broadcast(_top_user(events)), "user_id", "left_semi")
-    top = ev.top_k(ev.event_frequency(one, KEY), 50, KEY)
+    one = events.join(F.broadcast(small_frame(_top_user(events))), "user_id", "left_semi")
+    top = small_frame(ev.top_k(ev.event_frequency(one, KEY), 50, KEY))
     return ev.with_description(top, event_types(events), KEY).select(KEY, "description", "n")
 
 

@@ -96,3 +96,30 @@ def test_edge_rows_tolerant_cast_and_all_null(spark):
     prof = {r["column"]: r["n_null"] for r in pf.null_profile(df).collect()}
     assert prof == {"mark": 1, "empty": 3, "f": 0}
     assert pr.complete_cases(pr.to_double(df, ["mark"]), ["mark"]).count() == 1
+
+
+def test_activity_log_from_events_table(spark, tmp_path):
+    """S1 + S2 + S4 on the driver's events table written as headerless CSV logs."""
+    ev_tbl = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    log_cols = ev_tbl.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("event_date"),
+                             F.col("event_type").alias("event_id"), F.col("event_id").cast("string").alias("ref"),
+                             F.col("user_id").cast("string").alias("user_id"), F.lit("site").alias("site_id"),
+                             F.lit("student").alias("role_id"), F.lit("1").alias("is_student"))
+    a, b = tmp_path / "a", tmp_path / "b"
+    log_cols.where("ref % 2 = 0").write.option("header", "false").csv(str(a))
+    log_cols.where("ref % 2 = 1").write.option("header", "false").csv(str(b))
+    types = tmp_path / "types"
+    ev_tbl.select(F.col("event_type").alias("EVENT_ID")).distinct() \
+        .withColumn("DESCRIPTION", F.concat(F.lit("type "), "EVENT_ID")).coalesce(1) \
+        .write.option("header", "true").csv(str(types))
+    log = rd.read_by_year(spark, {2015: str(a), 2016: str(b)})
+    assert log.count() == ev_tbl.count()
+    assert log.where("event_date IS NULL").count() == 0
+    want = {r["event_type"]: r["count"] for r in ev_tbl.groupBy("event_type").count().collect()}
+    got = {r["event_id"]: r["n"] for r in ev.event_frequency(log, "event_id").collect()}
+    assert got == want
+    dim = rd.read_dimension(spark, str(types), key="event_id")
+    top = ev.top_events_described(log, dim, 50)
+    assert top.where("description IS NULL").count() == 0
+    per_year = log.groupBy("year").count().collect()
+    assert sum(r["count"] for r in per_year) == ev_tbl.count() and len(per_year) == 2
