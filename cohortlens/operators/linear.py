@@ -101,6 +101,52 @@ def gram(df: DataFrame, features: Sequence[str], label: str, fold_col: str | Non
     return Gram(feats, label, total, folds if fold_col else {})
 
 
+def gram_many(df: DataFrame, features: Sequence[str], label: str,
+              sets: dict[str, tuple[str, str | None]]) -> dict[str, Gram]:
+    """One pass for several training sets: ``sets`` maps a name to (0/1
+    include column, fold column or None).  A row counts in every set that
+    includes it; partials are keyed (set, fold) and reduced together."""
+    feats = list(features)
+    names = sorted(sets)
+    aux = sorted({c for inc, fc in sets.values() for c in (inc, fc) if c})
+    cols = [*feats, label, *aux]
+
+    def run(it):
+        acc: dict[tuple, np.ndarray] = {}
+        for pdf in it:
+            if pdf.empty:
+                continue
+            Z = np.hstack([np.ones((len(pdf), 1)), pdf[feats + [label]].to_numpy(dtype=np.float64)])
+            for si, name in enumerate(names):
+                inc, fc = sets[name]
+                m = pdf[inc].to_numpy() == 1
+                if not m.any():
+                    continue
+                keys = pdf[fc].to_numpy()[m] if fc else np.zeros(int(m.sum()), dtype=int)
+                Zm = Z[m]
+                for k in np.unique(keys):
+                    Zk = Zm[keys == k]
+                    part = (Zk.T @ Zk).ravel()
+                    key = (si, int(k))
+                    acc[key] = part if key not in acc else acc[key] + part
+        if acc:
+            yield pd.DataFrame({"s": [k[0] for k in acc], "fold": [k[1] for k in acc],
+                                "v": [a.tolist() for a in acc.values()]})
+
+    parts = df.select(*cols).mapInPandas(run, "s int, fold int, v array<double>")
+    red = parts.groupBy("s", "fold").agg(Summarizer.sum(array_to_vector("v")).alias("m")).collect()
+    q = len(feats) + 2
+    per: dict[str, dict[int, np.ndarray]] = {n: {} for n in names}
+    for r in red:
+        per[names[r["s"]]][r["fold"]] = r["m"].toArray().reshape(q, q)
+    out = {}
+    for n in names:
+        folds = per[n]
+        total = sum(folds.values()) if folds else np.zeros((q, q))
+        out[n] = Gram(feats, label, total, folds if sets[n][1] else {})
+    return out
+
+
 def adjusted_r2(g: Gram, cols: Sequence[str]) -> float:
     """G9 (linear): summary(fit)$adj.r.squared."""
     return g.solve(cols).extra["adj_r2"]

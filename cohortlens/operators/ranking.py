@@ -17,6 +17,7 @@ candidate set is small enough to sort directly.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Sequence
 
@@ -116,61 +117,103 @@ def hash_rank(df: DataFrame, key: str, partition_cols: Sequence[str] = (), out:
 
 
 def order_statistics(df: DataFrame, col: str, ranks: Sequence[int], local_limit: int = 50000,
-                     n_buckets: int = 1024) -> dict[int, float]:
+                     n_buckets: int = 1024, accuracy: int = 10000) -> dict[int, float]:
     """Exact values at 0-based ``ranks`` of ``col`` (NULLs excluded).
 
-    Iterative selection; every pass is one distributed aggregate over the
-    current candidate range, and only ranges holding at most ``local_limit``
-    rows are ever brought to the driver, sorted.  Each pass strictly shrinks
-    the range (split points are taken inside (min, max]; a range whose
-    quantiles all equal its minimum -- one heavy value -- peels that value
-    off), so heavy duplicates cannot stall it.
+    Iterative selection in rounds.  Each round runs one aggregate over all
+    pending ranges (count, min, max and approximate quantiles of each), one
+    bucket count for the ranges still too large, and one sorted collect of
+    the ranges holding at most ``local_limit`` rows -- the only rows that
+    ever reach the driver.  Every round strictly shrinks each range (split
+    points are taken inside (min, max]; a range whose quantiles all equal its
+    minimum -- one heavy value -- peels that value off), so heavy duplicates
+    cannot stall it.
     """
-    vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    v = F.col("v")
+    vals = df.select(F.col(col).cast("double").alias("v")).where(v.isNotNull() & ~F.isnan("v"))
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+
+    def in_range(lo, hi):
+        cond = F.lit(True)
+        if math.isfinite(lo):
+            cond = cond & (v >= F.lit(lo))
+        if math.isfinite(hi):
+            cond = cond & (v < F.lit(hi))
+        return cond
+
     # pending: (lo, hi, base) -> ranks; the range is lo <= v < hi, base = #rows below lo
     pending = {(-math.inf, math.inf, 0): sorted(set(int(r) for r in ranks))}
     result: dict[int, float] = {}
     while pending:
+        keys = list(pending)
+        aggs = []
+        for i, (lo, hi, _) in enumerate(keys):
+            c = in_range(lo, hi)
+            aggs += [F.count_if(c).alias(f"n{i}"), F.min(F.when(c, v)).alias(f"a{i}"),
+                     F.max(F.when(c, v)).alias(f"b{i}"),
+                     F.percentile_approx(F.when(c, v), probs, accuracy).alias(f"q{i}")]
+        st = vals.agg(*aggs).first()
         nxt: dict[tuple, list[int]] = {}
-        for (lo, hi, base), rks in pending.items():
-            cand = vals
-            if math.isfinite(lo):
-                cand = cand.where(F.col("v") >= F.lit(lo))
-            if math.isfinite(hi):
-                cand = cand.where(F.col("v") < F.lit(hi))
-            st = cand.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-            n, vmin, vmax = st["n"], st["lo"], st["hi"]
+        local_ranges, split_ranges = [], []
+        for i, key in enumerate(keys):
+            lo, hi, base = key
+            rks = pending[key]
+            n, vmin, vmax = st[f"n{i}"], st[f"a{i}"], st[f"b{i}"]
             if n == 0:
                 raise ValueError("rank outside the data")
-            if vmin == vmax:
-                for r in rks:
+            rest = []
+            for r in rks:  # the range's extremes are known exactly already
+                if r == base or vmin == vmax:
                     result[r] = float(vmin)
+                elif r == base + n - 1:
+                    result[r] = float(vmax)
+                else:
+                    rest.append(r)
+            if not rest:
                 continue
             if n <= local_limit:
-                local = [row["v"] for row in cand.orderBy("v").collect()]
-                for r in rks:
-                    result[r] = float(local[r - base])
+                local_ranges.append((key, rest))
                 continue
-            inner = [x for x in quantile_splits(cand, "v", n_buckets)[1:-1] if vmin < x <= vmax]
+            inner = sorted({float(x) for x in (st[f"q{i}"] or []) if x is not None and vmin < x <= vmax})
             if not inner:  # one value holds the quantiles: peel the minimum off
-                c_eq = cand.where(F.col("v") == F.lit(vmin)).count()
-                for r in rks:
+                c_eq = vals.where(v == F.lit(vmin)).count()
+                for r in rest:
                     if r < base + c_eq:
                         result[r] = float(vmin)
                     else:
                         nxt.setdefault((math.nextafter(vmin, math.inf), hi, base + c_eq), []).append(r)
                 continue
-            splits = [-math.inf, *inner, math.inf]
-            counts = {row[_BKT]: row["c"] for row in
-                      range_bucket(cand, "v", splits).groupBy(_BKT).agg(F.count(F.lit(1)).alias("c")).collect()}
-            edges = [lo, *inner, hi]
-            cum = base
-            for b in range(len(edges) - 1):
-                c = counts.get(b, 0)
-                hit = [r for r in rks if cum <= r < cum + c]
-                if hit:
-                    nxt.setdefault((edges[b], edges[b + 1], cum), []).extend(hit)
-                cum += c
+            split_ranges.append((key, rest, inner))
+        if local_ranges:  # one sorted collect for every small range
+            cond = F.lit(False)
+            for (lo, hi, _), _r in local_ranges:
+                cond = cond | in_range(lo, hi)
+            local = sorted(row["v"] for row in vals.where(cond).collect())
+            for (lo, hi, base), rest in local_ranges:
+                start = bisect.bisect_left(local, lo) if math.isfinite(lo) else 0
+                for r in rest:
+                    result[r] = float(local[start + r - base])
+        if split_ranges:  # one bucket count for every large range
+            # pending ranges are disjoint, so one set of edges (binary search)
+            # serves all of them; each global bucket lies inside one range
+            edges_all = sorted({-math.inf, math.inf} | {e for (lo, hi, _), _r, inner in split_ranges
+                                                        for e in (lo, *inner, hi)})
+            cond = F.lit(False)
+            for (lo, hi, _), _r, _i in split_ranges:
+                cond = cond | in_range(lo, hi)
+            counts = {row[_BKT]: row["c"] for row in range_bucket(vals.where(cond), "v", edges_all)
+                      .groupBy(_BKT).agg(F.count(F.lit(1)).alias("c")).collect()}
+            for (lo, hi, base), rest, _inner in split_ranges:
+                cum = base
+                for b in range(len(edges_all) - 1):
+                    blo, bhi = edges_all[b], edges_all[b + 1]
+                    if blo < lo or bhi > hi:
+                        continue
+                    c = counts.get(b, 0)
+                    hit = [r for r in rest if cum <= r < cum + c]
+                    if hit:
+                        nxt.setdefault((blo, bhi, cum), []).extend(hit)
+                    cum += c
         pending = nxt
     return result
 

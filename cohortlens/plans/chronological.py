@@ -29,7 +29,7 @@ from cohortlens.operators import metrics as mt
 from cohortlens.operators import svm as sv
 from cohortlens.operators.features import Encoding, arrival_sets, fit_encoding, one_hot
 from cohortlens.operators.glm import Spec, fit_many
-from cohortlens.operators.linear import gram, stepwise_gram
+from cohortlens.operators.linear import gram_many, stepwise_gram
 from cohortlens.operators.ranking import hash_rank
 from cohortlens.operators.selection import Search, stepwise_many
 from cohortlens.functions.columns import order_key, sigmoid
@@ -168,15 +168,16 @@ def chronological_linear(design: Design, sets: Sequence[Sequence[str]], response
                          mark: float = 50.0, k: int = 10, last_time_point: int = 7) -> tuple[DataFrame, DataFrame]:
     """Per (scenario, time point): stepAIC on the Gram matrix, adjusted
     R^2, 10-fold CV MSE, and the holdout regression-as-classifier counts
-    (A10/A11).  One Gram pass per scenario; all holdout counts in one
-    aggregate.  ``last_time_point`` names the model the reference keeps."""
+    (A10/A11).  One Gram pass for all scenarios and folds; all holdout counts
+    in one aggregate.  ``last_time_point`` names the model the reference keeps."""
     df = design.df
     spark = df.sparkSession
     cols_all = sorted({c for cs in design.terms.values() for c in cs})
     fits, sel = {}, []
     extra = {}
+    grams = gram_many(df, cols_all, response, {s.name: (s.train, design.fold_col(s)) for s in design.scenarios})
     for s in design.scenarios:
-        g = gram(df.where(F.col(s.train) == 1), cols_all, response, design.fold_col(s))
+        g = grams[s.name]
         for t, terms in enumerate(sets, start=1):
             chosen, f, path = stepwise_gram(g, design.terms, list(terms))
             cols = [c for tm in chosen for c in design.terms[tm]]

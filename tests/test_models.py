@@ -91,3 +91,12 @@ def test_sqhinge_separates(data):
 def test_t_tail():
     assert glm._t_sf2(2.0, 10) == pytest.approx(0.07338803477, abs=1e-9)
     assert glm.norm_sf2(1.959963985) == pytest.approx(0.05, abs=1e-9)
+
+
+def test_gram_many_matches_single(data):
+    d = data.withColumn("a", (F.col("fold") < 3).cast("int")).withColumn("b", F.lit(1))
+    many = ln.gram_many(d, ["x1", "x3"], "z", {"a": ("a", "fold"), "b": ("b", None)})
+    one_a = ln.gram(d.where("a = 1"), ["x1", "x3"], "z", "fold")
+    one_b = ln.gram(d, ["x1", "x3"], "z")
+    assert np.allclose(many["a"].total, one_a.total) and np.allclose(many["b"].total, one_b.total)
+    assert many["a"].cv_mse(["x1"]) == pytest.approx(one_a.cv_mse(["x1"]), rel=1e-12)
