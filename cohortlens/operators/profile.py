@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators.ranking import quantiles_type7
+from cohortlens.operators.ranking import quantiles_type7_many
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None, min_nulls: int = -1) -> DataFrame:
@@ -71,16 +71,17 @@ def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A13 (numeric): min, Q1, median, mean, Q3, max, NULL count per column.
 
     Quartiles are R type 7, computed exactly by distributed selection (a few
-    aggregate passes per column), so no task holds a whole column.
+    aggregate rounds shared by all columns), so no task holds a whole column.
     """
     spark = df.sparkSession
     base = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
                   *[F.count_if(F.col(c).isNull()).alias(f"z{i}") for i, c in enumerate(columns)],
                   *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    counts = {c: base[f"n{i}"] for i, c in enumerate(columns)}
+    qs_all = quantiles_type7_many(df, {c: [0.0, 0.25, 0.5, 0.75, 1.0] for c in columns if counts[c]}, counts)
     rows = []
     for i, c in enumerate(columns):
-        n = base[f"n{i}"]
-        qs = quantiles_type7(df, c, [0.0, 0.25, 0.5, 0.75, 1.0], n) if n else [None] * 5
+        qs = qs_all.get(c, [None] * 5)
         rows.append((c, qs[0], qs[1], qs[2], base[f"m{i}"], qs[3], qs[4], int(base[f"z{i}"])))
     schema = ("column string, min double, q1 double, median double, mean double, q3 double, "
               "max double, n_null long")

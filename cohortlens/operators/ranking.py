@@ -117,107 +117,163 @@ def hash_rank(df: DataFrame, key: str, partition_cols: Sequence[str] = (), out:
 
 
 def order_statistics(df: DataFrame, col: str, ranks: Sequence[int], local_limit: int = 50000,
-                     n_buckets: int = 1024, accuracy: int = 10000) -> dict[int, float]:
-    """Exact values at 0-based ``ranks`` of ``col`` (NULLs excluded).
-
-    Iterative selection in rounds.  Each round runs one aggregate over all
-    pending ranges (count, min, max and approximate quantiles of each), one
-    bucket count for the ranges still too large, and one sorted collect of
-    the ranges holding at most ``local_limit`` rows -- the only rows that
-    ever reach the driver.  Every round strictly shrinks each range (split
-    points are taken inside (min, max]; a range whose quantiles all equal its
-    minimum -- one heavy value -- peels that value off), so heavy duplicates
-    cannot stall it.
+                     n_buckets: int = 64, accuracy: int = 10000) -> dict[int, float]:
+    """Exact values at 0-based ``ranks`` of one column (see ``order_statistics_many``)."""
+    return order_statistics_many(df, {col: ranks}, local_limit, n_buckets, accuracy)[col]
+
+
+def order_statistics_many(df: DataFrame, ranks_by_col: dict[str, Sequence[int]], local_limit: int = 50000,
+                          n_buckets: int = 64, accuracy: int = 10000) -> dict[str, dict[int, float]]:
+    """Exact values at 0-based ranks of several columns (NULL/NaN excluded).
+
+    Iterative selection in rounds, all columns together.  Each round runs one
+    aggregate over every pending (column, value range) -- count, min, max
+    and approximate quantiles --, one bucket count for the ranges still too
+    large, and one sorted collect of the ranges holding at most
+    ``local_limit`` rows in total -- the only rows that reach the driver.
+    Every round strictly shrinks each range (split points are taken inside
+    (min, max]; a range whose quantiles all equal its minimum -- one heavy
+    value -- peels that value off), so heavy duplicates cannot stall it.
+    With 64 approximate cuts per round, 10^12 rows reach the local limit in
+    about four rounds.
     """
-    v = F.col("v")
-    vals = df.select(F.col(col).cast("double").alias("v")).where(v.isNotNull() & ~F.isnan("v"))
+    cols = list(ranks_by_col)
+    vals = df.select(*[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
     probs = [i / n_buckets for i in range(1, n_buckets)]
 
-    def in_range(lo, hi):
-        cond = F.lit(True)
+    def vcol(ci):
+        return F.col(f"_v{ci}")
+
+    def in_range(ci, lo, hi):
+        v = vcol(ci)
+        cond = v.isNotNull() & ~F.isnan(v)
         if math.isfinite(lo):
             cond = cond & (v >= F.lit(lo))
         if math.isfinite(hi):
             cond = cond & (v < F.lit(hi))
         return cond
 
-    # pending: (lo, hi, base) -> ranks; the range is lo <= v < hi, base = #rows below lo
-    pending = {(-math.inf, math.inf, 0): sorted(set(int(r) for r in ranks))}
-    result: dict[int, float] = {}
+    # pending: (column index, lo, hi, base) -> ranks; range lo <= v < hi, base = #values below lo
+    pending = {(ci, -math.inf, math.inf, 0): sorted(set(int(r) for r in ranks_by_col[c]))
+               for ci, c in enumerate(cols) if ranks_by_col[c]}
+    result: dict[str, dict[int, float]] = {c: {} for c in cols}
     while pending:
         keys = list(pending)
         aggs = []
-        for i, (lo, hi, _) in enumerate(keys):
-            c = in_range(lo, hi)
+        for i, (ci, lo, hi, _) in enumerate(keys):
+            c, v = in_range(ci, lo, hi), vcol(ci)
             aggs += [F.count_if(c).alias(f"n{i}"), F.min(F.when(c, v)).alias(f"a{i}"),
                      F.max(F.when(c, v)).alias(f"b{i}"),
                      F.percentile_approx(F.when(c, v), probs, accuracy).alias(f"q{i}")]
         st = vals.agg(*aggs).first()
         nxt: dict[tuple, list[int]] = {}
-        local_ranges, split_ranges = [], []
+        local_ranges, split_ranges, peel = [], [], []
         for i, key in enumerate(keys):
-            lo, hi, base = key
-            rks = pending[key]
+            ci, lo, hi, base = key
+            out = result[cols[ci]]
             n, vmin, vmax = st[f"n{i}"], st[f"a{i}"], st[f"b{i}"]
             if n == 0:
                 raise ValueError("rank outside the data")
             rest = []
-            for r in rks:  # the range's extremes are known exactly already
+            for r in pending[key]:  # the range's extremes are known exactly already
                 if r == base or vmin == vmax:
-                    result[r] = float(vmin)
+                    out[r] = float(vmin)
                 elif r == base + n - 1:
-                    result[r] = float(vmax)
+                    out[r] = float(vmax)
                 else:
                     rest.append(r)
             if not rest:
                 continue
             if n <= local_limit:
-                local_ranges.append((key, rest))
+                local_ranges.append((key, rest, n))
                 continue
             inner = sorted({float(x) for x in (st[f"q{i}"] or []) if x is not None and vmin < x <= vmax})
-            if not inner:  # one value holds the quantiles: peel the minimum off
-                c_eq = vals.where(v == F.lit(vmin)).count()
-                for r in rest:
-                    if r < base + c_eq:
-                        result[r] = float(vmin)
-                    else:
-                        nxt.setdefault((math.nextafter(vmin, math.inf), hi, base + c_eq), []).append(r)
+            if not inner:
+                peel.append((key, rest, vmin))
+            else:
+                split_ranges.append((key, rest, inner))
+        for (ci, lo, hi, base), rest, vmin in peel:  # one value holds the quantiles: peel it off
+            c_eq = vals.where(vcol(ci) == F.lit(vmin)).count()
+            for r in rest:
+                if r < base + c_eq:
+                    result[cols[ci]][r] = float(vmin)
+                else:
+                    nxt.setdefault((ci, math.nextafter(vmin, math.inf), hi, base + c_eq), []).append(r)
+        # small ranges: one sorted collect, bounded by local_limit rows per range
+        batch, size = [], 0
+        for item in local_ranges + [None]:
+            if item is not None and (not batch or size + item[2] <= local_limit):
+                batch.append(item)
+                size += item[2]
                 continue
-            split_ranges.append((key, rest, inner))
-        if local_ranges:  # one sorted collect for every small range
-            cond = F.lit(False)
-            for (lo, hi, _), _r in local_ranges:
-                cond = cond | in_range(lo, hi)
-            local = sorted(row["v"] for row in vals.where(cond).collect())
-            for (lo, hi, base), rest in local_ranges:
-                start = bisect.bisect_left(local, lo) if math.isfinite(lo) else 0
-                for r in rest:
-                    result[r] = float(local[start + r - base])
-        if split_ranges:  # one bucket count for every large range
-            # pending ranges are disjoint, so one set of edges (binary search)
-            # serves all of them; each global bucket lies inside one range
-            edges_all = sorted({-math.inf, math.inf} | {e for (lo, hi, _), _r, inner in split_ranges
+            if batch:
+                picks = F.array(*[F.when(in_range(ci, lo, hi), F.struct(F.lit(j).alias("j"), vcol(ci).alias("v")))
+                                  for j, ((ci, lo, hi, _), _r, _n) in enumerate(batch)])
+                rows = (vals.select(F.explode(F.filter(picks, lambda x: x.isNotNull())).alias("p"))
+                        .select("p.j", "p.v").collect())
+                per: dict[int, list[float]] = {}
+                for row in rows:
+                    per.setdefault(row["j"], []).append(row["v"])
+                for j, ((ci, lo, hi, base), rest, _n) in enumerate(batch):
+                    local = sorted(per.get(j, []))
+                    for r in rest:
+                        result[cols[ci]][r] = float(local[r - base])
+            batch, size = ([item], item[2]) if item is not None else ([], 0)
+        if split_ranges:  # large ranges: one bucket count (binary search per column)
+            by_col: dict[int, list] = {}
+            for item in split_ranges:
+                by_col.setdefault(item[0][0], []).append(item)
+            framed, edges_of, pairs = vals, {}, []
+            for ci, items in by_col.items():
+                # a column's pending ranges are disjoint: one edge set serves them all
+                edges = sorted({-math.inf, math.inf} | {e for (_, lo, hi, _), _r, inner in items
                                                         for e in (lo, *inner, hi)})
-            cond = F.lit(False)
-            for (lo, hi, _), _r, _i in split_ranges:
-                cond = cond | in_range(lo, hi)
-            counts = {row[_BKT]: row["c"] for row in range_bucket(vals.where(cond), "v", edges_all)
-                      .groupBy(_BKT).agg(F.count(F.lit(1)).alias("c")).collect()}
-            for (lo, hi, base), rest, _inner in split_ranges:
+                edges_of[ci] = edges
+                cond = F.lit(False)
+                for (_, lo, hi, _), _r, _i in items:
+                    cond = cond | in_range(ci, lo, hi)
+                framed = range_bucket(framed.withColumn(f"_k{ci}", F.when(cond, vcol(ci))), f"_k{ci}", edges,
+                                      out=f"_b{ci}")
+                pairs.append(F.when(F.col(f"_b{ci}").isNotNull() & F.col(f"_k{ci}").isNotNull(),
+                                    F.struct(F.lit(ci).alias("c"), F.col(f"_b{ci}").alias("b"))))
+            counts = {(row["c"], row["b"]): row["n"] for row in
+                      framed.select(F.explode(F.filter(F.array(*pairs), lambda x: x.isNotNull())).alias("p"))
+                      .groupBy("p.c", "p.b").agg(F.count(F.lit(1)).alias("n")).collect()}
+            for (ci, lo, hi, base), rest, _inner in split_ranges:
+                edges = edges_of[ci]
                 cum = base
-                for b in range(len(edges_all) - 1):
-                    blo, bhi = edges_all[b], edges_all[b + 1]
+                for b in range(len(edges) - 1):
+                    blo, bhi = edges[b], edges[b + 1]
                     if blo < lo or bhi > hi:
                         continue
-                    c = counts.get(b, 0)
+                    c = counts.get((ci, b), 0)
                     hit = [r for r in rest if cum <= r < cum + c]
                     if hit:
-                        nxt.setdefault((blo, bhi, cum), []).extend(hit)
+                        nxt.setdefault((ci, blo, bhi, cum), []).extend(hit)
                     cum += c
         pending = nxt
     return result
 
 
+def quantiles_type7_many(df: DataFrame, probs_by_col: dict[str, Sequence[float]],
+                         counts: dict[str, int]) -> dict[str, list[float]]:
+    """Type-7 quantiles of several columns in shared selection rounds."""
+    plans, need = {}, {}
+    for c, probs in probs_by_col.items():
+        n = counts[c]
+        plan = []
+        for p in probs:
+            h = (n - 1) * p
+            lo = int(math.floor(h))
+            hi = min(lo + 1, n - 1)
+            plan.append((lo, hi, h - lo))
+            need.setdefault(c, set()).update([lo, hi])
+        plans[c] = plan
+    stats = order_statistics_many(df, {c: sorted(r) for c, r in need.items()})
+    return {c: [stats[c][lo] + frac * (stats[c][hi] - stats[c][lo]) for lo, hi, frac in plan]
+            for c, plan in plans.items()}
+
+
 def quantiles_type7(df: DataFrame, col: str, probs: Sequence[float], n: int | None = None) -> list[float]:
     """R's default quantile (type 7) = Spark ``percentile`` = DuckDB ``quantile_cont``, exactly."""
     if n is None:

@@ -108,3 +108,39 @@ def event_frequency_stream(spark, sf_dir):
     # a file source watches a folder or glob; the glob names the one log file
     stream = read_log_stream(spark, f"{sf_dir}/events.parquet*", schema)
     return run_available(frequency_stream(stream, [KEY]), "event_frequency")
+
+
+@register("activity_log_scan", """
+WITH f AS (SELECT weekofyear(ts) AS period, event_type, count(*) AS n FROM events GROUP BY ALL)
+SELECT period, event_type, concat('event type ', event_type) AS description, n FROM f
+""")
+def activity_log_scan(spark, sf_dir):
+    """S1 + S2 + S4 + A1 + J1: the events table laid out as the reference's
+    logs -- one headerless CSV folder per period with the fixed seven columns,
+    plus a header CSV of event types keyed by its first column -- written to
+    the shared checkpoint folder, scanned back with the explicit schema,
+    unioned with a period column, profiled per period and described."""
+    import posixpath
+    import uuid
+
+    from cohortlens.session import ensure_checkpoint_dir
+    from cohortlens.sources import readers as rd
+
+    events = load(spark, sf_dir, "events")
+    root = posixpath.join(ensure_checkpoint_dir(spark), "logs", uuid.uuid4().hex[:8])  # a URI on a cluster
+    log = events.select(F.weekofyear("ts").alias("period"),
+                        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("event_date"),
+                        F.col(KEY).alias("event_id"), F.col("event_id").cast("string").alias("ref"),
+                        F.col("user_id").cast("string").alias("user_id"), F.lit("site").alias("site_id"),
+                        F.lit("student").alias("role_id"), F.lit("1").alias("is_student"))
+    log.write.partitionBy("period").option("header", "false").csv(posixpath.join(root, "log"))
+    event_types(events).select(F.col(KEY).alias("EVENT_ID"), F.col("description").alias("DESCRIPTION")) \
+        .write.option("header", "true").csv(posixpath.join(root, "types"))
+    periods = sorted(r[0] for r in log.select("period").distinct().collect())  # a handful of weeks
+    scanned = rd.read_by_year(spark, {p: posixpath.join(root, "log", f"period={p}") for p in periods},
+                              year_col="period")
+    types = rd.read_dimension(spark, posixpath.join(root, "types"), key="event_id")
+    freq = scanned.groupBy("period", "event_id").agg(F.count(F.lit(1)).alias("n"))
+    out = freq.join(F.broadcast(ev.with_description(small_frame(freq.select("event_id").distinct()), types)
+                                .select("event_id", "description")), "event_id", "left")
+    return out.select(F.col("period").cast("int").alias("period"), F.col("event_id").alias(KEY), "description", "n")
