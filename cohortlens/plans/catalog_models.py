@@ -23,7 +23,7 @@ from cohortlens.plans import chronological as ch
 from cohortlens.plans.common import (CATEGORICAL, DEMOGRAPHIC, NUMERIC_PREPARED_SQL, PRECOURSE, PREPARED_SQL,
                                      WEEKLY_FRAGMENTS, WEEKS, prepared, with_score)
 from cohortlens.plans.registry import register
-from cohortlens.plans.scenarios import standard_scenarios, year_pair_scenarios
+from cohortlens.plans.scenarios import standard_scenarios, year_pair_scenarios, year_train_scenarios
 from cohortlens.sources.tables import load
 
 NUMERICS = ["acctbal", *WEEKS]
@@ -407,6 +407,17 @@ def q_chrono_linear(spark, sf_dir):
     return res
 
 
+@register("chronological_linear_years")
+def q_chrono_linear_years(spark, sf_dir):
+    """G12 + G7 + G24: linear chronological runs trained on one cohort and
+    evaluated on the two other cohorts (two test sets per fit)."""
+    p = prepared(spark, sf_dir, mark=None).withColumn("_lab", (F.col("final") >= 50).cast("int"))
+    d, scen = year_train_scenarios(p)
+    des = ch.build_design(d, CATEGORICAL, NUMERICS, "_lab", scen)
+    res, _ = ch.chronological_linear(des, SETS, "final")
+    return res
+
+
 @register("variable_appearance")
 def q_appearance(spark, sf_dir):
     """A20 + A21 + T4: selected-term appearance counts and proportions of the

@@ -39,8 +39,9 @@ from cohortlens.session import materialize
 @dataclass
 class Scenario:
     name: str
-    train: str        # 0/1 column: training rows
-    test: str         # 0/1 column: evaluation rows
+    train: str              # 0/1 column: training rows
+    test: str               # 0/1 column: evaluation rows
+    test2: str | None = None  # optional second evaluation set (G7)
 
 
 @dataclass
@@ -186,26 +187,45 @@ def chronological_linear(design: Design, sets: Sequence[Sequence[str]], response
             sel += [(s.name, t, c) for c in cols]
     aggs = []
     yv, m = F.col(response), F.lit(float(mark))
+
+    def counts(flag, tag, i, pred):
+        te = F.col(flag) == 1
+        return [F.count_if(te & (yv < m) & (pred < m)).alias(f"{tag}a{i}"),
+                F.count_if(te & (yv < m) & (pred >= m)).alias(f"{tag}b{i}"),
+                F.count_if(te & (yv >= m) & (pred < m)).alias(f"{tag}c{i}"),
+                F.count_if(te & (yv >= m) & (pred >= m)).alias(f"{tag}d{i}"),
+                F.avg(F.when(te, F.pow(yv - pred, 2))).alias(f"{tag}e{i}")]
+
     for i, (s, t, _) in enumerate(_cells(design, sets)):
         pred = fits[_cell(s, t)].eta()
-        te = F.col(s.test) == 1
-        aggs += [F.count_if(te & (yv < m) & (pred < m)).alias(f"a{i}"), F.count_if(te & (yv < m) & (pred >= m)).alias(f"b{i}"),
-                 F.count_if(te & (yv >= m) & (pred < m)).alias(f"c{i}"), F.count_if(te & (yv >= m) & (pred >= m)).alias(f"d{i}"),
-                 F.avg(F.when(te, F.pow(yv - pred, 2))).alias(f"e{i}")]
+        aggs += counts(s.test, "", i, pred)
+        if s.test2:
+            aggs += counts(s.test2, "t2", i, pred)
     row = df.agg(*aggs).first()
+
+    def cells_of(tag, i):
+        if f"{tag}a{i}" not in row:
+            return [None] * 5
+        e = row[f"{tag}e{i}"]
+        return [int(row[f"{tag}a{i}"]), int(row[f"{tag}b{i}"]), int(row[f"{tag}c{i}"]), int(row[f"{tag}d{i}"]),
+                float(e) if e is not None else None]
+
     rows = []
     for i, (s, t, _) in enumerate(_cells(design, sets)):
         adj, cv, steps = extra[_cell(s, t)]
-        rows.append((s.name, t, float(adj), float(cv), int(row[f"a{i}"]), int(row[f"b{i}"]), int(row[f"c{i}"]),
-                     int(row[f"d{i}"]), float(row[f"e{i}"]) if row[f"e{i}"] is not None else None, steps,
+        rows.append((s.name, t, float(adj), float(cv), *cells_of("", i), *cells_of("t2", i), steps,
                      t == last_time_point))
     res = spark.createDataFrame(rows, "scenario string, time_point int, adj_r2 double, cv_mse double, "
                                       "true_fail long, false_pass long, false_fail long, true_pass long, "
-                                      "test_mse double, steps int, last_model boolean")
-    tf, fp, ff, tp = (F.col(c) for c in ("true_fail", "false_pass", "false_fail", "true_pass"))
+                                      "test_mse double, t2_true_fail long, t2_false_pass long, "
+                                      "t2_false_fail long, t2_true_pass long, t2_test_mse double, "
+                                      "steps int, last_model boolean")
     from cohortlens.functions.columns import safe_ratio
-    res = res.withColumns({"accuracy": safe_ratio(tf + tp, tf + tp + fp + ff), "specificity": safe_ratio(tf, tf + fp),
-                           "npv": safe_ratio(tf, tf + ff), "sensitivity": safe_ratio(tp, tp + ff)})
+    for tag in ("", "t2_"):
+        tf, fp, ff, tp = (F.col(f"{tag}{c}") for c in ("true_fail", "false_pass", "false_fail", "true_pass"))
+        res = res.withColumns({f"{tag}accuracy": safe_ratio(tf + tp, tf + tp + fp + ff),
+                               f"{tag}specificity": safe_ratio(tf, tf + fp),
+                               f"{tag}npv": safe_ratio(tf, tf + ff), f"{tag}sensitivity": safe_ratio(tp, tp + ff)})
     return res, spark.createDataFrame(sel, "scenario string, time_point int, term string")
 
 

@@ -48,6 +48,16 @@ def standard_scenarios(df: DataFrame, label: str = "final", id_col: str = "id",
     return materialize(d), scen
 
 
+def year_train_scenarios(df: DataFrame, years: Sequence[int] = (2015, 2016, 2017)) -> tuple[DataFrame, list[Scenario]]:
+    """Train on one cohort, evaluate on the two others (two test sets, G7)."""
+    cols = {f"y{a}": _flag(F.col("year") == a) for a in years}
+    scen = []
+    for a in years:
+        others = [b for b in years if b != a]
+        scen.append(Scenario(f"y{a}", f"y{a}", f"y{others[0]}", f"y{others[1]}"))
+    return df.withColumns(cols), scen
+
+
 def year_pair_scenarios(df: DataFrame, years: Sequence[int] = (2015, 2016, 2017)) -> tuple[DataFrame, list[Scenario]]:
     """Cross-year pairs: train on one cohort, test on another (6 pairs)."""
     cols, scen = {}, []
