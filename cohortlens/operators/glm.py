@@ -385,6 +385,49 @@ def score_many(df: DataFrame, models: Mapping[str, tuple[Spec, Fit]], response:
     return df.mapInPandas(run, out_schema)
 
 
+def score_oof(df: DataFrame, models: Mapping[str, tuple[tuple[str, ...], str, Mapping[int, Fit]]],
+              response: bool = True) -> DataFrame:
+    """Append one out-of-fold prediction column per model group.
+
+    ``models``: name -> (feature columns, fold column, {fold: fit trained
+    without that fold}).  Each row is scored by the fit that left its own
+    fold out (NULL when the row has no fold), in numpy inside the tasks --
+    no per-fold CASE expression trees in the plan.
+    """
+    from pyspark.sql.types import DoubleType, StructField, StructType
+    names = list(models)
+    feats = sorted({c for cols, _, _ in models.values() for c in cols})
+    pos = {c: i for i, c in enumerate(feats)}
+    folds_needed = sorted({fc for _, fc, _ in models.values()})
+    payload = []
+    for n, (cols, fc, fits) in models.items():
+        ks = sorted(fits)
+        B = np.vstack([np.nan_to_num(fits[k].beta) for k in ks])
+        payload.append((n, [0, *[pos[c] + 1 for c in cols]], fc, np.asarray(ks), B, fits[ks[0]].family))
+    out_schema = StructType([*df.schema.fields, *[StructField(n, DoubleType(), True) for n in names]])
+
+    def run(it):
+        for pdf in it:
+            X1 = np.hstack([np.ones((len(pdf), 1)),
+                            pdf[feats].to_numpy(dtype=np.float64) if feats else np.zeros((len(pdf), 0))])
+            fold_vals = {fc: pdf[fc].to_numpy(dtype=np.float64) for fc in folds_needed}
+            new = {}
+            for n, idx, fc, ks, B, fam in payload:
+                f = fold_vals[fc]
+                slot = np.searchsorted(ks, np.nan_to_num(f, nan=-1).astype(np.int64))
+                ok = ~np.isnan(f) & (slot < len(ks))
+                ok[ok] &= ks[slot[ok]] == f[ok].astype(np.int64)
+                eta = np.full(len(pdf), np.nan)
+                Xi = X1[:, idx]
+                eta[ok] = np.einsum("ij,ij->i", Xi[ok], B[slot[ok]])
+                if response and fam == "binomial":
+                    eta = 1.0 / (1.0 + np.exp(-eta))
+                new[n] = eta
+            yield pd.concat([pdf, pd.DataFrame(new, index=pdf.index)], axis=1)
+
+    return df.mapInPandas(run, out_schema)
+
+
 def fit(df: DataFrame, features: Sequence[str], label: str, family: str = "binomial",
         weight_col: str | None = None, **kw) -> Fit:
     """A single model (the batch of one)."""

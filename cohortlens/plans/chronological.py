@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators import metrics as mt
 from cohortlens.operators import svm as sv
 from cohortlens.operators.features import Encoding, arrival_sets, fit_encoding, one_hot
-from cohortlens.operators.glm import Spec, fit_many
+from cohortlens.operators.glm import Spec, fit_many, score_many, score_oof
 from cohortlens.operators.linear import gram_many, stepwise_gram
 from cohortlens.operators.ranking import hash_rank
 from cohortlens.operators.selection import Search, stepwise_many
@@ -116,7 +116,12 @@ def evaluate_logistic(design: Design, models: Sequence[tuple], pi: float = 0.5,
         for j in range(k):
             cv_specs[f"{_cell(s, t)}|{j}"] = Spec(cols, include=s.train, fold_col=design.fold_col(s), exclude_fold=j)
     cv_fits = fit_many(df, cv_specs, y, "binomial")
-    src = df
+    # out-of-fold and holdout probabilities scored in the tasks (numpy), so
+    # the aggregate below only reads plain columns
+    oof = {f"_cv{i}": (tuple(f.names[1:]), design.fold_col(s), {j: cv_fits[f"{_cell(s, t)}|{j}"] for j in range(k)})
+           for i, (s, t, f, _) in enumerate(models)}
+    hold = {f"_p{i}": (Spec(tuple(f.names[1:])), f) for i, (s, t, f, _) in enumerate(models)}
+    src = score_many(score_oof(df, oof), hold, response=True)
     if prior_tau is not None:
         for s in design.scenarios:  # class-0 share of the scored (test) rows, as the reference does
             share = df.agg(F.avg(F.when(F.col(s.test) == 1, (F.col(y) == 0).cast("double")))).first()[0]
@@ -125,14 +130,9 @@ def evaluate_logistic(design: Design, models: Sequence[tuple], pi: float = 0.5,
     yv = F.col(y)
     for i, (s, t, f, _) in enumerate(models):
         c = _cell(s, t)
-        fc = F.col(design.fold_col(s))
-        expr = None
-        for j in range(k):
-            p_j = cv_fits[f"{c}|{j}"].response()
-            expr = F.when(fc == j, p_j) if expr is None else expr.when(fc == j, p_j)
         in_train = F.col(s.train) == 1
-        cv_aggs.append(F.avg(F.when(in_train, (F.abs(yv - expr) > 0.5).cast("double"))).alias(f"cv{i}"))
-        prob = f.response()
+        cv_aggs.append(F.avg(F.when(in_train, (F.abs(yv - F.col(f"_cv{i}")) > 0.5).cast("double"))).alias(f"cv{i}"))
+        prob = F.col(f"_p{i}")
         if prior_tau is not None:
             prob = _prior_corrected(prob, prior_tau, F.col(f"_ybar_{s.name}"))
         pred = prob > F.lit(float(pi))
@@ -140,6 +140,7 @@ def evaluate_logistic(design: Design, models: Sequence[tuple], pi: float = 0.5,
         conf_aggs += [F.count_if(te & ~pred & (yv == 0)).alias(f"tn{i}"), F.count_if(te & ~pred & (yv == 1)).alias(f"fn{i}"),
                       F.count_if(te & pred & (yv == 0)).alias(f"fp{i}"), F.count_if(te & pred & (yv == 1)).alias(f"tp{i}")]
         score_structs.append(F.when(te, F.struct(F.lit(c).alias("cell"), prob.alias("score"))))
+    src = materialize(src)  # three jobs read the scores: aggregate, AUC splits, AUC
     row = src.agg(*cv_aggs, *conf_aggs).first()
     long = src.select(yv, F.explode(F.filter(F.array(*score_structs), lambda x: x.isNotNull())).alias("s")) \
         .select(y, "s.cell", "s.score")
