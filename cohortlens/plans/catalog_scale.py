@@ -89,9 +89,10 @@ def q_li_logit(spark, sf_dir):
                                  "term string, estimate double")
 
 
-@register("events_value_summary", " UNION ALL ".join(
-    f"""SELECT event_type, {f} FROM events GROUP BY event_type""" for f in [
-        "count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd"]))
+@register("events_value_summary", """
+SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd
+FROM events GROUP BY event_type
+""")
 def q_ev_summary(spark, sf_dir):
     """A14 per event type: mean and sd of the event value."""
     ev = load(spark, sf_dir, "events")

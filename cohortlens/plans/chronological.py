@@ -30,7 +30,9 @@ from cohortlens.operators import svm as sv
 from cohortlens.operators.features import Encoding, arrival_sets, fit_encoding, one_hot
 from cohortlens.operators.glm import Spec, fit_many, score_many, score_oof
 from cohortlens.operators.linear import gram_many, stepwise_gram
-from cohortlens.operators.ranking import hash_rank
+from cohortlens.operators.ranking import cumulative, hash_bucket
+
+_BKT_COL = "_fold_bkt"
 from cohortlens.operators.selection import Search, stepwise_many
 from cohortlens.functions.columns import order_key, sigmoid
 from cohortlens.session import materialize
@@ -63,13 +65,16 @@ def build_design(df: DataFrame, factors: Sequence[str], numerics: Sequence[str],
     scenario), and give each scenario's training rows balanced folds."""
     enc = fit_encoding(df, factors)
     out = one_hot(df, enc, keep_factors=True)
-    for i, s in enumerate(scenarios):
-        if i and i % 2 == 0:  # bound the plan: each rank reads its input twice
-            out = materialize(out)
-        ranked = hash_rank(out.withColumn("_key", order_key(id_col, f"{seed}:{s.name}")), "_key",
-                           partition_cols=[s.train], out="_r", total=None)
-        out = ranked.withColumn(f"fold_{s.name}", F.when(F.col(s.train) == 1, F.pmod(F.col("_r") - 1, F.lit(k)))
-                                .cast("int")).drop("_key", "_r")
+    # one two-level running count over a single md5 order, with every
+    # scenario's training flag as a value column: each row's running count of
+    # its own training set is its rank there, so one window assigns the
+    # balanced folds of all scenarios
+    flags = sorted({s.train for s in scenarios})
+    keyed = out.withColumn("_key", order_key(id_col, seed)).withColumn(_BKT_COL, hash_bucket("_key"))
+    ranked = cumulative(keyed, ["_key"], flags, bucket=_BKT_COL, with_total=False, suffix="_rk")
+    out = ranked.withColumns({f"fold_{s.name}": F.when(F.col(s.train) == 1, F.pmod(F.col(f"{s.train}_rk") - 1,
+                                                                                   F.lit(k))).cast("int")
+                              for s in scenarios}).drop("_key", _BKT_COL, *[f"{f}_rk" for f in flags])
     terms = {f: enc.columns[f] for f in factors}
     terms.update({c: [c] for c in numerics})
     return Design(materialize(out), enc, terms, label, list(scenarios))

@@ -87,3 +87,16 @@ def test_cumulative_matches_pandas(spark):
     out = rk.cumulative(rk.range_bucket(df, "v", splits), ["v", "i"], ["w"]).orderBy("v", "i").toPandas()
     want = out.sort_values(["v", "i"])["w"].cumsum().to_numpy()
     assert (out["w_cum"].to_numpy() == want).all()
+
+
+def test_design_folds_balanced_per_training_set(spark):
+    from cohortlens.plans.chronological import Scenario, build_design
+    df = (spark.range(0, 997).withColumn("f", F.when(F.col("id") % 2 == 0, "a").otherwise("b"))
+          .withColumn("x", F.col("id") * 0.5).withColumn("final", (F.col("id") % 3 == 0).cast("int"))
+          .withColumn("t1", (F.col("id") % 5 != 0).cast("int")).withColumn("t2", (F.col("id") < 400).cast("int")))
+    scen = [Scenario("s1", "t1", "t2"), Scenario("s2", "t2", "t1"), Scenario("s3", "t1", "t1")]
+    des = build_design(df, ["f"], ["x"], "final", scen, k=10)
+    for s in scen:
+        sizes = [r["count"] for r in des.df.where(f"{s.train} = 1").groupBy(f"fold_{s.name}").count().collect()]
+        assert len(sizes) == 10 and max(sizes) - min(sizes) <= 1
+        assert des.df.where(f"{s.train} = 0 AND fold_{s.name} IS NOT NULL").count() == 0
