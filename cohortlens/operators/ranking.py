@@ -67,6 +67,28 @@ def small_frame(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(table, schema=df.schema)
 
 
+SMALL_ROWS = 1_000_000
+
+
+def small_or_lazy(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
+    """``small_frame`` when the summary has at most ``max_rows`` rows (then it
+    may be broadcast), else the lazy frame itself (then it must be joined
+    by shuffle).  Used where the size depends on a caller's group count."""
+    table = df.limit(max_rows + 1).toArrow()
+    if table.num_rows > max_rows:
+        return df, False
+    if table.num_rows == 0:
+        return df.sparkSession.createDataFrame([], df.schema), True
+    return df.sparkSession.createDataFrame(table, schema=df.schema), True
+
+
+def join_small(big: DataFrame, summary: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a per-group summary: broadcast when its size proves small, else a
+    regular (shuffle) join -- never a broadcast of an unbounded side."""
+    side, small = small_or_lazy(summary)
+    return big.join(F.broadcast(side) if small else side, list(on), how)
+
+
 def cumulative(df: DataFrame, order_cols: Sequence[str], values: Sequence[str], bucket: str = _BKT,
                partition_cols: Sequence[str] = (), suffix: str = "_cum",
                with_next: str | None = None, with_total: bool = True) -> DataFrame:
@@ -76,8 +98,9 @@ def cumulative(df: DataFrame, order_cols: Sequence[str], values: Sequence[str],
     ``<v>_cum`` for every value (and ``<v>_tot`` per partition when
     ``with_total``).  ``with_next`` names a column to receive the next row's
     first order column (NULL on the last row), used for ROC midpoints.
-    The per-bucket offset table (bounded by #buckets x #partition groups) is
-    computed by one small job and broadcast.
+    The per-bucket offset table (#buckets x #partition groups rows) is
+    computed by one small job and broadcast when that size is proven small,
+    joined by shuffle otherwise.
     """
     pcols = list(partition_cols)
     per_bucket = df.groupBy(*pcols, bucket).agg(
@@ -91,7 +114,7 @@ def cumulative(df: DataFrame, order_cols: Sequence[str], values: Sequence[str],
         *([F.sum(f"{v}_bsum").over(Window.partitionBy(*pcols)).alias(f"{v}_tot") for v in values]
           if with_total else []),
         *([F.lead("_bmin").over(wb).alias("_next_bmin")] if with_next else []))
-    joined = df.join(F.broadcast(small_frame(offs)), [*pcols, bucket])
+    joined = join_small(df, offs, [*pcols, bucket])
     wi = Window.partitionBy(*pcols, bucket).orderBy(*order_cols)
     run = wi.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = joined.withColumns({f"{v}{suffix}": F.col(f"{v}_off") + F.sum(v).over(run) for v in values})
