@@ -17,7 +17,6 @@ candidate set is small enough to sort directly.
 
 from __future__ import annotations
 
-import bisect
 import math
 from collections.abc import Sequence
 

@@ -573,7 +573,6 @@ def q_flagship(spark, sf_dir):
     """Prepare -> exact 80/20 split -> logistic fit of the full formula on the
     training rows -> score the held-out rows -> confusion at p > 0.5, exact
     AUC, and the Youden-best threshold of the training ROC, as one row."""
-    from cohortlens.operators.sampling import split_train_test
     from cohortlens.session import materialize
     p = prepared(spark, sf_dir)
     enc = fe.fit_encoding(p, CATEGORICAL)

@@ -18,7 +18,6 @@ over time points, metric matrices) are projections/pivots of those.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import metrics as mt
 from cohortlens.operators import svm as sv
-from cohortlens.operators.features import Encoding, arrival_sets, fit_encoding, one_hot
+from cohortlens.operators.features import Encoding, fit_encoding, one_hot
 from cohortlens.operators.glm import Spec, fit_many, score_many, score_oof
 from cohortlens.operators.linear import gram_many, stepwise_gram
 from cohortlens.operators.ranking import cumulative, hash_bucket
@@ -90,8 +89,14 @@ def _cell(s: Scenario, t: int) -> str:
     return f"{s.name}#{t}"
 
 
+def misclassification(y, p):
+    """The reference's CV cost: ``mean(abs(y - p) > 0.5)`` (per-row part)."""
+    return (F.abs(y - p) > F.lit(0.5)).cast("double")
+
+
 def chronological_logistic(design: Design, sets: Sequence[Sequence[str]], pi: float = 0.5,
-                           k: int = 10, prior_tau: float | None = None) -> tuple[DataFrame, DataFrame]:
+                           k: int = 10, prior_tau: float | None = None,
+                           cost=misclassification) -> tuple[DataFrame, DataFrame]:
     """Per (scenario, time point): stepAIC from the time point's
     full formula, then ``evaluate_logistic`` of the selected model.
 
@@ -101,17 +106,19 @@ def chronological_logistic(design: Design, sets: Sequence[Sequence[str]], pi: fl
     stepwise_many(design.df, searches, design.label, "binomial")
     models = [(s, t, searches[_cell(s, t)].fit, len(searches[_cell(s, t)].path) - 1)
               for s, t, _ in _cells(design, sets)]
-    return evaluate_logistic(design, models, pi, k, prior_tau)
+    return evaluate_logistic(design, models, pi, k, prior_tau, cost)
 
 
 def evaluate_logistic(design: Design, models: Sequence[tuple], pi: float = 0.5, k: int = 10,
-                      prior_tau: float | None = None) -> tuple[DataFrame, DataFrame]:
+                      prior_tau: float | None = None, cost=misclassification) -> tuple[DataFrame, DataFrame]:
     """G3 + G4 for many fitted models at once.
 
     ``models``: (scenario, time point, fit, steps).  Computes the 10-fold CV
-    misclassification (all refits one batch, all errors one aggregate),
-    holdout confusion at ``p > pi`` (one aggregate) and exact holdout AUC
-    (one grouped job).  ``prior_tau``: score prior-corrected probabilities (G16).
+    error -- the mean over training rows of ``cost(y, p_out_of_fold)``, a
+    user Column function (F1; default misclassification) -- with all refits
+    in one batch and all errors in one aggregate, holdout confusion at
+    ``p > pi`` (one aggregate) and exact holdout AUC (one grouped job).
+    ``prior_tau``: score prior-corrected probabilities (G16).
     """
     df, y = design.df, design.label
     spark = df.sparkSession
@@ -136,7 +143,7 @@ def evaluate_logistic(design: Design, models: Sequence[tuple], pi: float = 0.5,
     for i, (s, t, f, _) in enumerate(models):
         c = _cell(s, t)
         in_train = F.col(s.train) == 1
-        cv_aggs.append(F.avg(F.when(in_train, (F.abs(yv - F.col(f"_cv{i}")) > 0.5).cast("double"))).alias(f"cv{i}"))
+        cv_aggs.append(F.avg(F.when(in_train, cost(yv, F.col(f"_cv{i}")))).alias(f"cv{i}"))
         prob = F.col(f"_p{i}")
         if prior_tau is not None:
             prob = _prior_corrected(prob, prior_tau, F.col(f"_ybar_{s.name}"))

@@ -100,3 +100,29 @@ def test_gram_many_matches_single(data):
     one_b = ln.gram(d, ["x1", "x3"], "z")
     assert np.allclose(many["a"].total, one_a.total) and np.allclose(many["b"].total, one_b.total)
     assert many["a"].cv_mse(["x1"]) == pytest.approx(one_a.cv_mse(["x1"]), rel=1e-12)
+
+
+def test_evaluate_logistic_matches_explicit_refits(spark, data):
+    from cohortlens.operators import metrics as mt
+    from cohortlens.plans.chronological import Scenario, build_design, evaluate_logistic
+    d = (data.withColumn("id", F.monotonically_increasing_id()).withColumn("f", F.lit("a"))
+         .withColumn("tr", (F.rand(seed=3) < 0.7).cast("int")))
+    d = d.withColumn("te", 1 - F.col("tr")).drop("fold")
+    s = Scenario("s", "tr", "te")
+    des = build_design(d, ["f"], ["x1", "x2"], "y", [s], k=5)
+    f = glm.fit_many(des.df, {"m": glm.Spec(("x1", "x2"), include="tr")}, "y")["m"]
+    res = evaluate_logistic(des, [(s, 1, f, 0)], k=5)[0].first()
+    pdf = des.df.select("x1", "x2", "y", "tr", "te", "fold_s").toPandas()
+    wrong = 0
+    for j in range(5):
+        tr = des.df.where(f"tr = 1 AND fold_s != {j}")
+        fj = glm.fit(tr, ["x1", "x2"], "y")
+        part = pdf[(pdf.tr == 1) & (pdf.fold_s == j)]
+        p = 1 / (1 + np.exp(-(fj.beta[0] + fj.beta[1] * part.x1 + fj.beta[2] * part.x2)))
+        wrong += int((np.abs(part.y - p) > 0.5).sum())
+    assert res["cv_error"] == pytest.approx(wrong / int((pdf.tr == 1).sum()), abs=1e-12)
+    te = pdf[pdf.te == 1]
+    p = 1 / (1 + np.exp(-(f.beta[0] + f.beta[1] * te.x1 + f.beta[2] * te.x2)))
+    assert res["tp"] == int(((p > 0.5) & (te.y == 1)).sum()) and res["tn"] == int(((p <= 0.5) & (te.y == 0)).sum())
+    want_auc = mt.auc(spark.createDataFrame([(int(a), float(b)) for a, b in zip(te.y, p)], "final int, score double")).first()["auc"]
+    assert res["auc"] == pytest.approx(want_auc, abs=1e-9)
