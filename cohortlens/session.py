@@ -8,8 +8,8 @@ import tempfile
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-# Defaults tuned for the operators in this package.  On a cluster the
-# deployment's own settings win: we only fill keys that are unset.
+# Defaults tuned for the operators in this package (builder settings; a
+# deployment's own configuration is applied on top by spark-submit).
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -39,6 +39,25 @@ def get_session(master: str | None = None, app: str = "cohortlens",
     return spark
 
 
+def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 128 << 20,
+                   overwrite: bool = False) -> int:
+    """Spill-aware sizing from the input size: shuffle partitions so each
+    holds about ``target_partition_bytes`` (never fewer than the default
+    parallelism), the same advisory size for AQE coalescing/skew splits, and
+    the scan split size.  Keys already set by the deployment are kept unless
+    ``overwrite``.  Returns the shuffle partition count.
+    """
+    n = max(spark.sparkContext.defaultParallelism, -(-int(input_bytes) // int(target_partition_bytes)))
+    settings = {"spark.sql.shuffle.partitions": str(n),
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(int(target_partition_bytes)),
+                "spark.sql.files.maxPartitionBytes": str(int(target_partition_bytes))}
+    conf = spark.sparkContext.getConf()
+    for k, v in settings.items():
+        if overwrite or not conf.contains(k):
+            spark.conf.set(k, v)
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 

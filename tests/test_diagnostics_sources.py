@@ -123,3 +123,14 @@ def test_activity_log_from_events_table(spark, tmp_path):
     assert top.where("description IS NULL").count() == 0
     per_year = log.groupBy("year").count().collect()
     assert sum(r["count"] for r in per_year) == ev_tbl.count() and len(per_year) == 2
+
+
+def test_size_for_input(spark):
+    from cohortlens.session import size_for_input
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        n = size_for_input(spark, 10 * (128 << 20), overwrite=True)
+        assert n == max(spark.sparkContext.defaultParallelism, 10)
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == str(128 << 20)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
