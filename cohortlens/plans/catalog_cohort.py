@@ -75,11 +75,11 @@ def q_fail(spark, sf_dir):
 
 
 @register("predicate_counts", PREPARED_SQL + """
-SELECT count_if(segment = 'BUILDING') AS building,
-       count_if(segment = 'AUTOMOBILE' AND region = 'ASIA') AS automobile_asia,
-       count_if(segment = 'MACHINERY' AND region = 'EUROPE') AS machinery_europe,
-       count_if(region = 'AFRICA' AND final = 1) AS africa_pass,
-       count_if(region = 'AMERICA') AS america
+SELECT CAST(count_if(segment = 'BUILDING') AS BIGINT) AS building,
+       CAST(count_if(segment = 'AUTOMOBILE' AND region = 'ASIA') AS BIGINT) AS automobile_asia,
+       CAST(count_if(segment = 'MACHINERY' AND region = 'EUROPE') AS BIGINT) AS machinery_europe,
+       CAST(count_if(region = 'AFRICA' AND final = 1) AS BIGINT) AS africa_pass,
+       CAST(count_if(region = 'AMERICA') AS BIGINT) AS america
 FROM prepared
 """)
 def q_predicates(spark, sf_dir):
@@ -107,7 +107,7 @@ def q_shares(spark, sf_dir):
 
 @register("null_profile", STUDENT_WIDE_SQL + """
 SELECT "column", n_null FROM (
-  UNPIVOT (SELECT """ + ", ".join(f"count_if({c} IS NULL) AS {c}" for c in
+  UNPIVOT (SELECT """ + ", ".join(f"CAST(count_if({c} IS NULL) AS BIGINT) AS {c}" for c in
                                  ["id", "year", "segment", "region", "acctbal", *WEEKS, "final"]) + """
            FROM student_wide)
   ON COLUMNS(*) INTO NAME "column" VALUE n_null)
@@ -153,7 +153,7 @@ _SUM = ["acctbal", "w1", "w6", "final"]
 
 @register("numeric_summary", NUMERIC_PREPARED_SQL + " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", min({c}) AS min, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS median,
-        round(avg({c}), 9) AS mean, quantile_cont({c}, 0.75) AS q3, max({c}) AS max, count_if({c} IS NULL) AS n_null
+        round(avg({c}), 9) AS mean, quantile_cont({c}, 0.75) AS q3, max({c}) AS max, CAST(count_if({c} IS NULL) AS BIGINT) AS n_null
         FROM prepared_num""" for c in _SUM))
 def q_summary(spark, sf_dir):
     """A13 (numeric): six-number summary with exact type-7 quartiles."""

@@ -28,8 +28,8 @@ def _scored(spark, sf_dir):
 
 @register("confusion_at_half", PREPARED_SQL + """,
 p AS (SELECT final, CASE WHEN score > 0.5 THEN 1 ELSE 0 END AS pred FROM scored),
-c AS (SELECT count_if(pred=0 AND final=0) AS tn, count_if(pred=0 AND final=1) AS fn,
-             count_if(pred=1 AND final=0) AS fp, count_if(pred=1 AND final=1) AS tp FROM p)
+c AS (SELECT CAST(count_if(pred=0 AND final=0) AS BIGINT) AS tn, CAST(count_if(pred=0 AND final=1) AS BIGINT) AS fn,
+             CAST(count_if(pred=1 AND final=0) AS BIGINT) AS fp, CAST(count_if(pred=1 AND final=1) AS BIGINT) AS tp FROM p)
 SELECT tn, fn, fp, tp, """ + _METRICS_SQL + " FROM c")
 def q_confusion(spark, sf_dir):
     """A8 + A9: confusion counts and metrics at ``score > 0.5`` (G2's rule)."""
@@ -39,8 +39,8 @@ def q_confusion(spark, sf_dir):
 
 @register("confusion_by_year", PREPARED_SQL + """,
 p AS (SELECT year, final, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS pred FROM scored),
-c AS (SELECT year, count_if(pred=0 AND final=0) AS tn, count_if(pred=0 AND final=1) AS fn,
-             count_if(pred=1 AND final=0) AS fp, count_if(pred=1 AND final=1) AS tp FROM p GROUP BY year)
+c AS (SELECT year, CAST(count_if(pred=0 AND final=0) AS BIGINT) AS tn, CAST(count_if(pred=0 AND final=1) AS BIGINT) AS fn,
+             CAST(count_if(pred=1 AND final=0) AS BIGINT) AS fp, CAST(count_if(pred=1 AND final=1) AS BIGINT) AS tp FROM p GROUP BY year)
 SELECT year, tn, fn, fp, tp, """ + _METRICS_SQL + " FROM c")
 def q_confusion_year(spark, sf_dir):
     """A8 + A9 per cohort (grouped)."""
@@ -51,8 +51,8 @@ def q_confusion_year(spark, sf_dir):
 @register("regression_counts", PREPARED_SQL.replace(
     "CASE WHEN final >= 50 THEN 1 ELSE 0 END AS final", "final") + """,
 p AS (SELECT final, 2 * h AS pred FROM scored),
-c AS (SELECT count_if(final < 50 AND pred < 50) AS true_fail, count_if(final < 50 AND pred >= 50) AS false_pass,
-             count_if(final >= 50 AND pred < 50) AS false_fail, count_if(final >= 50 AND pred >= 50) AS true_pass,
+c AS (SELECT CAST(count_if(final < 50 AND pred < 50) AS BIGINT) AS true_fail, CAST(count_if(final < 50 AND pred >= 50) AS BIGINT) AS false_pass,
+             CAST(count_if(final >= 50 AND pred < 50) AS BIGINT) AS false_fail, CAST(count_if(final >= 50 AND pred >= 50) AS BIGINT) AS true_pass,
              round(avg(pow(final - pred, 2)), 6) AS mse FROM p)
 SELECT true_fail, false_pass, false_fail, true_pass, mse,
   CAST(true_fail + true_pass AS DOUBLE) / CAST(true_fail + true_pass + false_pass + false_fail AS DOUBLE) AS accuracy,
@@ -75,7 +75,7 @@ def q_cost(spark, sf_dir):
 
 
 _ROC_SQL = """,
-u AS (SELECT {g}score, count_if(final = 1) AS pos, count_if(final = 0) AS neg FROM {src} GROUP BY {g}score),
+u AS (SELECT {g}score, CAST(count_if(final = 1) AS BIGINT) AS pos, CAST(count_if(final = 0) AS BIGINT) AS neg FROM {src} GROUP BY {g}score),
 tot AS (SELECT {g}CAST(sum(pos) AS BIGINT) AS P, CAST(sum(neg) AS BIGINT) AS N FROM u GROUP BY ALL),
 c AS (SELECT {g}score, pos, neg,
         CAST(sum(pos) OVER w AS BIGINT) AS pos_cum, CAST(sum(neg) OVER w AS BIGINT) AS neg_cum,
@@ -115,7 +115,7 @@ def q_roc(spark, sf_dir):
 
 
 _AUC_SQL = """,
-au AS (SELECT {g}score, count_if(final = 1) AS pos, count_if(final = 0) AS neg FROM {src} GROUP BY {g}score),
+au AS (SELECT {g}score, CAST(count_if(final = 1) AS BIGINT) AS pos, CAST(count_if(final = 0) AS BIGINT) AS neg FROM {src} GROUP BY {g}score),
 ac AS (SELECT {g}pos, neg, sum(neg) OVER (PARTITION BY {gp} ORDER BY score ROWS UNBOUNDED PRECEDING) AS neg_cum FROM au),
 uu AS (SELECT {g}sum(pos * (neg_cum - neg * 0.5)) AS u, CAST(sum(pos) AS BIGINT) AS n_pos,
          CAST(sum(neg) AS BIGINT) AS n_neg FROM ac GROUP BY ALL),
@@ -159,8 +159,8 @@ def q_best(spark, sf_dir):
 
 @register("threshold_sweep", PREPARED_SQL + """,
 g AS (SELECT CAST(range AS DOUBLE) / CAST(100 AS DOUBLE) AS threshold FROM range(0, 101)),
-c AS (SELECT threshold, count_if(score < threshold AND final = 0) AS tn, count_if(score < threshold AND final = 1) AS fn,
-             count_if(score >= threshold AND final = 0) AS fp, count_if(score >= threshold AND final = 1) AS tp
+c AS (SELECT threshold, CAST(count_if(score < threshold AND final = 0) AS BIGINT) AS tn, CAST(count_if(score < threshold AND final = 1) AS BIGINT) AS fn,
+             CAST(count_if(score >= threshold AND final = 0) AS BIGINT) AS fp, CAST(count_if(score >= threshold AND final = 1) AS BIGINT) AS tp
       FROM g, scored GROUP BY threshold)
 SELECT threshold, tn, fn, fp, tp, """ + _METRICS_SQL.replace(
     "  1.0 - CASE WHEN (tn+fn+fp+tp) <> 0 THEN CAST(tn+tp AS DOUBLE) / CAST(tn+fn+fp+tp AS DOUBLE) END AS misclassification,\n", "") + """,
@@ -183,8 +183,8 @@ test AS (SELECT * FROM split WHERE split = 'test')
 ts AS (SELECT 'base' AS rule, CAST(0.5 AS DOUBLE) AS threshold, 1 AS o UNION ALL SELECT 'halfway', (threshold + CAST(0.5 AS DOUBLE)) / 2, 2 FROM best
        UNION ALL SELECT 'best', threshold, 3 FROM best),
 tc AS (SELECT rule, ts.threshold,
-        count_if(score < ts.threshold AND final = 0) AS tn, count_if(score < ts.threshold AND final = 1) AS fn,
-        count_if(score >= ts.threshold AND final = 0) AS fp, count_if(score >= ts.threshold AND final = 1) AS tp
+        CAST(count_if(score < ts.threshold AND final = 0) AS BIGINT) AS tn, CAST(count_if(score < ts.threshold AND final = 1) AS BIGINT) AS fn,
+        CAST(count_if(score >= ts.threshold AND final = 0) AS BIGINT) AS fp, CAST(count_if(score >= ts.threshold AND final = 1) AS BIGINT) AS tp
       FROM ts, test GROUP BY rule, ts.threshold),
 m AS (SELECT rule, threshold, fn, fp, """ + _METRICS_SQL + """ FROM tc)
 SELECT rule, threshold, (sensitivity + specificity) / 2 AS auc, accuracy, specificity, npv, sensitivity,

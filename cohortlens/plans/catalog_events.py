@@ -111,7 +111,7 @@ def event_frequency_stream(spark, sf_dir):
 
 
 @register("activity_log_scan", """
-WITH f AS (SELECT weekofyear(ts) AS period, event_type, count(*) AS n FROM events GROUP BY ALL)
+WITH f AS (SELECT CAST(weekofyear(ts) AS INTEGER) AS period, event_type, count(*) AS n FROM events GROUP BY ALL)
 SELECT period, event_type, concat('event type ', event_type) AS description, n FROM f
 """)
 def activity_log_scan(spark, sf_dir):

@@ -26,7 +26,7 @@ def q_li_corr(spark, sf_dir):
 
 @register("lineitem_summary", " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", min({c}) AS min, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS median,
-        round(avg({c}), 6) AS mean, quantile_cont({c}, 0.75) AS q3, max({c}) AS max, count_if({c} IS NULL) AS n_null
+        round(avg({c}), 6) AS mean, quantile_cont({c}, 0.75) AS q3, max({c}) AS max, CAST(count_if({c} IS NULL) AS BIGINT) AS n_null
         FROM lineitem""" for c in _NUM))
 def q_li_summary(spark, sf_dir):
     """A13 at scale: exact type-7 quartiles by distributed selection."""
@@ -39,7 +39,7 @@ _LI_SCORE = "(l_discount + l_tax)"
 
 @register("lineitem_auc", f"""
 WITH s AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS final, {_LI_SCORE} AS score FROM lineitem),
-au AS (SELECT score, count_if(final = 1) AS pos, count_if(final = 0) AS neg FROM s GROUP BY score),
+au AS (SELECT score, CAST(count_if(final = 1) AS BIGINT) AS pos, CAST(count_if(final = 0) AS BIGINT) AS neg FROM s GROUP BY score),
 ac AS (SELECT pos, neg, sum(neg) OVER (ORDER BY score ROWS UNBOUNDED PRECEDING) AS neg_cum FROM au),
 uu AS (SELECT sum(pos * (neg_cum - neg * 0.5)) AS u, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM ac),
 ad AS (SELECT CASE WHEN median(score) FILTER (WHERE final = 0) > median(score) FILTER (WHERE final = 1)
