@@ -7,6 +7,7 @@ from conftest import SMALL
 from tools.oracle_check import rows_of
 
 ORACLE = sorted(se.oracle_sql())
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 @pytest.mark.parametrize("name", ORACLE)
@@ -17,6 +18,8 @@ def test_query_matches_duckdb(spark, duck_small, name):
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(sdf.columns) == sorted(dcols)
+    dtypes = dict(zip(dcols, [str(t) for t in duck_small.sql(se.oracle_sql()[name]).types]))
+    assert {c: TYPES.get(t, t) for c, t in sdf.dtypes} == dtypes
     assert len(srows) == len(drows)
     a, b = rows_of(sdf.columns, srows), rows_of(dcols, drows)
     for x, y in zip(a, b):
