@@ -134,3 +134,15 @@ def test_size_for_input(spark):
         assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == str(128 << 20)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_qq_points_match_ppoints(spark):
+    from statistics import NormalDist
+    rng = np.random.default_rng(12)
+    x = rng.standard_t(5, size=333)
+    df = spark.createDataFrame([(float(v),) for v in x], "r double")
+    got = dg.qq_points(df, "r").orderBy("i").toPandas()
+    n = len(x)
+    pp = (np.arange(1, n + 1) - 0.5) / n
+    assert np.allclose(got["sample"], np.sort(x))
+    assert np.allclose(got["theoretical"], [NormalDist().inv_cdf(p) for p in pp], atol=1e-8)

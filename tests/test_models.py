@@ -126,3 +126,37 @@ def test_evaluate_logistic_matches_explicit_refits(spark, data):
     assert res["tp"] == int(((p > 0.5) & (te.y == 1)).sum()) and res["tn"] == int(((p <= 0.5) & (te.y == 0)).sum())
     want_auc = mt.auc(spark.createDataFrame([(int(a), float(b)) for a, b in zip(te.y, p)], "final int, score double")).first()["auc"]
     assert res["auc"] == pytest.approx(want_auc, abs=1e-9)
+
+
+def _hat(X, w):
+    Xw = X * np.sqrt(w)[:, None]
+    return np.einsum("ij,ij->i", Xw @ np.linalg.inv(Xw.T @ Xw), Xw)
+
+
+def test_logistic_leverage_and_cooks_match_numpy(data):
+    from cohortlens.operators import diagnostics as dg
+    f = glm.fit(data, ["x1", "x2"], "y")
+    got = dg.with_influence(data, f, "y").select("x1", "x2", "y", "h", "cooks_d").toPandas()
+    X = np.column_stack([np.ones(len(got)), got.x1, got.x2])
+    mu = 1 / (1 + np.exp(-(X @ f.beta)))
+    h = _hat(X, mu * (1 - mu))
+    r = (got.y - mu) / np.sqrt(mu * (1 - mu))
+    cook = (r / (1 - h)) ** 2 * h / 3
+    assert np.allclose(got.h, h, atol=1e-9) and np.allclose(got.cooks_d, cook, atol=1e-9)
+
+
+def test_linear_influence_and_studentised_match_numpy(data):
+    from cohortlens.operators import diagnostics as dg
+    f = glm.fit(data, ["x1", "x3"], "z", "gaussian")
+    got = dg.with_influence(data, f, "z").select("x1", "x3", "z", "h", "cooks_d").toPandas()
+    X = np.column_stack([np.ones(len(got)), got.x1, got.x3])
+    e = got.z - X @ f.beta
+    h = _hat(X, np.ones(len(got)))
+    n, p = X.shape
+    s2 = (e ** 2).sum() / (n - p)
+    assert np.allclose(got.h, h, atol=1e-9)
+    assert np.allclose(got.cooks_d, e ** 2 * h / (s2 * p * (1 - h) ** 2), atol=1e-9)
+    top = dg.outlier_test(data.withColumn("id", F.monotonically_increasing_id()), f, "z").toPandas()
+    s_i = np.sqrt(((e ** 2).sum() - e ** 2 / (1 - h)) / (n - p - 1))
+    rst = e / (s_i * np.sqrt(1 - h))
+    assert np.allclose(np.sort(np.abs(top.rstudent))[::-1], np.sort(np.abs(rst))[::-1][:10], atol=1e-9)
