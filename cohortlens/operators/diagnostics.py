@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.columns import dnorm
 from cohortlens.operators.glm import Fit, _t_sf2
 from cohortlens.operators.ranking import cumulative, quantile_splits, quantiles_type7, range_bucket
+from cohortlens.session import materialize
 
 
 def with_fitted(df: DataFrame, fit: Fit, y: str | None = None, prefix: str = "") -> DataFrame:
@@ -169,7 +170,9 @@ def acf(df: DataFrame, col: str, order_col: str, max_lag: int | None = None, blo
     splits = quantile_splits(src, "_o", 256)
     pos = cumulative(range_bucket(src.withColumn("_one", F.lit(1)), "_o", splits), ["_o"], ["_one"],
                      with_total=False).select((F.col("_one_cum") - 1).alias("_i"), "_x")
-    xc = pos.withColumn("_c", F.col("_x") - F.lit(mean)).withColumn("_b", F.floor(F.col("_i") / block))
+    # the ranked series feeds both the block body and the halo: checkpoint it
+    # once instead of ranking twice
+    xc = materialize(pos.withColumn("_c", F.col("_x") - F.lit(mean)).withColumn("_b", F.floor(F.col("_i") / block)))
     halo = (xc.where(F.pmod(F.col("_i"), F.lit(block)) >= block - L)
             .withColumn("_b", F.col("_b") + 1).withColumn("_h", F.lit(True)))
     body = xc.withColumn("_h", F.lit(False))

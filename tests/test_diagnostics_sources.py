@@ -146,3 +146,10 @@ def test_qq_points_match_ppoints(spark):
     pp = (np.arange(1, n + 1) - 0.5) / n
     assert np.allclose(got["sample"], np.sort(x))
     assert np.allclose(got["theoretical"], [NormalDist().inv_cdf(p) for p in pp], atol=1e-8)
+
+
+def test_union_cohorts_equals_in_filter(spark):
+    df = spark.createDataFrame([(i, 2015 + i % 3) for i in range(30)], "id long, year long")
+    u = pr.union_cohorts(pr.cohort(df, 2015), pr.cohort(df, 2016))
+    f = pr.cohort(df, [2015, 2016])
+    assert sorted(u.collect()) == sorted(f.collect())
