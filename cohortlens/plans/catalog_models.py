@@ -674,3 +674,25 @@ def q_pair_means(spark, sf_dir):
     perf = ch.performance_summary(res, ["auc", "accuracy", "specificity", "fn"])
     pairs = {f"train_{y}": [f"y{y}_on_{o}" for o in (2015, 2016, 2017) if o != y] for y in (2015, 2016, 2017)}
     return ch.pair_means(perf, pairs, ["mean_auc", "mean_accuracy", "mean_specificity", "mean_fn"])
+
+
+@register("ols_cv_mse", NUMERIC_PREPARED_SQL + """,
+fo AS (SELECT *, (row_number() OVER (ORDER BY md5(concat('1:', CAST(id AS VARCHAR)))) - 1) % 10 AS fold
+       FROM prepared_num),
+fs AS (SELECT fold, count(*) AS n, sum(acctbal) AS sx, sum(final) AS sy, sum(acctbal * acctbal) AS sxx,
+              sum(acctbal * final) AS sxy, sum(final * final) AS syy FROM fo GROUP BY fold),
+t AS (SELECT sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM fs),
+c AS (SELECT fs.*, t.n - fs.n AS cn, t.sx - fs.sx AS csx, t.sy - fs.sy AS csy, t.sxx - fs.sxx AS csxx,
+             t.sxy - fs.sxy AS csxy FROM fs, t),
+b AS (SELECT *, (cn * csxy - csx * csy) / (cn * csxx - csx * csx) AS b1 FROM c),
+a AS (SELECT *, (csy - b1 * csx) / cn AS b0 FROM b)
+SELECT round(avg((syy - 2 * b0 * sy - 2 * b1 * sxy + n * b0 * b0 + 2 * b0 * b1 * sx + b1 * b1 * sxx) / n), 6)
+       AS cv_mse FROM a
+""")
+def q_ols_cv(spark, sf_dir):
+    """10-fold CV MSE (mean of fold MSEs) of final ~ acctbal, from one
+    Gram pass with per-fold partials (train Gram = total - fold)."""
+    from cohortlens.operators.sampling import assign_folds
+    p = assign_folds(prepared(spark, sf_dir, mark=None), 10, "id", 1)
+    g = gram(p, ["acctbal"], "final", "fold")
+    return spark.createDataFrame([(round(float(g.cv_mse(["acctbal"])), 6),)], "cv_mse double")
