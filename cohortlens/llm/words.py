@@ -115,9 +115,9 @@ def shingles(words: Words, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     whole = words.doc[:len(runs)] == words.doc[k - 1:] if len(runs) else np.zeros(0, bool)
     h, d = [mix(runs[whole])], [words.doc[:len(runs)][whole]]
     for i in np.flatnonzero((counts > 0) & (counts < k)):
-        x = np.uint64(counts[i])
-        for w in hashes[words.first[i]:words.first[i + 1]]:
-            x = np.multiply(x, mult, dtype=np.uint64) + w
-        h.append(mix(np.array([x ^ np.uint64(0xD6E8FEB86659FD93)])))
+        x = np.array([counts[i]], np.uint64)
+        for j in range(words.first[i], words.first[i + 1]):
+            x = x * mult + hashes[j:j + 1]
+        h.append(mix(x ^ np.uint64(0xD6E8FEB86659FD93)))
         d.append(np.array([i]))
     return np.concatenate(h), np.concatenate(d)
