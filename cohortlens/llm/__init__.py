@@ -1,4 +1,4 @@
 """Operations of a training-data pipeline; nothing else in the library imports this."""
 
-from cohortlens.llm import best_fit_packing, jaccard_join, line_dedup, simhash, source_mixing, warc  # noqa: F401
+from cohortlens.llm import best_fit_packing, jaccard_join, line_dedup, quality_rules, simhash, source_mixing, warc  # noqa: F401
 from cohortlens.llm.registry import ORACLES, QUERIES  # noqa: F401
