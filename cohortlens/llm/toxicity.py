@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cohortlens.llm.automaton import Entry, LexiconAutomaton
 from cohortlens.llm.labels import held_out, training_rows
@@ -196,19 +197,20 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` whose names don't clash, ``score`` and ``predicted``."""
+    """All columns of ``docs``, ``__score`` and ``__toxic``."""
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model.entries, model.spared)
         for batch in batches:
-            texts = [t or b"" for t in batch.column("__text").cast(pa.binary()).to_pylist()]
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             for at, part in chunks(texts):
                 score = 1 / (1 + np.exp(-(model.weights[0] + matcher.features(part) @ model.weights[1:])))
-                rest = batch.slice(at, len(part)).drop_columns(["__text"])
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(score)], [*rest.schema.names, "__score"])
+                rest = batch.slice(at, len(part)).drop_columns(["text"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(score)], [*rest.schema.names, "score"])
 
-    given = docs.withColumn("__text", F.col("text").cast("string"))
-    schema = docs.schema.add("__score", "double")
-    return given.mapInArrow(apply, schema).withColumn("__toxic", F.col("__score") >= threshold)
+    # columns travel under numbers, whatever their names
+    given = docs.withColumn("__text", F.col("text").cast("string")).toDF(*[f"c{i}" for i in range(len(docs.columns))], "text")
+    schema = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)] + [StructField("score", DoubleType())])
+    return given.mapInArrow(apply, schema).toDF(*docs.columns, "__score").withColumn("__toxic", F.col("__score") >= threshold)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
