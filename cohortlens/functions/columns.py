@@ -57,8 +57,8 @@ def dnorm(x, mean, sd) -> Column:
     x = _c(x)
     m = mean if isinstance(mean, Column) else F.lit(float(mean))
     s = sd if isinstance(sd, Column) else F.lit(float(sd))
-    z = (x - m) / s
-    return F.exp(F.lit(-0.5) * z * z) / (s * F.lit(math.sqrt(2.0 * math.pi)))
+    z = safe_ratio(x - m, s)  # sd 0: no density, NULL
+    return safe_ratio(F.exp(F.lit(-0.5) * z * z), s * F.lit(math.sqrt(2.0 * math.pi)))
 
 
 def linear_predictor(coefs: Mapping[str, float], intercept: float = 0.0) -> Column:

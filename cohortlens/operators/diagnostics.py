@@ -17,7 +17,7 @@ from pyspark.ml.stat import KolmogorovSmirnovTest
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.columns import dnorm
+from cohortlens.functions.columns import dnorm, safe_ratio
 from cohortlens.operators.glm import Fit, _t_sf2
 from cohortlens.operators.ranking import cumulative, quantile_splits, quantiles_type7, range_bucket
 from cohortlens.session import materialize
@@ -47,6 +47,7 @@ def with_influence(df: DataFrame, fit: Fit, y: str) -> DataFrame:
 
     logistic: (r_P / (1 - h))^2 * h / k with r_P the Pearson residual;
     linear: e^2 h / (s^2 k (1 - h)^2).  k = number of kept coefficients.
+    Undefined measures (leverage 1, fitted 0 or 1) are NULL.
     """
     V = np.linalg.inv(fit.xtwx)
     xs = [F.lit(1.0) if i == 0 else F.col(fit.names[i]) for i in fit.kept]
@@ -56,13 +57,13 @@ def with_influence(df: DataFrame, fit: Fit, y: str) -> DataFrame:
     if fit.family == "binomial":
         mu = F.col("fitted")
         out = out.withColumn("h", mu * (F.lit(1.0) - mu) * q)
-        rp = (F.col(y) - mu) / F.sqrt(mu * (F.lit(1.0) - mu))
+        rp = safe_ratio(F.col(y) - mu, F.sqrt(mu * (F.lit(1.0) - mu)))
         out = out.withColumn("pearson", rp)
-        cook = F.pow(rp / (F.lit(1.0) - F.col("h")), 2) * F.col("h") / F.lit(k)
+        cook = F.pow(safe_ratio(rp, F.lit(1.0) - F.col("h")), 2) * F.col("h") / F.lit(k)
     else:
         s2 = fit.deviance / (fit.n - fit.rank)
         out = out.withColumn("h", q)
-        cook = F.pow(F.col("resid"), 2) * F.col("h") / (F.lit(s2 * k) * F.pow(F.lit(1.0) - F.col("h"), 2))
+        cook = safe_ratio(F.pow(F.col("resid"), 2) * F.col("h"), F.lit(s2 * k) * F.pow(F.lit(1.0) - F.col("h"), 2))
     return out.withColumn("cooks_d", cook)
 
 
@@ -103,9 +104,9 @@ def chi2_sf_even(x: Column, df: int) -> Column:
 def hosmer_lemeshow(df: DataFrame, y: str, fitted: str, g: int = 10) -> DataFrame:
     """Hosmer-Lemeshow chi-square over both classes, df = g - 2."""
     bins = hosmer_lemeshow_bins(df, y, fitted, g)
-    term = (F.pow(F.col("observed") - F.col("expected"), 2) / F.col("expected")
-            + F.pow((F.col("n") - F.col("observed")) - (F.col("n") - F.col("expected")), 2)
-            / (F.col("n") - F.col("expected")))
+    other = F.col("n") - F.col("expected")
+    term = (safe_ratio(F.pow(F.col("observed") - F.col("expected"), 2), F.col("expected"))
+            + safe_ratio(F.pow((F.col("n") - F.col("observed")) - other, 2), other))
     out = bins.agg(F.sum(term).alias("chisq"))
     dof = g - 2
     return out.select("chisq", F.lit(dof).alias("df"), chi2_sf_even(F.col("chisq"), dof).alias("p_value"))

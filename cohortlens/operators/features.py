@@ -13,22 +13,21 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.columns import snake_case
-
-MAX_LEVELS = 1000
+from cohortlens.functions.columns import safe_ratio, snake_case
 
 
 def standardise(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
     """M6: ``(x - mean) / sd`` per column with one aggregate for all moments.
 
     Default fits on ``df`` itself (the reference scales all rows before the
-    split); pass ``fit_on=train`` to avoid leaking the test rows.
+    split); pass ``fit_on=train`` to avoid leaking the test rows.  A constant
+    column has no scale: it becomes NULL.
     """
     src = fit_on if fit_on is not None else df
     cols = list(columns)
     st = src.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
                  *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-    return df.withColumns({c: (F.col(c) - F.lit(st[f"m{i}"])) / F.lit(st[f"s{i}"]) for i, c in enumerate(cols)})
+    return df.withColumns({c: safe_ratio(F.col(c) - F.lit(st[f"m{i}"]), F.lit(st[f"s{i}"])) for i, c in enumerate(cols)})
 
 
 @dataclass
@@ -49,13 +48,11 @@ def factor_levels(df: DataFrame, factors: Sequence[str]) -> dict[str, list[str]]
     """Distinct levels of every factor in one pass (sorted, R's default order)."""
     stacked = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("v"))
                                              for f in factors])).alias("s")).select("s.*")
-    rows = stacked.where(F.col("v").isNotNull()).distinct().limit(MAX_LEVELS * len(factors) + 1).collect()
+    rows = stacked.where(F.col("v").isNotNull()).distinct().collect()
     out: dict[str, list[str]] = {f: [] for f in factors}
     for r in rows:
         out[r["f"]].append(r["v"])
     for f in out:
-        if len(out[f]) > MAX_LEVELS:
-            raise ValueError(f"factor {f} has more than {MAX_LEVELS} levels")
         out[f].sort()
     return out
 
@@ -65,12 +62,21 @@ def fit_encoding(df: DataFrame, factors: Sequence[str], base: Mapping[str, str]
     or the one given in ``base`` (``relevel``)."""
     levels = factor_levels(df, factors)
     enc = Encoding()
+    used = {c.lower() for c in df.columns}
     for f in factors:
         lv = levels[f]
         if base and f in base:
             lv = [base[f]] + [x for x in lv if x != base[f]]
         enc.levels[f] = lv
-        enc.columns[f] = [f"{f}_{snake_case(x)}" for x in lv[1:]]
+        enc.columns[f] = []
+        for x in lv[1:]:  # levels that differ only in symbols or case get a number
+            stem = name = f"{f}_{snake_case(x)}"
+            k = 1
+            while name.lower() in used:
+                k += 1
+                name = f"{stem}_{k}"
+            used.add(name.lower())
+            enc.columns[f].append(name)
     return enc
 
 

@@ -89,6 +89,11 @@ class Fit:
     def rank(self) -> int:
         return len(self.kept)
 
+    @property
+    def separated(self) -> bool:
+        """The classes are told apart without error: no finite estimate exists."""
+        return self.family == "binomial" and self.n > 0 and self.deviance < 1e-6 * self.n
+
     @property
     def aliased(self) -> list[str]:
         return [n for i, n in enumerate(self.names) if i not in self.kept]
@@ -240,6 +245,8 @@ def _kept_columns(G: np.ndarray, tol: float = 1e-9) -> list[int]:
 
 def _solve(G, b, kept, ridge: float = 0.0):
     Gk = G[np.ix_(kept, kept)].copy()
+    if not Gk.any():  # no active row: the coefficients stand
+        Gk = np.eye(len(kept))
     if ridge:
         for a, j in enumerate(kept):
             if j != 0:
@@ -309,6 +316,7 @@ def _fit_loop(df, specs, label, family, weight_col, fold_col, tol, max_iter, fea
     kept_of: dict[str, list[int]] = {}
     out: dict[str, Fit] = {}
     active = set(specs)
+    last: dict[str, tuple] = {}
     it = 0
     while active and it < max_iter:
         it += 1
@@ -347,14 +355,12 @@ def _fit_loop(df, specs, label, family, weight_col, fold_col, tol, max_iter, fea
                 active.discard(k)
                 continue
             prev[k] = dev if state[k] is not None else None
+            last[k] = (G, dev, n, state[k] if state[k] is not None else np.full(p, np.nan))
             state[k] = _solve(G, b, kept, ridge)
-    for k in active:  # not converged: report the last coefficients
-        s = specs[k]
-        names = [INTERCEPT, *s.basis_names()]
-        kept = kept_of.get(k, list(range(len(names))))
-        p = len(names)
-        out[k] = Fit(family, names, state[k], np.eye(len(kept)), kept, float(prev[k] or float("nan")),
-                     float("nan"), it, False)
+    for k in active:  # not converged: the coefficients of the last pass, with its information and deviance
+        G, dev, n, beta = last[k]
+        kept = kept_of[k]
+        out[k] = Fit(family, [INTERCEPT, *specs[k].basis_names()], beta, G[np.ix_(kept, kept)], kept, dev, n, it, False)
     return out
 
 
@@ -442,13 +448,20 @@ def norm_sf2(z: float) -> float:
 def coefficient_table(spark, fit_: Fit, model: str = "model") -> DataFrame:
     """D10 + G15: estimate, std_error, z (or t), p (Wald), odds_ratio per kept term.
 
+    Errors, statistics and p-values are NULL where the fit did not converge or
+    fitted probabilities reached 0 or 1 (separated data): they mean nothing there.
+
     A p x p-sized result built on the driver from the fit (bounded by the
     number of coefficients, not by data).
     """
-    cov = fit_.cov()
+    sound = fit_.converged and not fit_.separated
+    cov = fit_.cov() if sound else None
     rows = []
     for a, i in enumerate(fit_.kept):
         est = float(fit_.beta[i])
+        if cov is None:
+            rows.append((model, fit_.names[i], est, None, None, None, math.exp(min(est, 700.0)) if fit_.family == "binomial" else None))
+            continue
         se = float(math.sqrt(cov[a, a])) if cov[a, a] > 0 else float("nan")
         z = est / se if se and se == se else float("nan")
         if fit_.family == "gaussian":

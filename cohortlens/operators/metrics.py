@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import safe_ratio
 from cohortlens.session import materialize
-from cohortlens.operators.ranking import cumulative, quantile_splits, range_bucket, small_or_lazy
+from cohortlens.operators.ranking import cumulative, join_summary, quantile_splits, range_bucket
 
 CELLS = ("tn", "fn", "fp", "tp")
 
@@ -164,12 +164,11 @@ def roc_curve(df: DataFrame, label: str = "final", score: str = "score",
     """
     df, g, extra = _grouped(df, group_cols)
     cum = _cumulative_scores(df, label, score, g, n_buckets)
-    # one row per group: broadcast when the group count is proven small (a
-    # shuffle on the constant key of an ungrouped call would put all unique
-    # scores into one task); many groups spread over a shuffle join instead
-    dirs, small = small_or_lazy(_directions(cum, g))
+    # one row per group: a shuffle on the constant key of an ungrouped call would
+    # put all unique scores into one task, so a small table is broadcast
+    dirs = materialize(_directions(cum, g))
     lt = F.col("direction") == "<"
-    inner = cum.join(F.broadcast(dirs) if small else dirs, g).select(
+    inner = join_summary(cum, dirs, g).select(
         *g, F.when(F.col("next_score").isNull(), F.lit(float("inf")))
              .otherwise((F.col("score") + F.col("next_score")) / 2).alias("threshold"),
         "direction", "n_pos", "n_neg",
@@ -197,10 +196,10 @@ def auc(df: DataFrame, label: str = "final", score: str = "score", group_cols: S
     """
     df, g, extra = _grouped(df, group_cols)
     cum = _cumulative_scores(df, label, score, g, n_buckets)
-    dirs, small = small_or_lazy(_directions(cum, g))
+    dirs = _directions(cum, g)
     u = cum.groupBy(*g).agg(F.sum(F.col("pos") * (F.col("neg_cum") - F.col("neg") * F.lit(0.5))).alias("u"))
-    lt = F.col("u") / (F.col("n_pos").cast("double") * F.col("n_neg").cast("double"))
-    return u.join(F.broadcast(dirs) if small else dirs, g).select(
+    lt = safe_ratio(F.col("u"), F.col("n_pos").cast("double") * F.col("n_neg").cast("double"))  # one class: NULL
+    return join_summary(u, dirs, g).select(
         *g, F.when(F.col("direction") == "<", lt).otherwise(F.lit(1.0) - lt).alias("auc"),
         "direction", "n_pos", "n_neg").drop(*extra)
 

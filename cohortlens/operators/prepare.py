@@ -16,8 +16,12 @@ from cohortlens.functions.columns import as_category, pass_label, tolerant_doubl
 
 
 def zero_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """NULL -> 0 on a column group (the weekly marks)."""
-    return df.fillna(0, subset=list(columns))
+    """NULL -> 0 on a column group (the weekly marks), text columns too.
+
+    The zero takes the column's own type, so it can run before the cast: an
+    absent mark becomes 0, text that is no number stays for the cast to reject.
+    """
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)) for c in columns})
 
 
 def to_double(df: DataFrame, columns: Iterable[str]) -> DataFrame:

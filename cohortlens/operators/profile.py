@@ -74,7 +74,8 @@ def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     aggregate rounds shared by all columns), so no task holds a whole column.
     """
     spark = df.sparkSession
-    base = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))  # noqa: E731  the selection skips NaN too
+    base = df.agg(*[F.count_if(known(c)).alias(f"n{i}") for i, c in enumerate(columns)],
                   *[F.count_if(F.col(c).isNull()).alias(f"z{i}") for i, c in enumerate(columns)],
                   *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     counts = {c: base[f"n{i}"] for i, c in enumerate(columns)}

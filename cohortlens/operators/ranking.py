@@ -24,6 +24,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.session import materialize
+
 _BKT = "_bkt"
 
 
@@ -66,26 +68,19 @@ def small_frame(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(table, schema=df.schema)
 
 
-SMALL_ROWS = 1_000_000
-
+#: A summary row holds a few numbers, so this many are some MB.
+BROADCAST_ROWS = 200_000
 
-def small_or_lazy(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
-    """``small_frame`` when the summary has at most ``max_rows`` rows (then it
-    may be broadcast), else the lazy frame itself (then it must be joined
-    by shuffle).  Used where the size depends on a caller's group count."""
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
-        return df, False
-    if table.num_rows == 0:
-        return df.sparkSession.createDataFrame([], df.schema), True
-    return df.sparkSession.createDataFrame(table, schema=df.schema), True
 
+def join_summary(big: DataFrame, summary: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a per-group summary of any size.
 
-def join_small(big: DataFrame, summary: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join a per-group summary: broadcast when its size proves small, else a
-    regular (shuffle) join -- never a broadcast of an unbounded side."""
-    side, small = small_or_lazy(summary)
-    return big.join(F.broadcast(side) if small else side, list(on), how)
+    The summary is checkpointed, so the plan of ``big`` occurs once.  Up to
+    ``BROADCAST_ROWS`` rows (counted) it is broadcast; beyond it the join
+    shares the shuffle with the window on the same keys.
+    """
+    side = materialize(summary)
+    return big.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, list(on), how)
 
 
 def cumulative(df: DataFrame, order_cols: Sequence[str], values: Sequence[str], bucket: str = _BKT,
@@ -98,8 +93,7 @@ def cumulative(df: DataFrame, order_cols: Sequence[str], values: Sequence[str],
     ``with_total``).  ``with_next`` names a column to receive the next row's
     first order column (NULL on the last row), used for ROC midpoints.
     The per-bucket offset table (#buckets x #partition groups rows) is
-    computed by one small job and broadcast when that size is proven small,
-    joined by shuffle otherwise.
+    computed by one small job and joined (``join_summary``).
     """
     pcols = list(partition_cols)
     per_bucket = df.groupBy(*pcols, bucket).agg(
@@ -113,7 +107,7 @@ def cumulative(df: DataFrame, order_cols: Sequence[str], values: Sequence[str],
         *([F.sum(f"{v}_bsum").over(Window.partitionBy(*pcols)).alias(f"{v}_tot") for v in values]
           if with_total else []),
         *([F.lead("_bmin").over(wb).alias("_next_bmin")] if with_next else []))
-    joined = join_small(df, offs, [*pcols, bucket])
+    joined = join_summary(df, offs, [*pcols, bucket])
     wi = Window.partitionBy(*pcols, bucket).orderBy(*order_cols)
     run = wi.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = joined.withColumns({f"{v}{suffix}": F.col(f"{v}_off") + F.sum(v).over(run) for v in values})
@@ -299,7 +293,7 @@ def quantiles_type7_many(df: DataFrame, probs_by_col: dict[str, Sequence[float]]
 def quantiles_type7(df: DataFrame, col: str, probs: Sequence[float], n: int | None = None) -> list[float]:
     """R's default quantile (type 7) = Spark ``percentile`` = DuckDB ``quantile_cont``, exactly."""
     if n is None:
-        n = df.where(F.col(col).isNotNull()).count()
+        n = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).count()
     need = set()
     plan = []
     for p in probs:

@@ -38,6 +38,8 @@ def downsample_majority(df: DataFrame, label: str = "final", id_col: str = "id",
                         seed=1, flag: str | None = None, within: str | None = None) -> DataFrame:
     """M2 + U2: keep every minority row and M majority rows, M = minority size.
 
+    ``minority=None`` takes the smaller class (the smaller label on a tie).
+
     The label must be binary (it is the rank's partition key, so the broadcast
     offset table holds at most two groups of buckets).  The union of the two
     classes is a single filter on the within-class rank.
@@ -51,13 +53,16 @@ def downsample_majority(df: DataFrame, label: str = "final", id_col: str = "id",
     # minority size M: a partial aggregate of the input (<= 4 groups), spread
     # to both classes with an un-ordered window over those rows
     sizes = keyed.groupBy("_in", label).agg(F.count(F.lit(1)).alias("_n"))
-    m = F.max(F.when(F.col(label) == F.lit(minority), F.col("_n"))).over(Window.partitionBy("_in"))
-    sizes = small_frame(sizes.select("_in", label, F.coalesce(m, F.lit(0)).alias("_m")))
+    group = Window.partitionBy("_in")
+    small = F.lit(minority) if minority is not None else F.min(F.struct("_n", label)).over(group)[label]
+    sizes = sizes.withColumn("_small", small)
+    m = F.max(F.when(F.col(label) == F.col("_small"), F.col("_n"))).over(group)
+    sizes = small_frame(sizes.select("_in", label, "_small", F.coalesce(m, F.lit(0)).alias("_m")))
     out = ranked.join(F.broadcast(sizes), ["_in", label])
-    keep = (F.col("_in") == 1) & ((F.col(label) == F.lit(minority)) | (F.col("_rank") <= F.col("_m")))
+    keep = (F.col("_in") == 1) & ((F.col(label) == F.col("_small")) | (F.col("_rank") <= F.col("_m")))
     if flag:
-        return out.withColumn(flag, keep.cast("int")).drop("_key", "_rank", "_m", "_in")
-    return out.where(keep).drop("_key", "_rank", "_m", "_in")
+        return out.withColumn(flag, keep.cast("int")).drop("_key", "_rank", "_m", "_in", "_small")
+    return out.where(keep).drop("_key", "_rank", "_m", "_in", "_small")
 
 
 def balanced_then_split(df: DataFrame, label: str = "final", id_col: str = "id", minority=0,

@@ -209,20 +209,34 @@ down AS (SELECT rk.* EXCLUDE (r) FROM rk, cnt WHERE rk.final = 0 OR rk.r <= cnt.
 """
 
 
-@register("downsample_balanced", PREPARED_SQL + _DOWN.format(src="prepared", seed=1) + "SELECT id, final FROM down")
+#: At this mark the fails (class 0) are a clear minority of the test tables' cohort.
+_LOW_MARK = 46.0
+_LOW_SQL = PREPARED_SQL.replace("final >= 50", "final >= 46")
+
+
+@register("downsample_balanced", _LOW_SQL + _DOWN.format(src="prepared", seed=1) + "SELECT id, final FROM down")
 def q_down(spark, sf_dir):
-    """M2 + U2: every fail row plus as many pass rows (md5 rank, seed 1)."""
-    return sm.downsample_majority(prepared(spark, sf_dir), "final", "id", 0, 1).select("id", "final")
+    """M2 + U2: every fail row plus as many pass rows (md5 rank, seed 1), pass mark 46."""
+    return sm.downsample_majority(prepared(spark, sf_dir, _LOW_MARK), "final", "id", 0, 1).select("id", "final")
+
+
+@register("downsample_smaller_class", PREPARED_SQL + """,
+cnt AS (SELECT final AS small, count(*) AS m FROM prepared GROUP BY final ORDER BY m, final LIMIT 1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY final ORDER BY md5(concat('1:', CAST(id AS VARCHAR)))) AS r FROM prepared)
+SELECT id, final FROM rk, cnt WHERE final = small OR r <= m""")
+def q_down_smaller(spark, sf_dir):
+    """M2 + U2: the smaller class, whichever it is, plus as many rows of the other."""
+    return sm.downsample_majority(prepared(spark, sf_dir), "final", "id", None, 1).select("id", "final")
 
 
-@register("balanced_then_split", PREPARED_SQL + _DOWN.format(src="prepared", seed=1) + """,
+@register("balanced_then_split", _LOW_SQL + _DOWN.format(src="prepared", seed=1) + """,
 r2 AS (SELECT id, final, row_number() OVER (ORDER BY md5(concat('2:', CAST(id AS VARCHAR)))) AS rk,
        count(*) OVER () AS n FROM down)
 SELECT id, final, CASE WHEN rk <= floor(0.8 * n) THEN 'train' ELSE 'test' END AS split FROM r2
 """)
 def q_bal_split(spark, sf_dir):
-    """M3: down-sample, then split (balanced test set)."""
-    return sm.balanced_then_split(prepared(spark, sf_dir), "final", "id", 0, 0.8, 1, 2).select("id", "final", "split")
+    """M3: down-sample, then split (balanced test set), pass mark 46."""
+    return sm.balanced_then_split(prepared(spark, sf_dir, _LOW_MARK), "final", "id", 0, 0.8, 1, 2).select("id", "final", "split")
 
 
 @register("split_then_balance", PREPARED_SQL + """,

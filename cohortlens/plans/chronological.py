@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.functions.columns import safe_ratio
 from cohortlens.operators import metrics as mt
 from cohortlens.operators import svm as sv
 from cohortlens.operators.features import Encoding, fit_encoding, one_hot
@@ -382,7 +383,7 @@ def per_time_point_rates(results: DataFrame) -> DataFrame:
     actual test size (not a hard-coded 378)."""
     n = F.col("tn") + F.col("fn") + F.col("fp") + F.col("tp")
     return results.select("scenario", "time_point", F.col("fn").alias("false_fails"), F.col("fp").alias("false_passes"),
-                          (F.col("fn") / n).alias("false_fail_rate"), (F.col("fp") / n).alias("false_pass_rate"))
+                          safe_ratio(F.col("fn"), n).alias("false_fail_rate"), safe_ratio(F.col("fp"), n).alias("false_pass_rate"))
 
 
 def pair_means(perf: DataFrame, pairs: Mapping[str, Sequence[str]], metrics: Sequence[str]) -> DataFrame:
