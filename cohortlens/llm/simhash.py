@@ -11,9 +11,9 @@ choice of ``blocks - r`` of them.  For each choice one table is keyed by these
 blocks, so near fingerprints meet in one of them and are then counted exactly.
 
 Defined cases: null text is empty; texts without words have the fingerprint 0;
-equal texts have equal fingerprints; rows that repeat a doc_id all stay, and
-their next document is the smallest text of the next doc_id; a null doc_id
-stands after the last; an empty table gives no rows; other columns are ignored.
+equal texts have equal fingerprints; rows that repeat a doc_id all stay, in the
+order of their texts' hashes, each next to the other; a null doc_id stands after
+the last; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,51 +79,83 @@ def fingerprints(texts: list[bytes], weight: np.ndarray, hasher: Hasher) -> np.n
     return out
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and as much of the next document (ascending doc_id, the
-    first after the last) as the edit takes.  Only ids and lengths are ranked;
-    texts meet in one join on doc_id."""
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    need = F.floor(F.char_length("text") / F.lit(4)).cast("bigint")
-    spark = docs.sparkSession
-    ids = own.groupBy("doc_id").agg(F.max(need).alias("need"))
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # ranges of ids: the next id is within the range or the first of the next one
-    ranged = stage(ids.filter("doc_id IS NOT NULL").repartitionByRange(parts, "doc_id").withColumn("range", F.spark_partition_id()), "simhash-ids")
-    firsts = ranged.groupBy("range").agg(F.min("doc_id").alias("low"))  # a row per range
-    after = firsts.withColumn("after", F.lead("low").over(Window.orderBy("range"))).withColumn("after", F.coalesce("after", F.min("low").over(Window.partitionBy())))
-    chain = (ranged.withColumn("next", F.lead("doc_id").over(Window.partitionBy("range").orderBy("doc_id")))
-             .join(F.broadcast(after), "range").select("doc_id", F.coalesce("next", "after").alias("next"), "need"))
-    lowest = firsts.agg(F.min("low")).first()[0]
-    chain = chain.unionByName(ids.filter("doc_id IS NULL").select("doc_id", F.lit(lowest).cast("bigint").alias("next"), "need"))
-    chain = stage(chain, "simhash-next")
-    wanted = chain.groupBy("next").agg(F.max("need").alias("most")).filter("next IS NOT NULL")
-    heads = (own.join(wanted, own["doc_id"] == wanted["next"]).groupBy("next")
-             .agg(F.min(F.substring("text", F.lit(1), F.col("most").cast("int"))).alias("head")))
-    heads = chain.join(heads, "next", "left").select(F.col("doc_id").alias("__id"), F.col("next"), "head")
-    return own.join(heads, own["doc_id"].eqNullSafe(heads["__id"]), "left").select("doc_id", "text", "next", F.coalesce("head", F.lit("")).alias("head"))
+def edit(text: str, following: str) -> str:
+    """``text`` with its last quarter replaced by as much of the next document's begin."""
+    k = len(text) // 4
+    return text[:len(text) - k] + following[:k] if k else text
+
+
+ROW = "doc_id bigint, n_chars bigint, edited_sha256 string, fp bigint, edited_fp bigint, next_fp bigint"
+
+
+def _signed_rows(ids: list, texts: list[str], following: list[str], weight: np.ndarray, hasher: Hasher) -> list[tuple]:
+    """ROW of each of consecutive texts, with the one that follows each."""
+    fp = fingerprints([t.encode() for t in texts], weight, hasher)
+    after = fingerprints([following[-1].encode()], weight, hasher)
+    edited = [edit(t, f).encode() for t, f in zip(texts, following)]
+    efp = fingerprints(edited, weight, hasher)
+    nxt = np.append(fp[1:], after).view(np.int64).tolist()
+    sha = [hashlib.sha256(e).hexdigest() for e in edited]
+    return list(zip(ids, map(len, texts), sha, fp.view(np.int64).tolist(), efp.view(np.int64).tolist(), nxt))
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, next, n_chars, edited_sha256, fp and edited_fp (64 bits as bigint)."""
-    counts, n = document_counts(docs)
-    weight = weights(counts, n)
+    """Per row: doc_id, n_chars, edited_sha256, fp, edited_fp and next_fp (64 bits each as bigint).
+
+    Texts are dealt once by ranges of (doc_id, hash), so the next row of almost
+    every row follows it in its partition; the first and the last rows of the
+    partitions, two for each, are paired afterwards.
+    """
+    spark = docs.sparkSession
+    weight = weights(*document_counts(docs))
+    sent = spark.sparkContext.broadcast(weight)
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.string()]
+    names = ["doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp", "part", "first", "text"]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        hasher, part, held = Hasher(), TaskContext.get().partitionId(), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            if held is None:
+                yield batch_of([(ids[0], None, None, None, None, None, part, True, texts[0])])
+            else:
+                ids.insert(0, held[0])
+                texts.insert(0, held[1])
+            held = ids[-1], texts[-1]
+            for a in range(0, len(ids) - 1, 1000):
+                b = min(a + 1000, len(ids) - 1)
+                rows = _signed_rows(ids[a:b], texts[a:b], texts[a + 1:b + 1], sent.value, hasher)
+                yield batch_of([(*r, None, None, None) for r in rows])
+        if held is not None:
+            yield batch_of([(held[0], None, None, None, None, None, part, False, held[1])])
+
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = ROW + ", part int, first boolean, text string"
+    found = stage(own.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(work, schema), "simhash-rows")
+    edges = found.filter("part IS NOT NULL")
+    ends = edges.filter("NOT first").select("part", "doc_id", "text")
+    begins = edges.filter("first").select(F.col("part").alias("p"), F.col("text").alias("head"))
+    # two rows for each partition that has rows, whatever the input
+    following = (begins.select("p").withColumn("before", F.coalesce(F.lag("p").over(Window.orderBy("p")), F.max("p").over(Window.partitionBy()))))
+    paired = ends.join(following, F.col("part") == F.col("before")).join(begins, "p").select("doc_id", "text", "head")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            texts, heads = batch.column(1).to_pylist(), batch.column(3).to_pylist()
-            edited = []
-            for t, head in zip(texts, heads):
-                k = len(t) // 4
-                edited.append((t[:len(t) - k] + head[:k]).encode() if k else t.encode())
-            sha = [hashlib.sha256(e).hexdigest() for e in edited]
-            a = fingerprints([t.encode() for t in texts], weight, hasher).view(np.int64)
-            b = fingerprints(edited, weight, hasher).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(t) for t in texts], pa.int64()), pa.array(sha, pa.string()), pa.array(a), pa.array(b)],
-                                             ["doc_id", "next", "n_chars", "edited_sha256", "fp", "edited_fp"])
+            for i, t, head in zip(*(c.to_pylist() for c in batch.columns)):
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(_signed_rows([i], [t], [head], sent.value, hasher)[0], types)], names[:6])
 
-    return with_next(docs).mapInArrow(work, "doc_id bigint, next bigint, n_chars bigint, edited_sha256 string, fp bigint, edited_fp bigint")
+    columns = [f.split()[0] for f in ROW.split(", ")]
+    return found.filter("part IS NULL").select(*columns).unionByName(paired.mapInArrow(close, ROW))
 
 
 def near_fingerprints(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
@@ -150,10 +182,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = near_fingerprints(signed)
     both = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp")))
     near = both.groupBy("fp").agg(F.count(F.lit(1)).alias("n_near"))
-    following = signed.groupBy("doc_id").agg(F.min("fp").alias("next_fp")).withColumnRenamed("doc_id", "next")
     like = lambda a, b: 1 - F.bit_count(F.col(a).bitwiseXOR(F.col(b))) / F.lit(float(BITS))
     name = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
-    return (signed.join(following, "next", "left").join(near, "fp", "left")
+    return (signed.join(near, "fp", "left")
             .select("doc_id", "n_chars", "edited_sha256", name("fp").alias("fingerprint"), name("edited_fp").alias("edited_fingerprint"),
                     like("fp", "edited_fp").alias("near_edited"), like("fp", "next_fp").alias("near_next"),
                     F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near")))

@@ -25,6 +25,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: later jobs, and retries after an executor is lost,
     read the files instead of running the earlier stages again.
     """
-    path = shared_path(df.sparkSession, name)
+    spark, schema = df.sparkSession, df.schema
+    path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # Spark deletes the shuffle files of finished jobs once the JVM has collected their handles.
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)

@@ -30,7 +30,7 @@ def test_edited_texts_and_fingerprints(spark):
         follow = order[(k + 1) % len(order)]
         n = len(t) // 4
         assert got[i].edited_sha256 == hashlib.sha256((t[:len(t) - n] + follow[1][:n]).encode()).hexdigest()
-        assert got[i].n_chars == len(t) and got[i].next == follow[0]
+        assert got[i].n_chars == len(t) and got[i].next_fp == got[follow[0]].fp
         assert fp.setdefault(t, got[i].fp) == got[i].fp
 
 
