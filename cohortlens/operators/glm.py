@@ -226,7 +226,7 @@ def _pass(df: DataFrame, features: list[str], label: str, batch: list[tuple], fa
     return {r["cand"]: r["s"].toArray() for r in red.collect()}
 
 
-def _kept_columns(G: np.ndarray, tol: float = 1e-9) -> list[int]:
+def _kept_columns(G: np.ndarray, tol: float = 1e-11) -> list[int]:
     """Columns not linearly dependent on earlier ones (formula order)."""
     keep: list[int] = []
     for j in range(G.shape[0]):
@@ -445,14 +445,11 @@ def norm_sf2(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
-def coefficient_table(spark, fit_: Fit, model: str = "model") -> DataFrame:
-    """D10 + G15: estimate, std_error, z (or t), p (Wald), odds_ratio per kept term.
+def coefficient_rows(fit_: Fit, model: str = "model") -> list[tuple]:
+    """Rows of ``coefficient_table``.
 
-    Errors, statistics and p-values are NULL where the fit did not converge or
+    Errors, statistics and p-values are None where the fit did not converge or
     fitted probabilities reached 0 or 1 (separated data): they mean nothing there.
-
-    A p x p-sized result built on the driver from the fit (bounded by the
-    number of coefficients, not by data).
     """
     sound = fit_.converged and not fit_.separated
     cov = fit_.cov() if sound else None
@@ -470,7 +467,16 @@ def coefficient_table(spark, fit_: Fit, model: str = "model") -> DataFrame:
             p = norm_sf2(z)
         rows.append((model, fit_.names[i], est, se, float(z), float(p),
                      math.exp(est) if fit_.family == "binomial" else None))
-    return spark.createDataFrame(rows, "model string, term string, estimate double, std_error double, "
+    return rows
+
+
+def coefficient_table(spark, fit_: Fit, model: str = "model") -> DataFrame:
+    """D10 + G15: estimate, std_error, z (or t), p (Wald), odds_ratio per kept term.
+
+    A p x p-sized result built on the driver from the fit (bounded by the
+    number of coefficients, not by data).
+    """
+    return spark.createDataFrame(coefficient_rows(fit_, model), "model string, term string, estimate double, std_error double, "
                                        "statistic double, p_value double, odds_ratio double")
 
 

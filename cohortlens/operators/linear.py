@@ -9,7 +9,6 @@ scans the data once per training set instead of once per candidate.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -147,11 +146,6 @@ def gram_many(df: DataFrame, features: Sequence[str], label: str,
     return out
 
 
-def adjusted_r2(g: Gram, cols: Sequence[str]) -> float:
-    """G9 (linear): summary(fit)$adj.r.squared."""
-    return g.solve(cols).extra["adj_r2"]
-
-
 def stepwise_gram(g: Gram, terms: dict[str, list[str]], start: Sequence[str]) -> tuple[list[str], Fit, list[tuple]]:
     """G8 for linear models: bidirectional stepAIC on the Gram matrix.
 
@@ -178,7 +172,3 @@ def stepwise_gram(g: Gram, terms: dict[str, list[str]], start: Sequence[str]) ->
         aic, action, t, current, fit = best[0], best[1], best[2], best[3], best[4]
         path.append((action, t, aic))
     return current, fit, path
-
-
-def ols_aic(fit: Fit) -> float:
-    return fit.n * math.log(fit.deviance / fit.n) + 2 * fit.rank

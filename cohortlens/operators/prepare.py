@@ -82,12 +82,6 @@ def lookup(df: DataFrame, key: str, values: Sequence) -> DataFrame:
     return df.where(F.col(key).isin(list(values)))
 
 
-def split_by_cutoff(df: DataFrame, measure: str, cutoff: float) -> tuple[DataFrame, DataFrame]:
-    """Rows above the diagnostic cut-off, and the rest."""
-    above = F.col(measure) > F.lit(float(cutoff))
-    return df.where(above), df.where(~above | F.col(measure).isNull())
-
-
 def rename(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     """P17."""
     return df.withColumnsRenamed(dict(mapping))

@@ -164,11 +164,6 @@ def pretty_bounds(lo: float, hi: float, n: int, min_n: int | None = None, shrink
     return int(ns), int(nu), unit, k
 
 
-def sturges_breaks(n: int, lo: float, hi: float) -> list[float]:
-    """``hist()`` default: ``pretty(range(x), nclass.Sturges(x), min.n = 1)``."""
-    return pretty(lo, hi, int(math.ceil(math.log2(n) + 1)), min_n=1)
-
-
 def density_histogram(df: DataFrame, col: str) -> DataFrame:
     """``hist(x, probability=TRUE)`` -- Sturges + pretty breaks,
     right-closed bins with the lowest included, density = count / (n * width).

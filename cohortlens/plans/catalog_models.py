@@ -303,7 +303,9 @@ def _student_design(spark, sf_dir, which: str = "standard"):
 
 def _build_design(spark, sf_dir, which):
     p = prepared(spark, sf_dir)
-    if which == "standard":
+    if which == "svm":  # every numeric column scaled before encoding; a constant one says nothing
+        p = fe.standardise(p, NUMERICS).fillna(0.0, subset=list(NUMERICS))
+    if which in ("standard", "svm"):
         d, scen = standard_scenarios(p)
     else:
         d, scen = year_pair_scenarios(p)
@@ -318,9 +320,8 @@ def q_screen(spark, sf_dir):
     fits = univariable_screen(des.df, des.terms, "final")
     rows = []
     for term, f in fits.items():
-        tab = glm.coefficient_table(spark, f, term).collect()
-        for r in tab[1:]:
-            rows.append((term, r["term"], r["estimate"], r["p_value"], r["p_value"] <= 0.05))
+        for r in glm.coefficient_rows(f, term)[1:]:
+            rows.append((term, r[1], r[2], r[5], None if r[5] is None else r[5] <= 0.05))
     return spark.createDataFrame(rows, "feature string, term string, estimate double, p_value double, "
                                        "significant boolean")
 
@@ -451,28 +452,22 @@ def q_rates(spark, sf_dir):
 
 @register("svm_tuning_grid")
 def q_tune(spark, sf_dir):
-    """5 costs x 11 gammas, 10-fold CV misclassification (full regime)."""
+    """5 costs x 11 gammas, 10-fold CV misclassification, all four regimes, scaled inputs."""
     def build():
-        des = _student_design(spark, sf_dir)
-        d2 = ch.Design(des.df, des.encoding, des.terms, "final", [s for s in des.scenarios if s.name == "full"])
-        return ch.tune_grid(d2, SETS[-1], SVM_COSTS, SVM_GAMMAS)
+        return ch.tune_grid(_student_design(spark, sf_dir, "svm"), SETS[-1], SVM_COSTS, SVM_GAMMAS)
     return _cached(spark, sf_dir, "svm_grid", build)
 
 
 @register("svm_chronological")
 def q_svm_chrono(spark, sf_dir):
-    """Chronological SVM with the fixed cell (gamma e^-4, cost 1), full regime."""
-    des = _student_design(spark, sf_dir)
-    d2 = ch.Design(des.df, des.encoding, des.terms, "final", [s for s in des.scenarios if s.name == "full"])
-    return ch.chronological_svm(d2, SETS, GAMMA, COST)
+    """Chronological SVM with the fixed cell (gamma e^-4, cost 1), all four regimes, scaled inputs."""
+    return ch.chronological_svm(_student_design(spark, sf_dir, "svm"), SETS, GAMMA, COST)
 
 
 @register("svm_class_weights")
 def q_svm_weights(spark, sf_dir):
-    """Class-weight sweep (pass 1..10, fail 10..1) at time point 7's features."""
-    des = _student_design(spark, sf_dir)
-    d2 = ch.Design(des.df, des.encoding, des.terms, "final", [s for s in des.scenarios if s.name == "full"])
-    return ch.class_weight_sweep(d2, SETS[6], GAMMA, COST, list(range(1, 11)), list(range(10, 0, -1)))
+    """Class-weight sweep (pass 1..10, fail 10..1) at time point 7's features, all four regimes, scaled inputs."""
+    return ch.class_weight_sweep(_student_design(spark, sf_dir, "svm"), SETS[6], GAMMA, COST, list(range(1, 11)), list(range(10, 0, -1)))
 
 
 @register("svm_threshold_table")
@@ -481,7 +476,7 @@ def q_svm_table(spark, sf_dir):
     Platt probabilities; best threshold from the training ROC; three-threshold
     table on the held-out rows."""
     from cohortlens.operators import svm as sv
-    des = _student_design(spark, sf_dir)
+    des = _student_design(spark, sf_dir, "svm")
     spec = sv.svm_spec(ch.expanded(des, SETS[6]), GAMMA, COST, include="full_train", class_weights=(7.0, 4.0))
     f = sv.fit_svms(des.df, {"m": spec}, "final")
     d = sv.with_decisions(des.df, {"m": spec}, f, {"m": "_dec"})

@@ -24,19 +24,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.functions.columns import safe_ratio
+from cohortlens.functions.columns import order_key, safe_ratio, sigmoid
 from cohortlens.operators import metrics as mt
 from cohortlens.operators import svm as sv
 from cohortlens.operators.features import Encoding, fit_encoding, one_hot
 from cohortlens.operators.glm import Spec, fit_many, score_many, score_oof
 from cohortlens.operators.linear import gram_many, stepwise_gram
 from cohortlens.operators.ranking import cumulative, hash_bucket
-
-_BKT_COL = "_fold_bkt"
 from cohortlens.operators.selection import Search, stepwise_many
-from cohortlens.functions.columns import order_key, sigmoid
 from cohortlens.session import materialize
 
+_BKT_COL = "_fold_bkt"
+
 
 @dataclass
 class Scenario:

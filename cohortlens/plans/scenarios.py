@@ -38,11 +38,11 @@ def standard_scenarios(df: DataFrame, label: str = "final", id_col: str = "id",
     d = d.withColumns({"full_train": _flag(F.col("_split") == "train"), "full_test": _flag(F.col("_split") == "test"),
                        "years_train": _flag(F.col("year").isin(list(train_years))),
                        "years_test": _flag(F.col("year") == test_year)})
-    d = materialize(downsample_majority(d, label, id_col, 0, 1, flag="_down"))
+    d = materialize(downsample_majority(d, label, id_col, None, 1, flag="_down"))
     d = split_train_test(d, id_col, 0.8, 2, out="_bsplit", within="_down")
     d = d.withColumns({"balanced_train": _flag(F.col("_bsplit") == "train"),
                        "balanced_test": _flag(F.col("_bsplit") == "test")})
-    d = downsample_majority(materialize(d), label, id_col, 0, 1, flag="balimbal_train", within="full_train")
+    d = downsample_majority(materialize(d), label, id_col, None, 1, flag="balimbal_train", within="full_train")
     d = d.withColumn("balimbal_test", F.col("full_test")).drop("_split", "_down", "_bsplit")
     scen = [Scenario(n, f"{n}_train", f"{n}_test") for n in names]
     return materialize(d), scen
