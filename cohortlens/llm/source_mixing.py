@@ -44,21 +44,23 @@ def word_count(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, _SPACES))).cast("bigint")
 
 
-def _identity(docs: DataFrame) -> list[Column]:
-    """(row hash, ordinal among equal rows): names a row, repeated ones too."""
-    h = F.xxhash64(F.lit(SEED), "doc_id", "source", F.length("text"), "text")
-    same = Window.partitionBy("__h", F.col("doc_id")).orderBy("__h")
-    return [h, F.row_number().over(same)]
+def _row_hash(doc_id: Column, source: Column, text: Column) -> Column:
+    return F.xxhash64(F.lit(SEED), doc_id, source, F.length(text), text)
+
+
+def _ordinal() -> Column:
+    """Number among rows of equal hash and id: with these it names a row, repeated ones too."""
+    return F.row_number().over(Window.partitionBy("__h", "doc_id").orderBy("__h"))
 
 
 def placed_documents(docs: DataFrame, rows_per_window: int = ROWS_PER_WINDOW) -> DataFrame:
     """doc_id, source, size, and the place of each document in its source's
     stream of words (``begin``).  A frequent source is split by hash over many
     windows; the sums of these come before each of them."""
-    h, ordinal = _identity(docs)
-    sized = stage(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-                  .select("doc_id", "source", word_count(F.col("text")).alias("size"), h.alias("__h"))
-                  .withColumn("__k", ordinal), "mix-sizes")
+    given = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")]
+    h = _row_hash(F.col("doc_id"), F.col("source"), F.col("text"))
+    sized = stage(docs.select(*given).select("doc_id", "source", word_count(F.col("text")).alias("size"), h.alias("__h"))
+                  .withColumn("__k", _ordinal()), "mix-sizes")
     parts = max(1, sized.count() // rows_per_window)
     dealt = sized.withColumn("__part", F.pmod("__h", F.lit(parts)))
     before = dealt.groupBy("source", "__part").agg(F.sum("size").alias("__n")).withColumn(
@@ -200,19 +202,20 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
         F.sum("length").alias("__taken"), F.sort_array(F.collect_list(F.struct("start", "length"))).alias("__spans"))
     chosen = (placed.filter("size > 0").join(own, F.col("source").eqNullSafe(F.col("__s")))
               .join(passes, ["src", "begin"]).select(F.col("__h").alias("__mh"), F.col("doc_id").alias("__md"), F.col("__k").alias("__mk"), "size", "__taken", "__spans"))
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").cast("bigint").alias("doc_id"),
-                        F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    h, ordinal = _identity(docs)
-    named = named.withColumn("__h", h).withColumn("__k", ordinal)
+    # columns travel under numbers, whatever their names, and the text once
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    whole = F.col(at["text"]).cast("string")
+    named = docs.toDF(*at.values()).withColumn("doc_id", F.col(at["doc_id"]).cast("bigint"))
+    named = named.withColumn("__h", _row_hash(F.col("doc_id"), F.col(at["source"]).cast("string"), whole)).withColumn("__k", _ordinal())
     hit = named.join(chosen, (F.col("__h") == F.col("__mh")) & F.col("doc_id").eqNullSafe(F.col("__md")) & (F.col("__k") == F.col("__mk")))
     # each word with the white space behind it; leading white space goes with the first
-    words = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), F.lit(1)).otherwise(F.lit(0))
+    words = F.split(whole, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    lead = F.when(whole.rlike(r"^[\x20\x09-\x0D]"), F.lit(1)).otherwise(F.lit(0))
     cut = F.rtrim(F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice("__words", (s["start"] + 1 + F.col("__lead")).cast("int"), s["length"].cast("int")))), ""))
-    text = F.when(F.col("__taken") == F.col("size"), F.col("text")).otherwise(cut)
+    text = F.when(F.col("__taken") == F.col("size"), whole).otherwise(cut)
     out = hit.withColumn("__words", words).withColumn("__lead", lead).withColumn("__text", text)
     new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("bigint")}
-    return out.select(*[new.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[new.get(c, F.col(at[c])).alias(c) for c in docs.columns])
 
 
 @register("op5_source_mixing")
