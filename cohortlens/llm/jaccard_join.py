@@ -15,10 +15,10 @@ c(n, m) = ceil(num * (n + m) / (num + den)) shingles.
   enumerating, by the sums of both costs over all sets of each size.
 
 Candidates then pass an exact bound (parity bitmaps differ in no more bits than
-the sets in shingles), and those left are counted exactly.  In a large group of
-near copies each member is first compared with few others of its lists (first
-and previous), and only lists whose members are not yet known to be connected
-are joined with themselves, so that groups do not emit all their pairs.
+the sets in shingles), and those left are counted exactly.  Before, each set is
+compared with few others that share one of its smallest hashes, and only lists
+whose members are not all connected by then are joined with themselves, and
+only between parts, so that large groups do not emit all their pairs.
 
 Defined cases: null, empty or blank text has no shingles and links with nothing
 (its own component); a text of fewer than ``k`` words is one shingle; rows with
@@ -43,7 +43,11 @@ from cohortlens.llm.tables import read, stage
 from cohortlens.llm.words import Hasher, chunks, mix, scan, shingles
 
 #: Counters of the rarity table: each shingle is as rare as its counter.
-RARITY_BITS = 17
+RARITY_BITS = 20
+#: The table is summed in parts of so many counters.
+SLICE_BITS = 12
+#: Smallest hashes of a set, by as many hash functions, that key the first comparisons.
+MINIMA = 4
 BITMAP_BITS = 1024
 #: Sets of at least this size are heavy whatever the cost.
 MOST_LIGHT = 40
@@ -78,17 +82,35 @@ def rarity(docs: DataFrame, k: int, bits: int = RARITY_BITS) -> np.ndarray:
     """How many sets hold a shingle of each counter, over all documents
     (2**bits numbers, whatever the size of the corpus)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, total = Hasher(), np.zeros(1 << bits, np.int64)
+        hasher, total = Hasher(), np.zeros(1 << bits, np.uint32)
         for batch in batches:
+            held: list[np.ndarray] = []
+            size = 0
             for _, h in _sets(batch, hasher, k):
-                np.add.at(total, (h >> np.uint64(64 - bits)).astype(np.int64), 1)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["counter", "n"])
+                held.append((h >> np.uint64(64 - bits)).astype(np.int64))
+                size += len(h)
+                if size > 1 << 20:
+                    total += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
+                    held, size = [], 0
+            if held:
+                total += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
+        if total.any():
+            parts = total.astype("<i8").reshape(-1, 1 << SLICE_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([x.tobytes() for x in parts], pa.binary())], ["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[i] = sums.get(i, 0) + np.frombuffer(x, "<i8")
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
 
-    out = np.zeros(1 << bits, np.int64)
-    rows = _narrow(docs).mapInArrow(count, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
-    out[rows["counter"].to_numpy()] = rows["n"].to_numpy()
-    return out
+    fields = "slice bigint, counts binary"
+    out = np.zeros((1 << bits >> SLICE_BITS, 1 << SLICE_BITS), np.int64)
+    for i, x in _narrow(docs).mapInArrow(count, fields).repartition("slice").mapInArrow(add, fields).collect():
+        out[i] = np.frombuffer(x, "<i8")
+    return out.reshape(-1)
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
@@ -99,8 +121,8 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray)
     table = spark.sparkContext.broadcast(np.minimum(counts, 2 ** 31 - 1).astype(np.int32))
     mean = float(counts.mean())
     bits = int(len(counts)).bit_length() - 1
-    schema = "doc_id bigint, n bigint, hi bigint, lo bigint, prefix array<bigint>, cost double, bitmap binary, small array<bigint>"
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.binary(), pa.list_(pa.int64())]
+    schema = "doc_id bigint, n bigint, hi bigint, lo bigint, prefix array<bigint>, cost double, bitmap binary, small array<bigint>, minima array<bigint>"
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     names = [f.split()[0] for f in schema.split(", ")]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,11 +140,12 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray)
                 signed = h.view(np.int64)
                 rows.append((doc_ids[i], n, int(np.bitwise_xor.reduce(mix(h)).view(np.int64)), int(np.sum(mix(h ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64)),
                              signed[first], float(np.maximum(1.0, held[first] - mean).sum()),
-                             np.packbits(parity.astype(np.uint8)).tobytes(), signed if n < MOST_LIGHT else None))
+                             np.packbits(parity.astype(np.uint8)).tobytes(), signed if n < MOST_LIGHT else None,
+                             [int(mix(h ^ np.uint64(0x2545F4914F6CDD1D * (j + 1) % 2 ** 64)).min().view(np.int64)) for j in range(MINIMA)]))
                 if len(rows) == 1000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
                     rows = []
-            rows += [(doc_ids[i], 0, 0, 0, None, 0.0, None, None) for i in np.flatnonzero(~seen)]
+            rows += [(doc_ids[i], 0, 0, 0, None, 0.0, None, None, None) for i in np.flatnonzero(~seen)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
@@ -147,24 +170,24 @@ def _entries(sets: DataFrame, limit: int, num: int, den: int) -> DataFrame:
     def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, n, s in zip(*(c.to_pylist() for c in batch.columns)):
+            for i, n, s, label in zip(*(c.to_pylist() for c in batch.columns)):
                 h = mix(np.array(s, np.int64).view(np.uint64))
                 whole = int(h.sum(dtype=np.uint64))
                 for c in range(_least_shared(n, num, den), n + 1):
                     for drop in itertools.combinations(h.tolist(), n - c):
-                        rows.append(((whole - sum(drop)) % 2 ** 64, c, i, n))
+                        rows.append(((whole - sum(drop)) % 2 ** 64, c, i, n, label))
             if rows:
-                key, c, i, n = zip(*rows)
+                key, c, i, n, label = zip(*rows)
                 token = mix(np.array(key, np.uint64) + np.array(c, np.uint64) * np.uint64(0xD1342543DE82EF95)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(c, pa.int32()), pa.array([-1] * len(c), pa.int32()), pa.array(i, pa.int64()), pa.array(n, pa.int64())],
-                                                 ["token", "c", "pos", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(c, pa.int32()), pa.array([-1] * len(c), pa.int32()), pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(label, pa.int64())],
+                                                 ["token", "c", "pos", "id", "n", "label"])
 
     # a set of n has a partner of another size only if n or n + 1 can miss a shingle
     able = F.col("n") * den >= (F.col("n") + 1) * num
     able = able | F.expr(f"n - ceil(n * {num} / {den}) >= 1")
-    light = sets.filter(F.col("n") < limit).filter(able).select("id", "n", "small").mapInArrow(subsets, "token bigint, c int, pos int, id bigint, n bigint")
+    light = sets.filter(F.col("n") < limit).filter(able).select("id", "n", "small", "label").mapInArrow(subsets, "token bigint, c int, pos int, id bigint, n bigint, label bigint")
     heavy = (sets.filter(F.col("n") >= _least_shared(limit, num, den)).filter(able)
-             .select(F.posexplode("prefix").alias("pos", "token"), "id", "n").select("token", F.lit(0).alias("c"), "pos", "id", "n"))
+             .select(F.posexplode("prefix").alias("pos", "token"), "id", "n", "label").select("token", F.lit(0).alias("c"), "pos", "id", "n", "label"))
     return light.unionByName(heavy)
 
 
@@ -223,44 +246,50 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
             .filter(shared * (num + den) >= num * (F.size("sa") + F.size("sb"))).select("a", "b").distinct())
 
 
-def links(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Enough links (a, b) between sets to connect all that are connected."""
+def _length_fits(a: str, b: str, num: int, den: int) -> Column:
+    return F.expr(f"least({a}.n, {b}.n) * {den} >= greatest({a}.n, {b}.n) * {num}")
+
+
+def first_links(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links of each set with the likeliest of the few that it meets in the
+    lists of its smallest hashes: they connect most of a large group."""
+    met = F.struct("id", "n")
+    lists = sets.select("id", "n", F.posexplode("minima").alias("j", "token")).withColumn("x", met)
+    by_token = Window.partitionBy("token", "j").orderBy("n", "id")
+    pairs = (lists.withColumn("first", F.first("x").over(by_token)).withColumn("last", F.lag("x").over(by_token))
+             .select("x", F.explode(F.array("first", "last")).alias("y")).filter("y IS NOT NULL AND x.id <> y.id").filter(_length_fits("x", "y", num, den))
+             .select(F.col("x.id").alias("b"), F.col("y.id").alias("a")).distinct())
+    near = _close(pairs, sets, num, den).groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
+    return _verified(stage(near.select("a", "b"), "join-near"), docs, k, num, den)
+
+
+def roots(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(id, root): the smallest id that each set is connected to, where smaller."""
+    found = components(first_links(docs, sets, k, num, den))
     costs = [tuple(r) for r in sets.filter(F.col("n") < MOST_LIGHT).groupBy("n").agg(F.count(F.lit(1)), F.sum("cost")).collect()]
     limit = boundary(costs, num, den)
-    entries = stage(_entries(sets, limit, num, den), "join-entries")
-    me = F.struct("id", "n", "pos", "c")
-    by_token = Window.partitionBy("token", "c").orderBy("n", "id")
-    met = (entries.withColumn("x", me).withColumn("first", F.first("x").over(by_token)).withColumn("last", F.lag("x").over(by_token))
-           .select("x", F.explode(F.array("first", "last")).alias("y")).filter("y IS NOT NULL AND x.id <> y.id")
-           .filter(_may_link("x", "y", limit, num, den))
-           .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
-    near = stage(_close(met, sets, num, den).groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"), "join-near")
-    first = stage(_verified(near, docs, k, num, den), "join-links")
-    # what the first links connect, two steps far
-    one = first.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("m"))
-    two = stage(one.join(one.select(F.col("id").alias("m"), F.col("m").alias("mm")), "m", "left").select("id", F.coalesce("mm", "m").alias("label")), "join-labels")
-    labelled = entries.join(two, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    labelled = sets.join(found.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
     whole = Window.partitionBy("token", "c")
-    mixed = (labelled.withColumn("low", F.min("label").over(whole)).withColumn("high", F.max("label").over(whole))
-             .filter("low < high").select("token", "c", "pos", "id", "n", "label"))
-    mixed = stage(mixed, "join-mixed")
+    mixed = (_entries(labelled, limit, num, den).withColumn("low", F.min("label").over(whole)).withColumn("high", F.max("label").over(whole)).filter("low < high"))
     x, y = mixed.alias("x"), mixed.alias("y")
     more = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") == F.col("y.c")) & F.expr("x.id < y.id AND x.label <> y.label")
                    & _may_link("x", "y", limit, num, den))
             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
     second = _verified(stage(_close(more, sets, num, den).select("a", "b"), "join-more"), docs, k, num, den)
-    return first.unionByName(second)
+    label = labelled.select("id", "label")
+    between = (second.join(label.select(F.col("id").alias("a"), F.col("label").alias("la")), "a")
+               .join(label.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    joined = components(between.distinct())
+    return label.join(joined.select(F.col("u").alias("label"), "v"), "label", "left").select("id", F.coalesce("v", "label").alias("root")).distinct()
 
 
 def classes(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     signed = stage(signatures(docs, k, num, den, rarity(docs, k)), "signatures")
     known = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    sets = stage(known.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n", "prefix", "cost", "bitmap", "small"), "doc_id").alias("x"))
+    sets = stage(known.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n", "prefix", "cost", "bitmap", "small", "minima"), "doc_id").alias("x"))
                  .select("hi", "lo", "id", "x.*"), "sets")
-    found = components(links(docs, sets, k, num, den))
-    root = sets.select("hi", "lo", "id").join(found.select(F.col("u").alias("id"), "v"), "id", "left").select("hi", "lo", F.coalesce("v", "id").alias("root"))
-    # rows of one doc_id with different sets are linked by their doc_id
+    root = sets.select("hi", "lo", "id").join(roots(docs, sets, k, num, den), "id").select("hi", "lo", "root")
     return (signed.select("doc_id", "n", "hi", "lo").join(root, ["hi", "lo"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(F.col("doc_id")).alias("component_id")))
@@ -273,7 +302,19 @@ def deduplicated(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> Da
     return docs.join(keep, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
 
 
-@register("op4_jaccard_join")
+@register("op4_jaccard_join", sql=r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(t) >= 3 THEN list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))
+                          WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END AS g FROM w),
+n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM s),
+e AS (SELECT doc_id, unnest(g) AS x FROM s),
+shared AS (SELECT x FROM e GROUP BY x HAVING count(*) > 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM (SELECT * FROM e SEMI JOIN shared USING (x)) a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 90 * (na.n + nb.n - c)),
+both_ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS id, a AS root FROM both_ways UNION SELECT r.id, both_ways.b FROM r JOIN both_ways ON both_ways.a = r.root)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(min(r.root), n.doc_id) AS component_id FROM n LEFT JOIN r ON r.id = n.doc_id GROUP BY n.doc_id, n.n""")
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingles have a Jaccard similarity of 0.9 or more."""
     return classes(read(spark, sf_dir, "documents"), k=3, num=9, den=10)
