@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortlens.session import ensure_checkpoint_dir
 
 
+#: With it Spark deletes the shuffle files of a job that has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,11 +27,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage: later jobs, and retries after an executor is lost,
-    read the files instead of running the earlier stages again.
+    read the files instead of running the earlier stages again, whose shuffle
+    files are then deleted.
     """
     spark, schema = df.sparkSession, df.schema
     path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    # Spark deletes the shuffle files of finished jobs once the JVM has collected their handles.
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(schema).parquet(path)
