@@ -121,8 +121,8 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray)
     table = spark.sparkContext.broadcast(np.minimum(counts, 2 ** 31 - 1).astype(np.int32))
     mean = float(counts.mean())
     bits = int(len(counts)).bit_length() - 1
-    schema = "doc_id bigint, n bigint, hi bigint, lo bigint, prefix array<bigint>, cost double, bitmap binary, small array<bigint>, minima array<bigint>"
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    schema = "doc_id bigint, n bigint, hi bigint, lo bigint, prefix array<bigint>, cost double, bitmap array<bigint>, small array<bigint>, minima array<bigint>"
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
     names = [f.split()[0] for f in schema.split(", ")]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +140,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray)
                 signed = h.view(np.int64)
                 rows.append((doc_ids[i], n, int(np.bitwise_xor.reduce(mix(h)).view(np.int64)), int(np.sum(mix(h ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64)),
                              signed[first], float(np.maximum(1.0, held[first] - mean).sum()),
-                             np.packbits(parity.astype(np.uint8)).tobytes(), signed if n < MOST_LIGHT else None,
+                             np.packbits(parity.astype(np.uint8)).view(np.int64), signed if n < MOST_LIGHT else None,
                              [int(mix(h ^ np.uint64(0x2545F4914F6CDD1D * (j + 1) % 2 ** 64)).min().view(np.int64)) for j in range(MINIMA)]))
                 if len(rows) == 1000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
@@ -199,25 +199,21 @@ def _may_link(a: str, b: str, limit: int, num: int, den: int) -> Column:
                   f"ELSE greatest({a}.n, {b}.n) >= {limit} AND least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {need} END")
 
 
+def _apart(a: str, b: str) -> str:
+    """SQL for the bits in which two bitmaps differ."""
+    return "(" + " + ".join(f"bit_count({a}.bitmap[{i}] ^ {b}.bitmap[{i}])" for i in range(BITMAP_BITS // 64)) + ")"
+
+
+def _bits_allow(a: str, b: str, num: int, den: int) -> Column:
+    """The parity bitmaps differ in no more bits than linked sets in shingles."""
+    return F.expr(f"{_apart(a, b)} <= {a}.n + {b}.n - 2 * ceil({num} * ({a}.n + {b}.n) / {num + den})")
+
+
 def _close(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs whose parity bitmaps allow a link, with the bits they differ in."""
     maps = sets.select("id", "n", "bitmap")
-    both = (pairs.join(maps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma")), "a")
-            .join(maps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb")), "b")
-            .select("a", "b", "na", "nb", "ma", "mb"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
-            ma, mb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, BITMAP_BITS // 64) for i in (4, 5))
-            apart = np.bitwise_count(ma ^ mb).sum(axis=1, dtype=np.int64)
-            need = -(-num * (na + nb) // (num + den))
-            keep = pa.array(apart <= na + nb - 2 * need)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart)], ["a", "b", "apart"]).filter(keep)
-
-    return both.mapInArrow(compare, "a bigint, b bigint, apart bigint")
+    both = pairs.join(maps.alias("x"), F.col("a") == F.col("x.id")).join(maps.alias("y"), F.col("b") == F.col("y.id"))
+    return both.filter(_bits_allow("x", "y", num, den)).select("a", "b", F.col("x.n").alias("na"), F.expr(_apart("x", "y")).alias("apart"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -251,16 +247,17 @@ def _length_fits(a: str, b: str, num: int, den: int) -> Column:
 
 
 def first_links(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links of each set with the likeliest of the few that it meets in the
-    lists of its smallest hashes: they connect most of a large group."""
+    """Links of each set with the likeliest and the smallest of the few that it meets
+    in the lists of its smallest hashes: they connect most of a large group."""
     met = F.struct("id", "n")
     lists = sets.select("id", "n", F.posexplode("minima").alias("j", "token")).withColumn("x", met)
     by_token = Window.partitionBy("token", "j").orderBy("n", "id")
     pairs = (lists.withColumn("first", F.first("x").over(by_token)).withColumn("last", F.lag("x").over(by_token))
              .select("x", F.explode(F.array("first", "last")).alias("y")).filter("y IS NOT NULL AND x.id <> y.id").filter(_length_fits("x", "y", num, den))
              .select(F.col("x.id").alias("b"), F.col("y.id").alias("a")).distinct())
-    near = _close(pairs, sets, num, den).groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
-    return _verified(stage(near.select("a", "b"), "join-near"), docs, k, num, den)
+    likeliest, smallest = F.min_by("a", F.struct("apart", "a")), F.min_by("a", F.struct("na", "a"))  # the smallest is many sets' hub
+    near = _close(pairs, sets, num, den).groupBy("b").agg(F.array_distinct(F.array(likeliest, smallest)).alias("near"))
+    return _verified(stage(near.select(F.explode("near").alias("a"), "b"), "join-near"), docs, k, num, den)
 
 
 def roots(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -270,12 +267,14 @@ def roots(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataF
     limit = boundary(costs, num, den)
     labelled = sets.join(found.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
     whole = Window.partitionBy("token", "c")
-    mixed = (_entries(labelled, limit, num, den).withColumn("low", F.min("label").over(whole)).withColumn("high", F.max("label").over(whole)).filter("low < high"))
+    mixed = (_entries(labelled, limit, num, den).withColumn("low", F.min("label").over(whole)).withColumn("high", F.max("label").over(whole)).filter("low < high").drop("low", "high"))
+    # the bitmaps join before the lists do, so that only close pairs leave that join
+    mixed = mixed.join(sets.select("id", "bitmap"), "id")
     x, y = mixed.alias("x"), mixed.alias("y")
     more = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") == F.col("y.c")) & F.expr("x.id < y.id AND x.label <> y.label")
-                   & _may_link("x", "y", limit, num, den))
+                   & _may_link("x", "y", limit, num, den) & _bits_allow("x", "y", num, den))
             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    second = _verified(stage(_close(more, sets, num, den).select("a", "b"), "join-more"), docs, k, num, den)
+    second = _verified(stage(more, "join-more"), docs, k, num, den)
     label = labelled.select("id", "label")
     between = (second.join(label.select(F.col("id").alias("a"), F.col("label").alias("la")), "a")
                .join(label.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
