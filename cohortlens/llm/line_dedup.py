@@ -14,13 +14,14 @@ similarity of ``num / den`` or more with it; the first of each kind stays.
 * Verification: the word sets of the pairs left are built again and counted.
 
 Sets are first compared with the first and the previous line among those that
-share one of their rarest words; only sets not yet found to be later matches
-look for matches in the whole lists, so a large group of similar lines does not
-emit all its pairs.
+share their least or greatest word hash, as similar sets mostly do; only sets not
+yet found to be later matches look for matches in the whole lists, and there the
+likeliest is verified before the rest, so a large group of similar lines does
+not emit all its pairs.
 
 Defined cases: lines without words stay; null text has no lines and stays null;
-rows that repeat both doc_id and text lose the same lines; a null doc_id orders
-first; an empty table gives no rows; other columns are kept.
+rows that repeat a doc_id and text lose the same lines, and lines of equal number
+in rows of one doc_id are compared as one place; a null doc_id orders first; an empty table gives no rows; other columns are kept.
 """
 
 from __future__ import annotations
@@ -39,46 +40,50 @@ RARITY_BITS = 17
 LEVELS = 4
 #: Ids up to this number are broadcast to pick their documents; beyond it they join by shuffle.
 BROADCAST_IDS = 500_000
-#: Of each set, so many of its rarest words serve the first comparisons.
-FIRST_WORDS = 3
+#: Numbers of 64 bits in the bitmap that verification compares first (a power of two).
+BITMAP_LONGS = 8
 
 
-def _spaced(text: Column, *more: str) -> Column:
-    """``text`` with other white space (and ``more``) as plain spaces."""
-    for c in ("\t", "\x0b", "\x0c", "\r", *more):
-        text = F.when(F.contains(text, F.lit(c)), F.replace(text, F.lit(c), F.lit(" "))).otherwise(text)
-    return text
+def _spaced(text: Column) -> Column:
+    """``text`` with other white space than line ends as plain spaces."""
+    return F.when(text.rlike("[\t\x0b\f\r]"), F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text)
 
 
-def rarity_levels(docs: DataFrame) -> bytes:
-    """The level (0..127) of each counter; their number is fixed."""
-    word = F.explode(F.split(_spaced(F.col("text").cast("string"), "\n"), " "))
-    counts = (docs.select(word.alias("w")).filter("w <> ''")
+def _words(line: Column) -> Column:
+    return F.split(line, " ")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc (null: least), row (hash of the text: tells rows of one doc_id apart), no, line (null: no text).
+
+    The outer form keeps Spark from testing the split for rows first, which
+    would split every text twice.
+    """
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-2 ** 63)).alias("doc"), F.xxhash64(text).alias("row"),
+                       _spaced(text).alias("text")).select("doc", "row", F.posexplode_outer(F.split("text", "\n")).alias("no", "line"))
+
+
+def rarity_levels(docs: DataFrame) -> list[int]:
+    """The level of each counter (2**RARITY_BITS numbers, whatever the input)."""
+    counts = (_lines(docs).select(F.explode_outer(_words(F.col("line"))).alias("w"))
               .groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - RARITY_BITS).alias("counter")).count().collect())
-    levels = bytearray(1 << RARITY_BITS)
+    levels = [0] * (1 << RARITY_BITS)
     for counter, n in counts:
         levels[counter] = min(127, int(LEVELS * math.log2(n)))
-    return bytes(levels)
-
+    return levels
 
-def _word_keys(line: Column, levels: bytes) -> Column:
-    """Sorted distinct words as numbers: rarity level, then 56 bits of hash."""
-    table = F.lit(levels)
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        at = F.shiftrightunsigned(h, 64 - RARITY_BITS).cast("int") + 1
-        level = F.ascii(F.substring(table, at, F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+def _hashes(line: Column) -> Column:
+    """Hashes of the distinct words."""
+    return F.array_distinct(F.array_remove(F.transform(_words(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
 
-    words = F.filter(F.split(_spaced(line), " "), lambda w: w != "")
-    return F.sort_array(F.array_distinct(F.transform(words, key)))
 
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc, row (hash of the text: tells rows of one doc_id apart), no, line."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.col("text").cast("string").alias("text")).select(
-        "doc", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+def _ranked(hashes: Column, levels: list[int]) -> Column:
+    """The words as sorted numbers: rarity level, then 56 bits of the hash."""
+    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")  # folded to one constant
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(table, F.shiftrightunsigned(h, 64 - RARITY_BITS)), 56)
+                                    .bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
 def _need(n: Column, m: Column) -> Column:
@@ -86,16 +91,18 @@ def _need(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * NUM / F.lit(float(NUM + DEN)))
 
 
-def line_sets(docs: DataFrame, levels: bytes) -> DataFrame:
-    """One row per different set: at (first occurrence: doc, no, row), n, prefix, sig."""
-    keyed = _lines(docs).withColumn("keys", _word_keys(F.col("line"), levels)).drop("line")
-    keyed = keyed.withColumn("n", F.size("keys")).filter("n > 0")
-    sig = F.aggregate("keys", F.lit(0).cast("bigint"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))))
+def line_sets(docs: DataFrame, levels: list[int]) -> DataFrame:
+    """One row per different set: its first occurrence (doc, no, row), n, sig, prefix,
+    and its least and greatest hash."""
+    hashed = _lines(docs).select("doc", "no", "row", F.coalesce(_hashes(F.col("line")), F.array().cast("array<bigint>")).alias("hashes"))
+    keyed = hashed.select("doc", "no", "row", F.size("hashes").alias("n"), F.array(F.array_min("hashes"), F.array_max("hashes")).alias("ends"), _ranked(F.col("hashes"), levels).alias("keys"))
+    one = F.lit(1).cast("bigint")
+    sig = F.aggregate("keys", F.lit(0).cast("bigint"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(63).cast("int"))))
     first = (F.col("n") - F.ceil(F.col("n") * NUM / F.lit(float(DEN))) + 1).cast("int")
-    signed = keyed.select(F.xxhash64("keys").alias("hi"), F.xxhash64(F.lit(1), F.reverse("keys")).alias("lo"),
-                          F.struct("doc", "no", "row", "n", sig.alias("sig"), F.when(F.col("n") > 3, F.slice("keys", F.lit(1), first)).alias("prefix")).alias("x"))
-    sets = signed.groupBy("hi", "lo").agg(F.min("x").alias("x"))
-    return sets.select(F.struct("x.doc", "x.no", "x.row").alias("at"), "x.n", "x.sig", "x.prefix")
+    signed = keyed.select(F.xxhash64("keys").alias("hi"), F.xxhash64(F.lit(1), "keys").alias("lo"),
+                          F.struct("doc", "no", "row", "n", sig.alias("sig"), F.when(F.col("n") > 3, F.slice("keys", F.lit(1), first)).alias("prefix"), "ends").alias("x"))
+    # lines without words are dropped as one group: a filter before would build all sets twice
+    return signed.groupBy("hi", "lo").agg(F.min("x").alias("x")).select("x.*").filter("n > 0")
 
 
 def _similar(a: str, b: str) -> Column:
@@ -111,54 +118,76 @@ def _similar(a: str, b: str) -> Column:
             & (F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig"))) <= na + nb - 2 * need))
 
 
+def _bitmap(hashes: str) -> Column:
+    """Parity of the words at each of 64 * BITMAP_LONGS bits."""
+    one = F.lit(1).cast("bigint")
+
+    def part(i: int) -> Column:
+        bit = lambda h: F.call_function("shiftleft", one, h.bitwiseAND(63).cast("int"))
+        own = lambda h: F.shiftright(h, 6).bitwiseAND(BITMAP_LONGS - 1) == i
+        return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, h: F.when(own(h), a.bitwiseXOR(bit(h))).otherwise(a))
+
+    return F.array(*[part(i) for i in range(BITMAP_LONGS)])
+
+
+def _marked(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_IDS else df
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The later line of each pair (staged) that is similar, counted exactly."""
-    ats = pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct()
-    ats = stage(ats.select("at", "at.doc", "at.no", "at.row"), "line-verify")
-    small = ats.count() <= BROADCAST_IDS
-    mark = lambda df: F.broadcast(df) if small else df
-    picked = docs.join(mark(ats.select(F.col("doc").alias("__doc")).distinct()), F.col("doc_id").cast("bigint").eqNullSafe(F.col("__doc")), "left_semi")
-    own = mark(ats.withColumnRenamed("doc", "d").withColumnRenamed("no", "o").withColumnRenamed("row", "r"))
-    lines = _lines(picked)
-    found = lines.join(own, F.col("doc").eqNullSafe(F.col("d")) & (F.col("no") == F.col("o")) & (F.col("row") == F.col("r")))
-    words = F.array_distinct(F.transform(F.filter(F.split(_spaced(F.col("line")), " "), lambda w: w != ""), lambda w: F.xxhash64(w)))
-    sets = stage(found.select("at", words.alias("s")).dropDuplicates(["at"]), "line-sets")
+    """doc, no of the later line of each pair (staged) that is similar, counted exactly."""
+    places = stage(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct().select("at.*"), "line-verify")
+    n = places.count()
+    docs_of = _marked(places.select(F.col("doc").alias("d")).distinct(), n)
+    picked = docs.join(docs_of, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-2 ** 63)) == F.col("d"), "left_semi")
+    found = _lines(picked).join(_marked(places, n), ["doc", "no"])
+    hashed = found.select(F.struct("doc", "no").alias("at"), _hashes(F.col("line")).alias("s"))
+    sets = stage(hashed.select("at", "s", F.size("s").alias("n"), _bitmap("s").alias("bits")), "line-sets")
+    # a longer parity bitmap first: only pairs that it allows carry their whole sets along
+    few = sets.select("at", "n", "bits")
+    apart = " + ".join(f"bit_count(x.bits[{i}] ^ y.bits[{i}])" for i in range(BITMAP_LONGS))
+    close = (pairs.select("a", "b").join(few.alias("x"), F.col("a") == F.col("x.at")).join(few.alias("y"), F.col("b") == F.col("y.at"))
+             .filter(F.expr(apart) <= F.col("x.n") + F.col("y.n") - 2 * _need(F.col("x.n"), F.col("y.n"))))
+    pairs = stage(close.select("a", "b"), "line-close")
     shared = F.size(F.array_intersect("sa", "sb"))
     return (pairs.join(sets.select(F.col("at").alias("a"), F.col("s").alias("sa")), "a")
             .join(sets.select(F.col("at").alias("b"), F.col("s").alias("sb")), "b")
-            .filter(shared * (NUM + DEN) >= NUM * (F.size("sa") + F.size("sb")))
-            .select(F.col("b").alias("at")).distinct())
+            .filter(shared * (NUM + DEN) >= NUM * (F.size("sa") + F.size("sb"))).select("b.*").distinct())
 
 
 def later_matches(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``at`` of every set that is similar to one that occurs earlier."""
+    """doc, no of the first occurrence of every set that is similar to an earlier one."""
     able = sets.filter("n > 3")
-    entry = F.struct("at", "n", "sig", "pos")
-    rare = able.select("at", "n", "sig", F.posexplode(F.slice("prefix", 1, FIRST_WORDS)).alias("pos", "token"))
-    earlier = Window.partitionBy("token").orderBy("at")
-    met = (rare.withColumn("y", entry).withColumn("first", F.first("y").over(earlier)).withColumn("last", F.lag("y").over(earlier))
-           .select("y", F.explode(F.array("first", "last")).alias("x")).filter("x IS NOT NULL AND x.at <> y.at").filter(_similar("x", "y")))
+    ends = able.select("doc", "no", "n", "sig", F.posexplode("ends").alias("end", "token")).withColumn("pos", F.lit(0)).withColumn("y", F.struct("doc", "no", "n", "sig", "pos"))
+    earlier = Window.partitionBy("token", "end").orderBy("doc", "no")
+    place = lambda x: F.struct(f"{x}.doc", f"{x}.no")
+    met = (ends.withColumn("first", F.first("y").over(earlier)).withColumn("last", F.lag("y").over(earlier))
+           .select("y", F.explode(F.array("first", "last")).alias("x")).filter("x IS NOT NULL").filter(place("x") < place("y")).filter(_similar("x", "y")))
     # of the lines that it met, each takes the likeliest
-    apart = F.bit_count(F.expr("x.sig ^ y.sig"))
-    best = met.groupBy(F.col("y.at").alias("b")).agg(F.min_by("x.at", F.struct(apart, "x.at")).alias("a"))
+    apart = F.bit_count(F.expr("x.sig ^ y.sig")).alias("apart")
+    likeliest = F.min_by("a", F.struct("apart", "a")).alias("a")
+    best = met.select(place("x").alias("a"), place("y").alias("b"), apart).groupBy("b").agg(likeliest)
     done = stage(_verified(stage(best.select("a", "b"), "line-near"), docs), "line-done")
-    open_ = able.join(done.withColumn("done", F.lit(1)), "at", "left")
-    entries = open_.select("at", "n", "sig", F.posexplode("prefix").alias("p", "token"), "done").select(
-        "token", F.when(F.col("done") == 1, -1 - F.col("p")).otherwise(F.col("p")).alias("pos"), "at", "n", "sig")
+    flagged = able.join(_marked(done.withColumn("done", F.lit(True)), done.count()), ["doc", "no"], "left")
+    entries = flagged.select("doc", "no", "n", "sig", "done", F.posexplode("prefix").alias("p", "token")).select(
+        "token", F.when(F.col("done"), -1 - F.col("p")).otherwise(F.col("p")).alias("pos"), "doc", "no", "n", "sig")
     x, y = entries.alias("x"), entries.alias("y")
     # only y.pos >= 0 are open; the condition spans both sides, which then share one exchange
     is_open = F.when(F.col("y.pos") >= 0, F.col("x.n")).otherwise(F.lit(0)) > 0
-    pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & is_open & (F.col("x.at") < F.col("y.at")) & _similar("x", "y"))
-             .select(F.col("x.at").alias("a"), F.col("y.at").alias("b")).distinct())
-    return done.unionByName(_verified(stage(pairs, "line-pairs"), docs))
+    pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & is_open & F.expr("x.doc < y.doc OR x.doc = y.doc AND x.no < y.no") & _similar("x", "y"))
+             .select(place("x").alias("a"), place("y").alias("b"), apart).distinct())
+    pairs = stage(pairs, "line-pairs")
+    more = stage(_verified(stage(pairs.groupBy("b").agg(likeliest).select("a", "b"), "line-likeliest"), docs), "line-more")
+    found = _marked(more.select(F.struct("doc", "no").alias("b")), more.count())
+    rest = stage(pairs.join(found, "b", "left_anti").select("a", "b"), "line-rest")
+    return done.unionByName(more).unionByName(_verified(rest, docs))
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """doc, row, kept: the line numbers (from 0) that stay, of lines with words."""
     sets = stage(line_sets(docs, rarity_levels(docs)), "line-firsts")
-    gone = later_matches(docs, sets)
-    firsts = sets.select("at").join(gone, "at", "left_anti")
-    return firsts.groupBy("at.doc", "at.row").agg(F.collect_list("at.no").alias("kept"))
+    firsts = sets.select("doc", "no", "row").join(later_matches(docs, sets), ["doc", "no"], "left_anti")
+    return firsts.groupBy("doc", "row").agg(F.collect_list("no").alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -167,19 +196,34 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     lines with words before and after."""
     kept = kept_lines(docs).select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), "kept")
     own = docs.withColumn("__t", F.col("text").cast("string")).withColumn("__r", F.xxhash64("__t"))
-    both = own.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__doc")) & (F.col("__r") == F.col("__row")), "left")
-    numbered = F.transform(F.split("__t", "\n"), lambda line, i: F.struct(line.alias("line"), i.alias("no"), (F.trim(_spaced(line)) == "").alias("blank")))
-    both = both.withColumn("__numbered", numbered).withColumn("__kept_no", F.coalesce("kept", F.array().cast("array<int>")))
-    stay = F.filter("__numbered", lambda x: x["blank"] | F.array_contains(F.col("__kept_no"), x["no"]))
-    text = F.array_join(F.transform(stay, lambda x: x["line"]), "\n")
-    lines = F.coalesce(F.size(F.filter("__numbered", lambda x: ~x["blank"])), F.lit(0)).cast("bigint")
-    out = both.withColumn("__text", F.when(F.size("__kept_no") == lines, F.col("__t")).otherwise(text))
+    both = own.join(kept, (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-2 ** 63)) == F.col("__doc")) & (F.col("__r") == F.col("__row")), "left")
+    both = both.withColumn("__lines", F.split("__t", "\n")).withColumn("__kept_no", F.coalesce("kept", F.array().cast("array<int>")))
+    both = both.withColumn("__blank", F.transform("__lines", lambda line: F.trim(_spaced(line)) == ""))
+    n = F.coalesce(F.size(F.filter("__blank", lambda b: ~b)), F.lit(0)).cast("bigint")
+    stay = F.filter("__lines", lambda line, i: F.get(F.col("__blank"), i) | F.array_contains(F.col("__kept_no"), i))
+    out = both.withColumn("__n", n).withColumn("__text", F.when(F.size("__kept_no") == F.col("__n"), F.col("__t")).otherwise(F.array_join(stay, "\n")))
     new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("bigint")}
     return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns],
-                      F.when(F.col("__t").isNull(), 0).otherwise(lines).cast("bigint").alias("__lines"), F.size("__kept_no").cast("bigint").alias("__kept"))
-
-
-@register("op1_line_dedup")
+                      F.col("__n").alias("__lines"), F.size("__kept_no").cast("bigint").alias("__kept"))
+
+
+@register("op1_line_dedup", sql=r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+t AS (SELECT doc_id, no, line, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS s FROM l),
+f AS (SELECT s, len(s) AS n, min((doc_id, no)) AS place FROM t WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT place, n, unnest(s) AS x FROM f),
+d AS (SELECT x, count(*) AS df FROM e GROUP BY x),
+k AS (SELECT place, n, x, row_number() OVER (PARTITION BY place ORDER BY df, x) AS pos FROM e JOIN d USING (x)),
+pre AS (SELECT * FROM k WHERE pos <= n - ceil(n * 8 / 10) + 1),
+c AS (SELECT DISTINCT a.place AS a, b.place AS b FROM pre a JOIN pre b ON a.x = b.x AND a.place < b.place AND least(a.n, b.n) * 10 >= greatest(a.n, b.n) * 8),
+gone AS (SELECT DISTINCT c.b AS place FROM c JOIN f fa ON fa.place = c.a JOIN f fb ON fb.place = c.b
+         WHERE len(list_intersect(fa.s, fb.s)) * 18 >= 8 * (fa.n + fb.n)),
+kept AS (SELECT t.doc_id, t.no, t.line, len(t.s) AS n FROM t LEFT JOIN f ON f.s = t.s LEFT JOIN gone ON gone.place = f.place
+         WHERE len(t.s) = 0 OR (f.place = (t.doc_id, t.no) AND gone.place IS NULL)),
+lines AS (SELECT doc_id, count(*) FILTER (WHERE len(s) > 0) AS n FROM t GROUP BY doc_id),
+texts AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY no) AS text, count(*) FILTER (WHERE n > 0) AS n FROM kept GROUP BY doc_id)
+SELECT documents.doc_id, CASE WHEN documents.text IS NULL THEN NULL ELSE coalesce(texts.text, '') END AS text, coalesce(lines.n, 0) AS n_lines, coalesce(texts.n, 0) AS n_kept
+FROM documents LEFT JOIN lines USING (doc_id) LEFT JOIN texts USING (doc_id)""")
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without lines that are similar (0.8) to an earlier line."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
