@@ -1,8 +1,10 @@
 """Toxicity: lexicon hits, misspelled ones too, weighed by their context.
 
 The lexicon is learned from labelled documents: words, and stems that many
-words begin with, that toxic documents hold and others don't.  A word hits an
-entry within the edits that the entry allows (``automaton``); words of documents
+words begin with, that toxic documents hold and others don't.  Equal texts are
+learned from once, and an entry needs a number of toxic texts, not a share of
+them: neither copies nor more labels push out the terms of a rare language.  A
+word hits an entry within the edits that the entry allows (``automaton``); words of documents
 labelled as not toxic are never taken for misspellings.  A hit counts less when
 its context window quotes it, more when it addresses someone, and a logistic
 model of the document's summed hits gives the score.
@@ -34,14 +36,12 @@ from cohortlens.llm.words import chunks
 
 #: Most labelled documents that the lexicon and the model learn from.
 TRAINING_ROWS = 20_000
-#: Most entries of the lexicon, and most candidates for it that reach the driver.
-LEXICON, CANDIDATES = 400, 20_000
+#: Most candidates for the lexicon that reach the driver.
+CANDIDATES = 20_000
 STEMS = range(4, 9)
 #: Least toxic documents with an entry, least share of toxic ones among its
 #: documents, and least log-likelihood ratio against the share among all.
 SUPPORT, PRECISION, EVIDENCE = 4, 0.9, 16.0
-#: Least share of the toxic documents with an entry.
-COVERAGE = 0.02
 #: Words of at least this length and this share of the toxic documents allow one edit.
 EDIT_LENGTH, EDIT_COVERAGE = 5, 0.05
 FUZZY, QUOTED, DIRECTED, WINDOW = 0.85, 0.3, 1.2, 5
@@ -92,7 +92,7 @@ def lexicon(rows: DataFrame) -> list[Entry]:
     prior = min(max(y / max(n, 1), 1e-6), 1 - 1e-6)
     share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     ratio = F.col("toxic") * F.log(share / prior) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / (1 - prior))).otherwise(0.0)
-    good = counts.filter((F.col("toxic") >= max(SUPPORT, COVERAGE * y)) & (share >= PRECISION)).filter(ratio >= EVIDENCE)
+    good = counts.filter((F.col("toxic") >= SUPPORT) & (share >= PRECISION)).filter(ratio >= EVIDENCE)
     found = {r["term"]: (r["toxic"], r["clean"]) for r in good.orderBy(F.desc("toxic"), "term").limit(CANDIDATES).collect()}
     # along a word's stems, the longest one that keeps most documents of the shortest
     chosen: dict[str, int] = {}
@@ -106,7 +106,7 @@ def lexicon(rows: DataFrame) -> list[Entry]:
         for b in before:
             del chosen[b]
         chosen[term] = toxic
-    best = sorted(chosen, key=lambda t: (-chosen[t], t))[:LEXICON]
+    best = sorted(chosen, key=lambda t: (-chosen[t], t))
     weight = lambda t: math.log((found[t][0] + 0.5) / (found[t][1] + 0.5))
     may = lambda t: t.endswith("$") and len(t) > EDIT_LENGTH and chosen[t] >= EDIT_COVERAGE * y
     return [Entry(t.rstrip("$"), t.endswith("$"), int(may(t)), weight(t)) for t in best]
@@ -170,8 +170,13 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 30) ->
     return w
 
 
+def _different(rows: DataFrame) -> DataFrame:
+    """Each text once; toxic if any of its rows is."""
+    return rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")).select("doc_id", "text", "label")
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Model:
-    rows = stage(training_rows(docs, labels, "toxic", most), "toxic-training")
+    rows = stage(_different(training_rows(docs, labels, "toxic", most)), "toxic-training")
     entries = lexicon(rows)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

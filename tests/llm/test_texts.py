@@ -158,6 +158,19 @@ def test_toxicity_learns_words_misspellings_and_quotation(spark):
     assert toxicity.scored(frame(spark, []), model).collect() == []
 
 
+def test_toxicity_copies_do_not_push_out_a_rare_vocabulary(spark):
+    rows = toxic_corpus()
+    rng = random.Random(5)
+    rare = [(1000 + i, " ".join(rng.choice(["heute", "morgen", "gestern", "immer", "wieder"]) + str(rng.randrange(90)) for _ in range(20)) + " schnöselkopf", "t") for i in range(25)]
+    copies = [(5000 + i, rows[0][1], "s") for i in range(2500)]
+    docs = frame(spark, rows + rare + copies)
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0 or i >= 1000)) for i, _, _ in rows + rare + copies], "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert any("schnöselkopf".startswith(e.text) for e in model.entries)
+    got = toxicity.scored(frame(spark, rows + rare), model).collect()
+    assert {r.doc_id for r in got if r["__toxic"]} == {i for i, _, _ in rows + rare if i % 5 == 0 or i >= 1000}
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     model = toxicity.fit(frame(spark, edge_rows()), none)
