@@ -2,9 +2,10 @@
 
 Each lexicon entry allows a number of edits (insertion, deletion, substitution
 of a character).  The automata of all entries run together over the trie: a
-state is a set of (trie node, edits so far).  States are made when a word first
-needs them, and kept in a transition table, so arrays of words run through it
-position by position.
+state is a set of (trie node, edits so far) and the best hit of a stem so far,
+which ends the search when no item can do with fewer edits.  States are made when
+a word first needs them, and kept in a transition table, so arrays of words run
+through it position by position.
 """
 
 from __future__ import annotations
@@ -52,20 +53,23 @@ class LexiconAutomaton:
         self.ids: dict[object, int] = {}
         self.states: list[object] = []
         self.table = np.full((1024, len(self.symbols)), _UNKNOWN, np.int32)
-        self._state(frozenset())
+        self._state((frozenset(), None))
         self.start = self._state(self._with_deletions({(0, 0)}))
 
-    def _with_deletions(self, items: set[tuple[int, int]]) -> object:
-        """The items with entry characters left out, or the hit that ends the search."""
+    def _with_deletions(self, items: set[tuple[int, int]], best: tuple[int, int] | None = None) -> object:
+        """The items with entry characters left out and the best hit so far, or the hit that ends the search."""
+        least: dict[int, int] = {}
         todo = list(items)
         while todo:
             node, e = todo.pop()
-            for nxt in self.child[node].values():
-                if e + 1 <= self.most[nxt] and (nxt, e + 1) not in items:
-                    items.add((nxt, e + 1))
-                    todo.append((nxt, e + 1))
-        hits = [(e, i) for node, e in items for i in self.ends[node] if not self.entries[i].whole and e <= self.entries[i].edits]
-        return ("hit", *min(hits)) if hits else frozenset(items)
+            if e >= least.get(node, e + 1):
+                continue
+            least[node] = e
+            todo.extend((nxt, e + 1) for nxt in self.child[node].values() if e + 1 <= self.most[nxt])
+        hits = [(e, i) for node, e in least.items() for i in self.ends[node] if not self.entries[i].whole and e <= self.entries[i].edits]
+        best = min([*hits, *([best] if best else [])], default=None)
+        left = frozenset((node, e) for node, e in least.items() if not best or e < best[0])
+        return (left, best) if left else ("hit", *best) if best else (frozenset(), None)
 
     def _state(self, key: object) -> int:
         if key not in self.ids:
@@ -76,11 +80,11 @@ class LexiconAutomaton:
         return self.ids[key]
 
     def _step(self, state: int, symbol: int) -> int:
-        items = self.states[state]
-        if isinstance(items, tuple):
+        items, best = self.states[state][:2]
+        if items == "hit":
             return state  # a hit stays
         if symbol == 0:
-            hits = [(e, i) for node, e in items for i in self.ends[node] if e <= self.entries[i].edits]
+            hits = [(e, i) for node, e in items for i in self.ends[node] if e <= self.entries[i].edits] + ([best] if best else [])
             return self._state(("hit", *min(hits))) if hits else _DEAD
         c, out = self.symbols[symbol], set()
         for node, e in items:
@@ -90,7 +94,7 @@ class LexiconAutomaton:
                     out.add((nxt, cost))
             if e + 1 <= self.most[node]:
                 out.add((node, e + 1))  # an extra character
-        return self._state(self._with_deletions(out)) if out else _DEAD
+        return self._state(self._with_deletions(out, best)) if out else self._state(("hit", *best)) if best else _DEAD
 
     def match(self, words: list[str]) -> list[tuple[int, int] | None]:
         """(edits, entry) of the best entry of each word, or None."""
@@ -117,4 +121,4 @@ class LexiconAutomaton:
             if not live.size:
                 break
         hits = {s: self.states[s] for s in np.unique(state).tolist()}
-        return [h[1:] if isinstance(h := hits[s], tuple) else None for s in state.tolist()]
+        return [h[1:] if (h := hits[s])[0] == "hit" else None for s in state.tolist()]

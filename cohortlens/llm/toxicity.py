@@ -4,8 +4,8 @@ The lexicon is learned from labelled documents: words, and stems that many
 words begin with, that toxic documents hold and others don't.  Equal texts are
 learned from once, and an entry needs a number of toxic texts, not a share of
 them: neither copies nor more labels push out the terms of a rare language.  A
-word hits an entry within the edits that the entry allows (``automaton``); words of documents
-labelled as not toxic are never taken for misspellings.  A hit counts less when
+word hits an entry within the edits that its length allows (``automaton``); words of documents
+labelled as not toxic, and beginnings of them near a stem, are never taken for misspellings.  A hit counts less when
 its context window quotes it, more when it addresses someone, and a logistic
 model of the document's summed hits gives the score.
 
@@ -42,8 +42,8 @@ STEMS = range(4, 9)
 #: Least toxic documents with an entry, least share of toxic ones among its
 #: documents, and least log-likelihood ratio against the share among all.
 SUPPORT, PRECISION, EVIDENCE = 4, 0.9, 16.0
-#: Words of at least this length and this share of the toxic documents allow one edit.
-EDIT_LENGTH, EDIT_COVERAGE = 5, 0.05
+#: Entries of at least this length, words and stems, allow one edit.
+EDIT_LENGTH = 5
 FUZZY, QUOTED, DIRECTED, WINDOW = 0.85, 0.3, 1.2, 5
 THRESHOLD = 0.5
 #: Word forms that one task remembers; beyond it the memory starts anew.
@@ -63,10 +63,16 @@ def _bare(word: str) -> str:
 
 class Model(NamedTuple):
     entries: list[Entry]
-    spared: frozenset[str]  # words near an entry that clean documents use
+    spared: frozenset[str]  # misspellings (``_misspelled``) that clean documents use
     weights: np.ndarray
 
 
+def _misspelled(word: str, entry: Entry) -> str:
+    """What tells a word from the entry that it hits with an edit: the word and
+    ``$``, or for a stem the beginning that any words near it share."""
+    return word + "$" if entry.whole else word[:len(entry.text) - 1]
+
+
 def _terms(texts: list[str]) -> Iterator[set[str]]:
     """Words (ending in ``$``) and stems of each text, each once."""
     for t in texts:
@@ -108,8 +114,7 @@ def lexicon(rows: DataFrame) -> list[Entry]:
         chosen[term] = toxic
     best = sorted(chosen, key=lambda t: (-chosen[t], t))
     weight = lambda t: math.log((found[t][0] + 0.5) / (found[t][1] + 0.5))
-    may = lambda t: t.endswith("$") and len(t) > EDIT_LENGTH and chosen[t] >= EDIT_COVERAGE * y
-    return [Entry(t.rstrip("$"), t.endswith("$"), int(may(t)), weight(t)) for t in best]
+    return [Entry(t.rstrip("$"), t.endswith("$"), int(len(t.rstrip("$")) >= EDIT_LENGTH), weight(t)) for t in best]
 
 
 class Matcher:
@@ -128,7 +133,7 @@ class Matcher:
         new = list(set().union(*lists) - self.seen)
         bare = [_bare(w) if not w.isalnum() else w for w in new]
         for form, word, hit in zip(new, bare, self.automaton.match(bare)):
-            if hit and not (hit[0] and word in self.spared):
+            if hit and not (hit[0] and _misspelled(word, self.entries[hit[1]]) in self.spared):
                 self.hits[form] = hit
         self.seen.update(new)
         return lists
@@ -185,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Model:
             texts = [t for t, y in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()) if not y]
             used: set[str] = set()
             for _, part in chunks(texts):
-                used.update(_bare(w) for ws in matcher.words(part) for w in matcher.hits.keys() & set(ws) if matcher.hits[w][0])
+                used.update(_misspelled(_bare(w), entries[matcher.hits[w][1]]) for ws in matcher.words(part) for w in matcher.hits.keys() & set(ws) if matcher.hits[w][0])
             yield pa.RecordBatch.from_arrays([pa.array(sorted(used), pa.string())], ["word"])
 
     spared = frozenset(r[0] for r in rows.mapInArrow(near, "word string").distinct().collect())  # of at most `most` documents

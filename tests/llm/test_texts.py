@@ -126,6 +126,15 @@ def test_automaton_matches_edit_distance():
     assert LexiconAutomaton([]).match(["a"]) == [None]
 
 
+def test_automaton_gives_the_least_edits_of_stems():
+    rng = random.Random(3)
+    entries = [Entry("".join(rng.choice("abé") for _ in range(rng.randint(3, 6))), rng.random() < 0.4, rng.randint(0, 2), 1.0) for _ in range(14)]
+    words = ["".join(rng.choice("abéd") for _ in range(rng.randint(0, 10))) for _ in range(2500)]
+    for word, hit in zip(words, LexiconAutomaton(entries).match(words)):
+        costs = [levenshtein(word, e.text) if e.whole else min(levenshtein(word[:k], e.text) for k in range(len(word) + 1)) for e in entries]
+        assert (hit and hit[0]) == min((c for c, e in zip(costs, entries) if c <= e.edits), default=None)
+
+
 def toxic_corpus(n=600, seed=1):
     rng = random.Random(seed)
     clean = ["".join(rng.choice("aeioulmnst") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
@@ -171,6 +180,19 @@ def test_toxicity_copies_do_not_push_out_a_rare_vocabulary(spark):
     assert {r.doc_id for r in got if r["__toxic"]} == {i for i, _, _ in rows + rare if i % 5 == 0 or i >= 1000}
 
 
+def test_toxicity_finds_misspellings_of_even_lexicons_and_stems(spark):
+    rng = random.Random(8)
+    bad = ["".join(rng.choice("bdgkprtvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(40)]
+    rows = [(i, t.replace("grumblewort", "lima").replace("snarkface", "tolu").replace("vexlump", "sila"), s) for i, t, s in toxic_corpus(4000)]
+    rows = [(i, t if i % 5 else f"{t} {bad[i // 5 % 40]}{rng.choice(['', 'x', 'ung', 'er'])} " + rng.choice(["mani", "nato"]), s) for i, t, s in rows]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i, _, _ in rows], "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit(frame(spark, rows), labels)
+    assert any(not e.whole for e in model.entries) and all(e.edits for e in model.entries if len(e.text) >= 5)
+    tests = [(k, f"lima {b[:2]}q{b[3:]} tolu sila", "s") for k, b in enumerate(bad)] + [(1000, "lima tolu sila", "s")]
+    score = {r.doc_id: r["__score"] for r in toxicity.scored(frame(spark, tests), model).collect()}
+    assert all(score[k] > score[1000] for k in range(40))
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     model = toxicity.fit(frame(spark, edge_rows()), none)
