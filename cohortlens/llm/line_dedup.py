@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join, with DataFrame operations only.
 
 A line is the set of its words (runs outside ``[\\x20\\x09-\\x0D]``).  A line goes
-when an earlier line, in the order of doc_id and line number, has a Jaccard
+when an earlier line, in the order of doc_id, hash of the text and line number, has a Jaccard
 similarity of ``num / den`` or more with it; the first of each kind stays.
 
 * Rarity: every word counts in one of 2**RARITY_BITS counters over all
@@ -20,8 +20,9 @@ likeliest is verified before the rest, so a large group of similar lines does
 not emit all its pairs.
 
 Defined cases: lines without words stay; null text has no lines and stays null;
-rows that repeat a doc_id and text lose the same lines, and lines of equal number
-in rows of one doc_id are compared as one place; a null doc_id orders first; an empty table gives no rows; other columns are kept.
+rows that repeat a doc_id and text are one place and lose the same lines; different
+texts of one doc_id, or of null, are places of their own, in the order of their hashes;
+a null doc_id orders first; an empty table gives no rows; other columns are kept.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ LEVELS = 4
 BROADCAST_IDS = 500_000
 #: Numbers of 64 bits in the bitmap that verification compares first (a power of two).
 BITMAP_LONGS = 8
+#: What tells a line from all others, in the order of lines: document, hash of its text, line number.
+PLACE = ["doc", "row", "no"]
 
 
 def _spaced(text: Column) -> Column:
@@ -92,7 +95,7 @@ def _need(n: Column, m: Column) -> Column:
 
 
 def line_sets(docs: DataFrame, levels: list[int]) -> DataFrame:
-    """One row per different set: its first occurrence (doc, no, row), n, sig, prefix,
+    """One row per different set: its first occurrence (doc, row, no), n, sig, prefix,
     and its least and greatest hash."""
     hashed = _lines(docs).select("doc", "no", "row", F.coalesce(_hashes(F.col("line")), F.array().cast("array<bigint>")).alias("hashes"))
     keyed = hashed.select("doc", "no", "row", F.size("hashes").alias("n"), F.array(F.array_min("hashes"), F.array_max("hashes")).alias("ends"), _ranked(F.col("hashes"), levels).alias("keys"))
@@ -100,7 +103,7 @@ def line_sets(docs: DataFrame, levels: list[int]) -> DataFrame:
     sig = F.aggregate("keys", F.lit(0).cast("bigint"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(63).cast("int"))))
     first = (F.col("n") - F.ceil(F.col("n") * NUM / F.lit(float(DEN))) + 1).cast("int")
     signed = keyed.select(F.xxhash64("keys").alias("hi"), F.xxhash64(F.lit(1), "keys").alias("lo"),
-                          F.struct("doc", "no", "row", "n", sig.alias("sig"), F.when(F.col("n") > 3, F.slice("keys", F.lit(1), first)).alias("prefix"), "ends").alias("x"))
+                          F.struct("doc", "row", "no", "n", sig.alias("sig"), F.when(F.col("n") > 3, F.slice("keys", F.lit(1), first)).alias("prefix"), "ends").alias("x"))
     # lines without words are dropped as one group: a filter before would build all sets twice
     return signed.groupBy("hi", "lo").agg(F.min("x").alias("x")).select("x.*").filter("n > 0")
 
@@ -135,14 +138,17 @@ def _marked(df: DataFrame, n: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc, no of the later line of each pair (staged) that is similar, counted exactly."""
+    """doc, row, no of the later line of each pair (staged) that is similar, counted exactly."""
     places = stage(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct().select("at.*"), "line-verify")
     n = places.count()
-    docs_of = _marked(places.select(F.col("doc").alias("d")).distinct(), n)
-    picked = docs.join(docs_of, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-2 ** 63)) == F.col("d"), "left_semi")
-    found = _lines(picked).join(_marked(places, n), ["doc", "no"])
-    hashed = found.select(F.struct("doc", "no").alias("at"), _hashes(F.col("line")).alias("s"))
+    docs_of = _marked(places.select(F.col("doc").alias("d"), F.col("row").alias("r")).distinct(), n)
+    picked = docs.select("doc_id", "text").join(docs_of, (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-2 ** 63)) == F.col("d"))
+                                                & (F.xxhash64(F.col("text").cast("string")) == F.col("r")), "left_semi")
+    found = _lines(picked).join(_marked(places, n), PLACE)
+    hashed = found.select(F.struct(*PLACE).alias("at"), _hashes(F.col("line")).alias("s"))
     sets = stage(hashed.select("at", "s", F.size("s").alias("n"), _bitmap("s").alias("bits")), "line-sets")
+    if sets.count() > n:  # rows that repeat a doc_id and text: each place once, or pairs multiply
+        sets = stage(sets.dropDuplicates(["at"]), "line-sets-once")
     # a longer parity bitmap first: only pairs that it allows carry their whole sets along
     few = sets.select("at", "n", "bits")
     apart = " + ".join(f"bit_count(x.bits[{i}] ^ y.bits[{i}])" for i in range(BITMAP_LONGS))
@@ -156,11 +162,11 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def later_matches(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """doc, no of the first occurrence of every set that is similar to an earlier one."""
+    """doc, row, no of the first occurrence of every set that is similar to an earlier one."""
     able = sets.filter("n > 3")
-    ends = able.select("doc", "no", "n", "sig", F.posexplode("ends").alias("end", "token")).withColumn("pos", F.lit(0)).withColumn("y", F.struct("doc", "no", "n", "sig", "pos"))
-    earlier = Window.partitionBy("token", "end").orderBy("doc", "no")
-    place = lambda x: F.struct(f"{x}.doc", f"{x}.no")
+    ends = able.select(*PLACE, "n", "sig", F.posexplode("ends").alias("end", "token")).withColumn("pos", F.lit(0)).withColumn("y", F.struct(*PLACE, "n", "sig", "pos"))
+    earlier = Window.partitionBy("token", "end").orderBy(*PLACE)
+    place = lambda x: F.struct(*[f"{x}.{c}" for c in PLACE])
     met = (ends.withColumn("first", F.first("y").over(earlier)).withColumn("last", F.lag("y").over(earlier))
            .select("y", F.explode(F.array("first", "last")).alias("x")).filter("x IS NOT NULL").filter(place("x") < place("y")).filter(_similar("x", "y")))
     # of the lines that it met, each takes the likeliest
@@ -168,17 +174,17 @@ def later_matches(docs: DataFrame, sets: DataFrame) -> DataFrame:
     likeliest = F.min_by("a", F.struct("apart", "a")).alias("a")
     best = met.select(place("x").alias("a"), place("y").alias("b"), apart).groupBy("b").agg(likeliest)
     done = stage(_verified(stage(best.select("a", "b"), "line-near"), docs), "line-done")
-    flagged = able.join(_marked(done.withColumn("done", F.lit(True)), done.count()), ["doc", "no"], "left")
-    entries = flagged.select("doc", "no", "n", "sig", "done", F.posexplode("prefix").alias("p", "token")).select(
-        "token", F.when(F.col("done"), -1 - F.col("p")).otherwise(F.col("p")).alias("pos"), "doc", "no", "n", "sig")
+    flagged = able.join(_marked(done.withColumn("done", F.lit(True)), done.count()), PLACE, "left")
+    entries = flagged.select(*PLACE, "n", "sig", "done", F.posexplode("prefix").alias("p", "token")).select(
+        "token", F.when(F.col("done"), -1 - F.col("p")).otherwise(F.col("p")).alias("pos"), *PLACE, "n", "sig")
     x, y = entries.alias("x"), entries.alias("y")
     # only y.pos >= 0 are open; the condition spans both sides, which then share one exchange
     is_open = F.when(F.col("y.pos") >= 0, F.col("x.n")).otherwise(F.lit(0)) > 0
-    pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & is_open & F.expr("x.doc < y.doc OR x.doc = y.doc AND x.no < y.no") & _similar("x", "y"))
+    pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & is_open & F.expr("x.doc < y.doc OR x.doc = y.doc AND (x.row < y.row OR x.row = y.row AND x.no < y.no)") & _similar("x", "y"))
              .select(place("x").alias("a"), place("y").alias("b"), apart).distinct())
     pairs = stage(pairs, "line-pairs")
     more = stage(_verified(stage(pairs.groupBy("b").agg(likeliest).select("a", "b"), "line-likeliest"), docs), "line-more")
-    found = _marked(more.select(F.struct("doc", "no").alias("b")), more.count())
+    found = _marked(more.select(F.struct(*PLACE).alias("b")), more.count())
     rest = stage(pairs.join(found, "b", "left_anti").select("a", "b"), "line-rest")
     return done.unionByName(more).unionByName(_verified(rest, docs))
 
@@ -186,7 +192,7 @@ def later_matches(docs: DataFrame, sets: DataFrame) -> DataFrame:
 def kept_lines(docs: DataFrame) -> DataFrame:
     """doc, row, kept: the line numbers (from 0) that stay, of lines with words."""
     sets = stage(line_sets(docs, rarity_levels(docs)), "line-firsts")
-    firsts = sets.select("doc", "no", "row").join(later_matches(docs, sets), ["doc", "no"], "left_anti")
+    firsts = sets.select(*PLACE).join(later_matches(docs, sets), PLACE, "left_anti")
     return firsts.groupBy("doc", "row").agg(F.collect_list("no").alias("kept"))
 
 

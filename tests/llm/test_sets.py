@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 from edge import WORD, edge_rows, frame
+from pyspark.sql import functions as F
 
 from cohortlens.llm import jaccard_join, line_dedup
 from cohortlens.llm.components import components
@@ -135,6 +136,28 @@ def test_line_dedup_of_many_similar_lines(spark):
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == brute_lines(rows)
 
 
+def test_line_dedup_of_texts_that_share_an_id(spark):
+    rng = random.Random(11)
+    base = [[f"p{k}w{i}" for i in range(12)] for k in range(6)]
+    rows = []
+    for i in [None] * 40 + [5] * 20 + [7] * 3 + list(range(10, 40)):
+        lines = [" ".join(f"z{rng.randrange(10 ** 6)}" for _ in range(8)) for _ in range(4)]
+        for _ in range(3):
+            w = list(rng.choice(base))
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(12)] = f"u{rng.randrange(400)}"
+            lines.insert(rng.randrange(len(lines) + 1), " ".join(w))
+        rows.append((i, "\n".join(lines)))
+    rows += [rows[0]] * 3 + [rows[45]] * 2 + [(None, None), (5, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    # brute_lines orders by id: each text gets one by doc_id and hash
+    order = {(r.doc_id, r.text): k for k, r in enumerate(df.distinct().orderBy("doc_id", F.xxhash64("text")).collect())}
+    back = {k: i for (i, _), k in order.items()}
+    got = line_dedup.deduplicated(df).collect()
+    want = brute_lines([(order[x], x[1]) for x in rows])
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(((back[k], t) for k, t in want), key=repr)
+
+
 def test_words_and_shingles_of_bytes():
     texts = [t or "" for _, t, _ in edge_rows()]
     words = scan([t.encode() for t in texts])
