@@ -31,12 +31,14 @@ from cohortlens.llm.tables import read
 # HTML elements by their part in a page, and names that sites give.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 SPACE_TAGS = frozenset("br td th option wbr img input".split())
-UNSEEN_TAGS = frozenset("script style noscript template head title svg math iframe object canvas audio video map textarea select button".split())
+UNSEEN_TAGS = frozenset("script style noscript template title svg math iframe object canvas audio video map textarea select button".split())
 RAW_TAGS = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg")
+HEAD_TAGS = frozenset("html head base basefont bgsound link meta noframes".split() + list(RAW_TAGS))  # don't end the head
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 OUTSIDE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
 OUTSIDE_NAMES = frozenset("ad ads advert adverts advertisement adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert menu nav navbar navigation breadcrumb breadcrumbs sidebar side rail footer foot header masthead topbar toolbar comment comments reply replies discussion disqus share sharing social related recommended recommendations popular newsletter subscribe subscription signup popup modal overlay widget login search pagination pager copyright disclaimer legal tags skip form".split())
+ABOUT_NAMES = frozenset("with without has no".split())  # what follows in a class says what the page has, not what the element is
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 CONTENT_NAMES = frozenset("article articlebody content entry post story main text body prose".split())
 
@@ -47,7 +49,7 @@ SMOOTHNESS, MARKED, SCALE = 2.0, 0.1, 1000  # MARKED: factor of edges from a mar
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW_TAGS) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>(?:[^>\"']|\"[^\"]*\"|'[^']*')*))>|<[!?/][^>]*>|<(?P<broken>/?[a-zA-Z][^>]*)(?:>|\Z)", re.S | re.I)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -61,30 +63,40 @@ class Block(NamedTuple):
     named: bool
 
 
-def _named(attrs: str) -> tuple[bool, bool]:
-    """(outside, content) by class, id and role; hidden elements are outside."""
-    outside = content = False
+def _names(value: str) -> set[str]:
+    """Names in a class or id; of ``with-right-sidebar`` none."""
+    found: set[str] = set()
+    for token in value.split():
+        names = [n.lower() for n in _NAME.findall(token)]
+        found.update(names[:next((i for i, n in enumerate(names) if n in ABOUT_NAMES), len(names))])
+    return found
+
+
+def _named(attrs: str) -> tuple[bool, bool, bool]:
+    """(outside, content, hidden): the first two by class, id and role."""
+    outside = content = hidden = False
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            outside = True
+            hidden = True
         elif key == "role":
             outside |= value.lower() in OUTSIDE_ROLES
             content |= value.lower() in ("main", "article")
         elif key in ("class", "id"):
-            names = {n.lower() for n in _NAME.findall(value)}
+            names = _names(value)
             outside |= bool(names & OUTSIDE_NAMES)
             content |= bool(names & CONTENT_NAMES)
-    return outside, content
+    return outside, content, hidden
 
 
 def blocks(html: str) -> list[Block]:
     """Text blocks of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool]] = []  # tag, number, outside, content name
+    stack: list[tuple[str, int, bool, bool, bool]] = []  # tag, number, outside, content name, hidden
     text: list[str] = []
     linked = links = unseen = number = 0
-    root = (("html", 0, False, False),)
+    in_head = False
+    root = (("html", 0, False, False, False),)
 
     def flush() -> None:
         nonlocal text, linked
@@ -93,20 +105,26 @@ def blocks(html: str) -> list[Block]:
             around = root + tuple(stack)
             tags = tuple(s[0] for s in around)
             inside = max((i for i, t in enumerate(tags) if t in CONTENT_TAGS), default=-1)
-            # a header outside the article is the site's; one inside is the article's
-            outside = any(s[2] for s in around) or any(t in OUTSIDE_TAGS or t == "header" and i > 0 and inside < i and inside < 0 for i, t in enumerate(tags))
+            # a header outside the article is the site's; one inside is the article's;
+            # names around the article are those of the page's layout
+            outside = any(s[4] for s in around) or any(s[2] for s in around[max(inside, 0):]) or any(t in OUTSIDE_TAGS or t == "header" and i > 0 and inside < i and inside < 0 for i, t in enumerate(tags))
             out.append(Block(joined, min(linked, len(joined)), tuple(s[1] for s in around), tags, outside, any(s[3] for s in around)))
         text, linked = [], 0
 
     at = 0
     for m in _TOKEN.finditer(html):
-        if not unseen and m.start() > at:
+        in_head = in_head and not html[at:m.start()].strip()
+        if not unseen and not in_head and m.start() > at:
             text.append(piece := html[at:m.start()])
             linked += len(piece.strip()) if links else 0
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if tag == "head":
+            in_head = not m["close"]
+        elif tag not in HEAD_TAGS:
+            in_head = False  # </head> and <body> may be left out
         if tag == "a":
             links = 0 if m["close"] else 1
         elif tag in SPACE_TAGS:
@@ -132,7 +150,7 @@ def blocks(html: str) -> list[Block]:
             if tag in ("li", "tr", "dd", "dt") and stack and stack[-1][0] == tag:
                 stack.pop()
             number += 1
-            marks = _named(m["attrs"]) if m["attrs"] and tag not in ("html", "body") else (False, False)
+            marks = _named(m["attrs"]) if m["attrs"] and tag not in ("html", "body") else (False, False, False)
             stack.append((tag, number, *marks))
     if not unseen:
         text.append(html[at:])

@@ -258,6 +258,22 @@ def test_main_text_of_pages(body):
     assert html_text.main_text(PAGE % (body % ARTICLE)) == TEXT
 
 
+@pytest.mark.parametrize("body", ["<div class='content with-sidebar'><article>%s</article></div>", "<div class='side social' id=search><main>%s</main></div>",
+                                  "<div class='post hasSidebar no-right-sidebar'>%s</div>", "<article title='The hidden garden' data-id=ad data-class='menu'>%s</article>",
+                                  "<article>%s<div hidden><p>More words that nobody is ever meant to see on this page</p></div></article>",
+                                  "<article>%s<div class='related'><p>More stories that you may also like to read some day</p></div></article>",
+                                  "<div style='display: none'><article><p>More words that nobody is ever meant to see on this page</p></article></div><article>%s</article>"])
+def test_marks_count_from_the_article_inward(body):
+    assert html_text.main_text(PAGE % (body % ARTICLE)) == TEXT
+
+
+@pytest.mark.parametrize("start", ["<head><meta charset=utf-8><title>t</title><link href=x>", "<html><head><style>p{}</style>", "<html><head><title>t</title></head>", "<head>\n<script>x</script>\n<body>"])
+def test_head_without_end_tag(start):
+    assert html_text.main_text(f"{start}<article>{ARTICLE}</article>") == TEXT
+    plain = "plain text with more than enough words to be the content of a page"
+    assert html_text.main_text(f"{start}{plain}") == html_text.main_text(f"{start}{plain}<br>") == plain
+
+
 def test_extract_edges(spark):
     rows = [(1, "u", None, 0.0), (2, None, "", 0.0), (None, "u", "<p", 0.0), (4, "u", "<article><p>" + "word " * 50_000, 0.0), (5, "u", "<script>x", 0.0),
             (6, "u", "plain text with more than enough words to be the content of a page", 0.0), (6, "u", "plain text with more than enough words to be the content of a page", 0.0)]
