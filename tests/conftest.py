@@ -1,15 +1,12 @@
-import os
 import sys
 import tempfile
 
 import duckdb
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
+from paths import ROOT, SMALL
 
-SMALL = "/root/testdata/sf0.001"
-MEDIUM = "/root/testdata/sf0.01"
+sys.path.insert(0, ROOT)
 
 
 @pytest.fixture(scope="session")

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as se
-from conftest import SMALL
+from paths import SMALL
 from tools.oracle_check import rows_of
 
 ORACLE = sorted(se.oracle_sql())
