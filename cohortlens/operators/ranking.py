@@ -132,6 +132,61 @@ def hash_rank(df: DataFrame, key: str, partition_cols: Sequence[str] = (), out:
     return ranked.drop(_BKT, "_one")
 
 
+def in_ranges(df: DataFrame, order: Sequence[Column | str], n: int | None = None) -> DataFrame:
+    """Rows dealt to ``n`` consecutive ranges of ``order`` and sorted in each.
+
+    ``n`` is the session's number of shuffle partitions by default, so the
+    ranges, and the tasks that sort them, grow with the data.  A row number
+    ends the order: equal keys, however many, spread over several ranges.
+    Adds ``_range`` (from 0, ascending in the order) and ``_place`` (from 0
+    within the range).  The frame is checkpointed, as ranges are cut at sampled
+    keys: every later job must see the same ones.
+    """
+    spark = df.sparkSession
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    names = [f"_order{i}" for i in range(len(keys))]
+    keyed = df.withColumns(dict(zip(names, keys))) if keys else df
+    keyed = keyed.withColumn("_order", F.monotonically_increasing_id())
+    by = [*[F.col(c).asc_nulls_first() for c in names], F.col("_order").asc()]
+    n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    row = F.monotonically_increasing_id()  # range index in the upper bits, place in the lower 33
+    dealt = keyed.repartitionByRange(n, *by).sortWithinPartitions(*by).drop(*names, "_order").withColumn("_row", row)
+    return materialize(dealt.withColumns({"_range": F.shiftright("_row", 33).cast("int"),
+                                          "_place": F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_row"))
+
+
+def range_offsets(ranged: DataFrame, sums: Sequence[str] = ()) -> DataFrame:
+    """Per range: rows (``_before``) and sums (``<v>_before``) of all earlier
+    ranges, and the totals (``_total``, ``<v>_total``).  One row per range, a
+    number that the driver sets; the prefix sums are taken there."""
+    spark = ranged.sparkSession
+    rows = (ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(v) for v in sums])
+            .orderBy("_range").collect())
+    names, run = ["_n", *sums], dict.fromkeys(["_n", *sums], 0)
+    out = []
+    for r in rows:
+        out.append((r["_range"], *run.values()))
+        for c in names:
+            run[c] += r[c] or 0
+    kinds = {v: "double" if dict(ranged.dtypes)[v] in ("double", "float") else "bigint" for v in sums} | {"_n": "bigint"}
+    outs = {"_n": ("_before", "_total")} | {v: (f"{v}_before", f"{v}_total") for v in sums}
+    schema = ", ".join(["_range int", *[f"`{outs[c][0]}` {kinds[c]}" for c in names], *[f"`{outs[c][1]}` {kinds[c]}" for c in names]])
+    return spark.createDataFrame([(*o, *run.values()) for o in out], schema)
+
+
+def positions(df: DataFrame, order: Sequence[Column | str], out: str = "position", total: str | None = None,
+              n: int | None = None) -> DataFrame:
+    """Adds the place of each row (from 0) in the whole table under ``order``
+    (NULLs first), without a window: ranges, their row counts, and the place
+    within the range.  ``total`` names a column for the number of rows."""
+    ranged = in_ranges(df, order, n)
+    offsets = range_offsets(ranged)
+    return (ranged.join(F.broadcast(offsets), "_range")
+            .withColumn(out, F.col("_before") + F.col("_place"))
+            .withColumnsRenamed({"_total": total} if total else {})
+            .drop("_range", "_place", "_before", "_total"))
+
+
 def order_statistics(df: DataFrame, col: str, ranks: Sequence[int], local_limit: int = 50000,
                      n_buckets: int = 64, accuracy: int = 10000) -> dict[int, float]:
     """Exact values at 0-based ``ranks`` of one column (see ``order_statistics_many``)."""

@@ -100,3 +100,17 @@ def test_design_folds_balanced_per_training_set(spark):
         sizes = [r["count"] for r in des.df.where(f"{s.train} = 1").groupBy(f"fold_{s.name}").count().collect()]
         assert len(sizes) == 10 and max(sizes) - min(sizes) <= 1
         assert des.df.where(f"{s.train} = 0 AND fold_{s.name} IS NOT NULL").count() == 0
+
+
+def test_positions_equal_a_plain_sort_and_split_a_hot_key(spark):
+    df = spark.range(5000).withColumn("k", F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 50 > 1, F.col("id") % 97))
+    ranged = rk.in_ranges(df, ["k"], 16)
+    sizes = [r["count"] for r in ranged.groupBy("_range").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 3 * 5000 / 16  # a third of the rows has one key
+    got = sorted(rk.positions(df, ["k", -F.col("id")], total="n").collect(), key=lambda r: r.position)
+    assert [r.position for r in got] == list(range(5000)) and {r.n for r in got} == {5000}
+    want = sorted(df.collect(), key=lambda r: (r.k is not None, r.k or 0, -r.id))
+    assert [r.id for r in got] == [r.id for r in want]
+    assert rk.positions(df.limit(0), ["k"]).collect() == []
+    sums = rk.range_offsets(ranged, ["id"]).orderBy("_range").collect()
+    assert [r.id_total for r in sums] == [5000 * 4999 // 2] * 16 and sums[0].id_before == 0
