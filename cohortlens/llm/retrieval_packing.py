@@ -51,7 +51,8 @@ NEAR = 0.5
 #: The usual parameters of BM25.
 K1, B = 1.2, 0.75
 
-PIECES = "row bigint, doc_id bigint, start bigint, ids binary, doc_tokens bigint, n_words bigint, terms binary, counts binary"
+PIECES = ("row bigint, doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary, "
+          "n_words bigint, terms binary, counts binary")
 PACKED = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
@@ -65,9 +66,11 @@ def _terms(texts: list[bytes], hasher: Hasher) -> list[tuple[int, np.ndarray, np
     return [(int(n[i]), both[a:b].astype(np.uint32), count[a:b].astype(np.uint32)) for i, (a, b) in enumerate(zip(at, at[1:]))]
 
 
-def blocks(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = VOCABULARY) -> DataFrame:
+def blocks(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = VOCABULARY,
+           with_ids: bool = True) -> DataFrame:
     """Full blocks of every document and its rest, with the words of the whole
-    document on the last of them (the only one with ``terms``)."""
+    document on the last of them (the only one with ``terms``).  Without
+    ``with_ids`` only rests, which may be cut yet, carry their ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -80,13 +83,13 @@ def blocks(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, voca
                 for i, (x, (n, terms, counts)) in enumerate(zip(encoder.encode(part), _terms(part, hasher))):
                     x = np.append(x, np.uint32(end_id)).astype("<u4")
                     for a in range(0, len(x), capacity):
-                        last = a + capacity >= len(x)
-                        rows.append((row, doc_ids[at + i], a, x[a:a + capacity].tobytes(), len(x), n if last else None,
-                                     terms.tobytes() if last else None, counts.tobytes() if last else None))
+                        raw, last = x[a:a + capacity].tobytes(), a + capacity >= len(x)
+                        rows.append((row, doc_ids[at + i], a, len(raw) // 4, zlib.crc32(raw), len(x), raw if with_ids or len(raw) < 4 * capacity else None,
+                                     n if last else None, terms.tobytes() if last else None, counts.tobytes() if last else None))
                         row += 1
-                kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 2 + [pa.binary()] * 2
+                kinds = [pa.int64()] * 6 + [pa.binary(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
-                                                 ["row", "doc_id", "start", "ids", "doc_tokens", "n_words", "terms", "counts"])
+                                                 ["row", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "n_words", "terms", "counts"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
@@ -119,21 +122,22 @@ def idf(counts: np.ndarray, n: int) -> np.ndarray:
 
 def keyed(rests: DataFrame, counts: np.ndarray, weight: np.ndarray, key_bits: int = KEY_BITS) -> DataFrame:
     """The rests with ``key``: the leading bits of the most telling word that other documents share."""
-    bits = len(weight).bit_length() - 1
+    bits, names = len(weight).bit_length() - 1, rests.columns
     sent = rests.sparkSession.sparkContext.broadcast((counts, weight))  # 2^bits numbers each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, value = sent.value
         for batch in batches:
             keys = []
-            for terms, tf in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist()):
+            for terms, tf in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()):
                 term, tf = np.frombuffer(terms, "<u4"), np.frombuffer(tf, "<u4")
                 at = term >> np.uint32(32 - bits)
                 telling = value[at] * (tf / (tf + np.float32(K1))) * (held[at] >= LEAST_SHARED)
                 keys.append(int(term[telling.argmax()] >> np.uint32(32 - key_bits)) if len(term) else 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int32())], [*batch.schema.names, "key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int32())], [*names, "key"])
 
-    return rests.mapInArrow(run, f"{PIECES}, key int")
+    kinds = dict(rests.dtypes)
+    return rests.mapInArrow(run, ", ".join([f"{c} {kinds[c]}" for c in names] + ["key int"]))
 
 
 def shard_plan(tokens: dict[int, int], shard_tokens: int) -> list[tuple[int, int, int]]:
@@ -235,15 +239,17 @@ def powers(window: list[tuple[int, int, int]], capacity: int) -> list[list[tuple
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = VOCABULARY,
-         shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Pieces with their place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and ids (little-endian 32-bit)."""
+         shard_tokens: int = SHARD_TOKENS, with_ids: bool = True) -> DataFrame:
+    """Pieces with their place: doc_id, start, length, ids_crc32, doc_tokens,
+    sequence_id, offset and ids (little-endian 32-bit, null unless ``with_ids``)."""
     spark = docs.sparkSession
-    pieces = stage(blocks(docs, capacity, end_id, vocabulary), "blocks")
+    pieces = stage(blocks(docs, capacity, end_id, vocabulary, with_ids), "blocks")
     counts, n_docs, n_words = statistics(pieces)
     weight, mean_words = idf(counts, n_docs), n_words / max(n_docs, 1)
-    size = F.octet_length("ids") / 4
-    rests = stage(keyed(pieces.filter(size < capacity), counts, weight), "rests")
-    tokens = {r[0]: int(r[1]) for r in rests.groupBy("key").agg(F.sum(size)).collect()}  # 2^KEY_BITS rows at most
+    rests = pieces.filter(F.col("length") < capacity)
+    # keys are computed twice, from the words alone here, rather than written with all that a rest carries
+    tokens = {r[0]: int(r[1]) for r in keyed(rests.select("length", "terms", "counts"), counts, weight)
+              .groupBy("key").agg(F.sum("length")).collect()}  # 2^KEY_BITS rows at most
     plan = spark.createDataFrame(shard_plan(tokens, shard_tokens), "key int, first bigint, n bigint")
     sent = spark.sparkContext.broadcast(weight)
 
@@ -260,17 +266,17 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
             offset = 0
             for i, a, b in sequence:
                 raw = ids[i][a:b].tobytes()
-                rows.append((doc_ids[i], starts[i] + a, b - a, zlib.crc32(raw), doc_tokens[i], first + number, offset, raw))
+                rows.append((doc_ids[i], starts[i] + a, b - a, zlib.crc32(raw), doc_tokens[i], first + number, offset, raw if with_ids else None))
                 offset += b - a
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*rows))[:-1]] + [pa.array([r[-1] for r in rows], pa.binary())],
                                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
     # The plan has a row for each key, 2^KEY_BITS at most; a hash of the row number deals a key's rows to its shards.
     shard = F.col("first") + F.pmod(F.xxhash64("row"), F.col("n"))
-    near = (rests.join(F.broadcast(plan), "key").withColumn("shard", shard).drop("key", "first", "n")
+    near = (keyed(rests, counts, weight).join(F.broadcast(plan), "key").withColumn("shard", shard).drop("key", "first", "n", "length", "ids_crc32")
             .groupBy("shard").applyInArrow(run, PACKED))
-    full = pieces.filter(size >= capacity).select(
-        "doc_id", "start", F.lit(capacity).cast("bigint").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+    full = pieces.filter(F.col("length") >= capacity).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens",
         (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), "ids")
     return near.unionByName(full)
 
@@ -278,4 +284,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
 @register("op12_retrieval_packing")
 def op12_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces in sequences of at most 1024 tokens, filled with lexical neighbours."""
-    return pack(read(spark, sf_dir, "documents")).drop("ids")
+    return pack(read(spark, sf_dir, "documents"), with_ids=False).drop("ids")
