@@ -43,6 +43,16 @@ def order_key(c, seed) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), _c(c).cast("string")))
 
 
+def round_half_even(c, digits: int = 0) -> Column:
+    """``round(x, digits)`` of IEEE arithmetic: a half goes to the even neighbour."""
+    return F.bround(_c(c), digits)
+
+
+def first_match(c, pattern: str) -> Column:
+    """``grep(pattern, x)[1]``: the first element of an array that matches, NULL if none does."""
+    return F.get(F.filter(_c(c), lambda x: x.rlike(pattern)), 0)
+
+
 def sigmoid(x) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-_c(x)))
 

@@ -1,8 +1,8 @@
 """Model diagnostics.
 
-Per-row diagnostics (fitted, residuals, leverage, Cook's distance) are Column
-expressions built from the fit's p x p inverse information -- evaluated in
-codegen on the executors, never a row loop.  Tests reduce to one or two
+Per-row diagnostics (fitted, residuals, Cook's distance) are Column expressions
+evaluated in codegen on the executors; leverage is a triangular solve per Arrow
+batch with the fit's p x p factor, never a row loop.  Tests reduce to one or two
 aggregates; the residual autocorrelation uses contiguous row blocks with a
 halo of ``max_lag`` rows instead of one global window.
 """
@@ -13,14 +13,14 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.stat import KolmogorovSmirnovTest
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import dnorm, safe_ratio
 from cohortlens.operators.glm import Fit, _t_sf2
-from cohortlens.operators.ranking import cumulative, quantile_splits, quantiles_type7, range_bucket
-from cohortlens.session import materialize
+from cohortlens.operators.ranking import positions, quantiles_type7
 
 
 def with_fitted(df: DataFrame, fit: Fit, y: str | None = None, prefix: str = "") -> DataFrame:
@@ -31,15 +31,21 @@ def with_fitted(df: DataFrame, fit: Fit, y: str | None = None, prefix: str = "")
     return out
 
 
-def _quad_form(V: np.ndarray, cols: Sequence[Column]) -> Column:
-    """x' V x as one literal expression (p(p+1)/2 terms)."""
-    expr = F.lit(0.0)
-    p = len(cols)
-    for a in range(p):
-        expr = expr + F.lit(float(V[a, a])) * cols[a] * cols[a]
-        for b in range(a + 1, p):
-            expr = expr + F.lit(float(2.0 * V[a, b])) * cols[a] * cols[b]
-    return expr
+def _leverage(fit: Fit) -> Column:
+    """x' (X'WX)^-1 x of each row: a triangular solve per Arrow batch with the
+    fit's factor, p^2 operations a row whatever p is; only the model's columns
+    go to Python."""
+    cols = [fit.names[i] for i in fit.kept if i != 0]
+    has_intercept, root = 0 in fit.kept, fit.root
+
+    @F.pandas_udf("double")
+    def solve(*columns: pd.Series) -> pd.Series:
+        n = len(columns[0])
+        x = [np.ones(n)] * has_intercept + [c.to_numpy(dtype=np.float64) for c in columns[:len(cols)]]
+        half = np.linalg.solve(root.T, np.vstack(x))
+        return pd.Series((half * half).sum(0))
+
+    return solve(*[F.col(c).cast("double") for c in cols] or [F.lit(1.0)])
 
 
 def with_influence(df: DataFrame, fit: Fit, y: str) -> DataFrame:
@@ -49,10 +55,8 @@ def with_influence(df: DataFrame, fit: Fit, y: str) -> DataFrame:
     linear: e^2 h / (s^2 k (1 - h)^2).  k = number of kept coefficients.
     Undefined measures (leverage 1, fitted 0 or 1) are NULL.
     """
-    V = np.linalg.inv(fit.xtwx)
-    xs = [F.lit(1.0) if i == 0 else F.col(fit.names[i]) for i in fit.kept]
-    out = with_fitted(df, fit, y)
-    q = _quad_form(V, xs)
+    out = with_fitted(df, fit, y).withColumn("_q", _leverage(fit))
+    q = F.col("_q")
     k = float(fit.rank)
     if fit.family == "binomial":
         mu = F.col("fitted")
@@ -64,7 +68,7 @@ def with_influence(df: DataFrame, fit: Fit, y: str) -> DataFrame:
         s2 = fit.deviance / (fit.n - fit.rank)
         out = out.withColumn("h", q)
         cook = safe_ratio(F.pow(F.col("resid"), 2) * F.col("h"), F.lit(s2 * k) * F.pow(F.lit(1.0) - F.col("h"), 2))
-    return out.withColumn("cooks_d", cook)
+    return out.withColumn("cooks_d", cook).drop("_q")
 
 
 def cooks_cutoff(fit: Fit) -> float:
@@ -131,6 +135,15 @@ def ks_normal(df: DataFrame, col: str, standardise: bool = False) -> DataFrame:
                                            "statistic double, p_value double, standardised boolean")
 
 
+def studentised(df: DataFrame, fit: Fit, y: str) -> DataFrame:
+    """Externally studentised residual ``rstudent`` of every row of a linear fit
+    (NULL where leaving the row out leaves no variance)."""
+    n, k = fit.n, fit.rank
+    e, h = F.col("resid"), F.col("h")
+    left = (F.lit(fit.deviance) - safe_ratio(e * e, F.lit(1.0) - h)) / F.lit(n - k - 1)
+    return with_influence(df, fit, y).withColumn("rstudent", F.when(left > 0, safe_ratio(e, F.sqrt(left * (F.lit(1.0) - h)))))
+
+
 def outlier_test(df: DataFrame, fit: Fit, y: str, key: str = "id", n_max: int = 10) -> DataFrame:
     """D7 + T5: studentised residuals, the ``n_max`` largest in absolute value,
     with unadjusted and Bonferroni p-values (t with n - k - 1 df).
@@ -138,12 +151,8 @@ def outlier_test(df: DataFrame, fit: Fit, y: str, key: str = "id", n_max: int =
     Only the top ``n_max`` rows reach the driver (TakeOrdered), where their
     p-values are computed.
     """
-    infl = with_influence(df, fit, y)
     n, k = fit.n, fit.rank
-    s2 = fit.deviance
-    e, h = F.col("resid"), F.col("h")
-    s_i = F.sqrt((F.lit(s2) - e * e / (F.lit(1.0) - h)) / F.lit(n - k - 1))
-    rs = infl.withColumn("rstudent", e / (s_i * F.sqrt(F.lit(1.0) - h)))
+    rs = studentised(df, fit, y)
     top = rs.orderBy(F.desc(F.abs("rstudent"))).limit(n_max).select(key, "rstudent").collect()
     rows = []
     for r in top:
@@ -157,7 +166,7 @@ def acf(df: DataFrame, col: str, order_col: str, max_lag: int | None = None, blo
     """``acf(x)`` -- autocorrelation for lags 0..floor(10 log10 n), biased
     (common denominator), series in ``order_col`` order.
 
-    Dense positions come from a two-level rank; rows are cut into contiguous
+    Dense positions come from ranges of the order; rows are cut into contiguous
     blocks of ``block`` rows and each block also receives the last
     ``max_lag`` rows of the previous block (halo), so every lag product is a
     window ``lag`` inside one block.  Data copied: a factor 1 + max_lag/block.
@@ -168,12 +177,8 @@ def acf(df: DataFrame, col: str, order_col: str, max_lag: int | None = None, blo
     n, mean = int(st["n"]), float(st["m"])
     L = max_lag if max_lag is not None else int(math.floor(10 * math.log10(n)))
     L = min(L, n - 1)
-    splits = quantile_splits(src, "_o", 256)
-    pos = cumulative(range_bucket(src.withColumn("_one", F.lit(1)), "_o", splits), ["_o"], ["_one"],
-                     with_total=False).select((F.col("_one_cum") - 1).alias("_i"), "_x")
-    # the ranked series feeds both the block body and the halo: checkpoint it
-    # once instead of ranking twice
-    xc = materialize(pos.withColumn("_c", F.col("_x") - F.lit(mean)).withColumn("_b", F.floor(F.col("_i") / block)))
+    pos = positions(src, ["_o"], "_i")
+    xc = pos.withColumn("_c", F.col("_x") - F.lit(mean)).withColumn("_b", F.floor(F.col("_i") / block))
     halo = (xc.where(F.pmod(F.col("_i"), F.lit(block)) >= block - L)
             .withColumn("_b", F.col("_b") + 1).withColumn("_h", F.lit(True)))
     body = xc.withColumn("_h", F.lit(False))
@@ -196,28 +201,30 @@ def density_overlay(df: DataFrame, col: str, lo: int = -40, hi: int = 40) -> Dat
 
 def qq_points(df: DataFrame, col: str) -> DataFrame:
     """(theoretical, sample) QQ points: i-th smallest value against the
-    normal quantile of ``ppoints(n)``; ranks are two-level, the inverse normal
-    CDF is a rational approximation evaluated as a Column expression."""
+    normal quantile of ``ppoints(n)``; ranks come from ranges of the values
+    (``ranking.positions``), the inverse normal CDF is a rational approximation evaluated as a Column expression."""
     src = df.select(F.col(col).cast("double").alias("sample")).where(F.col("sample").isNotNull())
     n = src.count()
     a = 3.0 / 8.0 if n <= 10 else 0.5
-    splits = quantile_splits(src, "sample", 256)
-    ranked = cumulative(range_bucket(src.withColumn("_one", F.lit(1)), "sample", splits), ["sample"], ["_one"],
-                        with_total=False)
-    p = (F.col("_one_cum") - F.lit(a)) / F.lit(n + 1 - 2 * a)
-    return ranked.select(F.col("_one_cum").alias("i"), qnorm(p).alias("theoretical"), "sample")
+    i = F.col("_i") + 1
+    p = (i - F.lit(a)) / F.lit(n + 1 - 2 * a)
+    return positions(src, ["sample"], "_i").select(i.alias("i"), qnorm(p).alias("theoretical"), "sample")
+
+
+# Coefficients of Acklam's approximation.
+QNORM_A = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
+           1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00]
+QNORM_B = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
+           6.680131188771972e+01, -1.328068155288572e+01]
+QNORM_C = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
+           -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00]
+QNORM_D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00]
 
 
 def qnorm(p: Column) -> Column:
     """Inverse standard normal CDF (Acklam's rational approximation,
     relative error < 1.2e-9) as a native Column expression."""
-    a = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
-         1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00]
-    b = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
-         6.680131188771972e+01, -1.328068155288572e+01]
-    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
-         -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00]
-    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00]
+    a, b, c, d = QNORM_A, QNORM_B, QNORM_C, QNORM_D
 
     def poly(coefs, x):
         e = F.lit(coefs[0])

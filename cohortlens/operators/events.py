@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators.ranking import small_frame
+from cohortlens.operators.ranking import positions, small_frame
 
 
 def event_frequency(events: DataFrame, key: str = "event_id") -> DataFrame:
@@ -34,19 +34,29 @@ def entity_frequency(events: DataFrame, entity_value, key: str = "event_id",
 
 
 def group_summary(events: DataFrame, entity: str = "user_id", row_id: str = "event_id") -> DataFrame:
-    """A3: group listing in aggregate form -> (entity, n, first_row, last_row).
-
-    The reference materialises entity -> list of row indexes; a per-entity list
-    is unbounded when one entity holds a large share of the log, so the group
-    is described by its size and row-id range (the membership itself is the
-    filter of P12).
-    """
+    """A3 in aggregate form: size and row-id range of each group -> (entity, n,
+    first_row, last_row); ``group_listing`` has the row ids themselves."""
     return events.groupBy(entity).agg(
         F.count(F.lit(1)).alias("n"),
         F.min(row_id).alias("first_row"),
         F.max(row_id).alias("last_row"))
 
 
+def group_listing(events: DataFrame, entity: str = "user_id", row_id: str = "event_id", size: int = 10_000) -> DataFrame:
+    """A3: the row ids of every group, in chunks -> (entity, chunk, n, rows).
+
+    Rows lie in (entity, row id) order and are cut after every ``size``-th one,
+    and a chunk is what one entity has between two cuts: at most ``size`` ids,
+    so an entity with a large share of the log is many chunks, numbered from 0,
+    and never one list.  ``rows`` are in row-id order.
+    """
+    placed = positions(events.select(entity, row_id), [entity, row_id], "_at")
+    chunks = placed.groupBy(entity, F.floor(F.col("_at") / size).alias("_cut")).agg(
+        F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(row_id)).alias("rows"))
+    first = F.min("_cut").over(Window.partitionBy(entity))  # over chunks, not rows
+    return chunks.select(entity, (F.col("_cut") - first).alias("chunk"), "n", "rows")
+
+
 def top_k(freq: DataFrame, k: int = 50, key: str = "event_id", count_col: str = "n") -> DataFrame:
     """The k most frequent keys; ties broken by key (documented change)."""
     return freq.orderBy(F.desc(count_col), F.asc(key)).limit(k)

@@ -46,6 +46,8 @@ class Encoding:
 
 def factor_levels(df: DataFrame, factors: Sequence[str]) -> dict[str, list[str]]:
     """Distinct levels of every factor in one pass (sorted, R's default order)."""
+    if not factors:
+        return {}
     stacked = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("v"))
                                              for f in factors])).alias("s")).select("s.*")
     rows = stacked.where(F.col("v").isNotNull()).distinct().collect()

@@ -2,36 +2,42 @@
 
 One Spark job per Newton/IRLS iteration fits *many* candidate models at once
 (feature subsets x fold exclusions x searches).  Each task turns its Arrow
-batches into numpy arrays and emits, per candidate, the partial sums
-``X'WX, X'Wz, z'Wz, deviance, n`` of its rows; ``Summarizer.sum`` adds the
-partials across tasks (map-side combine, then one small shuffle keyed by
-candidate); the driver solves the p x p systems and broadcasts the new
-coefficients with the next job.  Rows never leave the executors, the
-driver's state is O(candidates * p^2), and a lost executor only re-runs its
-tasks.
+batches into numpy arrays and adds, per candidate, the partial sums
+``X'WX, X'Wz, deviance, n`` of its rows into one vector (the symmetric part
+once), sent as a few Arrow rows of ``CHUNK`` numbers; the vectors are added
+chunk by chunk, in groups of ``FAN`` tasks; the driver solves the p x p systems
+and sends the new coefficients with the next job.  Rows never leave the
+executors, the driver's state is O(candidates * p^2), and a lost executor only
+re-runs its tasks.  Errors of many models are summed in the tasks alike
+(``model_sums``), or their scores returned as rows (``score_long``), each row
+scored only by the models that are to judge it.
 
 Families: ``binomial`` (logit link; R ``glm`` IRLS start and deviance),
 ``gaussian`` (one pass, exact), ``sqhinge`` (L2-regularised squared-hinge
-SVM solved by Newton on the active set).  Aliased (linearly dependent)
-columns are detected on the Gram matrix in formula order and dropped, as R
-reports them NA; AIC counts the kept columns only.
+SVM solved by Newton on the active set).  One pass before the iterations gives
+the QR factor of each set of rows (``factor``): on it, aliased (linearly
+dependent) columns are found in formula order and dropped, as R reports them
+NA (AIC counts the kept columns only), and from it come the means and
+deviations by which the iterations centre and scale the columns, so that the
+p x p systems stay well conditioned; coefficients are given in raw units.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.operators.factor import FAN, factors, independent, least_squares, squared_root, stacked
+
 EPS = 2.220446049250313e-16
 INTERCEPT = "(Intercept)"
 
@@ -76,7 +82,7 @@ class Fit:
     family: str
     names: list[str]                 # intercept first
     beta: np.ndarray                 # NaN where aliased
-    xtwx: np.ndarray                 # at the final coefficients (kept x kept)
+    root: np.ndarray                 # triangle of the information at the final coefficients (kept x kept)
     kept: list[int]
     deviance: float
     n: float
@@ -108,10 +114,16 @@ class Fit:
     def coefficients(self) -> dict[str, float]:
         return {self.names[i]: float(self.beta[i]) for i in self.kept}
 
+    @property
+    def xtwx(self) -> np.ndarray:
+        """Information matrix X'WX of the kept columns."""
+        return self.root.T @ self.root
+
     def cov(self) -> np.ndarray:
         """Covariance of the kept coefficients (dispersion 1 for binomial,
         RSS/(n-k) for gaussian)."""
-        inv = np.linalg.inv(self.xtwx)
+        half = np.linalg.solve(self.root, np.eye(len(self.root)))
+        inv = half @ half.T
         if self.family == "gaussian":
             inv = inv * (self.deviance / (self.n - self.rank))
         return inv
@@ -134,7 +146,7 @@ def _eta_np(Xc, beta):
     return Xc @ np.nan_to_num(beta, nan=0.0)
 
 
-def _partials(X, y, wt, beta, family, cost):
+def _partials(X, y, wt, beta, family):
     """Per-batch sums for one candidate; X includes the intercept column."""
     if family == "binomial":
         if beta is None:
@@ -148,9 +160,6 @@ def _partials(X, y, wt, beta, family, cost):
         w = wt * var
         z = eta + (y - mu) / var
         dev = -2.0 * float(np.sum(wt * (y * np.log(mu) + (1 - y) * np.log(1 - mu))))
-    elif family == "gaussian":
-        w, z = wt, y
-        dev = 0.0 if beta is None else float(np.sum(wt * (y - _eta_np(X, beta)) ** 2))
     elif family == "sqhinge":
         t = 2.0 * y - 1.0
         if beta is None:
@@ -163,84 +172,132 @@ def _partials(X, y, wt, beta, family, cost):
         w, z = wt * active, t
     else:
         raise ValueError(family)
-    G = X.T @ (w[:, None] * X)
-    b = X.T @ (w * z)
-    return np.concatenate([G.ravel(), b, [float(np.sum(w * z * z)), dev, float(np.sum(wt))]])
-
-
-def _pass(df: DataFrame, features: list[str], label: str, batch: list[tuple], family: str,
-          weight_col: str | None) -> dict[str, np.ndarray]:
-    """One distributed pass: summed partials for every candidate in ``batch``.
-
-    ``batch`` items: (key, column indexes into ``features``, beta or None,
-    cost, include column, fold column, excluded fold, class weights, fourier).
-    """
-    extra = sorted({c for b in batch for c in (b[4], b[5]) if c})
-    cols = [*features, label, *([weight_col] if weight_col else []), *extra]
-    payload = list(batch)
-
-    # candidates sharing a row set (include flag, fold column, left-out fold,
-    # class weights) share one masked design matrix per batch
-    groups: dict[tuple, list] = {}
-    for key, idx, beta, cost, inc, fcol, excl, cw, four in payload:
-        bkey = None if four is None else hashlib.md5(
-            four[0].tobytes() + four[1].tobytes() + np.asarray(idx).tobytes()).hexdigest()
-        groups.setdefault((inc, fcol, excl, cw), []).append((key, idx, beta, cost, four, bkey))
-
-    def run(it):
-        acc: dict[str, np.ndarray] = {}
-        for pdf in it:
-            if pdf.empty:
+    if family == "sqhinge" and not active.all():
+        X, w, z = X[active], w[active], z[active]
+    wX = w[:, None] * X
+    return np.concatenate([(X.T @ wX)[np.triu_indices(X.shape[1])], z @ wX, [dev, float(np.sum(wt))]])
+
+
+#: Numbers in one row of a task's sums.
+CHUNK = 1 << 16
+
+
+def _numbers(batch: pa.RecordBatch, names: Sequence[str]) -> dict[str, np.ndarray]:
+    """Columns of a batch as doubles, NULL as NaN."""
+    return {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in names}
+
+
+def _summed(df: DataFrame, columns: Sequence[str], size: int, add: Callable[[dict[str, np.ndarray], np.ndarray], None]) -> np.ndarray:
+    """Sum over all rows of a vector of ``size`` numbers: ``add(columns of a
+    batch, vector)`` adds a batch's part, in the tasks."""
+    names = list(dict.fromkeys(columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total, used = np.zeros(size), False
+        for batch in batches:
+            if batch.num_rows:
+                used = True
+                add(_numbers(batch, names), total)
+        if used:
+            starts = np.arange(0, size, CHUNK)
+            ends = np.append(starts, size).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(starts), dtype=np.int32)), pa.array(np.full(len(starts), TaskContext.get().partitionId(), np.int32)),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(total))], ["chunk", "part", "v"])
+
+    schema = "chunk int, part int, v array<double>"
+
+    def together(table: pa.Table) -> pa.Table:
+        lists = table.column("v").combine_chunks()
+        v = lists.flatten().to_numpy().reshape(len(lists), -1).sum(0)
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "part": table.column("part").slice(0, 1),
+                         "v": pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v))})
+
+    parts = df.select(*names).mapInArrow(run, schema)
+    if df.storageLevel.useMemory and df.rdd.getNumPartitions() > FAN:  # a cached input knows its number of tasks
+        parts = parts.groupBy("chunk", F.expr(f"part div {FAN}").alias("branch")).applyInArrow(together, schema)
+    chunks = parts.groupBy("chunk").applyInArrow(together, schema).toArrow().sort_by("chunk").column("v").combine_chunks()
+    return chunks.flatten().to_numpy() if len(chunks) else np.zeros(size)
+
+
+def _bases(X: np.ndarray, models: Sequence[tuple[list[int], tuple | None]]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Design columns (with an intercept) of model ``i`` on some rows of a batch;
+    a Fourier map is computed once for all its models."""
+    whole = np.hstack([np.ones((len(X), 1)), X])
+    done: dict[tuple, np.ndarray] = {}
+
+    def of(i: int, at: np.ndarray) -> np.ndarray:
+        idx, four = models[i]
+        if four is None:
+            return whole[np.ix_(at, [0, *[j + 1 for j in idx]])]
+        key = tuple(idx), id(four[0])
+        if key not in done:
+            done[key] = np.hstack([whole[:, :1], _basis(X[:, idx], four)])
+        return done[key][at]
+
+    return of
+
+
+def _shared(specs: Sequence[Spec]) -> list[tuple | None]:
+    """Fourier maps of the models, equal ones as one object."""
+    seen: dict[str, tuple] = {}
+    return [None if s.fourier is None else seen.setdefault(hashlib.md5(s.fourier[0].tobytes() + s.fourier[1].tobytes()).hexdigest(), s.fourier)
+            for s in specs]
+
+
+def _pass(data: Input, specs: Mapping[str, Spec], state: Mapping[str, np.ndarray | None], family: str,
+          centre: np.ndarray, scale: np.ndarray) -> dict[str, tuple]:
+    """One distributed pass: (G, b, deviance, n) of every candidate at its
+    coefficients, over features centred and scaled; none for one without rows."""
+    features, keys = data.features, sorted(specs)
+    pos = {c: i for i, c in enumerate(features)}
+    sizes = [len(specs[k].basis_names()) + 1 for k in keys]
+    lengths = [p * (p + 1) // 2 + p + 2 for p in sizes]
+    ends = np.cumsum(lengths)
+    models = [([pos[c] for c in specs[k].cols], f) for k, f in zip(keys, _shared([specs[k] for k in keys]))]
+    # candidates of one row set (include flag, left-out fold, class weights) share its mask
+    groups: dict[tuple, list[int]] = {}
+    for i, k in enumerate(keys):
+        s = specs[k]
+        fold = (s.fold_col or data.fold_col) if s.exclude_fold is not None else None
+        groups.setdefault((s.include, fold, s.exclude_fold, s.class_weights), []).append(i)
+    betas, label, weight_col = [state[k] for k in keys], data.label, data.weight_col
+    columns = [*features, label, *([weight_col] if weight_col else []), *[c for g in groups for c in g[:2] if c]]
+
+    def add(cols: dict[str, np.ndarray], total: np.ndarray) -> None:
+        y = cols[label]
+        X = (np.column_stack([cols[c] for c in features]) - centre) / scale if features else np.zeros((len(y), 0))
+        basis = _bases(X, models)
+        wt = cols[weight_col] if weight_col else np.ones(len(y))
+        for (include, fold, left_out, weights), members in groups.items():
+            mask = np.ones(len(y), bool) if include is None else cols[include] == 1
+            if fold:
+                mask &= cols[fold] != left_out
+            at = np.flatnonzero(mask)
+            if not len(at):
                 continue
-            X1 = np.hstack([np.ones((len(pdf), 1)),
-                            pdf[features].to_numpy(dtype=np.float64) if features else np.zeros((len(pdf), 0))])
-            y = pdf[label].to_numpy(dtype=np.float64)
-            wt = pdf[weight_col].to_numpy(dtype=np.float64) if weight_col else np.ones(len(pdf))
-            aux = {c: pdf[c].to_numpy() for c in extra}
-            for (inc, fcol, excl, cw), members in groups.items():
-                m = np.ones(len(pdf), dtype=bool)
-                if inc:
-                    m &= aux[inc] == 1
-                if fcol and excl is not None:
-                    m &= aux[fcol] != excl
-                if not m.any():
-                    continue
-                Xm, yc, wc = X1[m], y[m], wt[m]
-                if cw is not None:
-                    wc = wc * np.where(yc == 1, cw[1], cw[0])
-                bases: dict[str, np.ndarray] = {}  # one Fourier basis per distinct map
-                for key, idx, beta, _cost, four, bkey in members:
-                    if four is None:
-                        Xc = Xm[:, [0, *[i + 1 for i in idx]]]
-                    else:
-                        if bkey not in bases:
-                            bases[bkey] = np.hstack([Xm[:, :1], _basis(Xm[:, [i + 1 for i in idx]], four)])
-                        Xc = bases[bkey]
-                    part = _partials(Xc, yc, wc, beta, family, _cost)
-                    acc[key] = part if key not in acc else acc[key] + part
-        if acc:
-            yield pd.DataFrame({"cand": list(acc.keys()), "v": [a.tolist() for a in acc.values()]})
-
-    parts = df.select(*cols).mapInPandas(run, "cand string, v array<double>")
-    red = parts.groupBy("cand").agg(Summarizer.sum(array_to_vector("v")).alias("s"))
-    return {r["cand"]: r["s"].toArray() for r in red.collect()}
+            ym, wm = y[at], wt[at]
+            if weights is not None:
+                wm = wm * np.where(ym == 1, weights[1], weights[0])
+            for i in members:
+                total[ends[i] - lengths[i]:ends[i]] += _partials(basis(i, at), ym, wm, betas[i], family)
+
+    sums = _summed(data.df, columns, int(ends[-1]), add)
+    out = {}
+    for i, k in enumerate(keys):
+        v, p = sums[ends[i] - lengths[i]:ends[i]], sizes[i]
+        if v[-1] > 0:
+            G = np.zeros((p, p))
+            G[np.triu_indices(p)] = v[:p * (p + 1) // 2]
+            out[k] = (np.triu(G, 1).T + G, v[-p - 2:-2], float(v[-2]), float(v[-1]))
+    return out
 
 
 def _kept_columns(G: np.ndarray, tol: float = 1e-11) -> list[int]:
-    """Columns not linearly dependent on earlier ones (formula order)."""
-    keep: list[int] = []
-    for j in range(G.shape[0]):
-        gjj = G[j, j]
-        if gjj <= 0:
-            continue
-        if keep:
-            Gk = G[np.ix_(keep, keep)]
-            r = gjj - G[j, keep] @ np.linalg.solve(Gk, G[keep, j])
-        else:
-            r = gjj
-        if r > tol * gjj:
-            keep.append(j)
-    return keep
+    """Columns of a map of the features that are not linearly dependent on earlier ones."""
+    return independent(squared_root(G), math.sqrt(tol))
 
 
 def _solve(G, b, kept, ridge: float = 0.0):
@@ -256,38 +313,94 @@ def _solve(G, b, kept, ridge: float = 0.0):
     return beta
 
 
-def _unpack(v: np.ndarray, p: int):
-    G = v[: p * p].reshape(p, p)
-    b = v[p * p: p * p + p]
-    zz, dev, n = v[p * p + p:]
-    return G, b, zz, dev, n
+class Input:
+    """A column-pruned copy of the rows that several fits share.
 
+    The copy is cached unless ``df`` is (iterative fits would replay its plan),
+    and the factors of row sets are kept, so that all rounds of a search cost
+    one caching and one factor pass.  ``with Input(...)`` releases the copy.
+    """
 
-def fit_many(df: DataFrame, specs: Mapping[str, Spec], label: str, family: str = "binomial",
+    def __init__(self, df: DataFrame, specs: Mapping[str, Spec], label: str, weight_col: str | None = None,
+                 fold_col: str | None = None) -> None:
+        self.features = sorted({c for s in specs.values() for c in s.cols})
+        self.label, self.weight_col, self.fold_col = label, weight_col, fold_col
+        extra = sorted({c for s in specs.values() for c in (s.include, s.fold_col or fold_col) if c})
+        needed = list(dict.fromkeys([*self.features, label, *([weight_col] if weight_col else []), *extra]))
+        self.owned = None
+        self.df = df
+        if not df.storageLevel.useMemory and not df.storageLevel.useDisk:
+            self.df = self.owned = _sized_cache(df.select(*needed))
+        self.sets: dict[tuple[str | None, str | None], dict[int, np.ndarray]] = {}
+
+    def __enter__(self) -> Input:
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.owned is not None:
+            self.owned.unpersist()
+
+    def load(self, specs: Mapping[str, Spec]) -> None:
+        """Factors of the row sets of ``specs`` that are not known yet, in one pass."""
+        pairs = {(s.include, (s.fold_col or self.fold_col) if s.exclude_fold is not None else None) for s in specs.values()}
+        new = {str(i): p for i, p in enumerate(sorted(pairs - set(self.sets), key=str))}
+        if new:
+            found = factors(self.df, [*self.features, self.label], new, self.weight_col)
+            self.sets.update({p: found[i] for i, p in new.items()})
+
+    def factor(self, s: Spec) -> np.ndarray | None:
+        """Factor of [1, features, label] over the rows of one candidate."""
+        folds = self.sets[s.include, (s.fold_col or self.fold_col) if s.exclude_fold is not None else None]
+        parts = [R for k, R in sorted(folds.items()) if s.exclude_fold is None or k != s.exclude_fold]
+        return stacked(parts) if parts else None
+
+    def scales(self) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and deviation of each feature over the rows seen (0 and 1 where there is no spread)."""
+        parts = [R for folds in self.sets.values() for R in folds.values()]
+        p = len(self.features)
+        if not parts:
+            return np.zeros(p), np.ones(p)
+        R = stacked(parts)
+        n = R[:, 0] @ R[:, 0]
+        if not n > 0:
+            return np.zeros(p), np.ones(p)
+        centre = R[:, 0] @ R[:, 1:p + 1] / n
+        rest = R[:, 1:p + 1] - np.outer(R[:, 0], centre)
+        scale = np.sqrt((rest * rest).sum(0) / n)
+        flat = ~(scale > 1e-12 * np.maximum(np.abs(centre), 1e-300))
+        return np.where(flat, 0.0, centre), np.where(flat, 1.0, scale)
+
+
+def fit_many(df: DataFrame | Input, specs: Mapping[str, Spec], label: str, family: str = "binomial",
              weight_col: str | None = None, fold_col: str | None = None, tol: float = 1e-10,
              max_iter: int = 50) -> dict[str, Fit]:
     """Fit every candidate in ``specs``; one Spark job per iteration for all.
 
     Candidates drop out as they converge (relative deviance/objective change
-    below ``tol``), so later jobs carry only the stragglers.
+    below ``tol``), so later jobs carry only the stragglers; one that has not
+    after ``max_iter`` is returned with ``converged`` false.  ``df`` may be an
+    ``Input`` that earlier fits over the same columns have used.
     """
-    features = sorted({c for s in specs.values() for c in s.cols})
-    pos = {c: i for i, c in enumerate(features)}
-    idx = {k: [pos[c] for c in s.cols] for k, s in specs.items()}
-    # Iterative: like Spark ML's own estimators, keep a compact copy of the
-    # (columns-pruned) input for the duration of the fit when it is not
-    # already cached, so each pass does not replay the upstream plan.
-    extra = sorted({c for s in specs.values() for c in (s.include, s.fold_col or fold_col) if c})
-    needed = [*features, label, *([weight_col] if weight_col else []), *extra]
-    owned = None
-    if not df.storageLevel.useMemory and not df.storageLevel.useDisk:
-        owned = _sized_cache(df.select(*needed))
-        df = owned
-    try:
-        return _fit_loop(df, specs, label, family, weight_col, fold_col, tol, max_iter, features, idx)
-    finally:
-        if owned is not None:
-            owned.unpersist()
+    if not isinstance(df, Input):
+        with Input(df, specs, label, weight_col, fold_col) as data:
+            return fit_many(data, specs, label, family, weight_col, fold_col, tol, max_iter)
+    if family == "gaussian":
+        df.load(specs)
+        return {k: _least_squares_fit(df, s) for k, s in specs.items()}
+    return _fit_loop(df, specs, family, tol, max_iter)
+
+
+def _least_squares_fit(data: Input, s: Spec) -> Fit:
+    names, R = [INTERCEPT, *s.basis_names()], data.factor(s)
+    if R is None:  # no rows for this candidate
+        return _no_rows("gaussian", names, 1)
+    pos = {c: i + 1 for i, c in enumerate(data.features)}
+    beta, kept, root, rss = least_squares(R[:, [0, *[pos[c] for c in s.cols]]], R[:, -1])
+    return Fit("gaussian", names, beta, root, kept, rss, float(R[:, 0] @ R[:, 0]), 1, True, rss)
+
+
+def _no_rows(family: str, names: list[str], iterations: int) -> Fit:
+    return Fit(family, names, np.full(len(names), np.nan), np.eye(1), [], float("nan"), 0.0, iterations, False)
 
 
 ROWS_PER_PARTITION = 100_000
@@ -310,57 +423,69 @@ def _sized_cache(df: DataFrame) -> DataFrame:
     return merged
 
 
-def _fit_loop(df, specs, label, family, weight_col, fold_col, tol, max_iter, features, idx) -> dict[str, Fit]:
-    state = {k: (None if s.beta0 is None else np.asarray(s.beta0, dtype=float)) for k, s in specs.items()}
-    prev = {k: None for k in specs}
+def _fit_loop(data: Input, specs: Mapping[str, Spec], family: str, tol: float, max_iter: int) -> dict[str, Fit]:
+    pos = {c: i for i, c in enumerate(data.features)}
+    idx = {k: [pos[c] for c in s.cols] for k, s in specs.items()}
+    names = {k: [INTERCEPT, *s.basis_names()] for k, s in specs.items()}
     kept_of: dict[str, list[int]] = {}
+    centre, scale = np.zeros(len(pos)), np.ones(len(pos))
+    if family == "binomial":  # the penalty of a squared hinge depends on the units, so its columns stay as they are
+        data.load(specs)
+        centre, scale = data.scales()
+        for k, s in specs.items():
+            R = data.factor(s)
+            if R is not None:
+                kept_of[k] = independent(R[:, [0, *[i + 1 for i in idx[k]]]])
+    # X = Z A for raw X and centred, scaled Z, both with an intercept: A = [[1, centre], [0, scale]]
+    move = {}
+    for k, s in specs.items():
+        A = np.eye(len(names[k]))
+        if s.fourier is None:
+            A[0, 1:] = centre[idx[k]]
+            A[range(1, len(A)), range(1, len(A))] = scale[idx[k]]
+        move[k] = A
+    state = {k: (None if s.beta0 is None else move[k] @ np.nan_to_num(np.asarray(s.beta0, dtype=float))) for k, s in specs.items()}
+    prev = {k: None for k in specs}
     out: dict[str, Fit] = {}
     active = set(specs)
     last: dict[str, tuple] = {}
+
+    def fitted(k: str, beta: np.ndarray, G: np.ndarray, dev: float, n: float, iterations: int, converged: bool) -> Fit:
+        kept = kept_of[k]
+        raw = np.full(len(beta), np.nan)
+        raw[kept] = np.linalg.solve(move[k], np.nan_to_num(beta))[kept]  # aliased ones are 0 in both units
+        root = squared_root(G[np.ix_(kept, kept)]) @ move[k][np.ix_(kept, kept)]
+        return Fit(family, names[k], raw, root, kept, dev, n, iterations, converged)
+
     it = 0
     while active and it < max_iter:
         it += 1
-        batch = [(k, idx[k], state[k], specs[k].cost, specs[k].include, specs[k].fold_col or fold_col,
-                  specs[k].exclude_fold, specs[k].class_weights, specs[k].fourier) for k in sorted(active)]
-        sums = _pass(df, features, label, batch, family, weight_col)
+        sums = _pass(data, {k: specs[k] for k in active}, state, family, centre, scale)
         for k in sorted(active):
             s = specs[k]
-            names = [INTERCEPT, *s.basis_names()]
-            p = len(names)
             if k not in sums:  # no rows for this candidate
-                out[k] = Fit(family, names, np.full(p, np.nan), np.eye(1), [], float("nan"), 0.0, it, False)
+                out[k] = _no_rows(family, names[k], it)
                 active.discard(k)
                 continue
-            G, b, zz, dev, n = _unpack(sums[k], p)
+            G, b, dev, n = sums[k]
             if k not in kept_of:
                 kept_of[k] = _kept_columns(G)
-            kept = kept_of[k]
             ridge = 0.0
             if family == "sqhinge":
                 ridge = 1.0 / (2.0 * (s.cost or 1.0))
-                beta_now = state[k]
-                if beta_now is not None:
-                    reg = 0.5 * float(np.sum(np.nan_to_num(beta_now[1:]) ** 2))
+                if state[k] is not None:
+                    reg = 0.5 * float(np.sum(np.nan_to_num(state[k][1:]) ** 2))
                     dev = reg + (s.cost or 1.0) * dev
-            if family == "gaussian":
-                beta = _solve(G, b, kept)
-                bk = np.nan_to_num(beta)
-                rss = float(zz - 2 * bk @ b + bk @ G @ bk)
-                out[k] = Fit(family, names, beta, G[np.ix_(kept, kept)], kept, max(rss, 0.0), n, it, True, rss)
-                active.discard(k)
-                continue
-            if state[k] is not None and prev[k] is not None and \
-                    abs(dev - prev[k]) / (abs(dev) + 0.1) < tol:
-                out[k] = Fit(family, names, state[k], G[np.ix_(kept, kept)], kept, dev, n, it, True)
+            if state[k] is not None and prev[k] is not None and abs(dev - prev[k]) / (abs(dev) + 0.1) < tol:
+                out[k] = fitted(k, state[k], G, dev, n, it, True)
                 active.discard(k)
                 continue
             prev[k] = dev if state[k] is not None else None
-            last[k] = (G, dev, n, state[k] if state[k] is not None else np.full(p, np.nan))
-            state[k] = _solve(G, b, kept, ridge)
+            last[k] = (G, dev, n, state[k] if state[k] is not None else np.full(len(names[k]), np.nan))
+            state[k] = _solve(G, b, kept_of[k], ridge)
     for k in active:  # not converged: the coefficients of the last pass, with its information and deviance
         G, dev, n, beta = last[k]
-        kept = kept_of[k]
-        out[k] = Fit(family, [INTERCEPT, *specs[k].basis_names()], beta, G[np.ix_(kept, kept)], kept, dev, n, it, False)
+        out[k] = fitted(k, beta, G, dev, n, it, False)
     return out
 
 
@@ -391,47 +516,70 @@ def score_many(df: DataFrame, models: Mapping[str, tuple[Spec, Fit]], response:
     return df.mapInPandas(run, out_schema)
 
 
-def score_oof(df: DataFrame, models: Mapping[str, tuple[tuple[str, ...], str, Mapping[int, Fit]]],
-              response: bool = True) -> DataFrame:
-    """Append one out-of-fold prediction column per model group.
-
-    ``models``: name -> (feature columns, fold column, {fold: fit trained
-    without that fold}).  Each row is scored by the fit that left its own
-    fold out (NULL when the row has no fold), in numpy inside the tasks --
-    no per-fold CASE expression trees in the plan.
-    """
-    from pyspark.sql.types import DoubleType, StructField, StructType
-    names = list(models)
-    feats = sorted({c for cols, _, _ in models.values() for c in cols})
-    pos = {c: i for i, c in enumerate(feats)}
-    folds_needed = sorted({fc for _, fc, _ in models.values()})
-    payload = []
-    for n, (cols, fc, fits) in models.items():
-        ks = sorted(fits)
-        B = np.vstack([np.nan_to_num(fits[k].beta) for k in ks])
-        payload.append((n, [0, *[pos[c] + 1 for c in cols]], fc, np.asarray(ks), B, fits[ks[0]].family))
-    out_schema = StructType([*df.schema.fields, *[StructField(n, DoubleType(), True) for n in names]])
+@dataclass
+class Judged:
+    """A model and the rows it is to score: those of the 0/1 column ``rows``
+    (all without one).  With ``folds`` each row is scored by the fit that left
+    the row's own fold out, and rows without a fold by none.  ``shift`` is
+    taken off the linear predictor, and ``response`` makes it a probability."""
+    spec: Spec
+    fit: Fit | None = None
+    rows: str | None = None
+    folds: Mapping[int, Fit] | None = None
+    fold_col: str | None = None
+    shift: float = 0.0
+    response: bool = False
 
-    def run(it):
-        for pdf in it:
-            X1 = np.hstack([np.ones((len(pdf), 1)),
-                            pdf[feats].to_numpy(dtype=np.float64) if feats else np.zeros((len(pdf), 0))])
-            fold_vals = {fc: pdf[fc].to_numpy(dtype=np.float64) for fc in folds_needed}
-            new = {}
-            for n, idx, fc, ks, B, fam in payload:
-                f = fold_vals[fc]
-                slot = np.searchsorted(ks, np.nan_to_num(f, nan=-1).astype(np.int64))
-                ok = ~np.isnan(f) & (slot < len(ks))
-                ok[ok] &= ks[slot[ok]] == f[ok].astype(np.int64)
-                eta = np.full(len(pdf), np.nan)
-                Xi = X1[:, idx]
-                eta[ok] = np.einsum("ij,ij->i", Xi[ok], B[slot[ok]])
-                if response and fam == "binomial":
-                    eta = 1.0 / (1.0 + np.exp(-eta))
-                new[n] = eta
-            yield pd.concat([pdf, pd.DataFrame(new, index=pdf.index)], axis=1)
 
-    return df.mapInPandas(run, out_schema)
+def _scorer(models: Sequence[Judged], label: str) -> tuple[list[str], Callable]:
+    """Columns needed, and a function from those of a batch to (model, rows, y, score) of each model."""
+    features = sorted({c for m in models for c in m.spec.cols})
+    pos = {c: i for i, c in enumerate(features)}
+    designs = [([pos[c] for c in m.spec.cols], f) for m, f in zip(models, _shared([m.spec for m in models]))]
+    betas = [{None: np.nan_to_num(m.fit.beta)} if m.folds is None else {k: np.nan_to_num(f.beta) for k, f in m.folds.items()} for m in models]
+    settings = [(m.rows, m.fold_col, m.shift, m.response) for m in models]
+    columns = list(dict.fromkeys([*features, label, *[c for m in models for c in (m.rows, m.fold_col if m.folds is not None else None) if c]]))
+
+    def scores(cols: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        y = cols[label]
+        basis = _bases(np.column_stack([cols[c] for c in features]) if features else np.zeros((len(y), 0)), designs)
+        for i, (rows, fold_col, shift, response) in enumerate(settings):
+            wanted = np.ones(len(y), bool) if rows is None else cols[rows] == 1
+            for k, beta in betas[i].items():
+                mask = wanted if k is None else wanted & (cols[fold_col] == k)
+                at = np.flatnonzero(mask)
+                if len(at):
+                    eta = basis(i, at) @ beta - shift
+                    yield i, at, y[at], 1.0 / (1.0 + np.exp(-eta)) if response else eta
+
+    return columns, scores
+
+
+def score_long(df: DataFrame, models: Sequence[Judged], label: str) -> DataFrame:
+    """(model, y, score): a row for each model's index and row it is to score,
+    computed in the tasks; no columns are added to the rows."""
+    columns, scores = _scorer(models, label)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                for i, at, y, score in scores(_numbers(batch, columns)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(y, from_pandas=True), pa.array(score)],
+                                                     ["model", "y", "score"])
+
+    return df.select(*columns).mapInArrow(run, "model int, y double, score double")
+
+
+def model_sums(df: DataFrame, models: Sequence[Judged], label: str, width: int,
+               sums: Callable[[int, np.ndarray, np.ndarray], Sequence[float]]) -> np.ndarray:
+    """(models x width): ``sums(model, y, score)`` of every model's rows, added up in the tasks."""
+    columns, scores = _scorer(models, label)
+
+    def add(cols: dict[str, np.ndarray], total: np.ndarray) -> None:
+        for i, _, y, score in scores(cols):
+            total[i * width:(i + 1) * width] += sums(i, y, score)
+
+    return _summed(df, columns, len(models) * width, add).reshape(len(models), width)
 
 
 def fit(df: DataFrame, features: Sequence[str], label: str, family: str = "binomial",

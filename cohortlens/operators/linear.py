@@ -1,10 +1,12 @@
-"""Linear models from one Gram pass (G5-G7, G9, G12 core).
-
-``gram()`` is the only distributed step: one mapInPandas pass emits, per fold,
-the partial cross-product matrix of ``[1, x_1..x_p, y]``; ``Summarizer.sum``
-adds the partials.  Every subset model, every stepwise step and every CV fold
-is then a (p+2)-sized solve on the driver, so linear stepwise selection
-scans the data once per training set instead of once per candidate.
+"""Linear models from one pass (G5-G7, G9, G12 core).
+
+``gram()`` is the only distributed step: it reduces the rows of ``[1, x_1..x_p,
+y]`` to one triangular factor per fold (``factor.factors``).  Every subset
+model, every stepwise step and every CV fold is then a small least-squares
+problem on the driver, so linear stepwise selection scans the data once per
+training set instead of once per candidate; and as the cross products are
+never formed, a column whose mean is a million times its deviation keeps its
+digits.
 """
 
 from __future__ import annotations
@@ -13,17 +15,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 
-from cohortlens.operators.glm import INTERCEPT, Fit, _kept_columns
+from cohortlens.operators.factor import factors, least_squares, stacked
+from cohortlens.operators.glm import INTERCEPT, Fit
 
 
 @dataclass
 class Gram:
-    """Cross products of [1, features..., y], total and per fold."""
+    """Factors of [1, features..., y]: ``total' total`` are the cross products of all rows, and so per fold."""
     features: list[str]
     label: str
     total: np.ndarray
@@ -34,22 +34,13 @@ class Gram:
         return [0, *[pos[c] for c in cols]]
 
     def solve(self, cols: Sequence[str], M: np.ndarray | None = None) -> Fit:
-        """OLS of ``label ~ cols`` from a cross-product matrix (total by default)."""
+        """OLS of ``label ~ cols`` from a factor (all rows by default)."""
         M = self.total if M is None else M
-        I = self._idx(cols)
-        yi = len(self.features) + 1
-        G = M[np.ix_(I, I)]
-        b = M[I, yi]
-        yty = M[yi, yi]
-        n = M[0, 0]
-        kept = _kept_columns(G)
-        beta = np.full(len(I), np.nan)
-        beta[kept] = np.linalg.solve(G[np.ix_(kept, kept)], b[kept])
-        bk = np.nan_to_num(beta)
-        rss = max(float(yty - 2 * bk @ b + bk @ G @ bk), 0.0)
-        f = Fit("gaussian", [INTERCEPT, *cols], beta, G[np.ix_(kept, kept)], kept, rss, float(n), 1, True, rss)
-        ybar = M[0, yi] / n
-        tss = float(yty - n * ybar * ybar)
+        A, y = M[:, self._idx(cols)], M[:, len(self.features) + 1]
+        n = float(round(M[:, 0] @ M[:, 0]))
+        beta, kept, root, rss = least_squares(A, y)
+        f = Fit("gaussian", [INTERCEPT, *cols], beta, root, kept, rss, n, 1, True, rss)
+        tss = least_squares(M[:, :1], y)[3]
         k = len(kept)
         f.extra["r2"] = 1 - rss / tss if tss > 0 else float("nan")
         f.extra["adj_r2"] = 1 - (rss / (n - k)) / (tss / (n - 1)) if tss > 0 and n > k else float("nan")
@@ -57,92 +48,38 @@ class Gram:
 
     def sse(self, fit: Fit, M: np.ndarray) -> tuple[float, float]:
         """Sum of squared errors and row count of ``fit`` on the rows summarised by ``M``."""
-        I = self._idx(fit.names[1:])
-        yi = len(self.features) + 1
-        G, b, yty = M[np.ix_(I, I)], M[I, yi], M[yi, yi]
-        bk = np.nan_to_num(fit.beta)
-        return float(yty - 2 * bk @ b + bk @ G @ bk), float(M[0, 0])
+        rest = M[:, len(self.features) + 1] - M[:, self._idx(fit.names[1:])] @ np.nan_to_num(fit.beta)
+        return float(rest @ rest), float(round(M[:, 0] @ M[:, 0]))
 
     def cv_mse(self, cols: Sequence[str]) -> float:
-        """K-fold CV MSE, averaged over folds (train Gram = total - fold)."""
+        """K-fold CV MSE, averaged over folds (the others' factors stacked give the training rows')."""
         errs = []
         for k, Mk in sorted(self.folds.items()):
-            f = self.solve(cols, self.total - Mk)
+            rest = [M for j, M in self.folds.items() if j != k]
+            if not rest:
+                continue
+            f = self.solve(cols, stacked(rest))
             sse, nk = self.sse(f, Mk)
             errs.append(sse / nk)
         return float(np.mean(errs)) if errs else float("nan")
 
 
 def gram(df: DataFrame, features: Sequence[str], label: str, fold_col: str | None = None) -> Gram:
-    """One distributed pass: per-fold cross products of [1, x, y]."""
-    feats = list(features)
-    cols = [*feats, label, *([fold_col] if fold_col else [])]
-
-    def run(it):
-        acc: dict[int, np.ndarray] = {}
-        for pdf in it:
-            if pdf.empty:
-                continue
-            Z = np.hstack([np.ones((len(pdf), 1)), pdf[feats + [label]].to_numpy(dtype=np.float64)])
-            keys = pdf[fold_col].to_numpy() if fold_col else np.zeros(len(pdf), dtype=int)
-            for k in np.unique(keys):
-                Zk = Z[keys == k]
-                part = (Zk.T @ Zk).ravel()
-                acc[int(k)] = part if int(k) not in acc else acc[int(k)] + part
-        if acc:
-            yield pd.DataFrame({"fold": list(acc.keys()), "v": [a.tolist() for a in acc.values()]})
-
-    parts = df.select(*cols).mapInPandas(run, "fold int, v array<double>")
-    red = parts.groupBy("fold").agg(Summarizer.sum(array_to_vector("v")).alias("s")).collect()
-    q = len(feats) + 2
-    folds = {r["fold"]: r["s"].toArray().reshape(q, q) for r in red}
-    total = sum(folds.values())
-    return Gram(feats, label, total, folds if fold_col else {})
+    """One distributed pass: the factor of [1, x, y], per fold where a fold column is given."""
+    return gram_many(df, features, label, {"all": (None, fold_col)})["all"]
 
 
 def gram_many(df: DataFrame, features: Sequence[str], label: str,
-              sets: dict[str, tuple[str, str | None]]) -> dict[str, Gram]:
+              sets: dict[str, tuple[str | None, str | None]]) -> dict[str, Gram]:
     """One pass for several training sets: ``sets`` maps a name to (0/1
-    include column, fold column or None).  A row counts in every set that
-    includes it; partials are keyed (set, fold) and reduced together."""
+    include column or None, fold column or None).  A row counts in every set
+    that includes it."""
     feats = list(features)
-    names = sorted(sets)
-    aux = sorted({c for inc, fc in sets.values() for c in (inc, fc) if c})
-    cols = [*feats, label, *aux]
-
-    def run(it):
-        acc: dict[tuple, np.ndarray] = {}
-        for pdf in it:
-            if pdf.empty:
-                continue
-            Z = np.hstack([np.ones((len(pdf), 1)), pdf[feats + [label]].to_numpy(dtype=np.float64)])
-            for si, name in enumerate(names):
-                inc, fc = sets[name]
-                m = pdf[inc].to_numpy() == 1
-                if not m.any():
-                    continue
-                keys = pdf[fc].to_numpy()[m] if fc else np.zeros(int(m.sum()), dtype=int)
-                Zm = Z[m]
-                for k in np.unique(keys):
-                    Zk = Zm[keys == k]
-                    part = (Zk.T @ Zk).ravel()
-                    key = (si, int(k))
-                    acc[key] = part if key not in acc else acc[key] + part
-        if acc:
-            yield pd.DataFrame({"s": [k[0] for k in acc], "fold": [k[1] for k in acc],
-                                "v": [a.tolist() for a in acc.values()]})
-
-    parts = df.select(*cols).mapInPandas(run, "s int, fold int, v array<double>")
-    red = parts.groupBy("s", "fold").agg(Summarizer.sum(array_to_vector("v")).alias("m")).collect()
-    q = len(feats) + 2
-    per: dict[str, dict[int, np.ndarray]] = {n: {} for n in names}
-    for r in red:
-        per[names[r["s"]]][r["fold"]] = r["m"].toArray().reshape(q, q)
+    per = factors(df, [*feats, label], sets)
     out = {}
-    for n in names:
-        folds = per[n]
-        total = sum(folds.values()) if folds else np.zeros((q, q))
-        out[n] = Gram(feats, label, total, folds if sets[n][1] else {})
+    for name, folds in per.items():
+        total = stacked(list(folds.values())) if folds else np.zeros((1, len(feats) + 2))
+        out[name] = Gram(feats, label, total, folds if sets[name][1] else {})
     return out
 
 
@@ -151,8 +88,10 @@ def stepwise_gram(g: Gram, terms: dict[str, list[str]], start: Sequence[str]) ->
 
     ``terms`` maps a formula term (a factor or a numeric) to its columns; a
     factor enters and leaves as a block.  AIC = n log(RSS/n) + 2k.  Returns
-    (selected terms, fit, path).  No data pass: every candidate is a solve.
+    (selected terms, fit, path); ``fit.extra["finished"]`` says that no step
+    improved any more.  No data pass: every candidate is a solve.
     """
+    finished = False
     current = list(start)
     cols = lambda ts: [c for t in ts for c in terms[t]]
     fit = g.solve(cols(current))
@@ -168,7 +107,9 @@ def stepwise_gram(g: Gram, terms: dict[str, list[str]], start: Sequence[str]) ->
             if best is None or a < best[0]:
                 best = (a, action, t, ts, f)
         if best is None or best[0] >= aic:
+            finished = True
             break
         aic, action, t, current, fit = best[0], best[1], best[2], best[3], best[4]
         path.append((action, t, aic))
+    fit.extra["finished"] = finished
     return current, fit, path

@@ -5,8 +5,8 @@ false pass = predicted 1 but truly 0 (FP).  All four confusion cells are
 always present; a ratio with a zero denominator is NULL.
 
 Scale notes: confusion counts are ``count_if`` aggregates (one pass, map-side
-partial).  ROC/AUC first collapse rows to unique scores, then use two-level
-prefix sums (``ranking.cumulative``), so no task ever sorts all scores.  The
+partial).  ROC/AUC first collapse rows to unique scores, then sum over ranges
+of them (``ranking.running_sums``), so no task ever sorts all scores.  The
 0..1 sweep buckets scores into its 101 cuts and suffix-sums 102 rows.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import safe_ratio
 from cohortlens.session import materialize
-from cohortlens.operators.ranking import cumulative, join_summary, quantile_splits, range_bucket
+from cohortlens.operators.ranking import running_sums
 
 CELLS = ("tn", "fn", "fp", "tp")
 
@@ -127,13 +127,14 @@ def _grouped(df: DataFrame, group_cols: Sequence[str]):
     return df.withColumn("_g", F.lit(0)), ["_g"], ["_g"]
 
 
-def _cumulative_scores(df, label, score, g, n_buckets):
-    # the unique-score table feeds four jobs (splits, offsets, directions,
-    # result): checkpoint it once instead of replaying the scoring upstream
-    u = materialize(score_counts(df, label, score, g))
-    splits = quantile_splits(u, "score", n_buckets)
-    return cumulative(range_bucket(u, "score", splits), ["score"], ["pos", "neg"],
-                      partition_cols=g, with_next="next_score")
+def _cumulative_scores(df, label, score, g):
+    # the unique scores are dealt to ranges, which samples them first: checkpoint
+    # them once instead of replaying the scoring upstream
+    return _cumulative_counts(materialize(score_counts(df, label, score, g)), g)
+
+
+def _cumulative_counts(u, g):
+    return materialize(running_sums(u, "score", ["pos", "neg"], g, with_next="next_score"))
 
 
 def _directions(cum: DataFrame, g) -> DataFrame:
@@ -153,7 +154,7 @@ def _directions(cum: DataFrame, g) -> DataFrame:
 
 
 def roc_curve(df: DataFrame, label: str = "final", score: str = "score",
-              group_cols: Sequence[str] = (), n_buckets: int = 256) -> DataFrame:
+              group_cols: Sequence[str] = ()) -> DataFrame:
     """W1 (+W3): exact ROC over all cut points.
 
     Thresholds are -Inf, the midpoints of adjacent unique scores, and +Inf;
@@ -163,12 +164,10 @@ def roc_curve(df: DataFrame, label: str = "final", score: str = "score",
     exact tie handling.
     """
     df, g, extra = _grouped(df, group_cols)
-    cum = _cumulative_scores(df, label, score, g, n_buckets)
-    # one row per group: a shuffle on the constant key of an ungrouped call would
-    # put all unique scores into one task, so a small table is broadcast
-    dirs = materialize(_directions(cum, g))
+    cum = _cumulative_scores(df, label, score, g)
+    dirs = materialize(_directions(cum, g))  # one row per group
     lt = F.col("direction") == "<"
-    inner = join_summary(cum, dirs, g).select(
+    inner = cum.join(dirs, g).select(
         *g, F.when(F.col("next_score").isNull(), F.lit(float("inf")))
              .otherwise((F.col("score") + F.col("next_score")) / 2).alias("threshold"),
         "direction", "n_pos", "n_neg",
@@ -187,21 +186,35 @@ def roc_curve(df: DataFrame, label: str = "final", score: str = "score",
     return out.drop(*extra)
 
 
-def auc(df: DataFrame, label: str = "final", score: str = "score", group_cols: Sequence[str] = (),
-        n_buckets: int = 256) -> DataFrame:
+def auc(df: DataFrame, label: str = "final", score: str = "score", group_cols: Sequence[str] = ()) -> DataFrame:
     """Exact AUC (Mann-Whitney with mid-ranks for ties), pROC direction.
 
     ``sum_s pos_s * (neg below s + neg_s / 2) / (P * N)``; 1 - that when
     controls lie above cases.  Columns: group..., auc, direction, n_pos, n_neg.
     """
     df, g, extra = _grouped(df, group_cols)
-    cum = _cumulative_scores(df, label, score, g, n_buckets)
+    return _auc(_cumulative_scores(df, label, score, g), g).drop(*extra)
+
+
+def auc_of_counts(counts: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """W2 from (group..., score, pos, neg) rows with unique scores, as ``score_counts`` gives."""
+    return _auc(_cumulative_counts(counts, list(group_cols)), list(group_cols))
+
+
+def confusion_of_counts(counts: DataFrame, group_cols: Sequence[str], threshold: float) -> DataFrame:
+    """A8 of ``score > threshold`` from (group..., score, pos, neg) rows."""
+    high = F.col("score") > F.lit(float(threshold))
+    return counts.groupBy(*group_cols).agg(*[F.sum(F.when(cond, F.col(n)).otherwise(0)).alias(c) for c, cond, n in (
+        ("tn", ~high, "neg"), ("fn", ~high, "pos"), ("fp", high, "neg"), ("tp", high, "pos"))])
+
+
+def _auc(cum: DataFrame, g: Sequence[str]) -> DataFrame:
     dirs = _directions(cum, g)
     u = cum.groupBy(*g).agg(F.sum(F.col("pos") * (F.col("neg_cum") - F.col("neg") * F.lit(0.5))).alias("u"))
     lt = safe_ratio(F.col("u"), F.col("n_pos").cast("double") * F.col("n_neg").cast("double"))  # one class: NULL
-    return join_summary(u, dirs, g).select(
+    return u.join(dirs, g).select(
         *g, F.when(F.col("direction") == "<", lt).otherwise(F.lit(1.0) - lt).alias("auc"),
-        "direction", "n_pos", "n_neg").drop(*extra)
+        "direction", "n_pos", "n_neg")
 
 
 def best_threshold(roc: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:

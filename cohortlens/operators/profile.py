@@ -2,7 +2,7 @@
 
 Each profile is one aggregate pass producing one wide row, then an
 ``unpivot`` to a long (column, statistic) table -- never a loop of jobs per
-column.  Exact quantiles use iterative selection (``ranking``) instead of
+column.  Exact quantiles use radix selection (``ranking``) instead of
 Spark's ``percentile``, which buffers a whole group in one task.
 """
 
@@ -70,8 +70,8 @@ def mean_sd(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A13 (numeric): min, Q1, median, mean, Q3, max, NULL count per column.
 
-    Quartiles are R type 7, computed exactly by distributed selection (a few
-    aggregate rounds shared by all columns), so no task holds a whole column.
+    Quartiles are R type 7, found exactly by radix selection (a few counting
+    passes shared by all columns), so no task holds a whole column.
     """
     spark = df.sparkSession
     known = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))  # noqa: E731  the selection skips NaN too

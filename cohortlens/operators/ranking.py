@@ -1,26 +1,28 @@
 """Global ranks, prefix sums and exact order statistics without a global sort.
 
 A window with an ORDER BY but no PARTITION BY pulls every row into one task.
-Everything here is two-level instead:
-
-1. give each row a *bucket* that is monotone in the sort order (a hash prefix
-   for md5 order keys, a quantile range for numeric scores);
-2. count / sum per bucket -- a small table bounded by the number of buckets
-   (times the number of groups), which is prefix-summed and broadcast;
-3. rank / sum inside each bucket with a window partitioned by the bucket, so
-   the sort is spread over as many tasks as there are buckets.
-
-Exact quantiles use iterative selection: each pass counts rows per range
-bucket, keeps only the bucket holding the wanted rank, and recurses until the
-candidate set is small enough to sort directly.
+Nothing here does.  Three ways, by what is asked:
+
+* *which rows come first* (splits, samples): only the key at the wanted rank is
+  searched, by counting key prefixes, and rows compare with it (``cut_keys``);
+  no row moves;
+* *the values at some ranks* (quantiles): radix selection over the bits of the
+  doubles, all columns and ranks in one count a pass (``order_statistics_many``);
+* *the rank of every row* (ROC, ACF, QQ points): rows are dealt to consecutive
+  ranges of the order, sorted there, and offset by the sums of earlier ranges
+  (``positions``, ``running_sums``); or, for keys that are hashes, in windows by
+  their prefix (``cumulative``, ``hash_rank``).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,32 +37,13 @@ def hash_bucket(key: Column | str, digits: int = 4) -> Column:
     return F.conv(F.substring(key, 1, digits), 16, 10).cast("int")
 
 
-def quantile_splits(df: DataFrame, col: str, n_buckets: int = 256, accuracy: int = 10000) -> list[float]:
-    """Strictly increasing split points for a Bucketizer, from approx quantiles.
-
-    Approximation only affects bucket balance, never correctness: the buckets
-    are just a partition of the value range.
-    """
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, accuracy).alias("q")).first()
-    qs = sorted(set(float(x) for x in (row["q"] or []) if x is not None and not math.isnan(x)))
-    return [-math.inf, *qs, math.inf]
-
-
-def range_bucket(df: DataFrame, col: str, splits: Sequence[float], out: str = _BKT) -> DataFrame:
-    """Assign the bucket index of ``col`` (binary search, JVM-side)."""
-    b = Bucketizer(splits=list(splits), inputCol=col, outputCol=out, handleInvalid="keep")
-    return b.transform(df).withColumn(out, F.col(out).cast("int"))
-
-
 def small_frame(df: DataFrame) -> DataFrame:
     """Evaluate a *bounded* summary now and re-create it as a local frame.
 
-    Used for per-bucket offsets, class sizes and per-group constants: the
-    summary is computed by its own job and the big input then appears only
-    once in the downstream plan (a plan that re-embeds its input for every
-    use grows exponentially along a chain of ranks).  Callers guarantee the
-    size bound (buckets x groups rows).
+    Used for class sizes and per-group constants: the summary is computed by
+    its own job and the big input then appears only once in the downstream plan
+    (a plan that re-embeds its input for every use grows exponentially along a
+    chain of ranks).  Callers guarantee the size bound.
     """
     table = df.toArrow()  # Arrow keeps NULLs (a pandas round trip turns them into NaN)
     if table.num_rows == 0:
@@ -68,89 +51,103 @@ def small_frame(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(table, schema=df.schema)
 
 
-#: A summary row holds a few numbers, so this many are some MB.
-BROADCAST_ROWS = 200_000
+# ------------------------------------------------------------------ cut keys
 
+#: Hex digits of a key that one pass counts, and the rows whose whole keys it may count instead.
+CUT_DIGITS = 3
+WHOLE_KEYS = 4096
 
-def join_summary(big: DataFrame, summary: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join a per-group summary of any size.
 
-    The summary is checkpointed, so the plan of ``big`` occurs once.  Up to
-    ``BROADCAST_ROWS`` rows (counted) it is broadcast; beyond it the join
-    shares the shuffle with the window on the same keys.
-    """
-    side = materialize(summary)
-    return big.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, list(on), how)
+@dataclass(frozen=True)
+class Cut:
+    """The key at a rank.  Rows with a smaller key come first; of the ``ties``
+    rows with this very key, ``within`` do.  No key: no row is wanted."""
+    key: str | None
+    within: int = 0
+    ties: int = 0
 
 
-def cumulative(df: DataFrame, order_cols: Sequence[str], values: Sequence[str], bucket: str = _BKT,
-               partition_cols: Sequence[str] = (), suffix: str = "_cum",
-               with_next: str | None = None, with_total: bool = True) -> DataFrame:
-    """Inclusive running sums of ``values`` in ``order_cols`` order, two-level.
+def cut_keys(df: DataFrame, key: Column, wanted: Sequence[tuple[Column, int]]) -> list[Cut]:
+    """The key at the given rank (from 1; 0 wants none) of each group of rows.
 
-    ``df`` must carry ``bucket``, monotone non-decreasing in the order.  Adds
-    ``<v>_cum`` for every value (and ``<v>_tot`` per partition when
-    ``with_total``).  ``with_next`` names a column to receive the next row's
-    first order column (NULL on the last row), used for ROC midpoints.
-    The per-bucket offset table (#buckets x #partition groups rows) is
-    computed by one small job and joined (``join_summary``).
+    ``wanted``: (condition, rank) of disjoint groups; ``key`` is an md5 hex
+    string, never NULL.  Each pass counts the next ``CUT_DIGITS`` digits of the keys that
+    begin like the wanted ones, 4096 counters a group, of which only the one at
+    the rank comes to the driver; the last pass counts whole keys, when
+    ``WHOLE_KEYS`` rows at most are left.  Passes grow with the logarithm of the
+    rows, and no row is shuffled.
     """
-    pcols = list(partition_cols)
-    per_bucket = df.groupBy(*pcols, bucket).agg(
-        *[F.sum(v).alias(f"{v}_bsum") for v in values],
-        *([F.min(order_cols[0]).alias("_bmin")] if with_next else []))
-    wb = Window.partitionBy(*pcols).orderBy(bucket)
-    prev = wb.rowsBetween(Window.unboundedPreceding, -1)
-    offs = per_bucket.select(
-        *pcols, bucket,
-        *[F.coalesce(F.sum(f"{v}_bsum").over(prev), F.lit(0)).alias(f"{v}_off") for v in values],
-        *([F.sum(f"{v}_bsum").over(Window.partitionBy(*pcols)).alias(f"{v}_tot") for v in values]
-          if with_total else []),
-        *([F.lead("_bmin").over(wb).alias("_next_bmin")] if with_next else []))
-    joined = join_summary(df, offs, [*pcols, bucket])
-    wi = Window.partitionBy(*pcols, bucket).orderBy(*order_cols)
-    run = wi.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = joined.withColumns({f"{v}{suffix}": F.col(f"{v}_off") + F.sum(v).over(run) for v in values})
-    if with_next:
-        out = out.withColumn(with_next, F.coalesce(F.lead(order_cols[0]).over(wi), F.col("_next_bmin")))
-    return out.drop(*[f"{v}_off" for v in values], *(["_next_bmin"] if with_next else []))
-
-
-def hash_rank(df: DataFrame, key: str, partition_cols: Sequence[str] = (), out: str = "rank",
-              digits: int = 4, total: str | None = "n_total") -> DataFrame:
-    """1-based rank by an md5 hex ``key`` within ``partition_cols``.
-
-    ``partition_cols`` must be low-cardinality (a class label): the broadcast
-    offset table holds 16**digits rows per group.  Adds ``total`` (group size)
-    too.  Ties of equal keys get distinct, arbitrary ranks.
-    """
-    d = df.withColumn(_BKT, hash_bucket(key, digits)).withColumn("_one", F.lit(1))
-    ranked = cumulative(d, [key], ["_one"], partition_cols=partition_cols, with_total=total is not None)
-    ranked = ranked.withColumnRenamed("_one_cum", out)
-    if total is not None:
-        ranked = ranked.withColumnRenamed("_one_tot", total)
-    return ranked.drop(_BKT, "_one")
-
+    begin, rank = [""] * len(wanted), [r for _, r in wanted]
+    left = [math.inf] * len(wanted)
+    cuts: list[Cut | None] = [None if r > 0 else Cut(None) for r in rank]
+    while (open_ := [i for i, c in enumerate(cuts) if c is None]):
+        which, digits = F.lit(None).cast("int"), F.lit(None).cast("string")
+        for i in open_:
+            mine = F.coalesce(wanted[i][0], F.lit(False)) & key.startswith(begin[i])
+            n = 32 if left[i] <= WHOLE_KEYS else CUT_DIGITS
+            which = F.when(mine, F.lit(i)).otherwise(which)
+            digits = F.when(mine, F.substring(key, len(begin[i]) + 1, n)).otherwise(digits)
+        counts = (df.select(which.alias("i"), digits.alias("digits")).where("i is not null")
+                  .groupBy("i", "digits").agg(F.count(F.lit(1)).alias("n")))
+        through = F.sum("n").over(Window.partitionBy("i").orderBy("digits"))  # `size` rows a group at most
+        at = reduce(lambda a, b: a | b, [(F.col("i") == i) & (F.col("through") >= rank[i]) & (F.col("through") - F.col("n") < rank[i]) for i in open_])
+        found = {r["i"]: r for r in counts.withColumn("through", through).where(at).collect()}
+        for i in open_:
+            if i not in found:
+                raise ValueError(f"fewer rows than the rank {wanted[i][1]} that is asked for")
+            r = found[i]
+            begin[i] += r["digits"]
+            rank[i] -= r["through"] - r["n"]
+            left[i] = r["n"]
+            if len(begin[i]) == 32:
+                cuts[i] = Cut(begin[i], rank[i], r["n"])
+    return cuts  # type: ignore[return-value]
+
+
+def select_first(df: DataFrame, key: Column, wanted: Sequence[tuple[Column, int]], flag: str) -> DataFrame:
+    """Adds the boolean ``flag``: the row is among the first ``rank`` rows of its
+    group by ``key`` (false outside the groups).  A projection, but for a cut
+    that falls among rows of one and the same key: those are numbered apart."""
+    key = F.coalesce(key, F.md5(F.lit("")))  # rows without a key tie
+    cuts = cut_keys(df, key, wanted)
+    first, tied = F.lit(False), F.lit(False)
+    for (condition, _), cut in zip(wanted, cuts):
+        if cut.key is not None:
+            mine = F.coalesce(condition, F.lit(False))
+            split = cut.within < cut.ties
+            first = first | (mine & ((key < cut.key) if split else (key <= cut.key)))
+            tied = tied | (mine & (key == cut.key)) if split else tied
+    out = df.withColumn(flag, first)
+    if all(c.within == c.ties for c in cuts):
+        return out
+    parts = [out.where(~F.coalesce(tied, F.lit(False)))]
+    for (condition, _), cut in zip(wanted, cuts):
+        if cut.within < cut.ties:
+            same = df.where(F.coalesce(condition, F.lit(False)) & (key == cut.key))
+            parts.append(positions(same, [], "_at").withColumn(flag, F.col("_at") < cut.within).drop("_at"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+# ------------------------------------------------- ranks and sums over ranges
 
 def in_ranges(df: DataFrame, order: Sequence[Column | str], n: int | None = None) -> DataFrame:
-    """Rows dealt to ``n`` consecutive ranges of ``order`` and sorted in each.
-
-    ``n`` is the session's number of shuffle partitions by default, so the
-    ranges, and the tasks that sort them, grow with the data.  A row number
-    ends the order: equal keys, however many, spread over several ranges.
-    Adds ``_range`` (from 0, ascending in the order) and ``_place`` (from 0
-    within the range).  The frame is checkpointed, as ranges are cut at sampled
-    keys: every later job must see the same ones.
+    """Rows dealt to consecutive ranges of ``order`` and sorted in each.
+
+    There are ``n`` ranges; without it as many as the session has shuffle
+    partitions, less where AQE joins small ones, so ranges and the tasks that
+    sort them grow with the data.  A row number ends the order: equal keys,
+    however many, spread over several ranges.  Adds ``_range`` (ascending in the
+    order) and ``_place`` (from 0 within the range).  The frame is checkpointed,
+    as ranges are cut at sampled keys: every later job must see the same ones.
     """
-    spark = df.sparkSession
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     names = [f"_order{i}" for i in range(len(keys))]
     keyed = df.withColumns(dict(zip(names, keys))) if keys else df
     keyed = keyed.withColumn("_order", F.monotonically_increasing_id())
     by = [*[F.col(c).asc_nulls_first() for c in names], F.col("_order").asc()]
-    n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keyed.repartitionByRange(n, *by) if n else keyed.repartitionByRange(*by)
     row = F.monotonically_increasing_id()  # range index in the upper bits, place in the lower 33
-    dealt = keyed.repartitionByRange(n, *by).sortWithinPartitions(*by).drop(*names, "_order").withColumn("_row", row)
+    dealt = dealt.sortWithinPartitions(*by).drop(*names, "_order").withColumn("_row", row)
     return materialize(dealt.withColumns({"_range": F.shiftright("_row", 33).cast("int"),
                                           "_place": F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_row"))
 
@@ -187,148 +184,180 @@ def positions(df: DataFrame, order: Sequence[Column | str], out: str = "position
             .drop("_range", "_place", "_before", "_total"))
 
 
-def order_statistics(df: DataFrame, col: str, ranks: Sequence[int], local_limit: int = 50000,
-                     n_buckets: int = 64, accuracy: int = 10000) -> dict[int, float]:
+def running_sums(df: DataFrame, order: str, values: Sequence[str], group: Sequence[str] = (),
+                 with_next: str | None = None, n: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``values`` by ``order`` within ``group``.
+
+    Rows lie in ranges of (group, order) (``in_ranges``); a window sums within
+    each range, and the sums of a group's earlier ranges are added from a table
+    with a row for each range a group has: ranges and groups together at most.
+    Adds ``<v>_cum`` and ``<v>_tot`` (per group); ``with_next`` names a column
+    for the next row's ``order`` in the group (NULL on the last one).
+    """
+    g = list(group)
+    ranged = in_ranges(df, [*g, order], n)
+    per = ranged.groupBy(*g, "_range").agg(F.min(order).alias("_first"), *[F.sum(v).alias(f"_{v}") for v in values])
+    whole = Window.partitionBy(*g)
+    by = whole.orderBy("_range")
+    offsets = per.select(
+        *[F.col(c).alias(f"_g_{c}") for c in g], F.col("_range").alias("_r"),
+        *[(F.sum(f"_{v}").over(by) - F.col(f"_{v}")).alias(f"{v}_off") for v in values],
+        *[F.sum(f"_{v}").over(whole).alias(f"{v}_tot") for v in values],
+        F.lead("_first").over(by).alias("_then"))
+    same = F.col("_range") == F.col("_r")
+    for c in g:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    joined = ranged.join(offsets, same)
+    here = Window.partitionBy(*g, "_range").orderBy("_place")
+    run = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = joined.withColumns({f"{v}_cum": F.col(f"{v}_off") + F.sum(v).over(run) for v in values})
+    if with_next:
+        out = out.withColumn(with_next, F.coalesce(F.lead(order).over(here), F.col("_then")))
+    return out.drop("_range", "_place", "_r", "_then", *[f"_g_{c}" for c in g], *[f"{v}_off" for v in values])
+
+
+# -------------------------------------------------- ranks by a hash's prefix
+
+def cumulative(df: DataFrame, order_cols: Sequence[str], values: Sequence[str], bucket: str = _BKT,
+               partition_cols: Sequence[str] = (), suffix: str = "_cum", with_total: bool = True) -> DataFrame:
+    """Inclusive running sums of ``values`` in ``order_cols`` order, two-level.
+
+    ``df`` must carry ``bucket``, monotone non-decreasing in the order and, as a
+    hash's prefix, even in size.  Adds ``<v>_cum`` for every value (and
+    ``<v>_tot`` per partition when ``with_total``).  The per-bucket offset table
+    (#buckets x #partition groups rows) is checkpointed, so that the plan of
+    ``df`` occurs once, and joined as the planner likes.
+    """
+    pcols = list(partition_cols)
+    per_bucket = df.groupBy(*pcols, bucket).agg(*[F.sum(v).alias(f"{v}_bsum") for v in values])
+    prev = Window.partitionBy(*pcols).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offs = materialize(per_bucket.select(
+        *pcols, bucket,
+        *[F.coalesce(F.sum(f"{v}_bsum").over(prev), F.lit(0)).alias(f"{v}_off") for v in values],
+        *([F.sum(f"{v}_bsum").over(Window.partitionBy(*pcols)).alias(f"{v}_tot") for v in values]
+          if with_total else [])))
+    joined = df.join(offs, [*pcols, bucket])
+    run = Window.partitionBy(*pcols, bucket).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = joined.withColumns({f"{v}{suffix}": F.col(f"{v}_off") + F.sum(v).over(run) for v in values})
+    return out.drop(*[f"{v}_off" for v in values])
+
+
+def hash_rank(df: DataFrame, key: str, partition_cols: Sequence[str] = (), out: str = "rank",
+              digits: int = 4, total: str | None = "n_total") -> DataFrame:
+    """1-based rank by an md5 hex ``key`` within ``partition_cols``.
+
+    ``partition_cols`` must be low-cardinality (a class label).  Adds
+    ``total`` (group size) too.  Ties of equal keys get distinct, arbitrary
+    ranks.
+    """
+    d = df.withColumn(_BKT, hash_bucket(key, digits)).withColumn("_one", F.lit(1))
+    ranked = cumulative(d, [key], ["_one"], partition_cols=partition_cols, with_total=total is not None)
+    ranked = ranked.withColumnRenamed("_one_cum", out)
+    if total is not None:
+        ranked = ranked.withColumnRenamed("_one_tot", total)
+    return ranked.drop(_BKT, "_one")
+
+
+# ---------------------------------------------------- exact order statistics
+
+#: Bits of a double that one pass counts, and the open prefixes that share one (1.5 MB of counters each).
+RADIX = 16
+MOST_SLOTS = 64
+_LOW = (1 << 63) - 1
+
+
+def ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Signed 64-bit integers in the order of the doubles (both zeros alike)."""
+    bits = (x + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(_LOW), bits)
+
+
+def from_ordered_bits(key: int) -> float:
+    return float(np.array([key ^ _LOW if key < 0 else key], np.int64).view(np.float64)[0])
+
+
+def order_statistics(df: DataFrame, col: str, ranks: Sequence[int]) -> dict[int, float]:
     """Exact values at 0-based ``ranks`` of one column (see ``order_statistics_many``)."""
-    return order_statistics_many(df, {col: ranks}, local_limit, n_buckets, accuracy)[col]
+    return order_statistics_many(df, {col: ranks})[col]
 
 
-def order_statistics_many(df: DataFrame, ranks_by_col: dict[str, Sequence[int]], local_limit: int = 50000,
-                          n_buckets: int = 64, accuracy: int = 10000) -> dict[str, dict[int, float]]:
+def order_statistics_many(df: DataFrame, ranks_by_col: dict[str, Sequence[int]]) -> dict[str, dict[int, float]]:
     """Exact values at 0-based ranks of several columns (NULL/NaN excluded).
 
-    Iterative selection in rounds, all columns together.  Each round runs one
-    aggregate over every pending (column, value range) -- count, min, max
-    and approximate quantiles --, one bucket count for the ranges still too
-    large, and one sorted collect of the ranges holding at most
-    ``local_limit`` rows in total -- the only rows that reach the driver.
-    Every round strictly shrinks each range (split points are taken inside
-    (min, max]; a range whose quantiles all equal its minimum -- one heavy
-    value -- peels that value off), so heavy duplicates cannot stall it.
-    With 64 approximate cuts per round, 10^12 rows reach the local limit in
-    about four rounds.
+    Radix selection on the order-preserving bits of the doubles.  A pass counts,
+    for every open (column, leading bits), the next ``RADIX`` bits of the values
+    that begin so, with the least and the greatest of them; tasks count into
+    fixed arrays, a sum by (prefix, next bits) follows, and a window over at
+    most 2^RADIX counts a prefix finds those that hold a wanted rank.  Only
+    these come to the driver.  A rank is done when its bits hold a single
+    value, after 64 / RADIX passes at the latest, whatever the data.
     """
     cols = list(ranks_by_col)
-    vals = df.select(*[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-
-    def vcol(ci):
-        return F.col(f"_v{ci}")
-
-    def in_range(ci, lo, hi):
-        v = vcol(ci)
-        cond = v.isNotNull() & ~F.isnan(v)
-        if math.isfinite(lo):
-            cond = cond & (v >= F.lit(lo))
-        if math.isfinite(hi):
-            cond = cond & (v < F.lit(hi))
-        return cond
-
-    # pending: (column index, lo, hi, base) -> ranks; range lo <= v < hi, base = #values below lo
-    pending = {(ci, -math.inf, math.inf, 0): sorted(set(int(r) for r in ranks_by_col[c]))
-               for ci, c in enumerate(cols) if ranks_by_col[c]}
     result: dict[str, dict[int, float]] = {c: {} for c in cols}
-    while pending:
-        keys = list(pending)
-        aggs = []
-        for i, (ci, lo, hi, _) in enumerate(keys):
-            c, v = in_range(ci, lo, hi), vcol(ci)
-            aggs += [F.count_if(c).alias(f"n{i}"), F.min(F.when(c, v)).alias(f"a{i}"),
-                     F.max(F.when(c, v)).alias(f"b{i}"),
-                     F.percentile_approx(F.when(c, v), probs, accuracy).alias(f"q{i}")]
-        st = vals.agg(*aggs).first()
-        nxt: dict[tuple, list[int]] = {}
-        local_ranges, split_ranges, peel = [], [], []
-        for i, key in enumerate(keys):
-            ci, lo, hi, base = key
-            out = result[cols[ci]]
-            n, vmin, vmax = st[f"n{i}"], st[f"a{i}"], st[f"b{i}"]
-            if n == 0:
-                raise ValueError("rank outside the data")
-            rest = []
-            for r in pending[key]:  # the range's extremes are known exactly already
-                if r == base or vmin == vmax:
-                    out[r] = float(vmin)
-                elif r == base + n - 1:
-                    out[r] = float(vmax)
-                else:
-                    rest.append(r)
-            if not rest:
-                continue
-            if n <= local_limit:
-                local_ranges.append((key, rest, n))
-                continue
-            inner = sorted({float(x) for x in (st[f"q{i}"] or []) if x is not None and vmin < x <= vmax})
-            if not inner:
-                peel.append((key, rest, vmin))
-            else:
-                split_ranges.append((key, rest, inner))
-        for (ci, lo, hi, base), rest, vmin in peel:  # one value holds the quantiles: peel it off
-            c_eq = vals.where(vcol(ci) == F.lit(vmin)).count()
-            for r in rest:
-                if r < base + c_eq:
-                    result[cols[ci]][r] = float(vmin)
+    # open prefixes: (column, bits so far, leading bits) -> rank of its first value, wanted ranks
+    open_ = {(ci, 0, 0): (0, sorted({int(r) for r in ranks_by_col[c]})) for ci, c in enumerate(cols) if len(ranks_by_col[c])}
+    vals = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
+    while open_:
+        slots = list(open_)[:MOST_SLOTS]
+        found = _count_digits(vals, slots, [[r - open_[s][0] for r in open_[s][1]] for s in slots])
+        for k, (ci, bits, prefix) in enumerate(slots):
+            base, ranks = open_.pop(slots[k])
+            for r in ranks:
+                row = next((x for x in found if x["slot"] == k and x["before"] <= r - base < x["before"] + x["n"]), None)
+                if row is None:
+                    raise ValueError("rank outside the data")
+                done = {row["before"]: row["lo"], row["before"] + row["n"] - 1: row["hi"]}  # the ends are known already
+                at = row["lo"] if row["lo"] == row["hi"] else done.get(r - base)
+                if at is not None:
+                    result[cols[ci]][r] = from_ordered_bits(at)
                 else:
-                    nxt.setdefault((ci, math.nextafter(vmin, math.inf), hi, base + c_eq), []).append(r)
-        # small ranges: one sorted collect, bounded by local_limit rows per range
-        batch, size = [], 0
-        for item in local_ranges + [None]:
-            if item is not None and (not batch or size + item[2] <= local_limit):
-                batch.append(item)
-                size += item[2]
-                continue
-            if batch:
-                picks = F.array(*[F.when(in_range(ci, lo, hi), F.struct(F.lit(j).alias("j"), vcol(ci).alias("v")))
-                                  for j, ((ci, lo, hi, _), _r, _n) in enumerate(batch)])
-                rows = (vals.select(F.explode(F.filter(picks, lambda x: x.isNotNull())).alias("p"))
-                        .select("p.j", "p.v").collect())
-                per: dict[int, list[float]] = {}
-                for row in rows:
-                    per.setdefault(row["j"], []).append(row["v"])
-                for j, ((ci, lo, hi, base), rest, _n) in enumerate(batch):
-                    local = sorted(per.get(j, []))
-                    for r in rest:
-                        result[cols[ci]][r] = float(local[r - base])
-            batch, size = ([item], item[2]) if item is not None else ([], 0)
-        if split_ranges:  # large ranges: one bucket count (binary search per column)
-            by_col: dict[int, list] = {}
-            for item in split_ranges:
-                by_col.setdefault(item[0][0], []).append(item)
-            framed, edges_of, pairs = vals, {}, []
-            for ci, items in by_col.items():
-                # a column's pending ranges are disjoint: one edge set serves them all
-                edges = sorted({-math.inf, math.inf} | {e for (_, lo, hi, _), _r, inner in items
-                                                        for e in (lo, *inner, hi)})
-                edges_of[ci] = edges
-                cond = F.lit(False)
-                for (_, lo, hi, _), _r, _i in items:
-                    cond = cond | in_range(ci, lo, hi)
-                framed = range_bucket(framed.withColumn(f"_k{ci}", F.when(cond, vcol(ci))), f"_k{ci}", edges,
-                                      out=f"_b{ci}")
-                pairs.append(F.when(F.col(f"_b{ci}").isNotNull() & F.col(f"_k{ci}").isNotNull(),
-                                    F.struct(F.lit(ci).alias("c"), F.col(f"_b{ci}").alias("b"))))
-            counts = {(row["c"], row["b"]): row["n"] for row in
-                      framed.select(F.explode(F.filter(F.array(*pairs), lambda x: x.isNotNull())).alias("p"))
-                      .groupBy("p.c", "p.b").agg(F.count(F.lit(1)).alias("n")).collect()}
-            for (ci, lo, hi, base), rest, _inner in split_ranges:
-                edges = edges_of[ci]
-                cum = base
-                for b in range(len(edges) - 1):
-                    blo, bhi = edges[b], edges[b + 1]
-                    if blo < lo or bhi > hi:
-                        continue
-                    c = counts.get((ci, b), 0)
-                    hit = [r for r in rest if cum <= r < cum + c]
-                    if hit:
-                        nxt.setdefault((ci, blo, bhi, cum), []).extend(hit)
-                    cum += c
-        pending = nxt
+                    key = ci, bits + RADIX, prefix << RADIX | row["digit"]
+                    open_.setdefault(key, (base + row["before"], []))[1].append(r)
     return result
 
 
+def _count_digits(vals: DataFrame, slots: Sequence[tuple[int, int, int]], ranks: Sequence[Sequence[int]]) -> list:
+    """Rows (slot, digit, before, n, lo, hi) of the digits that hold a wanted rank."""
+    by_col: dict[int, list[tuple[int, int, int]]] = {}
+    for k, (ci, bits, prefix) in enumerate(slots):
+        by_col.setdefault(ci, []).append((k, bits, prefix))
+    radix, used = RADIX, sorted(by_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((len(slots), 1 << radix), np.int64)
+        lo = np.full(n.shape, np.iinfo(np.int64).max)
+        hi = np.full(n.shape, np.iinfo(np.int64).min)
+        for batch in batches:
+            for at, ci in enumerate(used):
+                x = batch.column(at).drop_null().to_numpy(zero_copy_only=False)
+                key = ordered_bits(x[~np.isnan(x)])
+                lead = (key >> np.int64(64 - radix)) + (1 << radix - 1)  # the first digits, from 0
+                for k, bits, prefix in by_col[ci]:
+                    own, digit = key, lead
+                    if bits:
+                        rest = (key & np.int64((1 << 64 - radix) - 1)) >> np.int64(64 - bits)
+                        own = key[(lead << np.int64(bits - radix) | rest) == prefix]
+                        digit = own >> np.int64(64 - bits - radix) & np.int64((1 << radix) - 1)
+                    n[k] += np.bincount(digit, minlength=1 << radix)
+                    np.minimum.at(lo[k], digit, own)
+                    np.maximum.at(hi[k], digit, own)
+        slot, digit = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(digit), pa.array(n[slot, digit]),
+                                          pa.array(lo[slot, digit]), pa.array(hi[slot, digit])], ["slot", "digit", "n", "lo", "hi"])
+
+    counts = (vals.select(*[f"v{ci}" for ci in used]).mapInArrow(run, "slot int, digit bigint, n bigint, lo bigint, hi bigint")
+              .groupBy("slot", "digit").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    before = F.sum("n").over(Window.partitionBy("slot").orderBy("digit")) - F.col("n")
+    held = reduce(lambda a, b: a | b, [(F.col("slot") == k) & F.exists(F.array(*[F.lit(r).cast("bigint") for r in wanted]),
+                                                                       lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))
+                                       for k, wanted in enumerate(ranks)])
+    return counts.withColumn("before", before).where(held).collect()
+
+
 def quantiles_type7_many(df: DataFrame, probs_by_col: dict[str, Sequence[float]],
                          counts: dict[str, int]) -> dict[str, list[float]]:
-    """Type-7 quantiles of several columns in shared selection rounds."""
+    """Type-7 quantiles of several columns in shared selection passes: R's
+    default = Spark ``percentile`` = DuckDB ``quantile_cont``, exactly."""
     plans, need = {}, {}
     for c, probs in probs_by_col.items():
         n = counts[c]
@@ -346,16 +375,7 @@ def quantiles_type7_many(df: DataFrame, probs_by_col: dict[str, Sequence[float]]
 
 
 def quantiles_type7(df: DataFrame, col: str, probs: Sequence[float], n: int | None = None) -> list[float]:
-    """R's default quantile (type 7) = Spark ``percentile`` = DuckDB ``quantile_cont``, exactly."""
+    """``quantiles_type7_many`` of one column; its known values are counted unless ``n`` is given."""
     if n is None:
         n = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).count()
-    need = set()
-    plan = []
-    for p in probs:
-        h = (n - 1) * p
-        lo = int(math.floor(h))
-        hi = min(lo + 1, n - 1)
-        plan.append((lo, hi, h - lo))
-        need.update([lo, hi])
-    stats = order_statistics(df, col, sorted(need))
-    return [stats[lo] + frac * (stats[hi] - stats[lo]) for lo, hi, frac in plan]
+    return quantiles_type7_many(df, {col: probs}, {col: n})[col]

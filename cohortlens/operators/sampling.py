@@ -1,19 +1,22 @@
 """Reproducible exact-size splits, balanced down-sampling and folds.
 
 Membership is decided by the rank of ``md5('<seed>:' || id)``: the same rows
-are chosen on every run, every partitioning and every engine.  Ranks are
-two-level (hash-prefix buckets; see ``ranking``), so no step sorts the whole
-table in one task, and the sizes are exact where ``randomSplit``/``sample``
-are only approximate.
+are chosen on every run, every partitioning and every engine, and the sizes are
+exact where ``randomSplit``/``sample`` are only approximate.  A split or a sample
+needs no ranks: the key at its size is searched by counting key prefixes
+(``ranking.cut_keys``), and each row compares its own key with that one, so no
+row is shuffled or sorted.  Only folds rank every row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import order_key
-from cohortlens.operators.ranking import hash_rank, small_frame
+from cohortlens.operators.ranking import hash_rank, select_first
 
 
 def split_train_test(df: DataFrame, id_col: str = "id", frac: float = 0.8, seed=46,
@@ -22,47 +25,38 @@ def split_train_test(df: DataFrame, id_col: str = "id", frac: float = 0.8, seed=
 
     J2 (the complement) is ``where(split == 'test')`` -- no anti join.
     ``within``: split only the rows whose 0/1 column ``within`` is 1 (the
-    others get NULL), keeping every row in the frame.
+    others get NULL), keeping every row in the frame.  Rows of one id tie, rows
+    without an id too; which of them come first is arbitrary, their number not.
     """
-    pcols = [within] if within else []
-    ranked = hash_rank(df.withColumn("_key", order_key(id_col, seed)), "_key", partition_cols=pcols,
-                       out="_rank", total="_n")
-    n_train = F.floor(F.lit(float(frac)) * F.col("_n"))
-    lab = F.when(F.col("_rank") <= n_train, F.lit("train")).otherwise(F.lit("test"))
-    if within:
-        lab = F.when(F.col(within) == 1, lab)
-    return ranked.withColumn(out, lab).drop("_key", "_rank", "_n")
+    inside = F.coalesce(F.col(within) == 1, F.lit(False)) if within else F.lit(True)
+    n_train = math.floor(float(frac) * df.where(inside).count())
+    flagged = select_first(df, order_key(id_col, seed), [(inside, n_train)], "_first")
+    side = F.when(F.col("_first"), F.lit("train")).otherwise(F.lit("test"))
+    return flagged.withColumn(out, F.when(inside, side) if within else side).drop("_first")
 
 
 def downsample_majority(df: DataFrame, label: str = "final", id_col: str = "id", minority=0,
                         seed=1, flag: str | None = None, within: str | None = None) -> DataFrame:
-    """M2 + U2: keep every minority row and M majority rows, M = minority size.
-
-    ``minority=None`` takes the smaller class (the smaller label on a tie).
+    """M2 + U2: keep every minority row and M rows of any other class, M = minority size.
 
-    The label must be binary (it is the rank's partition key, so the broadcast
-    offset table holds at most two groups of buckets).  The union of the two
-    classes is a single filter on the within-class rank.
+    ``minority=None`` takes the smallest class (the smaller label on a tie).
+    The classes, a few by nature, are counted first; the union is a single
+    filter on the rows' keys.  ``within`` restricts to rows whose 0/1 column
+    is 1; ``flag`` names a 0/1 column to set instead of dropping rows.  Rows
+    without a label are in no class.
     """
-    keyed = df.withColumn("_key", order_key(id_col, seed))
-    if within:  # rows outside ``within`` form their own (ignored) groups
-        keyed = keyed.withColumn("_in", F.coalesce(F.col(within), F.lit(0)))
-    else:
-        keyed = keyed.withColumn("_in", F.lit(1))
-    ranked = hash_rank(keyed, "_key", partition_cols=["_in", label], out="_rank", total=None)
-    # minority size M: a partial aggregate of the input (<= 4 groups), spread
-    # to both classes with an un-ordered window over those rows
-    sizes = keyed.groupBy("_in", label).agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy("_in")
-    small = F.lit(minority) if minority is not None else F.min(F.struct("_n", label)).over(group)[label]
-    sizes = sizes.withColumn("_small", small)
-    m = F.max(F.when(F.col(label) == F.col("_small"), F.col("_n"))).over(group)
-    sizes = small_frame(sizes.select("_in", label, "_small", F.coalesce(m, F.lit(0)).alias("_m")))
-    out = ranked.join(F.broadcast(sizes), ["_in", label])
-    keep = (F.col("_in") == 1) & ((F.col(label) == F.col("_small")) | (F.col("_rank") <= F.col("_m")))
+    inside = F.coalesce(F.col(within) == 1, F.lit(False)) if within else F.lit(True)
+    sizes = {r[label]: r["n"] for r in df.where(inside & F.col(label).isNotNull()).groupBy(label)
+             .agg(F.count(F.lit(1)).alias("n")).collect()}
+    small = min(sizes, key=lambda v: (sizes[v], v)) if minority is None and sizes else minority
+    m = sizes.get(small, 0)
+    wanted = [(inside & (F.col(label) == F.lit(v)), m) for v, n in sorted(sizes.items()) if v != small and n > m]
+    whole = [v for v, n in sizes.items() if n <= m]
+    flagged = select_first(df, order_key(id_col, seed), wanted, "_first")
+    keep = inside & F.coalesce(F.col(label).isin(*whole), F.lit(False)) | F.col("_first") if whole else F.col("_first")
     if flag:
-        return out.withColumn(flag, keep.cast("int")).drop("_key", "_rank", "_m", "_in", "_small")
-    return out.where(keep).drop("_key", "_rank", "_m", "_in", "_small")
+        return flagged.withColumn(flag, keep.cast("int")).drop("_first")
+    return flagged.where(keep).drop("_first")
 
 
 def balanced_then_split(df: DataFrame, label: str = "final", id_col: str = "id", minority=0,
@@ -75,9 +69,10 @@ def balanced_then_split(df: DataFrame, label: str = "final", id_col: str = "id",
 def split_then_balance_train(df: DataFrame, label: str = "final", id_col: str = "id", minority=0,
                              frac: float = 0.8, split_seed=46, sample_seed=1) -> DataFrame:
     """M4: split first, then down-sample the training rows only."""
-    s = split_train_test(df, id_col, frac, split_seed)
-    train = downsample_majority(s.where(F.col("split") == "train"), label, id_col, minority, sample_seed)
-    return train.unionByName(s.where(F.col("split") == "test"))
+    train = F.col("split") == "train"
+    s = split_train_test(df, id_col, frac, split_seed).withColumn("_train", train.cast("int"))
+    kept = downsample_majority(s, label, id_col, minority, sample_seed, flag="_kept", within="_train")
+    return kept.where(~train | (F.col("_kept") == 1)).drop("_train", "_kept")
 
 
 def assign_folds(df: DataFrame, k: int = 10, id_col: str = "id", seed=1, out: str = "fold") -> DataFrame:

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 
-from cohortlens.operators.glm import Fit, Spec, fit_many
+from cohortlens.operators.glm import Fit, Input, Spec, fit_many
 
 
 @dataclass
@@ -42,11 +42,22 @@ def _warm(fit: Fit | None, cols: tuple[str, ...]) -> np.ndarray | None:
 
 def stepwise_many(df: DataFrame, searches: Mapping[str, Search], label: str, family: str = "binomial",
                   weight_col: str | None = None, max_rounds: int = 100, tol: float = 1e-9) -> dict[str, Search]:
-    """Bidirectional stepAIC from each search's starting model."""
+    """Bidirectional stepAIC from each search's starting model.
+
+    Every model of every round is over columns of the starting models, so one
+    cached input and its factors serve all of them.  A search that still
+    improves after ``max_rounds`` is returned with ``done`` false.
+    """
     for s in searches.values():
         s.current = list(s.start)
-    # round 0: the starting models
     specs = {k: Spec(s.cols(s.current), include=s.include) for k, s in searches.items()}
+    with Input(df, specs, label, weight_col) as data:
+        return _rounds(data, specs, searches, label, family, weight_col, max_rounds, tol)
+
+
+def _rounds(df: Input, specs: dict[str, Spec], searches: Mapping[str, Search], label: str, family: str,
+            weight_col: str | None, max_rounds: int, tol: float) -> dict[str, Search]:
+    # round 0: the starting models
     fits = fit_many(df, specs, label, family, weight_col, tol=tol)
     for k, s in searches.items():
         s.fit = fits[k]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortlens.functions.columns import round_half_even
 from cohortlens.operators import metrics as mt
 from cohortlens.operators import sampling as sm
 from cohortlens.plans.common import PREPARED_SQL, prepared, with_score
@@ -197,3 +198,13 @@ def q_table(spark, sf_dir):
     train, test = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
     best = mt.best_threshold(mt.roc_curve(train, "final", "score")).first()["threshold"]
     return mt.threshold_table(test, best, "final", "score")
+
+
+@register("threshold_sweep_rounded", PREPARED_SQL + """,
+g AS (SELECT CAST(range AS DOUBLE) / CAST(100 AS DOUBLE) AS threshold FROM range(0, 101)),
+c AS (SELECT threshold, avg(CASE WHEN (score >= threshold) = (final = 1) THEN 1.0 ELSE 0.0 END) AS accuracy FROM g, scored GROUP BY threshold)
+SELECT threshold, round_even(accuracy, 2) AS accuracy FROM c
+""")
+def q_sweep_rounded(spark, sf_dir):
+    """2.12 ``round(x, 2)``, half to even, on the sweep's accuracies."""
+    return mt.threshold_sweep(_scored(spark, sf_dir), "final", "score").select("threshold", round_half_even("accuracy", 2).alias("accuracy"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.operators import events as ev
+from cohortlens.functions.columns import first_match
 from cohortlens.operators.ranking import small_frame
 from cohortlens.plans.registry import register
 from cohortlens.sources.sinks import description_lines
@@ -96,6 +97,27 @@ def user_group_summary(spark, sf_dir):
     return ev.group_summary(load(spark, sf_dir, "events"), "user_id", "event_id")
 
 
+@register("user_row_listing", """
+WITH r AS (SELECT user_id, event_id, (row_number() OVER (ORDER BY user_id, event_id) - 1) // 7 AS cut FROM events),
+c AS (SELECT user_id, cut, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS rows FROM r GROUP BY ALL)
+SELECT user_id, CAST(cut - min(cut) OVER (PARTITION BY user_id) AS BIGINT) AS chunk, n, rows FROM c
+""")
+def user_row_listing(spark, sf_dir):
+    """A3: every user's row ids in chunks of at most 7 (small, so that the given users have several)."""
+    out = ev.group_listing(load(spark, sf_dir, "events"), "user_id", "event_id", 7)
+    return out.withColumn("rows", F.concat_ws(",", F.transform("rows", lambda r: r.cast("string"))))
+
+
+@register("first_matching_type", """
+WITH u AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS types FROM events GROUP BY user_id)
+SELECT user_id, list_filter(types, lambda x: regexp_matches(x, '^[c-p]'))[1] AS first_type FROM u
+""")
+def first_matching_type(spark, sf_dir):
+    """2.12 ``grep(p, x)[1]``: the first of each user's event types (sorted) that matches a pattern."""
+    types = load(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("types"))
+    return types.select("user_id", first_match("types", "^[c-p]").alias("first_type"))
+
+
 @register("event_frequency_stream", """
 SELECT event_type, count(*) AS n FROM events GROUP BY event_type
 """)
@@ -141,6 +163,5 @@ def activity_log_scan(spark, sf_dir):
                               year_col="period")
     types = rd.read_dimension(spark, posixpath.join(root, "types"), key="event_id")
     freq = scanned.groupBy("period", "event_id").agg(F.count(F.lit(1)).alias("n"))
-    out = freq.join(F.broadcast(ev.with_description(small_frame(freq.select("event_id").distinct()), types)
-                                .select("event_id", "description")), "event_id", "left")
+    out = freq.join(types.select("event_id", "description"), "event_id", "left")
     return out.select(F.col("period").cast("int").alias("period"), F.col("event_id").alias(KEY), "description", "n")

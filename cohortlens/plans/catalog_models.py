@@ -21,15 +21,17 @@ from cohortlens.operators.sampling import split_train_test
 from cohortlens.operators.selection import Search, compare_models, stepwise_many, univariable_screen
 from cohortlens.plans import chronological as ch
 from cohortlens.plans.common import (CATEGORICAL, DEMOGRAPHIC, NUMERIC_PREPARED_SQL, PRECOURSE, PREPARED_SQL,
-                                     WEEKLY_FRAGMENTS, WEEKS, prepared, with_score)
+                                     WEEKLY_FRAGMENTS, WEEKS, cached, prepared, with_score)
 from cohortlens.plans.registry import register
-from cohortlens.plans.scenarios import standard_scenarios, year_pair_scenarios, year_train_scenarios
-from cohortlens.sources.tables import load
+from cohortlens.plans.scenarios import (VARIANTS, preparation_variants, standard_scenarios, variant_scenarios, year_pair_scenarios,
+                                        year_train_scenarios)
+from cohortlens.sources.tables import load, student_wide
 
 NUMERICS = ["acctbal", *WEEKS]
 SETS = fe.arrival_sets(DEMOGRAPHIC, PRECOURSE, WEEKLY_FRAGMENTS)
-REDUCED_SETS = fe.arrival_sets(DEMOGRAPHIC, PRECOURSE, fe.reduced_calendar(WEEKLY_FRAGMENTS, 8))
+REDUCED_SETS = fe.arrival_sets(DEMOGRAPHIC, PRECOURSE, fe.reduced_calendar(WEEKLY_FRAGMENTS, 8, last=[WEEKS[7]]))
 GAMMA, COST = 0.01831563888873418, 1.0  # e^-4 and 1: the reference's fixed SVM cell
+_LOGISTIC_METRICS = ["auc", "accuracy", "specificity", "sensitivity", "npv", "fn", "fp", "cv_error"]
 SVM_COSTS = [1.0, 10.0, 100.0, 500.0, 1000.0]
 SVM_GAMMAS = [2.718281828459045 ** (-10 + i) for i in range(11)]
 
@@ -284,21 +286,8 @@ def q_interactions(spark, sf_dir):
 
 # ---------------------------------------------------------------- fits without SQL form
 
-_CACHE: dict = {}
-
-
-def _cached(spark, sf_dir, name, build):
-    """Per-session memo for checkpointed designs and multi-job runs that
-    several summary queries read (results are small driver-built tables
-    or checkpointed frames, so reuse is safe for the session's lifetime)."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _CACHE:
-        _CACHE[key] = build()
-    return _CACHE[key]
-
-
 def _student_design(spark, sf_dir, which: str = "standard"):
-    return _cached(spark, sf_dir, f"design:{which}", lambda: _build_design(spark, sf_dir, which))
+    return cached(spark, sf_dir, f"design:{which}", lambda: _build_design(spark, sf_dir, which))
 
 
 def _build_design(spark, sf_dir, which):
@@ -321,9 +310,9 @@ def q_screen(spark, sf_dir):
     rows = []
     for term, f in fits.items():
         for r in glm.coefficient_rows(f, term)[1:]:
-            rows.append((term, r[1], r[2], r[5], None if r[5] is None else r[5] <= 0.05))
+            rows.append((term, r[1], r[2], r[5], None if r[5] is None else r[5] <= 0.05, f.converged))
     return spark.createDataFrame(rows, "feature string, term string, estimate double, p_value double, "
-                                       "significant boolean")
+                                       "significant boolean, converged boolean")
 
 
 @register("logit_compare_models")
@@ -338,8 +327,8 @@ def q_compare(spark, sf_dir):
              "m4": [c for tm in ["region", "acctbal", "w1", "w2", "w3", "w4"] for c in t[tm]],
              "m5": [c for tm in ["acctbal", "w1", "w2"] for c in t[tm]]}
     fits = compare_models(des.df, forms, "final")
-    return spark.createDataFrame([(n, f.rank, float(f.aic()), float(f.deviance)) for n, f in fits.items()],
-                                 "model string, k int, aic double, deviance double")
+    return spark.createDataFrame([(n, f.rank, float(f.aic()), float(f.deviance), f.converged) for n, f in fits.items()],
+                                 "model string, k int, aic double, deviance double, converged boolean")
 
 
 @register("logit_stepwise")
@@ -348,8 +337,8 @@ def q_stepwise(spark, sf_dir):
     des = _student_design(spark, sf_dir)
     res = stepwise_many(des.df, {"full": Search(des.terms, SETS[-1], include="full_train")}, "final")
     s = res["full"]
-    return spark.createDataFrame([(i, a, t, float(aic)) for i, (a, t, aic) in enumerate(s.path)],
-                                 "step int, action string, term string, aic double")
+    return spark.createDataFrame([(i, a, t, float(aic), s.done, s.fit.converged) for i, (a, t, aic) in enumerate(s.path)],
+                                 "step int, action string, term string, aic double, finished boolean, converged boolean")
 
 
 @register("logit_eval_bundle")
@@ -360,7 +349,7 @@ def q_eval_bundle(spark, sf_dir):
     des = _student_design(spark, sf_dir)
     full = [s for s in des.scenarios if s.name == "full"][0]
     f = glm.fit_many(des.df, {"m": glm.Spec(tuple(ch.expanded(des, SETS[-1])), include=full.train)}, "final")["m"]
-    res, _ = ch.evaluate_logistic(des, [(full, len(SETS), f, 0)])
+    res, _ = ch.evaluate_logistic(des, [ch.Evaluated(full, len(SETS), f)])
     return res
 
 
@@ -384,7 +373,7 @@ def q_chrono(spark, sf_dir):
 
 
 def _chrono_logistic(spark, sf_dir):
-    return _cached(spark, sf_dir, "chrono_logistic",
+    return cached(spark, sf_dir, "chrono_logistic",
                    lambda: ch.chronological_logistic(_student_design(spark, sf_dir), SETS))
 
 
@@ -395,17 +384,18 @@ def q_chrono_reduced(spark, sf_dir):
     def build():
         des = _student_design(spark, sf_dir, "pairs")
         return ch.chronological_logistic(des, REDUCED_SETS, prior_tau=_TAU)[0]
-    return _cached(spark, sf_dir, "chrono_reduced", build)
+    return cached(spark, sf_dir, "chrono_reduced", build)
 
 
 @register("chronological_linear")
 def q_chrono_linear(spark, sf_dir):
     """Linear chronological run (numeric final), 14 time points x 4 regimes."""
-    p = prepared(spark, sf_dir, mark=None).withColumn("_lab", (F.col("final") >= 50).cast("int"))
-    d, scen = standard_scenarios(p, label="_lab")
-    des = ch.build_design(d, CATEGORICAL, NUMERICS, "_lab", scen)
-    res, _ = ch.chronological_linear(des, SETS, "final")
-    return res
+    def build():
+        p = prepared(spark, sf_dir, mark=None).withColumn("_lab", (F.col("final") >= 50).cast("int"))
+        d, scen = standard_scenarios(p, label="_lab")
+        des = ch.build_design(d, CATEGORICAL, NUMERICS, "_lab", scen)
+        return ch.chronological_linear(des, SETS, "final")[0]
+    return cached(spark, sf_dir, "chrono_linear", build)
 
 
 @register("chronological_linear_years")
@@ -419,6 +409,61 @@ def q_chrono_linear_years(spark, sf_dir):
     return res
 
 
+def _variant_design(spark, sf_dir, label: str) -> ch.Design:
+    """The table of all preparation variants, with a label at one of the pass marks."""
+    def build():
+        d = preparation_variants(student_wide(spark, sf_dir), WEEKS, ["acctbal"], CATEGORICAL, "final", WEEKS[8:])
+        d, scen = variant_scenarios(d)
+        return ch.build_design(d, CATEGORICAL, NUMERICS, "pass_50", scen)
+    des = cached(spark, sf_dir, "design:variants", build)
+    return ch.Design(des.df, des.encoding, des.terms, label, [s for s in des.scenarios if VARIANTS[s.variant] == label])
+
+
+def _by_variant(res):
+    parts = F.split("scenario", "__")
+    return res.withColumns({"variant": parts[0], "scenario": parts[1]})
+
+
+@register("chronological_logistic_variants")
+def q_chrono_variants(spark, sf_dir):
+    """G11 + G24: the reduced calendar on the six cross-year pairs for every preparation variant: pass mark 50 and 55,
+    missing removed after and without zero fill; one table, its rows flagged by variant."""
+    def build():
+        runs = [ch.chronological_logistic(_variant_design(spark, sf_dir, label), REDUCED_SETS)[0] for label in sorted(set(VARIANTS.values()))]
+        return _by_variant(runs[0].unionByName(runs[1]))
+    return cached(spark, sf_dir, "chrono_variants", build)
+
+
+@register("chronological_linear_variants")
+def q_chrono_linear_variants(spark, sf_dir):
+    """G12 + G24: the linear run (numeric final) on the cross-year pairs for every variant; counts at the variant's mark."""
+    def build():
+        runs = [ch.chronological_linear(_variant_design(spark, sf_dir, label), REDUCED_SETS, "final", mark=float(label.split("_")[1]))[0]
+                for label in sorted(set(VARIANTS.values()))]
+        return _by_variant(runs[0].unionByName(runs[1]))
+    return cached(spark, sf_dir, "chrono_linear_variants", build)
+
+
+@register("performance_by_variant")
+def q_perf_variants(spark, sf_dir):
+    """A16 + G25 + G24: per-variant and -pair means of the logistic run over the time points."""
+    return ch.performance_summary(q_chrono_variants(spark, sf_dir), _LOGISTIC_METRICS, by=("variant", "scenario"))
+
+
+@register("performance_linear")
+def q_perf_linear(spark, sf_dir):
+    """A16 + G25: per-regime means of the linear run over the time points."""
+    return ch.performance_summary(q_chrono_linear(spark, sf_dir), ["adj_r2", "cv_mse", "accuracy", "specificity", "npv", "sensitivity",
+                                                                   "false_fail", "false_pass", "test_mse"])
+
+
+@register("performance_svm")
+def q_perf_svm(spark, sf_dir):
+    """A16 + G25: means of the SVM runs over the time points, per setting (tuned, fixed) and regime."""
+    return ch.performance_summary(q_svm_chrono(spark, sf_dir), ["auc", "accuracy", "specificity", "npv", "sensitivity", "fn", "fp"],
+                                  by=("cell", "scenario"))
+
+
 @register("variable_appearance")
 def q_appearance(spark, sf_dir):
     """A20 + A21 + T4: selected-term appearance counts and proportions of the
@@ -433,7 +478,7 @@ def q_appearance(spark, sf_dir):
 def q_perf(spark, sf_dir):
     """A16 + G25: per-regime means over the time points."""
     res, _ = _chrono_logistic(spark, sf_dir)
-    return ch.performance_summary(res, ["auc", "accuracy", "specificity", "sensitivity", "npv", "fn", "fp", "cv_error"])
+    return ch.performance_summary(res, _LOGISTIC_METRICS)
 
 
 @register("accuracy_matrix")
@@ -455,13 +500,17 @@ def q_tune(spark, sf_dir):
     """5 costs x 11 gammas, 10-fold CV misclassification, all four regimes, scaled inputs."""
     def build():
         return ch.tune_grid(_student_design(spark, sf_dir, "svm"), SETS[-1], SVM_COSTS, SVM_GAMMAS)
-    return _cached(spark, sf_dir, "svm_grid", build)
+    return cached(spark, sf_dir, "svm_grid", build)
 
 
 @register("svm_chronological")
 def q_svm_chrono(spark, sf_dir):
-    """Chronological SVM with the fixed cell (gamma e^-4, cost 1), all four regimes, scaled inputs."""
-    return ch.chronological_svm(_student_design(spark, sf_dir, "svm"), SETS, GAMMA, COST)
+    """Chronological SVM, all four regimes, scaled inputs, with the tuned cell of each regime's grid
+    and with the fixed cell (gamma e^-4, cost 1)."""
+    def build():
+        best = {r["scenario"]: (r["gamma"], r["cost"]) for r in ch.best_cells(q_tune(spark, sf_dir)).collect()}
+        return ch.chronological_svm(_student_design(spark, sf_dir, "svm"), SETS, {"tuned": best, "fixed": dict.fromkeys(best, (GAMMA, COST))})
+    return cached(spark, sf_dir, "svm_chrono", build)
 
 
 @register("svm_class_weights")
@@ -473,15 +522,16 @@ def q_svm_weights(spark, sf_dir):
 @register("svm_threshold_table")
 def q_svm_table(spark, sf_dir):
     """G18 + G22 + W4 + W6: weighted SVM (pass 4, fail 7) at time point 7,
-    Platt probabilities; best threshold from the training ROC; three-threshold
-    table on the held-out rows."""
+    Platt probabilities from out-of-fold decisions; best threshold from the
+    training ROC; three-threshold table on the held-out rows."""
     from cohortlens.operators import svm as sv
+    from cohortlens.session import materialize
     des = _student_design(spark, sf_dir, "svm")
-    spec = sv.svm_spec(ch.expanded(des, SETS[6]), GAMMA, COST, include="full_train", class_weights=(7.0, 4.0))
-    f = sv.fit_svms(des.df, {"m": spec}, "final")
-    d = sv.with_decisions(des.df, {"m": spec}, f, {"m": "_dec"})
-    pl = sv.platt_many(d, {"m": ("_dec", "full_train")}, "final")["m"]
-    scored = d.withColumn("prob", pl.response())
+    specs = {"m": sv.svm_spec(ch.expanded(des, SETS[6]), GAMMA, COST, include="full_train", class_weights=(7.0, 4.0))}
+    f = sv.fit_svms(des.df, specs, "final")
+    platt = sv.cross_fitted_platt(des.df, specs, "final", {"m": "fold_full"}, start=f)["m"]
+    d = sv.with_decisions(des.df, specs, f, {"m": "_dec"})
+    scored = materialize(d.select("full_train", "full_test", "final", platt.probability(F.col("_dec")).alias("prob")))
     best = mt.best_threshold(mt.roc_curve(scored.where(F.col("full_train") == 1), "final", "prob")).first()["threshold"]
     return mt.threshold_table(scored.where(F.col("full_test") == 1), float(best), "final", "prob")
 
@@ -559,8 +609,8 @@ def q_linear_step(spark, sf_dir):
     terms.update({c: [c] for c in NUMERICS})
     g = gram(d, sorted({c for cs in terms.values() for c in cs}), "final")
     chosen, f, path = stepwise_gram(g, terms, SETS[-1])
-    return spark.createDataFrame([(i, a, t, float(aic)) for i, (a, t, aic) in enumerate(path)],
-                                 "step int, action string, term string, aic double")
+    return spark.createDataFrame([(i, a, t, float(aic), f.extra["finished"]) for i, (a, t, aic) in enumerate(path)],
+                                 "step int, action string, term string, aic double, finished boolean")
 
 
 @register("flagship_evaluation")

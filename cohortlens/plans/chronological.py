@@ -7,10 +7,11 @@ Spark pass:
 
 * stepwise selection for all (scenario, time point) searches runs
   concurrently (``selection.stepwise_many``);
-* all 10-fold CV refits are one batched fit; the out-of-fold misclassification
-  of every cell is one aggregate;
-* holdout confusion counts for every cell are one aggregate of ``count_if``;
-  AUCs come from one grouped exact-AUC job over a (cell, score) long form.
+* all 10-fold CV refits are one batched fit over one cached input; the tasks
+  score each row by the models that left its fold out, and the errors of every
+  cell are one aggregate of those (model, y, score) rows;
+* holdout confusion and AUC of every cell come from one count of unique
+  (model, score).
 
 Results are long tables keyed by (scenario, time_point); summaries (means
 over time points, metric matrices) are projections/pivots of those.
@@ -18,6 +19,7 @@ over time points, metric matrices) are projections/pivots of those.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -28,7 +30,7 @@ from cohortlens.functions.columns import order_key, safe_ratio, sigmoid
 from cohortlens.operators import metrics as mt
 from cohortlens.operators import svm as sv
 from cohortlens.operators.features import Encoding, fit_encoding, one_hot
-from cohortlens.operators.glm import Spec, fit_many, score_many, score_oof
+from cohortlens.operators.glm import Fit, Input, Judged, Spec, fit_many, model_sums, score_long
 from cohortlens.operators.linear import gram_many, stepwise_gram
 from cohortlens.operators.ranking import cumulative, hash_bucket
 from cohortlens.operators.selection import Search, stepwise_many
@@ -43,6 +45,7 @@ class Scenario:
     train: str              # 0/1 column: training rows
     test: str               # 0/1 column: evaluation rows
     test2: str | None = None  # optional second evaluation set (G7)
+    variant: str | None = None  # preparation variant (G24)
 
 
 @dataclass
@@ -95,81 +98,77 @@ def misclassification(y, p):
 
 
 def chronological_logistic(design: Design, sets: Sequence[Sequence[str]], pi: float = 0.5,
-                           k: int = 10, prior_tau: float | None = None,
-                           cost=misclassification) -> tuple[DataFrame, DataFrame]:
+                           k: int = 10, prior_tau: float | None = None, cost=misclassification,
+                           max_rounds: int = 100) -> tuple[DataFrame, DataFrame]:
     """Per (scenario, time point): stepAIC from the time point's
     full formula, then ``evaluate_logistic`` of the selected model.
 
     Returns (results, selected_terms) DataFrames.
     """
     searches = {_cell(s, t): Search(design.terms, terms, include=s.train) for s, t, terms in _cells(design, sets)}
-    stepwise_many(design.df, searches, design.label, "binomial")
-    models = [(s, t, searches[_cell(s, t)].fit, len(searches[_cell(s, t)].path) - 1)
-              for s, t, _ in _cells(design, sets)]
+    stepwise_many(design.df, searches, design.label, "binomial", max_rounds=max_rounds)
+    models = [Evaluated(s, t, (found := searches[_cell(s, t)]).fit, len(found.path) - 1, found.done) for s, t, _ in _cells(design, sets)]
     return evaluate_logistic(design, models, pi, k, prior_tau, cost)
 
 
-def evaluate_logistic(design: Design, models: Sequence[tuple], pi: float = 0.5, k: int = 10,
+@dataclass
+class Evaluated:
+    """A fitted model of a scenario and time point; ``finished``: its search has ended by itself."""
+    scenario: Scenario
+    time_point: int
+    fit: Fit
+    steps: int = 0
+    finished: bool = True
+
+
+def evaluate_logistic(design: Design, models: Sequence[Evaluated], pi: float = 0.5, k: int = 10,
                       prior_tau: float | None = None, cost=misclassification) -> tuple[DataFrame, DataFrame]:
     """G3 + G4 for many fitted models at once.
 
-    ``models``: (scenario, time point, fit, steps).  Computes the 10-fold CV
-    error -- the mean over training rows of ``cost(y, p_out_of_fold)``, a
-    user Column function (F1; default misclassification) -- with all refits
-    in one batch and all errors in one aggregate, holdout confusion at
-    ``p > pi`` (one aggregate) and exact holdout AUC (one grouped job).
-    ``prior_tau``: score prior-corrected probabilities (G16).
+    Computes the 10-fold CV error -- the mean over training rows of ``cost(y,
+    p_out_of_fold)``, a user Column function (F1; default misclassification) --
+    with all refits in one batch, holdout confusion at ``p > pi`` and exact
+    holdout AUC.  Scores come from the tasks as (model, y, score) rows, those of
+    the CV refits only for the fold that each left out; the costs are one
+    grouped aggregate of them, confusion and AUC share the holdout's counts
+    of unique scores.  ``prior_tau``: score prior-corrected probabilities (G16).
+    ``converged`` is true if the fit and its k refits did, ``finished`` if the
+    search did.
     """
-    df, y = design.df, design.label
-    spark = df.sparkSession
-    cv_specs = {}
-    for s, t, f, _ in models:
-        cols = tuple(f.names[1:])
-        for j in range(k):
-            cv_specs[f"{_cell(s, t)}|{j}"] = Spec(cols, include=s.train, fold_col=design.fold_col(s), exclude_fold=j)
-    cv_fits = fit_many(df, cv_specs, y, "binomial")
-    # out-of-fold and holdout probabilities scored in the tasks (numpy), so
-    # the aggregate below only reads plain columns
-    oof = {f"_cv{i}": (tuple(f.names[1:]), design.fold_col(s), {j: cv_fits[f"{_cell(s, t)}|{j}"] for j in range(k)})
-           for i, (s, t, f, _) in enumerate(models)}
-    hold = {f"_p{i}": (Spec(tuple(f.names[1:])), f) for i, (s, t, f, _) in enumerate(models)}
-    src = score_many(score_oof(df, oof), hold, response=True)
-    if prior_tau is not None:
-        for s in design.scenarios:  # class-0 share of the scored (test) rows, as the reference does
-            share = df.agg(F.avg(F.when(F.col(s.test) == 1, (F.col(y) == 0).cast("double")))).first()[0]
-            src = src.withColumn(f"_ybar_{s.name}", F.lit(share))
-    cv_aggs, conf_aggs, score_structs = [], [], []
-    yv = F.col(y)
-    for i, (s, t, f, _) in enumerate(models):
-        c = _cell(s, t)
-        in_train = F.col(s.train) == 1
-        cv_aggs.append(F.avg(F.when(in_train, cost(yv, F.col(f"_cv{i}")))).alias(f"cv{i}"))
-        prob = F.col(f"_p{i}")
-        if prior_tau is not None:
-            prob = _prior_corrected(prob, prior_tau, F.col(f"_ybar_{s.name}"))
-        pred = prob > F.lit(float(pi))
-        te = F.col(s.test) == 1
-        conf_aggs += [F.count_if(te & ~pred & (yv == 0)).alias(f"tn{i}"), F.count_if(te & ~pred & (yv == 1)).alias(f"fn{i}"),
-                      F.count_if(te & pred & (yv == 0)).alias(f"fp{i}"), F.count_if(te & pred & (yv == 1)).alias(f"tp{i}")]
-        score_structs.append(F.when(te, F.struct(F.lit(c).alias("cell"), prob.alias("score"))))
-    src = materialize(src)  # three jobs read the scores: aggregate, AUC splits, AUC
-    row = src.agg(*cv_aggs, *conf_aggs).first()
-    long = src.select(yv, F.explode(F.filter(F.array(*score_structs), lambda x: x.isNotNull())).alias("s")) \
-        .select(y, "s.cell", "s.score")
-    aucs = {r["cell"]: r["auc"] for r in mt.auc(long, y, "score", ["cell"]).collect()}
+    y, spark = design.label, design.df.sparkSession
+    cv_specs = {f"{i}|{j}": Spec(tuple(m.fit.names[1:]), include=m.scenario.train, fold_col=design.fold_col(m.scenario), exclude_fold=j)
+                for i, m in enumerate(models) for j in range(k)}
+    shift = dict.fromkeys([m.scenario.name for m in models], 0.0)
+    if prior_tau is not None:  # class-0 share of the scored (test) rows, as the reference does
+        shares = design.df.agg(*[F.avg(F.when(F.col(s.test) == 1, (F.col(y) == 0).cast("double"))).alias(s.name) for s in design.scenarios]).first()
+        shift = {s.name: prior_shift(prior_tau, shares[s.name]) for s in design.scenarios}
+    with Input(design.df, cv_specs, y) as data:
+        refits = fit_many(data, cv_specs, y, "binomial")
+        folds = [{j: refits[f"{i}|{j}"] for j in range(k)} for i in range(len(models))]
+        out_of_fold = [Judged(Spec(tuple(m.fit.names[1:])), rows=m.scenario.train, folds=folds[i], fold_col=design.fold_col(m.scenario), response=True)
+                       for i, m in enumerate(models)]
+        errors = {r["model"]: r["cv"] for r in score_long(data.df, out_of_fold, y).groupBy("model")
+                  .agg(F.avg(cost(F.col("y"), F.col("score"))).alias("cv")).collect()}
+    held_out = [Judged(Spec(tuple(m.fit.names[1:])), m.fit, m.scenario.test, shift=shift[m.scenario.name], response=True) for m in models]
+    counts = materialize(mt.score_counts(score_long(design.df, held_out, y), "y", "score", ["model"]))
+    confusion = {r["model"]: r for r in mt.confusion_of_counts(counts, ["model"], pi).collect()}
+    aucs = {r["model"]: r["auc"] for r in mt.auc_of_counts(counts, ["model"]).collect()}
     rows, sel = [], []
-    for i, (s, t, f, steps) in enumerate(models):
-        c = _cell(s, t)
-        cv = row[f"cv{i}"]
-        rows.append((s.name, t, float(f.aic()), float(cv) if cv is not None else None,
-                     int(row[f"tn{i}"]), int(row[f"fn{i}"]), int(row[f"fp{i}"]), int(row[f"tp{i}"]),
-                     aucs.get(c), int(steps)))
-        sel += [(s.name, t, col) for col in f.names[1:]]
-    res = spark.createDataFrame(rows, "scenario string, time_point int, aic double, cv_error double, tn long, "
-                                      "fn long, fp long, tp long, auc double, steps int")
+    for i, m in enumerate(models):
+        cells = confusion.get(i)
+        rows.append((m.scenario.name, m.time_point, float(m.fit.aic()), errors.get(i), *[int(cells[c]) if cells else 0 for c in mt.CELLS],
+                     aucs.get(i), int(m.steps), m.fit.converged and all(f.converged for f in folds[i].values()), m.finished))
+        sel += [(m.scenario.name, m.time_point, col) for col in m.fit.names[1:]]
+    res = spark.createDataFrame(rows, "scenario string, time_point int, aic double, cv_error double, tn long, fn long, fp long, tp long, "
+                                      "auc double, steps int, converged boolean, finished boolean")
     return mt.with_metrics(res), spark.createDataFrame(sel, "scenario string, time_point int, term string")
 
 
+def prior_shift(tau: float, ybar: float | None) -> float:
+    """G16 on the link scale: ln(((1 - tau)/tau) * (ybar/(1 - ybar))), 0 where a class is absent."""
+    return math.log((1.0 - tau) / tau * (ybar / (1.0 - ybar))) if ybar is not None and 0.0 < ybar < 1.0 else 0.0
+
+
 def _prior_corrected(p, tau: float, ybar):
     """logit' = logit(p) - ln(((1 - tau)/tau) * (ybar/(1 - ybar)))."""
     c = F.ln(F.lit((1.0 - tau) / tau) * (ybar / (F.lit(1.0) - ybar)))
@@ -180,60 +179,53 @@ def _prior_corrected(p, tau: float, ybar):
 
 def chronological_linear(design: Design, sets: Sequence[Sequence[str]], response: str,
                          mark: float = 50.0, k: int = 10, last_time_point: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Per (scenario, time point): stepAIC on the Gram matrix, adjusted
-    R^2, 10-fold CV MSE, and the holdout regression-as-classifier counts
-    (A10/A11).  One Gram pass for all scenarios and folds; all holdout counts
-    in one aggregate.  ``last_time_point`` names the model the reference keeps."""
+    """Per (scenario, time point): stepAIC on the factors, adjusted R^2,
+    10-fold CV MSE, and the holdout regression-as-classifier counts (A10/A11).
+
+    One factor pass for all scenarios and folds; all holdout counts and squared
+    errors are summed in the tasks, each row by the models that test on it.
+    ``last_time_point`` names the model the reference keeps; ``finished`` is
+    true if the search ended by itself.
+    """
     df = design.df
     spark = df.sparkSession
     cols_all = sorted({c for cs in design.terms.values() for c in cs})
-    fits, sel = {}, []
-    extra = {}
     grams = gram_many(df, cols_all, response, {s.name: (s.train, design.fold_col(s)) for s in design.scenarios})
+    found, sel = [], []
     for s in design.scenarios:
         g = grams[s.name]
         for t, terms in enumerate(sets, start=1):
             chosen, f, path = stepwise_gram(g, design.terms, list(terms))
             cols = [c for tm in chosen for c in design.terms[tm]]
-            fits[_cell(s, t)] = f
-            extra[_cell(s, t)] = (f.extra["adj_r2"], g.cv_mse(cols), len(path) - 1)
+            found.append((s, t, f, g.cv_mse(cols), len(path) - 1))
             sel += [(s.name, t, c) for c in cols]
-    aggs = []
-    yv, m = F.col(response), F.lit(float(mark))
-
-    def counts(flag, tag, i, pred):
-        te = F.col(flag) == 1
-        return [F.count_if(te & (yv < m) & (pred < m)).alias(f"{tag}a{i}"),
-                F.count_if(te & (yv < m) & (pred >= m)).alias(f"{tag}b{i}"),
-                F.count_if(te & (yv >= m) & (pred < m)).alias(f"{tag}c{i}"),
-                F.count_if(te & (yv >= m) & (pred >= m)).alias(f"{tag}d{i}"),
-                F.avg(F.when(te, F.pow(yv - pred, 2))).alias(f"{tag}e{i}")]
-
-    for i, (s, t, _) in enumerate(_cells(design, sets)):
-        pred = fits[_cell(s, t)].eta()
-        aggs += counts(s.test, "", i, pred)
-        if s.test2:
-            aggs += counts(s.test2, "t2", i, pred)
-    row = df.agg(*aggs).first()
-
-    def cells_of(tag, i):
-        if f"{tag}a{i}" not in row:
+    judged, place = [], {}
+    for i, (s, t, f, _, _) in enumerate(found):
+        for tag, flag in (("", s.test), ("t2_", s.test2)):
+            if flag:
+                place[i, tag] = len(judged)
+                judged.append(Judged(Spec(tuple(f.names[1:])), f, flag))
+
+    def counts(_, y, pred):
+        low, miss = y < mark, pred < mark
+        return [(low & miss).sum(), (low & ~miss).sum(), (~low & miss).sum(), (~low & ~miss).sum(), ((y - pred) ** 2).sum()]
+
+    sums = model_sums(df, judged, response, 5, counts)
+
+    def cells_of(i, tag):
+        if (i, tag) not in place:
             return [None] * 5
-        e = row[f"{tag}e{i}"]
-        return [int(row[f"{tag}a{i}"]), int(row[f"{tag}b{i}"]), int(row[f"{tag}c{i}"]), int(row[f"{tag}d{i}"]),
-                float(e) if e is not None else None]
-
-    rows = []
-    for i, (s, t, _) in enumerate(_cells(design, sets)):
-        adj, cv, steps = extra[_cell(s, t)]
-        rows.append((s.name, t, float(adj), float(cv), *cells_of("", i), *cells_of("t2", i), steps,
-                     t == last_time_point))
+        *cells, sse = sums[place[i, tag]]
+        n = sum(cells)
+        return [*map(int, cells), float(sse / n) if n else None]
+
+    rows = [(s.name, t, float(f.extra["adj_r2"]), float(cv), *cells_of(i, ""), *cells_of(i, "t2_"), steps, t == last_time_point,
+             bool(f.extra["finished"])) for i, (s, t, f, cv, steps) in enumerate(found)]
     res = spark.createDataFrame(rows, "scenario string, time_point int, adj_r2 double, cv_mse double, "
                                       "true_fail long, false_pass long, false_fail long, true_pass long, "
                                       "test_mse double, t2_true_fail long, t2_false_pass long, "
                                       "t2_false_fail long, t2_true_pass long, t2_test_mse double, "
-                                      "steps int, last_model boolean")
-    from cohortlens.functions.columns import safe_ratio
+                                      "steps int, last_model boolean, finished boolean")
     for tag in ("", "t2_"):
         tf, fp, ff, tp = (F.col(f"{tag}{c}") for c in ("true_fail", "false_pass", "false_fail", "true_pass"))
         res = res.withColumns({f"{tag}accuracy": safe_ratio(tf + tp, tf + tp + fp + ff),
@@ -246,41 +238,37 @@ def expanded(design: Design, terms: Sequence[str]) -> list[str]:
     return [c for t in terms for c in design.terms[t]]
 
 
-def chronological_svm(design: Design, sets: Sequence[Sequence[str]], gamma: float, cost: float,
+def chronological_svm(design: Design, sets: Sequence[Sequence[str]], cells: Mapping[str, Mapping[str, tuple[float, float]]],
                       w_fail: float = 1.0, w_pass: float = 1.0, dim: int = 64, seed: int = 1) -> DataFrame:
-    """Per (scenario, time point) an RFF squared-hinge SVM with fixed
-    gamma/cost and class weights; holdout confusion from the decision sign,
-    AUC from Platt probabilities.  All cells fitted in one batched run."""
-    specs = {_cell(s, t): sv.svm_spec(expanded(design, terms), gamma, cost, dim, seed, include=s.train,
-                                      class_weights=(w_fail, w_pass)) for s, t, terms in _cells(design, sets)}
+    """Per (cell, scenario, time point) an RFF squared-hinge SVM with class
+    weights; holdout confusion from the decision sign and AUC.  ``cells``: name
+    -> {scenario: (gamma, cost)}, such as the tuned and the fixed setting.  All
+    models are fitted in one batched run."""
+    keys, specs = [], {}
+    for name, settings in cells.items():
+        for s, t, terms in _cells(design, sets):
+            if s.name in settings:
+                key = f"{name}|{_cell(s, t)}"
+                specs[key] = sv.svm_spec(expanded(design, terms), *settings[s.name], dim, seed, include=s.train, class_weights=(w_fail, w_pass))
+                keys.append((key, s, t, name))
     fits = sv.fit_svms(design.df, specs, design.label)
-    return _svm_eval(design, specs, fits, [(s, t) for s, t, _ in _cells(design, sets)])
+    res = _svm_eval(design, specs, fits, [(k, s, t) for k, s, t, _ in keys])
+    names = design.df.sparkSession.createDataFrame([(i, name) for i, (*_, name) in enumerate(keys)], "model int, cell string")
+    return res.join(F.broadcast(names), "model").drop("model")
 
 
 def _svm_eval(design: Design, specs, fits, cells) -> DataFrame:
-    """Holdout confusion (decision sign) + Platt-probability AUC per cell."""
-    y = design.label
-    spark = design.df.sparkSession
-    keys = [_cell(s, t) for s, t in cells]
-    cols = {k: f"_dec{i}" for i, k in enumerate(keys)}
-    d = sv.with_decisions(design.df, {k: specs[k] for k in keys}, fits, cols)
-    platt = sv.platt_many(d, {k: (cols[k], s.train) for k, (s, t) in zip(keys, cells)}, y)
-    aggs, structs = [], []
-    yv = F.col(y)
-    for i, (k, (s, t)) in enumerate(zip(keys, cells)):
-        te = F.col(s.test) == 1
-        pred = F.col(cols[k]) > 0
-        aggs += [F.count_if(te & ~pred & (yv == 0)).alias(f"tn{i}"), F.count_if(te & ~pred & (yv == 1)).alias(f"fn{i}"),
-                 F.count_if(te & pred & (yv == 0)).alias(f"fp{i}"), F.count_if(te & pred & (yv == 1)).alias(f"tp{i}")]
-        structs.append(F.when(te, F.struct(F.lit(k).alias("cell"), platt[k].response().alias("score"))))
-    row = d.agg(*aggs).first()
-    long = d.select(yv, F.explode(F.filter(F.array(*structs), lambda x: x.isNotNull())).alias("s")).select(
-        y, "s.cell", "s.score")
-    aucs = {r["cell"]: r["auc"] for r in mt.auc(long, y, "score", ["cell"]).collect()}
-    rows = [(s.name, t, int(row[f"tn{i}"]), int(row[f"fn{i}"]), int(row[f"fp{i}"]), int(row[f"tp{i}"]), aucs.get(k))
-            for i, (k, (s, t)) in enumerate(zip(keys, cells))]
-    res = spark.createDataFrame(rows, "scenario string, time_point int, tn long, fn long, fp long, tp long, auc double")
-    return mt.with_metrics(res)
+    """Holdout confusion (decision sign) and AUC per cell, from one count of
+    unique decisions.  A logistic map keeps their order, so the AUC of Platt
+    probabilities is that of the decisions."""
+    judged = [Judged(specs[k], fits[k], s.test) for k, s, _ in cells]
+    counts = materialize(mt.score_counts(score_long(design.df, judged, design.label), "y", "score", ["model"]))
+    confusion = {r["model"]: r for r in mt.confusion_of_counts(counts, ["model"], 0.0).collect()}
+    aucs = {r["model"]: r["auc"] for r in mt.auc_of_counts(counts, ["model"]).collect()}
+    rows = [(i, s.name, t, *[int(confusion[i][c]) if i in confusion else 0 for c in mt.CELLS], aucs.get(i), fits[k].converged)
+            for i, (k, s, t) in enumerate(cells)]
+    return mt.with_metrics(design.df.sparkSession.createDataFrame(
+        rows, "model int, scenario string, time_point int, tn long, fn long, fp long, tp long, auc double, converged boolean"))
 
 
 def class_weight_sweep(design: Design, terms: Sequence[str], gamma: float, cost: float,
@@ -293,9 +281,9 @@ def class_weight_sweep(design: Design, terms: Sequence[str], gamma: float, cost:
     for s in design.scenarios:
         for i, (wp, wf) in enumerate(zip(pass_weights, fail_weights), start=1):
             specs[_cell(s, i)] = sv.svm_spec(cols, gamma, cost, dim, seed, include=s.train, class_weights=(wf, wp))
-            cells.append((s, i))
+            cells.append((_cell(s, i), s, i))
     fits = sv.fit_svms(design.df, specs, design.label)
-    res = _svm_eval(design, specs, fits, cells)
+    res = _svm_eval(design, specs, fits, cells).drop("model")
     wdf = spark_weights(design.df.sparkSession, pass_weights, fail_weights)
     return res.withColumnRenamed("time_point", "weighting").join(F.broadcast(wdf), "weighting")
 
@@ -310,32 +298,24 @@ def tune_grid(design: Design, terms: Sequence[str], costs: Sequence[float], gamm
               k: int = 10, dim: int = 64, seed: int = 1) -> DataFrame:
     """Cost x gamma grid, k-fold CV misclassification per cell.
 
-    All (gamma, cost, fold) models of a scenario are one batched Newton run;
-    their decision values one scoring pass; the out-of-fold errors one
-    aggregate.  Output: one row per (scenario, gamma, cost).
+    All (scenario, gamma, cost, fold) models are one batched Newton run over
+    one cached input; the out-of-fold errors are counted in the tasks, each
+    row by the models that left its fold out.  Output: one row per (scenario,
+    gamma, cost); ``converged`` if all its k models did.
     """
     cols = expanded(design, terms)
-    rows = []
-    for s in design.scenarios:
-        specs, cells = {}, {}
-        for gi, gamma in enumerate(gammas):
-            for c in costs:
-                cell = f"{gi}|{c}"
-                for f in range(k):
-                    key = f"{cell}|{f}"
-                    specs[key] = sv.svm_spec(cols, gamma, c, dim, seed, include=s.train,
-                                             fold_col=design.fold_col(s), exclude_fold=f)
-                    cells.setdefault(cell, {})[f] = key
-        fits = sv.fit_svms(design.df, specs, design.label)
-        names = {key: f"_d{i}" for i, key in enumerate(specs)}
-        scored = sv.with_decisions(design.df.where(F.col(s.train) == 1), specs, fits, names)
-        errs = sv.cv_errors(scored, {cell: {f: names[key] for f, key in fm.items()} for cell, fm in cells.items()},
-                            design.label, design.fold_col(s))
-        for gi, gamma in enumerate(gammas):
-            for c in costs:
-                rows.append((s.name, gi + 1, float(gamma), float(c), errs[f"{gi}|{c}"]))
+    grid = [(s, gi, gamma, c) for s in design.scenarios for gi, gamma in enumerate(gammas) for c in costs]
+    specs = {f"{i}|{j}": sv.svm_spec(cols, gamma, c, dim, seed, include=s.train, fold_col=design.fold_col(s), exclude_fold=j)
+             for i, (s, _, gamma, c) in enumerate(grid) for j in range(k)}
+    with Input(design.df, specs, design.label) as data:
+        fits = sv.fit_svms(data, specs, design.label)
+        judged = [Judged(specs[f"{i}|0"], rows=s.train, folds={j: fits[f"{i}|{j}"] for j in range(k)}, fold_col=design.fold_col(s))
+                  for i, (s, *_) in enumerate(grid)]
+        errors = sv.cv_errors(data.df, judged, design.label)
     return design.df.sparkSession.createDataFrame(
-        rows, "scenario string, gamma_index int, gamma double, cost double, error double")
+        [(s.name, gi + 1, float(gamma), float(c), errors[i], all(fits[f"{i}|{j}"].converged for j in range(k)))
+         for i, (s, gi, gamma, c) in enumerate(grid)],
+        "scenario string, gamma_index int, gamma double, cost double, error double, converged boolean")
 
 
 def best_cells(grid: DataFrame) -> DataFrame:
@@ -367,9 +347,10 @@ def first_time_points(spark: SparkSession, design: Design, sets: Sequence[Sequen
     return spark.createDataFrame(sorted(seen.items()), "term string, first_time_point int")
 
 
-def performance_summary(results: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Mean of each metric over the time points of each scenario."""
-    return results.groupBy("scenario").agg(*[F.avg(m).alias(f"mean_{m}") for m in metrics])
+def performance_summary(results: DataFrame, metrics: Sequence[str], by: Sequence[str] = ("scenario",)) -> DataFrame:
+    """Mean of each metric over the time points of each scenario
+    (and preparation variant or model setting, named in ``by``)."""
+    return results.groupBy(*by).agg(*[F.avg(m).alias(f"mean_{m}") for m in metrics])
 
 
 def metric_matrix(results: DataFrame, metric: str) -> DataFrame:

@@ -29,6 +29,27 @@ def prepared(spark: SparkSession, sf_dir: str, mark: float | None = 50.0) -> Dat
     return prepare_student(student_wide(spark, sf_dir), WEEKS, NUMERIC, CATEGORICAL, "final", mark)
 
 
+_KEPT: dict[tuple, object] = {}
+#: Designs and runs kept for later queries; the oldest goes first.
+MOST_KEPT = 32
+_SOURCES = ("customer", "nation", "orders", "region")
+
+
+def cached(spark: SparkSession, sf_dir: str, name: str, build):
+    """A design or run that several queries read, built once per session and state
+    of the input files (their names, lengths and times); results are small
+    tables or checkpointed frames."""
+    files = (spark.read.format("binaryFile").load([f"{sf_dir}/{t}.parquet" for t in _SOURCES])
+             .select("path", "length", F.col("modificationTime").cast("string").alias("at")).orderBy("path").collect())
+    key = (spark.sparkContext.applicationId, name, tuple(map(tuple, files)))
+    if key not in _KEPT:
+        value = build()
+        while len(_KEPT) >= MOST_KEPT:
+            del _KEPT[next(iter(_KEPT))]
+        _KEPT[key] = value
+    return _KEPT[key]
+
+
 def week_mean() -> F.Column:
     return reduce(lambda a, b: a + b, [F.col(w) for w in WEEKS]) / F.lit(12.0)
 

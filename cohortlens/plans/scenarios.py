@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions.columns import as_category, tolerant_double
 from cohortlens.operators.sampling import downsample_majority, split_train_test
 from cohortlens.plans.chronological import Scenario
 from cohortlens.session import materialize
@@ -68,3 +69,56 @@ def year_pair_scenarios(df: DataFrame, years: Sequence[int] = (2015, 2016, 2017)
             if a != b:
                 scen.append(Scenario(f"y{a}_on_{b}", f"y{a}", f"y{b}"))
     return df.withColumns(cols), scen
+
+
+#: Preparation variants (G24) and the label each is judged by; their order is that of the bits of ``variants``.
+VARIANTS = {"mark50": "pass_50", "mark55": "pass_55", "filledthendropped": "pass_50", "dropped": "pass_50"}
+
+
+def preparation_variants(df: DataFrame, weekly: Sequence[str], numeric: Sequence[str], categorical: Sequence[str],
+                         response: str, sparse: Sequence[str], marks: Sequence[float] = (50.0, 55.0)) -> DataFrame:
+    """All preparation variants of ``prepare_student`` on one table.
+
+    Weeks are zero-filled, the response stays numeric beside a label for each
+    mark, and the bits of ``variants`` say which variants keep the row: those
+    with zero fill (both marks; dropping the sparse columns afterwards)
+    want complete cases of what is left, ``dropped`` also wants every week that
+    is not sparse to have been there before the fill.  So a run of many variants
+    shares its passes, each variant's rows being a 0/1 flag.
+    """
+    weeks = [w for w in weekly if w not in set(sparse)]
+    original = {w: tolerant_double(w) for w in weekly}
+    filled = {w: tolerant_double(F.coalesce(F.col(w), F.lit(0).cast(df.schema[w].dataType))) for w in weekly}
+    others = [tolerant_double(c).isNotNull() & ~F.isnan(tolerant_double(c)) for c in [*numeric, response]]
+    others += [F.col(c).isNotNull() for c in df.columns if c not in {*weekly, *numeric, response}]
+    whole = F.lit(True)
+    for c in others:
+        whole = whole & c
+
+    def known(columns, names):
+        out = whole
+        for w in names:
+            out = out & columns[w].isNotNull() & ~F.isnan(columns[w])
+        return out
+
+    keeps = {"mark50": known(filled, weekly), "mark55": known(filled, weekly), "filledthendropped": known(filled, weeks), "dropped": known(original, weeks)}
+    bits = F.lit(0)
+    for i, name in enumerate(VARIANTS):
+        bits = bits + F.when(keeps[name], F.lit(1 << i)).otherwise(F.lit(0))
+    final = tolerant_double(response)
+    labels = {f"pass_{mark:g}": (final >= F.lit(float(mark))).cast("int") for mark in marks}
+    out = df.withColumn("variants", bits).where("variants > 0").withColumns(labels)
+    # a sparse week that is no number keeps a row out of the variants that use the week, so its value does not matter
+    weeks_of = {w: F.coalesce(filled[w], F.lit(0.0)) for w in weekly}
+    return out.withColumns({**weeks_of, **{c: tolerant_double(c) for c in [*numeric, response]}, **{c: as_category(c) for c in categorical}})
+
+
+def variant_scenarios(df: DataFrame, years: Sequence[int] = (2015, 2016, 2017)) -> tuple[DataFrame, list[Scenario]]:
+    """Cross-year pairs of every preparation variant (``variants`` bits): flags ``<variant>__y<year>``."""
+    cols, scen = {}, []
+    for i, name in enumerate(VARIANTS):
+        inside = F.col("variants").bitwiseAND(F.lit(1 << i)) > 0
+        for a in years:
+            cols[f"{name}__y{a}"] = _flag(inside & (F.col("year") == a))
+            scen += [Scenario(f"{name}__y{a}_on_{b}", f"{name}__y{a}", f"{name}__y{b}", variant=name) for b in years if b != a]
+    return df.withColumns(cols), scen

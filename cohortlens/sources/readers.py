@@ -81,3 +81,9 @@ def read_by_year(spark: SparkSession, paths_by_year: Mapping[int, str | Sequence
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def read_cohorts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table ``sinks.write_cohorts`` wrote; a filter on the year
+    reads only the folders of those years.  Columns are those of ``schema``."""
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())

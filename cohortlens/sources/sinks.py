@@ -29,3 +29,9 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by=
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
+
+
+def write_cohorts(df: DataFrame, path: str, year_col: str = "year") -> None:
+    """A prepared table in one folder per cohort, so that reading a
+    cohort (``readers.read_cohorts``) opens only its files."""
+    write_table(df.repartition(F.col(year_col), F.pmod(F.xxhash64(*df.columns), F.lit(8))), path, "errorifexists", [year_col])

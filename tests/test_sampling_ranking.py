@@ -62,12 +62,26 @@ def test_hash_rank_small_buckets_matches_sort(spark):
 
 def test_order_statistics_multi_pass(spark):
     rng = np.random.default_rng(3)
-    vals = np.concatenate([rng.normal(size=3000), np.full(1000, 0.25)])  # a heavy duplicate
-    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
-    ranks = [0, 17, 1500, 2000, 2500, 3999]
-    got = rk.order_statistics(df, "x", ranks, local_limit=200, n_buckets=16)
-    s = np.sort(vals)
-    assert all(got[r] == s[r] for r in ranks)
+    vals = np.concatenate([rng.normal(size=3000), np.full(1000, 0.25), [-0.0, 0.0, 1e300, -1e300, np.inf, -np.inf, 5e-324, np.nan]])  # a heavy duplicate
+    df = spark.createDataFrame([(float(v), float(i % 7), None if i % 3 else 1.5) for i, v in enumerate(vals)], "x double, y double, z double")
+    s = np.sort(vals[~np.isnan(vals)])
+    ranks = [0, 1, 2, 17, 1500, 2000, 2500, 3999, 4003, len(s) - 1]
+    got = rk.order_statistics_many(df, {"x": ranks, "y": [0, 1000, 4000], "z": [0, 5]})
+    assert all(got["x"][r] == s[r] for r in ranks)
+    y = sorted(float(i % 7) for i in range(len(vals)))
+    assert got["y"] == {r: y[r] for r in (0, 1000, 4000)} and got["z"] == {0: 1.5, 5: 1.5}
+    with pytest.raises(ValueError):
+        rk.order_statistics(df, "x", [len(s)])
+
+
+def test_radix_selection_of_many_columns_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(rk, "MOST_SLOTS", 3)
+    rng = np.random.default_rng(4)
+    cols = {f"c{i}": np.round(rng.normal(size=500) * 10.0 ** i, 3) for i in range(-3, 4)}
+    df = spark.createDataFrame([tuple(float(v[j]) for v in cols.values()) for j in range(500)], list(cols))
+    got = rk.quantiles_type7_many(df, {c: [0, 0.25, 0.5, 0.75, 1] for c in cols}, dict.fromkeys(cols, 500))
+    for c, v in cols.items():
+        assert np.allclose(got[c], np.quantile(v, [0, 0.25, 0.5, 0.75, 1]), rtol=1e-14, atol=0)
 
 
 def test_quantiles_type7(spark):
@@ -79,14 +93,51 @@ def test_quantiles_type7(spark):
     assert np.allclose(got, np.quantile(vals, probs), rtol=0, atol=1e-12)
 
 
-def test_cumulative_matches_pandas(spark):
+def test_running_sums_match_pandas(spark):
     rng = np.random.default_rng(7)
-    pdf_vals = rng.integers(0, 50, size=400)
-    df = spark.createDataFrame([(i, float(v), int(v % 3)) for i, v in enumerate(pdf_vals)], "i long, v double, w long")
-    splits = rk.quantile_splits(df, "v", 8)
-    out = rk.cumulative(rk.range_bucket(df, "v", splits), ["v", "i"], ["w"]).orderBy("v", "i").toPandas()
-    want = out.sort_values(["v", "i"])["w"].cumsum().to_numpy()
-    assert (out["w_cum"].to_numpy() == want).all()
+    vals = rng.permutation(400)
+    df = spark.createDataFrame([(int(v) % 3 if v % 5 else None, float(v), int(v % 3)) for v in vals], "g long, v double, w long")
+    out = rk.running_sums(df, "v", ["w"], ["g"], with_next="next", n=16).toPandas().sort_values("v")
+    for g, part in out.groupby("g", dropna=False):
+        assert (part["w"].cumsum() == part["w_cum"]).all() and (part["w_tot"] == part["w"].sum()).all()
+        assert part["next"].iloc[:-1].tolist() == part["v"].iloc[1:].tolist() and np.isnan(part["next"].iloc[-1])
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_splits_move_no_rows(spark, ids, tmp_path):
+    """Cut keys instead of ranks: the plans are filters and projections of the scan."""
+    ids.write.parquet(str(tmp_path / "ids"))
+    df = spark.read.parquet(str(tmp_path / "ids"))
+    for out in (sm.split_train_test(df), sm.downsample_majority(df, minority=1), sm.balanced_then_split(df, minority=1), sm.split_then_balance_train(df, minority=1)):
+        plan = plan_of(out)
+        assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+
+
+def test_cut_keys_equal_ranks_with_ties_and_missing_ids(spark):
+    rows = [(i % 40 if i % 3 else 7, i % 2) for i in range(3000)] + [(None, 1)] * 500
+    df = spark.createDataFrame(rows, "id long, final int")
+    s = sm.split_train_test(df, frac=0.37)
+    assert {r["split"]: r["count"] for r in s.groupBy("split").count().collect()} == {"train": math.floor(0.37 * 3500), "test": 3500 - math.floor(0.37 * 3500)}
+    key = lambda i: hashlib.md5(b"" if i is None else f"46:{i}".encode()).hexdigest()
+    order = sorted(key(i) for i, _ in rows)
+    cut = order[math.floor(0.37 * 3500) - 1]
+    for r in s.distinct().collect():
+        assert key(r["id"]) == cut or (r["split"] == "train") == (key(r["id"]) < cut)
+    few = sm.downsample_majority(df, minority=None)
+    assert {r["final"]: r["count"] for r in few.groupBy("final").count().collect()} == {0: 1500, 1: 1500}
+    none = sm.downsample_majority(df, minority=5)
+    assert none.count() == 0
+    flagged = sm.downsample_majority(df.withColumn("in", (F.col("id") < 20).cast("int")), minority=None, flag="kept", within="in")
+    assert flagged.count() == 3500 and flagged.where("kept = 1 and coalesce(`in`, 0) = 0").count() == 0
+
+
+@pytest.mark.parametrize("frac", [0.0, 1.0])
+def test_split_takes_nothing_or_everything(ids, frac):
+    assert sm.split_train_test(ids, frac=frac).where("split = 'train'").count() == 2003 * frac
+    assert sm.split_train_test(ids.limit(0), frac=frac).count() == 0
 
 
 def test_design_folds_balanced_per_training_set(spark):
