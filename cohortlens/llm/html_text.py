@@ -8,9 +8,11 @@ nearer they stand in the DOM.  The minimum cut separates content from
 boilerplate with the least cost of all labellings; maximum flow finds it.
 
 Defined cases: null or blank html, and pages without content, give an empty
-text; unclosed tags, comments and scripts end with the page; repeated rows are
-extracted each; null page_id or url is kept; an empty table gives no rows; other
-columns are ignored.
+text; unclosed comments, scripts and styles end with the page, other elements that are
+not shown (template, object and so on) with the element around them, selections, buttons
+and drawings also before the next block; a self-closing element holds nothing; formulas
+are text; repeated rows are extracted each; null page_id or url is kept; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,19 +33,22 @@ from cohortlens.llm.tables import read
 # HTML elements by their part in a page, and names that sites give.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 SPACE_TAGS = frozenset("br td th option wbr img input".split())
-UNSEEN_TAGS = frozenset("script style noscript template title svg math iframe object canvas audio video map textarea select button".split())
-RAW_TAGS = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg")
+UNSEEN_TAGS = frozenset("script style noscript template title svg iframe object canvas audio video map textarea select button".split())
+BLOCKLESS_TAGS = frozenset("select button svg".split())  # hold no blocks, so a block ends them
+RAW_TAGS = ("script", "style", "textarea", "title", "noscript", "iframe")
 HEAD_TAGS = frozenset("html head base basefont bgsound link meta noframes".split() + list(RAW_TAGS))  # don't end the head
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 OUTSIDE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
 OUTSIDE_NAMES = frozenset("ad ads advert adverts advertisement adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert menu nav navbar navigation breadcrumb breadcrumbs sidebar side rail footer foot header masthead topbar toolbar comment comments reply replies discussion disqus share sharing social related recommended recommendations popular newsletter subscribe subscription signup popup modal overlay widget login search pagination pager copyright disclaimer legal tags skip form".split())
 ABOUT_NAMES = frozenset("with without has no".split())  # what follows in a class says what the page has, not what the element is
+OF_NAMES = frozenset("of for about".split())  # in a class, they make a phrase about the text
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 CONTENT_NAMES = frozenset("article articlebody content entry post story main text body prose".split())
 
 # Weights of the classifier (positive: content) and of the edges.
 BIAS, IN_CONTENT, CONTENT_NAME, OUTSIDE, PARAGRAPH, HEADING, LINKS, PER_WORD, LONG = -1.0, 3.0, 1.0, -9.0, 1.0, 0.5, -4.0, 0.35, 12
+LINKS_INSIDE = 0.5  # factor of LINKS in an article, whose lists of links are mostly its own
 SMOOTHNESS, MARKED, SCALE = 2.0, 0.1, 1000  # MARKED: factor of edges from a marked part of the page to another
 
 _TOKEN = re.compile(
@@ -53,14 +58,33 @@ _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+class Element:
+    """An open element: its parent and what its ancestors and itself say of the text in it."""
+
+    __slots__ = ("tag", "number", "parent", "depth", "named", "hidden", "marked", "in_content", "in_header", "in_outside")
+
+    def __init__(self, tag: str, number: int, parent: Element | None, outside: bool = False, named: bool = False, hidden: bool = False) -> None:
+        up = parent or self
+        if parent is None:
+            self.depth, self.named, self.hidden, self.marked = -1, False, False, False
+            self.in_content = self.in_header = self.in_outside = False
+        self.tag, self.number, self.parent, self.depth = tag, number, parent, up.depth + 1
+        self.named, self.hidden = up.named or named, up.hidden or hidden
+        # names around the article are those of the page's layout
+        self.marked = outside if tag in CONTENT_TAGS else up.marked or outside
+        self.in_content, self.in_header, self.in_outside = up.in_content or tag in CONTENT_TAGS, up.in_header or tag == "header", up.in_outside or tag in OUTSIDE_TAGS
+
+    @property
+    def outside(self) -> bool:
+        """A header outside the article is the site's; one inside is the article's."""
+        return self.hidden or self.marked or self.in_outside or self.in_header and not self.in_content
+
+
 class Block(NamedTuple):
-    """``path``: numbers of the elements around the block, outermost first."""
+    """``at``: the element that holds the text, ``linked``: characters of it in links."""
     text: str
     linked: int
-    path: tuple[int, ...]
-    tags: tuple[str, ...]
-    outside: bool
-    named: bool
+    at: Element
 
 
 def _names(value: str) -> set[str]:
@@ -68,6 +92,8 @@ def _names(value: str) -> set[str]:
     found: set[str] = set()
     for token in value.split():
         names = [n.lower() for n in _NAME.findall(token)]
+        if not OF_NAMES.isdisjoint(names):
+            continue
         found.update(names[:next((i for i, n in enumerate(names) if n in ABOUT_NAMES), len(names))])
     return found
 
@@ -92,25 +118,26 @@ def _named(attrs: str) -> tuple[bool, bool, bool]:
 def blocks(html: str) -> list[Block]:
     """Text blocks of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool, bool]] = []  # tag, number, outside, content name, hidden
+    root = Element("html", 0, None)
+    stack = [root]
+    unseen: list[tuple[str, int]] = []  # open elements that are not shown, and the depth they stand at
     text: list[str] = []
-    linked = links = unseen = number = 0
+    linked = links = number = 0
     in_head = False
-    root = (("html", 0, False, False, False),)
 
     def flush() -> None:
         nonlocal text, linked
         joined = " ".join(entities.unescape("".join(text)).split())
         if joined:
-            around = root + tuple(stack)
-            tags = tuple(s[0] for s in around)
-            inside = max((i for i, t in enumerate(tags) if t in CONTENT_TAGS), default=-1)
-            # a header outside the article is the site's; one inside is the article's;
-            # names around the article are those of the page's layout
-            outside = any(s[4] for s in around) or any(s[2] for s in around[max(inside, 0):]) or any(t in OUTSIDE_TAGS or t == "header" and i > 0 and inside < i and inside < 0 for i, t in enumerate(tags))
-            out.append(Block(joined, min(linked, len(joined)), tuple(s[1] for s in around), tags, outside, any(s[3] for s in around)))
+            out.append(Block(joined, min(linked, len(joined)), stack[-1]))
         text, linked = [], 0
 
+    def close(depth: int) -> None:
+        """The open elements beyond ``depth`` end, and what is not shown in them."""
+        del stack[depth:]
+        while unseen and unseen[-1][1] > depth:
+            unseen.pop()
+
     at = 0
     for m in _TOKEN.finditer(html):
         in_head = in_head and not html[at:m.start()].strip()
@@ -131,27 +158,36 @@ def blocks(html: str) -> list[Block]:
             text.append(" ")
         elif tag in UNSEEN_TAGS:
             if m["close"]:
-                unseen = max(0, unseen - 1)
+                last = next((i for i in range(len(unseen) - 1, -1, -1) if unseen[i][0] == tag), None)
+                if last is not None:
+                    del unseen[last:]
             elif not (m["attrs"] or "").endswith("/"):
-                unseen += 1
+                unseen.append((tag, len(stack)))
         elif tag == "body":
-            unseen = 0
+            unseen.clear()
         if tag not in BLOCK_TAGS:
             continue
-        flush()
+        while unseen and unseen[-1][0] in BLOCKLESS_TAGS:
+            unseen.pop()
+        base = unseen[-1][1] if unseen else 1  # what stands below is not of the part that isn't shown
         if m["close"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-        elif tag != "hr":
-            if tag not in ("html", "body") and stack and stack[-1][0] in CLOSED_BY_BLOCK:
-                stack.pop()
-            if tag in ("li", "tr", "dd", "dt") and stack and stack[-1][0] == tag:
-                stack.pop()
+            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), None)
+            if not unseen or i is not None and i < base:
+                flush()
+            if i is not None:
+                close(i)
+        elif tag != "hr" or not unseen:
+            if not unseen:
+                flush()
+            if tag == "hr":
+                continue
+            if tag not in ("html", "body") and len(stack) > base and stack[-1].tag in CLOSED_BY_BLOCK:
+                close(len(stack) - 1)
+            if tag in ("li", "tr", "dd", "dt") and len(stack) > base and stack[-1].tag == tag:
+                close(len(stack) - 1)
             number += 1
             marks = _named(m["attrs"]) if m["attrs"] and tag not in ("html", "body") else (False, False, False)
-            stack.append((tag, number, *marks))
+            stack.append(Element(tag, number, stack[-1], *marks))
     if not unseen:
         text.append(html[at:])
     flush()
@@ -160,25 +196,27 @@ def blocks(html: str) -> list[Block]:
 
 def logit(block: Block) -> float:
     """Log-odds that the block is content."""
-    words = block.text.count(" ") + 1
+    e, words = block.at, block.text.count(" ") + 1
     links = block.linked / len(block.text)
-    z = BIAS + PER_WORD * min(words, LONG) * (1 - links) + LINKS * max(0.0, 2 * links - 1)
-    z += IN_CONTENT * any(t in CONTENT_TAGS for t in block.tags) + CONTENT_NAME * block.named + OUTSIDE * block.outside
-    return z + (PARAGRAPH if block.tags[-1] in ("p", "blockquote", "pre") else HEADING if re.fullmatch("h[1-6]", block.tags[-1]) else 0.0)
+    z = BIAS + PER_WORD * min(words, LONG) * (1 - links) + LINKS * max(0.0, 2 * links - 1) * (LINKS_INSIDE if e.in_content else 1.0)
+    z += IN_CONTENT * e.in_content + CONTENT_NAME * e.named + OUTSIDE * e.outside
+    return z + (PARAGRAPH if e.tag in ("p", "blockquote", "pre") else HEADING if re.fullmatch("h[1-6]", e.tag) else 0.0)
 
 
-def _distance(a: Block, b: Block) -> int:
-    """Steps between two blocks in the DOM."""
-    same = 0
-    for x, y in zip(a.path, b.path):
-        if x != y:
-            break
-        same += 1
-    return len(a.path) + len(b.path) - 2 * same
+def _distance(a: Element, b: Element) -> int:
+    """Steps between two elements in the DOM."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
 
 
 def _edge(a: Block, b: Block, distance: int) -> int:
-    return math.ceil(SCALE * SMOOTHNESS * (MARKED if a.outside != b.outside else 1.0) / max(1, distance))
+    return math.ceil(SCALE * SMOOTHNESS * (MARKED if a.at.outside != b.at.outside else 1.0) / max(1, distance))
 
 
 def minimum_cut(gain: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -250,8 +288,8 @@ def content(found: list[Block]) -> list[bool]:
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
-            edges.append((i - 1, i, _edge(found[i - 1], b, _distance(found[i - 1], b))))
-        parent = b.path[:-1]
+            edges.append((i - 1, i, _edge(found[i - 1], b, _distance(found[i - 1].at, b.at))))
+        parent = b.at.parent and b.at.parent.number
         if parent in last and last[parent] < i - 1:
             edges.append((last[parent], i, _edge(found[last[parent]], b, 4)))
         last[parent] = i
