@@ -5,6 +5,10 @@ built from records of that archive; each record follows as one frame of its
 own, compressed with the dictionary, so a reader can seek to any record.  A
 payload equal to an archived one is written as a revisit record without it.
 
+A record's id is made of its page_id and payload digest, so a revisit names the
+record of its response by id, wherever that is, and rows that repeat a response
+repeat its id.  Records bear the time given (``DATE`` by default): pages have none.
+
 Tasks write archives under names of their own attempt and report them in a
 manifest; only reported archives are read, so files of lost or repeated
 attempts are never seen.
@@ -37,6 +41,7 @@ DICTIONARY_BYTES = 64 << 10
 TRAINING_BYTES = 4 << 20
 LEVEL = 6
 SKIPPABLE = 0x184D2A5D
+DATE = "2000-01-01T00:00:00Z"
 
 RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 MANIFEST = "path string, records bigint, bytes bigint"
@@ -52,13 +57,21 @@ def decide(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     return narrow.join(groups.drop("n"), "payload_digest", "left")
 
 
-def _header(kind: str, page_id, url, n: int, digest: str, refers, body: int) -> bytes:
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}:{uuid.uuid4()}>",
+def record_id(kind: str, page_id, digest: str) -> str:
+    """``<urn:uuid:...>`` of a page's record with that payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {page_id} {digest}')}>"
+
+
+def _header(kind: str, page_id, url, n: int, digest: str, refers, body: int, date: str = DATE) -> bytes:
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(kind, page_id, digest)}", f"WARC-Date: {date}",
              f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {n}"]
+    if page_id is not None:
+        lines.append(f"X-Page-ID: {page_id}")
     if url is not None:
         lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+                  f"WARC-Refers-To: {record_id('response', refers, digest)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page-ID: {refers}"]
     lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {body}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
@@ -156,9 +169,8 @@ def _parse(record: bytes) -> tuple:
     kind = fields["WARC-Type"]
     if kind == "response" and (len(body) != n or hashlib.sha1(body).hexdigest() != digest):
         raise ValueError(f"payload of {fields['WARC-Record-ID']} differs from its digest")
-    page_id = fields["WARC-Record-ID"].split(":")[2]
-    refers = fields["WARC-Refers-To"].split(":")[2].rstrip(">") if kind == "revisit" else None
-    return (int(page_id) if page_id else None, fields.get("WARC-Target-URI"), n, digest, kind, None if refers is None else int(refers), body)
+    page_id, refers = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page-ID")
+    return (None if page_id is None else int(page_id), fields.get("WARC-Target-URI"), n, digest, kind, None if refers is None else int(refers), body)
 
 
 def read_archives(spark: SparkSession, folder: str, manifest: DataFrame, with_payload: bool = True) -> DataFrame:
