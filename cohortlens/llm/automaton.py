@@ -5,7 +5,8 @@ of a character).  The automata of all entries run together over the trie: a
 state is a set of (trie node, edits so far) and the best hit of a stem so far,
 which ends the search when no item can do with fewer edits.  States are made when
 a word first needs them, and kept in a transition table, so arrays of words run
-through it position by position.
+through it position by position.  Beyond ``MOST_STATES`` the table starts anew
+with the next array: it is a memory of the automaton, not a part of it.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ class Entry(NamedTuple):
 
 _UNKNOWN = -1
 _DEAD = 0
+#: States kept from one array of words to the next; a row of the table and some hundred bytes each.
+MOST_STATES = 50_000
 
 
 class LexiconAutomaton:
@@ -50,6 +53,9 @@ class LexiconAutomaton:
         self.letters = np.array([ord(c) for c in letters], np.uint32)
         self.symbols = ["", ""] + letters
         self.length = max((len(e.text) for e in entries), default=0) + max((e.edits for e in entries), default=0) + 1
+        self._forget()
+
+    def _forget(self) -> None:
         self.ids: dict[object, int] = {}
         self.states: list[object] = []
         self.table = np.full((1024, len(self.symbols)), _UNKNOWN, np.int32)
@@ -100,6 +106,8 @@ class LexiconAutomaton:
         """(edits, entry) of the best entry of each word, or None."""
         if not words or not self.entries:
             return [None] * len(words)
+        if len(self.states) > MOST_STATES:
+            self._forget()
         codes = np.array(words, dtype=f"U{self.length + 1}").view(np.uint32).reshape(len(words), -1)
         at = np.searchsorted(self.letters, codes)
         known = self.letters[np.minimum(at, len(self.letters) - 1)] == codes

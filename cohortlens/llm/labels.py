@@ -15,11 +15,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     """(doc_id, text, label) of labelled documents that are not held out.
 
     At most ``most`` labels, those of smallest hash of their id; that bound
-    also bounds the broadcast.
+    also bounds the broadcast.  Rows that share an id give one text, the least:
+    an id that many rows repeat is still one label.
     """
     ids = F.col("doc_id").cast("bigint")
     chosen = (labels.select(ids.alias("__id"), F.col(label).cast("int").alias("label")).filter("__id IS NOT NULL AND label IS NOT NULL")
               .filter(~held_out(F.col("__id"))).groupBy("__id").agg(F.max("label").alias("label"))
               .orderBy(F.xxhash64("__id"), "__id").limit(most))
     own = docs.select(ids.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return own.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")
+    return own.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))

@@ -36,8 +36,6 @@ from cohortlens.llm.words import chunks
 
 #: Most labelled documents that the lexicon and the model learn from.
 TRAINING_ROWS = 20_000
-#: Most candidates for the lexicon that reach the driver.
-CANDIDATES = 20_000
 STEMS = range(4, 9)
 #: Least toxic documents with an entry, least share of toxic ones among its
 #: documents, and least log-likelihood ratio against the share among all.
@@ -99,7 +97,7 @@ def lexicon(rows: DataFrame) -> list[Entry]:
     share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     ratio = F.col("toxic") * F.log(share / prior) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / (1 - prior))).otherwise(0.0)
     good = counts.filter((F.col("toxic") >= SUPPORT) & (share >= PRECISION)).filter(ratio >= EVIDENCE)
-    found = {r["term"]: (r["toxic"], r["clean"]) for r in good.orderBy(F.desc("toxic"), "term").limit(CANDIDATES).collect()}
+    found = {r["term"]: (r["toxic"], r["clean"]) for r in good.collect()}  # of at most TRAINING_ROWS texts, in SUPPORT of them or more
     # along a word's stems, the longest one that keeps most documents of the shortest
     chosen: dict[str, int] = {}
     for term, (toxic, _) in sorted(found.items(), key=lambda x: (len(x[0].rstrip("$")), x[0])):
@@ -129,7 +127,7 @@ class Matcher:
     def words(self, texts: list[bytes]) -> list[list[str]]:
         lists = [t.decode().lower().split() for t in texts]
         if len(self.seen) > KEPT_WORDS:
-            self.seen = set()
+            self.seen, self.hits = set(), {}
         new = list(set().union(*lists) - self.seen)
         bare = [_bare(w) if not w.isalnum() else w for w in new]
         for form, word, hit in zip(new, bare, self.automaton.match(bare)):
