@@ -37,8 +37,8 @@ NEIGHBOURS = 15
 THRESHOLD = 0.3
 TRIGRAMS, SHAPES = 2048, 256
 TERMS = TRIGRAMS + SHAPES
-#: Documents whose cosines are computed at once.
-BLOCK = 512
+#: Documents whose cosines are computed at once, and whose terms are counted at once.
+BLOCK, CHUNK_ROWS = 512, 1024
 
 _MARK = np.zeros(256, bool)
 _MARK[list(b"#*$%&|<>!@^~_=+{}[]")] = True
@@ -86,7 +86,7 @@ def inverse_document_frequency(docs: DataFrame) -> np.ndarray:
         hasher, total, n = Hasher(), np.zeros(TERMS, np.int64), 0
         for batch in batches:
             n += batch.num_rows
-            for _, part in chunks([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]):
+            for _, part in chunks([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()], most=CHUNK_ROWS):
                 total += (term_counts(part, hasher) > 0).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, TERMS)), pa.array(np.append(n, total))], ["term", "n"])
 
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Space:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            for at, part in chunks(batch.column(1).cast(pa.binary()).to_pylist(), 1 << 20):
+            for at, part in chunks(batch.column(1).cast(pa.binary()).to_pylist(), 1 << 20, CHUNK_ROWS):
                 x = _vectors(term_counts(part, hasher), idf).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(2).slice(at, len(part)), pa.array([v.tobytes() for v in x], pa.binary())],
                                                  ["doc_id", "label", "vector"])
@@ -160,7 +160,7 @@ def classify(docs: DataFrame, space: Space) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, own = Hasher(), Space(*sent.value)
         for batch in batches:
-            for at, part in chunks([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], 1 << 20):
+            for at, part in chunks([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], 1 << 20, CHUNK_ROWS):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(own.score(term_counts(part, hasher)))], ["doc_id", "score"])
 
     return docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "CAST(text AS string) AS text").mapInArrow(apply, "doc_id bigint, score double")

@@ -88,13 +88,13 @@ def scan(texts: list[bytes], lower: bool = False) -> Words:
     return Words(data, starts, ends, doc, first, begin)
 
 
-def chunks(texts: Iterable[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """Consecutive texts of about ``limit`` bytes together, with the index of
-    the first; every text is in exactly one chunk, whole."""
+def chunks(texts: Iterable[bytes], limit: int = CHUNK_BYTES, most: int | None = None) -> Iterator[tuple[int, list[bytes]]]:
+    """Consecutive texts of about ``limit`` bytes together, ``most`` of them at
+    most, with the index of the first; every text is in exactly one chunk, whole."""
     part: list[bytes] = []
     at = size = 0
     for i, t in enumerate(texts):
-        if part and size + len(t) > limit:
+        if part and (size + len(t) > limit or len(part) == most):
             yield at, part
             part, at, size = [], i, 0
         part.append(t)
