@@ -15,6 +15,7 @@ no rows; other columns of the input are ignored.
 from __future__ import annotations
 
 import bisect
+import contextlib
 import re
 import sys
 import types
@@ -34,9 +35,9 @@ from cohortlens.llm.words import Hasher, chunks
 CAPACITY = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k"
-#: Word encodings that one Python worker keeps; beyond it the memory starts anew.
-KEPT_WORDS = 1_000_000
-TABLE_BITS = 22
+#: Word encodings that a task keeps; beyond it the memory starts anew.
+KEPT_WORDS = 400_000
+TABLE_BITS = 20
 #: Rows of one rank window: more rows of a length are split over more windows.
 ROWS_PER_WINDOW = 200_000
 
@@ -49,12 +50,17 @@ _SUSPECT = np.zeros(256, bool)
 _SUSPECT[[0x1C, 0x1D, 0x1E, 0x1F, 0x3C, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
+class CrossedWords(Exception):
+    """A token of the vocabulary crosses from a word to a space."""
+
+
 class WordEncoder:
     """Token ids of texts, encoding each different word once.
 
     The vocabulary's splitting rule lets no token cross from a non-space to a
     space, so a text's ids are the ids of its ``space* word`` pieces in turn.
-    Texts with unusual spaces or special tokens are encoded whole.
+    Texts with unusual spaces or special tokens are encoded whole, and so are
+    all texts of a chunk in which a token does cross.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY) -> None:
@@ -71,12 +77,12 @@ class WordEncoder:
         for token, i in ranks.items():
             self.n_bytes[i] = len(token)
         self.whole = None
-        self.hasher = Hasher()
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
-        self.key = np.zeros(1 << TABLE_BITS, np.uint64)
-        self.slot = np.full(1 << TABLE_BITS, -1, np.int32)
+    def forget(self) -> None:
+        """Drop the words and the arrays that work on them; the vocabulary stays."""
+        self.hasher = Hasher()
+        self.key = self.slot = np.zeros(0, np.uint64)
         self.begin = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
@@ -97,7 +103,8 @@ class WordEncoder:
         at = np.cumsum(self.n_bytes[ids])
         ends = np.cumsum([len(words[i]) for i in joined.tolist()], dtype=np.int64)
         cut = np.searchsorted(at, ends) + 1
-        assert np.array_equal(at[cut - 1], ends), "a token crosses two words"
+        if not np.array_equal(at[np.minimum(cut, len(at)) - 1], ends):
+            raise CrossedWords
         parts = [np.array(self.encoding.encode_ordinary(words[i].decode()), np.uint32) for i in single.tolist()]
         count = np.concatenate([np.diff(cut, prepend=0), np.array([len(p) for p in parts], np.int64)])
         begin = len(self.ids) + np.cumsum(count) - count
@@ -109,6 +116,12 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text; ``texts`` is one chunk."""
+        try:
+            return self._encode_by_words(texts)
+        except CrossedWords:
+            return [self._encode_whole(t.decode()) for t in texts]
+
+    def _encode_by_words(self, texts: list[bytes]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         data = np.frombuffer(b"".join(texts), np.uint8)
         if _SUSPECT[data].any():
@@ -128,7 +141,10 @@ class WordEncoder:
             starts = np.flatnonzero(edge)
             ends = np.append(starts[1:], len(data))
             if len(self.count) > KEPT_WORDS:
-                self._forget()
+                self.forget()
+            if not len(self.key):
+                self.key = np.zeros(1 << TABLE_BITS, np.uint64)
+                self.slot = np.full(1 << TABLE_BITS, -1, np.int32)
             hashes = self.hasher.ranges(data, starts, ends)
             place = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
             slot = np.where(self.key[place] == hashes, self.slot[place], np.int64(-1))
@@ -150,8 +166,18 @@ class WordEncoder:
         return out
 
 
+@contextlib.contextmanager
+def task_encoder(vocabulary: str) -> Iterator[WordEncoder]:
+    """The Python worker's encoder, for one task: the vocabulary is kept over
+    tasks, what was learned of the task's words is not."""
+    encoder = _worker_encoder(vocabulary)
+    try:
+        yield encoder
+    finally:
+        encoder.forget()
+
+
 def _worker_encoder(vocabulary: str) -> WordEncoder:
-    """One encoder per Python worker process, kept over its tasks."""
     holder = sys.modules.setdefault("_packing_encoders", types.ModuleType("_packing_encoders"))
     if not hasattr(holder, vocabulary):
         setattr(holder, vocabulary, WordEncoder(vocabulary))
@@ -165,26 +191,26 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID,
     schema = fields + (", ids array<int>" if with_ids else "")
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _worker_encoder(vocabulary)
-        for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for at, part in chunks(texts):
-                rows: list[tuple] = []
-                ids: list[np.ndarray] = []
-                for i, x in enumerate(encoder.encode(part)):
-                    x = np.append(x, np.uint32(end_id)).astype("<u4")
-                    cuts = [0, *range(len(x) % capacity or capacity, len(x) + 1, capacity)]
-                    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                        rows.append((doc_ids[at + i], k, a, b - a, zlib.crc32(x[a:b].tobytes())))
-                        ids.append(x[a:b])
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(cols, names)
+        with task_encoder(vocabulary) as encoder:
+            for batch in batches:
+                doc_ids = batch.column(0).to_pylist()
+                texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+                for at, part in chunks(texts):
+                    rows: list[tuple] = []
+                    ids: list[np.ndarray] = []
+                    for i, x in enumerate(encoder.encode(part)):
+                        x = np.append(x, np.uint32(end_id)).astype("<u4")
+                        cuts = [0, *range(len(x) % capacity or capacity, len(x) + 1, capacity)]
+                        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                            rows.append((doc_ids[at + i], k, a, b - a, zlib.crc32(x[a:b].tobytes())))
+                            ids.append(x[a:b])
+                    cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+                    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                    if with_ids:
+                        ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
+                        cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(tokenise, schema)
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.best_fit_packing import VOCABULARY, _worker_encoder
+from cohortlens.llm.best_fit_packing import VOCABULARY, task_encoder
 from cohortlens.llm.registry import register
 from cohortlens.llm.tables import read, stage
 from cohortlens.llm.words import Hasher, chunks, scan
@@ -74,22 +74,23 @@ def blocks(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, voca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, hasher, row = _worker_encoder(vocabulary), Hasher(), TaskContext.get().partitionId() << 36
-        for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for at, part in chunks(texts):
-                rows: list[tuple] = []
-                for i, (x, (n, terms, counts)) in enumerate(zip(encoder.encode(part), _terms(part, hasher))):
-                    x = np.append(x, np.uint32(end_id)).astype("<u4")
-                    for a in range(0, len(x), capacity):
-                        raw, last = x[a:a + capacity].tobytes(), a + capacity >= len(x)
-                        rows.append((row, doc_ids[at + i], a, len(raw) // 4, zlib.crc32(raw), len(x), raw if with_ids or len(raw) < 4 * capacity else None,
-                                     n if last else None, terms.tobytes() if last else None, counts.tobytes() if last else None))
-                        row += 1
-                kinds = [pa.int64()] * 6 + [pa.binary(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
-                                                 ["row", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "n_words", "terms", "counts"])
+        hasher, row = Hasher(), TaskContext.get().partitionId() << 36
+        with task_encoder(vocabulary) as encoder:
+            for batch in batches:
+                doc_ids = batch.column(0).to_pylist()
+                texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+                for at, part in chunks(texts):
+                    rows: list[tuple] = []
+                    for i, (x, (n, terms, counts)) in enumerate(zip(encoder.encode(part), _terms(part, hasher))):
+                        x = np.append(x, np.uint32(end_id)).astype("<u4")
+                        for a in range(0, len(x), capacity):
+                            raw, last = x[a:a + capacity].tobytes(), a + capacity >= len(x)
+                            rows.append((row, doc_ids[at + i], a, len(raw) // 4, zlib.crc32(raw), len(x), raw if with_ids or len(raw) < 4 * capacity else None,
+                                         n if last else None, terms.tobytes() if last else None, counts.tobytes() if last else None))
+                            row += 1
+                    kinds = [pa.int64()] * 6 + [pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
+                                                     ["row", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "n_words", "terms", "counts"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 

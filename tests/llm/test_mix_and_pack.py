@@ -160,3 +160,24 @@ def test_rank_of_a_hot_length_is_split(spark):
     for r in rows:
         ranks[r.length].append(r["rank"])
     assert all(sorted(v) == list(range(len(v))) for v in ranks.values()) and len(rows) == 5000
+
+
+def test_ids_of_random_unicode_are_those_of_tokenizers():
+    rng = random.Random(8)
+    signs = ["a", "B", " ", "  ", "\n", "\t", "é", "ß", "中", "文", "👍", "\u200b", "\u00a0", "\u2003", "\u0301", "'s", "'", "12", "3", "_", "\x1c", "\x85", "\r\n", "ﬁ", "<|endoftext|>", "\u0085"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(0, 60))) for _ in range(3000)]
+    texts += ["".join(chr(c) for c in (rng.randrange(1, 0x11000) for _ in range(40)) if not 0xD800 <= c < 0xE000) for _ in range(500)]
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    with packing.task_encoder("byte_bpe_50k") as encoder:
+        got = [x.tolist() for a in range(0, len(texts), 500) for x in encoder.encode([x.encode() for x in texts[a:a + 500]])]
+        assert len(encoder.count)
+    assert got == want and not len(encoder.count) and not len(encoder.key)
+
+
+def test_a_token_across_words_falls_back_to_whole_texts(monkeypatch):
+    with packing.task_encoder("byte_bpe_50k") as encoder:
+        monkeypatch.setattr(encoder, "n_bytes", encoder.n_bytes + 1)
+        t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        texts = ["some words of a text", "more words"]
+        assert [x.tolist() for x in encoder.encode([x.encode() for x in texts])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
