@@ -27,7 +27,7 @@ class Entry(NamedTuple):
 _UNKNOWN = -1
 _DEAD = 0
 #: States kept from one array of words to the next; a row of the table and some hundred bytes each.
-MOST_STATES = 50_000
+MOST_STATES = 20_000
 
 
 class LexiconAutomaton:

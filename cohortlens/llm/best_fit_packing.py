@@ -17,8 +17,6 @@ from __future__ import annotations
 import bisect
 import contextlib
 import re
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.registry import register
 from cohortlens.llm.tables import read, stage
-from cohortlens.llm.words import Hasher, chunks
+from cohortlens.llm.words import Hasher, chunks, tidy_worker
 
 CAPACITY = 1024
 END_ID = 2
@@ -168,20 +166,14 @@ class WordEncoder:
 
 @contextlib.contextmanager
 def task_encoder(vocabulary: str) -> Iterator[WordEncoder]:
-    """The Python worker's encoder, for one task: the vocabulary is kept over
-    tasks, what was learned of the task's words is not."""
-    encoder = _worker_encoder(vocabulary)
-    try:
-        yield encoder
-    finally:
-        encoder.forget()
-
-
-def _worker_encoder(vocabulary: str) -> WordEncoder:
-    holder = sys.modules.setdefault("_packing_encoders", types.ModuleType("_packing_encoders"))
-    if not hasattr(holder, vocabulary):
-        setattr(holder, vocabulary, WordEncoder(vocabulary))
-    return getattr(holder, vocabulary)
+    """An encoder for one task; Spark keeps Python workers, so nothing of it stays in them."""
+    with tidy_worker():
+        encoder = WordEncoder(vocabulary)
+        try:
+            yield encoder
+        finally:
+            encoder.forget()
+            del encoder
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID,

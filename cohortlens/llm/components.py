@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.tables import stage
+from cohortlens.llm.tables import discard, stage
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(links: DataFrame) -> DataFrame:
     now = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     state = _state(now)
     while state[0]:
-        now = stage(_star(_star(now, True), False), "links")
+        before, now = now, stage(_star(_star(now, True), False), "links")
+        discard(before)
         if (new := _state(now)) == state:
             break
         state = new

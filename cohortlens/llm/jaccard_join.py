@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.components import components
 from cohortlens.llm.registry import register
-from cohortlens.llm.tables import read, stage
+from cohortlens.llm.tables import discard, read, stage
 from cohortlens.llm.words import Hasher, chunks, mix, scan, shingles
 
 #: Counters of the rarity table: each shingle is as rare as its counter.
@@ -217,8 +217,9 @@ def _close(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Pairs (staged) whose sets reach the similarity, counted exactly."""
-    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "verify-ids")
+    """Pairs (staged, and deleted with the sets built for them) whose sets reach the similarity, counted exactly; staged."""
+    sides = [pairs.select(F.col(c).alias("doc_id")).distinct() for c in ("a", "b")]
+    ids = stage(sides[0].unionByName(sides[1]).distinct(), "verify-ids")
     picked = _narrow(docs).join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,9 +238,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
 
     sets = stage(picked.mapInArrow(whole, "id bigint, s array<bigint>"), "verify-sets")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return (pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-            .filter(shared * (num + den) >= num * (F.size("sa") + F.size("sb"))).select("a", "b").distinct())
+    links = stage(pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+                  .join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+                  .filter(shared * (num + den) >= num * (F.size("sa") + F.size("sb"))).select("a", "b").distinct(), "verified")
+    discard(sets, ids, pairs)
+    return links
 
 
 def _length_fits(a: str, b: str, num: int, den: int) -> Column:
@@ -282,12 +285,44 @@ def roots(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataF
     return label.join(joined.select(F.col("u").alias("label"), "v"), "label", "left").select("id", F.coalesce("v", "label").alias("root")).distinct()
 
 
-def classes(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+def _class_sets(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures of the documents, and of each different set once, under its smallest doc_id; both staged."""
     signed = stage(signatures(docs, k, num, den, rarity(docs, k)), "signatures")
     known = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    sets = stage(known.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n", "prefix", "cost", "bitmap", "small", "minima"), "doc_id").alias("x"))
-                 .select("hi", "lo", "id", "x.*"), "sets")
+    sets = known.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n", "prefix", "cost", "bitmap", "small", "minima"), "doc_id").alias("x"))
+    return signed, stage(sets.select("hi", "lo", "id", "x.*"), "sets")
+
+
+def _links_between(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b), a < b: every pair of different sets that link, by the heavy-light join alone; staged."""
+    costs = [tuple(r) for r in sets.filter(F.col("n") < MOST_LIGHT).groupBy("n").agg(F.count(F.lit(1)), F.sum("cost")).collect()]
+    limit = boundary(costs, num, den)
+    entries = _entries(sets.withColumn("label", F.col("id")), limit, num, den).join(sets.select("id", "bitmap"), "id")
+    x, y = entries.alias("x"), entries.alias("y")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") == F.col("y.c")) & F.expr("x.id < y.id")
+                   & _may_link("x", "y", limit, num, den) & _bits_allow("x", "y", num, den))
+    return _verified(stage(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "join-links"), docs, k, num, den)
+
+
+def links(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """(a, b), a < b: every link between documents of different sets, each set under its smallest doc_id."""
+    return _links_between(docs, _class_sets(docs, k, num, den)[1], k, num, den)
+
+
+def link_counts(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """doc_id, class_id (smallest doc_id with the same set; null without a set or an id) and
+    n_links, the number of other classes that the document's class links with."""
+    signed, sets = _class_sets(docs, k, num, den)
+    found = _links_between(docs, sets, k, num, den)
+    ends = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    of_class = sets.select("hi", "lo", "id").join(ends, "id", "left")
+    own = signed.select("doc_id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("hi")).alias("hi"), "lo")
+    return own.join(of_class, ["hi", "lo"], "left").select("doc_id", F.col("id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def classes(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    signed, sets = _class_sets(docs, k, num, den)
     root = sets.select("hi", "lo", "id").join(roots(docs, sets, k, num, den), "id").select("hi", "lo", "root")
     return (signed.select("doc_id", "n", "hi", "lo").join(root, ["hi", "lo"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"),

@@ -39,3 +39,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables from the shared folder; nothing that is still to run may read them."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

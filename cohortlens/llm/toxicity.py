@@ -26,13 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from cohortlens.llm.automaton import Entry, LexiconAutomaton
 from cohortlens.llm.labels import held_out, training_rows
 from cohortlens.llm.registry import register
 from cohortlens.llm.tables import read, stage
-from cohortlens.llm.words import chunks
+from cohortlens.llm.words import chunks, tidy_worker
 
 #: Most labelled documents that the lexicon and the model learn from.
 TRAINING_ROWS = 20_000
@@ -45,7 +45,9 @@ EDIT_LENGTH = 5
 FUZZY, QUOTED, DIRECTED, WINDOW = 0.85, 0.3, 1.2, 5
 THRESHOLD = 0.5
 #: Word forms that one task remembers; beyond it the memory starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
+#: Rows of a batch that are Python objects at once.
+ROWS = 1024
 
 # Quotation marks, words that report speech, words of address.
 QUOTES = "\"“”„«»"
@@ -206,19 +208,30 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Model:
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``docs``, ``__score`` and ``__toxic``."""
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.entries, model.spared)
-        for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            for at, part in chunks(texts):
-                score = 1 / (1 + np.exp(-(model.weights[0] + matcher.features(part) @ model.weights[1:])))
-                rest = batch.slice(at, len(part)).drop_columns(["text"])
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(score)], [*rest.schema.names, "score"])
-
-    # columns travel under numbers, whatever their names
-    given = docs.withColumn("__text", F.col("text").cast("string")).toDF(*[f"c{i}" for i in range(len(docs.columns))], "text")
-    schema = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)] + [StructField("score", DoubleType())])
-    return given.mapInArrow(apply, schema).toDF(*docs.columns, "__score").withColumn("__toxic", F.col("__score") >= threshold)
+        with tidy_worker():
+            own = Model(*sent.value)
+            matcher = Matcher(own.entries, own.spared)
+            for batch in batches:
+                for row in range(0, batch.num_rows, ROWS):
+                    rows = batch.slice(row, ROWS)
+                    texts = [t or b"" for t in rows.column("text").cast(pa.binary()).to_pylist()]
+                    for at, part in chunks(texts):
+                        score = 1 / (1 + np.exp(-(own.weights[0] + matcher.features(part) @ own.weights[1:])))
+                        rest = rows.slice(at, len(part))
+                        rest = rest if returned else rest.drop_columns(["text"])
+                        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(score)], [*rest.schema.names, "score"])
+
+    # columns travel under numbers, whatever their names; a text of strings travels once
+    returned = docs.schema["text"].dataType == StringType()
+    others = [f for f in docs.schema if not (returned and f.name == "text")]
+    given = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(others)], F.col("text").cast("string").alias("text"))
+    back = [StructField(f"c{i}", f.dataType) for i, f in enumerate(others)] + ([StructField("text", StringType())] if returned else [])
+    out = given.mapInArrow(apply, StructType([*back, StructField("score", DoubleType())]))
+    out = out.toDF(*[f.name for f in others], *(["text"] if returned else []), "__score")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "__score").withColumn("__toxic", F.col("__score") >= threshold)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,10 +7,14 @@ scan finds the same words as a scan of code points.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text worked on at once; a longer text is one chunk by itself.
@@ -24,6 +28,20 @@ _BYTE_CODE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.ui
 _BASE = 0x9E3779B97F4A7C15
 
 
+@contextlib.contextmanager
+def tidy_worker() -> Iterator[None]:
+    """For the body of a task: what it has freed goes back to the system at its
+    end.  Spark keeps Python workers for later tasks, of other stages too, and
+    allocators keep what they were once given."""
+    try:
+        yield
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 class Hasher:
     """64-bit hashes of byte ranges, by a polynomial over one array of bytes.
 

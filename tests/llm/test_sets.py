@@ -78,6 +78,37 @@ def test_boundary_is_where_lists_become_cheaper():
     assert jaccard_join.boundary([], 9, 10) == 0
 
 
+@pytest.mark.parametrize("limit", [None, 0, 14, 40])
+def test_links_of_light_and_heavy_sets_equal_brute_force(spark, monkeypatch, limit):
+    """Sets of 8 to 24 words, near each other: with a boundary of 14 both halves have links, and links across it."""
+    rng = random.Random(6)
+    rows = []
+    for g in range(25):
+        base = [f"g{g}w{i}" for i in range(rng.randrange(9, 24))]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = f"u{rng.randrange(10 ** 5)}"
+            rows.append((len(rows), " ".join(w + rng.sample(base, 2))))
+    rows += [(500, rows[3][1]), (501, rows[3][1]), (None, rows[3][1]), (502, None), (503, "")]
+    sets = {i: frozenset((t or "").split()) for i, t in rows if i is not None}
+    least = {}
+    for i, s in sorted(sets.items()):
+        least.setdefault(s, i)
+    different = [(i, s) for s, i in least.items() if s]
+    want = {(min(a, b), max(a, b)) for a, s in different for b, t in different if a != b and 10 * len(s & t) >= 8 * len(s | t)}
+    sizes = [{len(sets[a]) < 14, len(sets[b]) < 14} for a, b in want]
+    assert all(x in sizes for x in ({True}, {False}, {True, False}))
+    if limit is not None:
+        monkeypatch.setattr(jaccard_join, "boundary", lambda *_: limit)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {(r.a, r.b) for r in jaccard_join.links(df, 1, 8, 10).collect()} == want
+    if limit == 14:
+        n = collections.Counter(x for pair in want for x in pair)
+        got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.link_counts(df, 1, 8, 10).collect()}
+        assert got == {None: (None, 0), 502: (None, 0), 503: (None, 0)} | {i: (least[s], n[least[s]]) for i, s in sets.items() if s}
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(4)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
