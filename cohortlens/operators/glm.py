@@ -106,7 +106,11 @@ class Fit:
 
     def aic(self) -> float:
         """binomial: deviance + 2k (0/1 response); gaussian: stepAIC's
-        ``n log(RSS/n) + 2k``."""
+        ``n log(RSS/n) + 2k`` (-inf for a perfect fit).  Without rows: inf."""
+        if not self.n > 0:
+            return math.inf
+        if self.family == "gaussian" and not self.deviance > 0:
+            return -math.inf
         if self.family == "gaussian":
             return self.n * math.log(self.deviance / self.n) + 2 * self.rank
         return self.deviance + 2 * self.rank

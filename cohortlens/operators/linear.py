@@ -43,7 +43,7 @@ class Gram:
         tss = least_squares(M[:, :1], y)[3]
         k = len(kept)
         f.extra["r2"] = 1 - rss / tss if tss > 0 else float("nan")
-        f.extra["adj_r2"] = 1 - (rss / (n - k)) / (tss / (n - 1)) if tss > 0 and n > k else float("nan")
+        f.extra["adj_r2"] = 1 - (rss / (n - k)) / (tss / (n - 1)) if tss > 0 and n > max(k, 1) else float("nan")
         return f
 
     def sse(self, fit: Fit, M: np.ndarray) -> tuple[float, float]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators import glm
 from cohortlens.operators import metrics as mt
 from cohortlens.operators import profile as pf
+from cohortlens.operators import wide
 from cohortlens.operators.linear import gram
 from cohortlens.plans.registry import register
 from cohortlens.sources.tables import load
@@ -98,3 +99,44 @@ def q_ev_summary(spark, sf_dir):
     ev = load(spark, sf_dir, "events")
     return ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"),
                                         F.round(F.stddev_samp("value"), 6).alias("sd"))
+
+
+@register("ols_wide_factor", """
+WITH c AS (SELECT l_partkey AS lv, l_quantity - avg(l_quantity) OVER (PARTITION BY l_partkey) AS x,
+             l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_partkey) AS y FROM lineitem),
+s AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy, count(*) AS n, count(DISTINCT lv) AS k FROM c)
+SELECT k AS n_levels, k + 1 AS rank, round(b, 6) AS slope, round(sqrt((syy - b * sxy) / (n - k - 1) / sxx), 6) AS std_error FROM s
+""")
+def q_wide_ols(spark, sf_dir):
+    """M7 + G5: extended price on quantity with an effect for every part: the levels are a table, not columns."""
+    f = wide.fit_wide(load(spark, sf_dir, "lineitem"), "l_partkey", ["l_quantity"], "l_extendedprice", "gaussian")
+    _, b, se = f.columns[0]
+    return spark.createDataFrame([(f.n_levels, f.rank, round(b, 6), round(se, 6))], "n_levels long, rank long, slope double, std_error double")
+
+
+@register("logit_wide_factor", """
+WITH g AS (SELECT o_custkey AS lv, count(*) AS n, count_if(o_orderstatus = 'F') AS s FROM orders GROUP BY 1)
+SELECT count(*) AS n_levels, CAST(count_if(s = 0 OR s = n) AS BIGINT) AS separated,
+       round(-2 * sum(CASE WHEN s > 0 AND s < n THEN s * ln(s / n) + (n - s) * ln((n - s) / n) ELSE 0 END), 4) AS deviance, TRUE AS converged FROM g
+""")
+def q_wide_logit(spark, sf_dir):
+    """M7 + G1 + G9: status F on a factor with a level for every customer."""
+    f = _wide_logit(spark, sf_dir)
+    return spark.createDataFrame([(f.n_levels, f.separated, round(f.deviance, 4), f.converged)],
+                                 "n_levels long, separated long, deviance double, converged boolean")
+
+
+@register("logit_wide_levels", """
+WITH g AS (SELECT o_custkey AS lv, count(*) AS n, count_if(o_orderstatus = 'F') AS s FROM orders GROUP BY 1)
+SELECT lv AS level, n, CASE WHEN s > 0 AND s < n THEN round(ln(s / (n - s)), 6) END AS estimate,
+       CASE WHEN s > 0 AND s < n THEN round(sqrt(1.0 / s + 1.0 / (n - s)), 6) END AS std_error FROM g
+""")
+def q_wide_levels(spark, sf_dir):
+    """D10 + M7: coefficient and standard error of every level; none where all its rows are alike."""
+    t = _wide_logit(spark, sf_dir).levels
+    return t.select("level", "n", F.round("estimate", 6).alias("estimate"), F.round("std_error", 6).alias("std_error"))
+
+
+def _wide_logit(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderstatus") == "F").cast("double").alias("y"))
+    return wide.fit_wide(o, "o_custkey", [], "y")

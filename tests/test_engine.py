@@ -60,6 +60,17 @@ def test_far_column_is_kept_and_dependent_ones_are_not(spark, rows):
     assert g.solve(["x0", "x1", "dup"]).aliased == ["dup"]
 
 
+def test_searches_over_few_rows_or_none(spark, rows):
+    df = frame(spark, rows).withColumns({"none": F.lit(0), "one": (F.col("x0") == float(rows["x0"][3])).cast("int")})
+    grams = ln.gram_many(df, ["x0", "x1"], "z", {"none": ("none", "fold"), "one": ("one", "fold")})
+    terms = {"x0": ["x0"], "x1": ["x1"]}
+    for g in grams.values():
+        chosen, f, path = ln.stepwise_gram(g, terms, ["x0", "x1"])
+        assert f.extra["finished"] and np.isnan(f.extra["adj_r2"])
+    assert np.isnan(grams["none"].cv_mse(["x0"])) and grams["none"].solve(["x0"]).aic() == np.inf
+    assert glm.fit_many(df, {"m": glm.Spec(("x0",), include="none")}, "y")["m"].aic() == np.inf
+
+
 def test_influence_of_52_coefficients(spark):
     rng = np.random.default_rng(2)
     X = rng.normal(size=(400, 51)) + np.arange(51)
