@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm.registry import register
-from cohortlens.llm.tables import read, stage
+from cohortlens.llm.tables import discard, read, stage
 
 NUM, DEN = 8, 10
 RARITY_BITS = 17
@@ -138,8 +138,11 @@ def _marked(df: DataFrame, n: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc, row, no of the later line of each pair (staged) that is similar, counted exactly."""
-    places = stage(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct().select("at.*"), "line-verify")
+    """doc, row, no of the later line of each pair (staged, and deleted with what
+    is built to verify it) that is similar, counted exactly; staged."""
+    given = pairs
+    sides = [pairs.select(F.col(c).alias("at")).distinct() for c in ("a", "b")]
+    places = stage(sides[0].unionByName(sides[1]).distinct().select("at.*"), "line-verify")
     n = places.count()
     docs_of = _marked(places.select(F.col("doc").alias("d"), F.col("row").alias("r")).distinct(), n)
     picked = docs.select("doc_id", "text").join(docs_of, (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-2 ** 63)) == F.col("d"))
@@ -148,7 +151,8 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     hashed = found.select(F.struct(*PLACE).alias("at"), _hashes(F.col("line")).alias("s"))
     sets = stage(hashed.select("at", "s", F.size("s").alias("n"), _bitmap("s").alias("bits")), "line-sets")
     if sets.count() > n:  # rows that repeat a doc_id and text: each place once, or pairs multiply
-        sets = stage(sets.dropDuplicates(["at"]), "line-sets-once")
+        all_sets, sets = sets, stage(sets.dropDuplicates(["at"]), "line-sets-once")
+        discard(all_sets)
     # a longer parity bitmap first: only pairs that it allows carry their whole sets along
     few = sets.select("at", "n", "bits")
     apart = " + ".join(f"bit_count(x.bits[{i}] ^ y.bits[{i}])" for i in range(BITMAP_LONGS))
@@ -156,9 +160,11 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
              .filter(F.expr(apart) <= F.col("x.n") + F.col("y.n") - 2 * _need(F.col("x.n"), F.col("y.n"))))
     pairs = stage(close.select("a", "b"), "line-close")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return (pairs.join(sets.select(F.col("at").alias("a"), F.col("s").alias("sa")), "a")
-            .join(sets.select(F.col("at").alias("b"), F.col("s").alias("sb")), "b")
-            .filter(shared * (NUM + DEN) >= NUM * (F.size("sa") + F.size("sb"))).select("b.*").distinct())
+    later = stage(pairs.join(sets.select(F.col("at").alias("a"), F.col("s").alias("sa")), "a")
+                  .join(sets.select(F.col("at").alias("b"), F.col("s").alias("sb")), "b")
+                  .filter(shared * (NUM + DEN) >= NUM * (F.size("sa") + F.size("sb"))).select("b.*").distinct(), "line-later")
+    discard(places, sets, pairs, given)
+    return later
 
 
 def later_matches(docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -173,7 +179,7 @@ def later_matches(docs: DataFrame, sets: DataFrame) -> DataFrame:
     apart = F.bit_count(F.expr("x.sig ^ y.sig")).alias("apart")
     likeliest = F.min_by("a", F.struct("apart", "a")).alias("a")
     best = met.select(place("x").alias("a"), place("y").alias("b"), apart).groupBy("b").agg(likeliest)
-    done = stage(_verified(stage(best.select("a", "b"), "line-near"), docs), "line-done")
+    done = _verified(stage(best.select("a", "b"), "line-near"), docs)
     flagged = able.join(_marked(done.withColumn("done", F.lit(True)), done.count()), PLACE, "left")
     entries = flagged.select(*PLACE, "n", "sig", "done", F.posexplode("prefix").alias("p", "token")).select(
         "token", F.when(F.col("done"), -1 - F.col("p")).otherwise(F.col("p")).alias("pos"), *PLACE, "n", "sig")
@@ -183,9 +189,10 @@ def later_matches(docs: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & is_open & F.expr("x.doc < y.doc OR x.doc = y.doc AND (x.row < y.row OR x.row = y.row AND x.no < y.no)") & _similar("x", "y"))
              .select(place("x").alias("a"), place("y").alias("b"), apart).distinct())
     pairs = stage(pairs, "line-pairs")
-    more = stage(_verified(stage(pairs.groupBy("b").agg(likeliest).select("a", "b"), "line-likeliest"), docs), "line-more")
+    more = _verified(stage(pairs.groupBy("b").agg(likeliest).select("a", "b"), "line-likeliest"), docs)
     found = _marked(more.select(F.struct(*PLACE).alias("b")), more.count())
     rest = stage(pairs.join(found, "b", "left_anti").select("a", "b"), "line-rest")
+    discard(pairs)
     return done.unionByName(more).unionByName(_verified(rest, docs))
 
 

@@ -44,3 +44,30 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     assert collections.Counter(r.doc_id for r in packed if r.piece == 0) == collections.Counter(i for i, _ in texts[4])
     assert all(r.offset + r.length <= 1024 and len(r.ids) == r.length for r in packed)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
+
+
+def test_pipeline_with_nulls_repeats_and_a_long_text(spark, tmp_path):
+    rows = [(i, t, f"s{i % 2}") for i, t, _ in toxic_corpus(300)]
+    long = " ".join(f"long{i * 7919 % 9973}x" for i in range(60_000))
+    rows += [(None, "a line of a document without any id at all", None), (None, "another line of a text that has no id", "s1"), (None, None, "s0"),
+             rows[7], rows[7], (900, long, "s1"), (901, "", None), (902, " \n\t", "s0"), (903, "only one", None)]
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)] + [(None, 0, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stages = []
+    for name, step in corpus_pipeline.STAGES:
+        step(spark, stages[-1] if stages else docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        stages.append(spark.read.parquet(f"{tmp_path}/{name}"))
+    counts = [collections.Counter(r.doc_id for r in d.collect()) for d in stages[:4]]
+    assert counts[0][7] == counts[1][7] == counts[2][7] == 3 and counts[0][None] == counts[2][None] == 3
+    assert counts[2][900] == 1 and not set(counts[2]) & {i for i in range(0, 300, 5)}
+    mixed = stages[3].collect()
+    assert all(WORD.search(r.text or "") for r in mixed) and {r.doc_id for r in mixed} >= {None, 900}
+    assert {r.doc_id for r in stages[4].collect()} == {r.doc_id for r in mixed}
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_pipeline_without_documents(spark, tmp_path, labelled):
+    spark.createDataFrame([(i, 1, i % 2) for i in range(9 * labelled)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
