@@ -5,6 +5,15 @@ go (documents left without any line go with them); of each group of near copies
 the document with the smallest id stays; the rest is mixed to the target weights
 of its sources; the mix is packed into sequences.  Every stage but the last
 returns the columns of documents.
+
+Defined cases: null and empty texts are scored like any (a text without words is not
+toxic), have no lines to lose, are near copies of nothing, are taken by no mix
+(their size is 0) and so end with the mix; a null doc_id is never a near copy and is
+mixed and packed like others; rows that repeat a doc_id and text lose the same lines, and
+the join keeps or drops rows of one doc_id together; equal similarity or size is told apart by doc_id, then by the
+text's hash; a null source is a source, the last; whole texts of any length pass all stages;
+without documents every stage gives no rows, without labels no document is toxic;
+other columns are carried to the mix, whatever their names.
 """
 
 from __future__ import annotations
