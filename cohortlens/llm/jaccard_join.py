@@ -263,26 +263,50 @@ def first_links(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) ->
     return _verified(stage(near.select(F.explode("near").alias("a"), "b"), "join-near"), docs, k, num, den)
 
 
+def _merged(label: DataFrame, found: DataFrame) -> DataFrame:
+    """``label`` (id, label) once the parts that the links ``found`` join are one, under their smallest label."""
+    between = (found.join(label.select(F.col("id").alias("a"), F.col("label").alias("la")), "a")
+               .join(label.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    joined = components(between.distinct())
+    return label.join(joined.select(F.col("u").alias("label"), "v"), "label", "left").select("id", F.coalesce("v", "label").alias("label"))
+
+
+def _mixed(lists: DataFrame) -> DataFrame:
+    """Entries of the lists whose members are not all of one part."""
+    whole = Window.partitionBy("token", "c")
+    return lists.withColumn("low", F.min("label").over(whole)).withColumn("high", F.max("label").over(whole)).filter("low < high").drop("low", "high")
+
+
+def chained_links(docs: DataFrame, lists: DataFrame, sets: DataFrame, limit: int, k: int, num: int, den: int) -> DataFrame:
+    """Links of each set with the likeliest of those of other parts that stand first,
+    or just before it, in its lists: they connect the parts of a large group."""
+    entry = F.struct("c", "pos", "id", "n", "label")
+    by_size, by_label = (Window.partitionBy("token", "c").orderBy(*by) for by in (("n", "id"), ("label", "n", "id")))
+    met = F.array(*[F.when(y["label"] != F.col("label"), y) for y in (F.first(entry).over(by_size), F.lag(entry).over(by_size), F.first(entry).over(by_label))])
+    pairs = (lists.select(entry.alias("x"), met.alias("met")).select("x", F.explode(F.array_compact("met")).alias("y")).filter(_may_link("x", "y", limit, num, den))
+             .select(F.col("x.id").alias("b"), F.col("y.id").alias("a")).distinct())
+    likeliest = F.min_by("a", F.struct("apart", "a")).alias("a")
+    return _verified(stage(_close(pairs, sets, num, den).groupBy("b").agg(likeliest).select("a", "b"), "join-chained"), docs, k, num, den)
+
+
 def roots(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(id, root): the smallest id that each set is connected to, where smaller."""
     found = components(first_links(docs, sets, k, num, den))
     costs = [tuple(r) for r in sets.filter(F.col("n") < MOST_LIGHT).groupBy("n").agg(F.count(F.lit(1)), F.sum("cost")).collect()]
     limit = boundary(costs, num, den)
     labelled = sets.join(found.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    whole = Window.partitionBy("token", "c")
-    mixed = (_entries(labelled, limit, num, den).withColumn("low", F.min("label").over(whole)).withColumn("high", F.max("label").over(whole)).filter("low < high").drop("low", "high"))
+    lists = stage(_mixed(_entries(labelled, limit, num, den)), "join-lists")
+    label = stage(_merged(labelled.select("id", "label").distinct(), chained_links(docs, lists, sets, limit, k, num, den)), "labels")
+    mixed = _mixed(lists.drop("label").join(label, "id"))
     # the bitmaps join before the lists do, so that only close pairs leave that join
     mixed = mixed.join(sets.select("id", "bitmap"), "id")
     x, y = mixed.alias("x"), mixed.alias("y")
     more = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") == F.col("y.c")) & F.expr("x.id < y.id AND x.label <> y.label")
                    & _may_link("x", "y", limit, num, den) & _bits_allow("x", "y", num, den))
             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    second = _verified(stage(more, "join-more"), docs, k, num, den)
-    label = labelled.select("id", "label")
-    between = (second.join(label.select(F.col("id").alias("a"), F.col("label").alias("la")), "a")
-               .join(label.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    joined = components(between.distinct())
-    return label.join(joined.select(F.col("u").alias("label"), "v"), "label", "left").select("id", F.coalesce("v", "label").alias("root")).distinct()
+    more = stage(more, "join-more")
+    discard(lists)
+    return _merged(label, _verified(more, docs, k, num, den)).withColumnRenamed("label", "root")
 
 
 def _class_sets(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:

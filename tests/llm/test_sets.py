@@ -109,6 +109,26 @@ def test_links_of_light_and_heavy_sets_equal_brute_force(spark, monkeypatch, lim
         assert got == {None: (None, 0), 502: (None, 0), 503: (None, 0)} | {i: (least[s], n[least[s]]) for i, s in sets.items() if s}
 
 
+def test_a_large_group_of_near_copies_does_not_emit_its_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(130)]
+    rows = []
+    for i in range(200):
+        w = list(base)
+        w[rng.randrange(130)] = f"u{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, " ".join(base[:130 - i] + [f"v{j}" for j in range(i)])) for i in range(1, 12)]
+    staged, write = {}, jaccard_join.stage
+    monkeypatch.setattr(jaccard_join, "stage", lambda df, name: staged.setdefault(name, write(df, name)))
+    monkeypatch.setattr(jaccard_join, "discard", lambda *tables: None)
+    # first links that leave the group in twenty parts
+    parts = spark.createDataFrame([(i % 20, i) for i in range(20, 200)], "a bigint, b bigint")
+    monkeypatch.setattr(jaccard_join, "first_links", lambda *_: parts)
+    got = jaccard_join.classes(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 9, 10).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_classes(rows, 3, 9, 10)
+    assert staged["join-more"].count() <= 2 * len(rows)
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(4)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
