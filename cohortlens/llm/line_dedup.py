@@ -9,8 +9,8 @@ similarity of ``num / den`` or more with it; the first of each kind stays.
 * Equal sets are one; its first occurrence stands for it.
 * Prefix filter: similar sets share one of their first
   n - ceil(num * n / den) + 1 words in that order, so these are the join keys.
-  Length and position of the shared word, and the parity of the words' hash
-  bits, rule out most pairs in the join itself.
+  Length and position of the shared word, and the parity of the words at 128
+  hash bits, rule out most pairs in the join itself.
 * Verification: the word sets of the pairs left are built again and counted.
 
 Sets are first compared with the first and the previous line among those that
@@ -69,7 +69,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def rarity_levels(docs: DataFrame) -> list[int]:
     """The level of each counter (2**RARITY_BITS numbers, whatever the input)."""
-    counts = (_lines(docs).select(F.explode_outer(_words(F.col("line"))).alias("w"))
+    words = _words(F.translate(_spaced(F.col("text").cast("string")), "\n", " "))
+    counts = (docs.select(F.explode_outer(words).alias("w"))
               .groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - RARITY_BITS).alias("counter")).count().collect())
     levels = [0] * (1 << RARITY_BITS)
     for counter, n in counts:
@@ -95,19 +96,28 @@ def _need(n: Column, m: Column) -> Column:
 
 
 def line_sets(docs: DataFrame, levels: list[int]) -> DataFrame:
-    """One row per different set: its first occurrence (doc, row, no), n, sig, prefix,
-    and its least and greatest hash."""
+    """One row per different set: its first occurrence (doc, row, no), n, sig and sig2 (parity of
+    the words at each of 128 bits), prefix, and its least and greatest hash."""
     hashed = _lines(docs).select("doc", "no", "row", F.coalesce(_hashes(F.col("line")), F.array().cast("array<bigint>")).alias("hashes"))
     keyed = hashed.select("doc", "no", "row", F.size("hashes").alias("n"), F.array(F.array_min("hashes"), F.array_max("hashes")).alias("ends"), _ranked(F.col("hashes"), levels).alias("keys"))
     one = F.lit(1).cast("bigint")
-    sig = F.aggregate("keys", F.lit(0).cast("bigint"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(63).cast("int"))))
+
+    def parity(half: int) -> Column:
+        bit = lambda k: F.call_function("shiftleft", one, k.bitwiseAND(63).cast("int"))
+        return F.aggregate("keys", F.lit(0).cast("bigint"), lambda a, k: F.when(k.bitwiseAND(64) == half, a.bitwiseXOR(bit(k))).otherwise(a))
+
     first = (F.col("n") - F.ceil(F.col("n") * NUM / F.lit(float(DEN))) + 1).cast("int")
     signed = keyed.select(F.xxhash64("keys").alias("hi"), F.xxhash64(F.lit(1), "keys").alias("lo"),
-                          F.struct("doc", "row", "no", "n", sig.alias("sig"), F.when(F.col("n") > 3, F.slice("keys", F.lit(1), first)).alias("prefix"), "ends").alias("x"))
+                          F.struct("doc", "row", "no", "n", parity(0).alias("sig"), parity(64).alias("sig2"), F.when(F.col("n") > 3, F.slice("keys", F.lit(1), first)).alias("prefix"), "ends").alias("x"))
     # lines without words are dropped as one group: a filter before would build all sets twice
     return signed.groupBy("hi", "lo").agg(F.min("x").alias("x")).select("x.*").filter("n > 0")
 
 
+def _apart(a: str, b: str) -> Column:
+    """Bits in which the parities of two sets differ: as many words, or more, are in one of them only."""
+    return F.expr(f"bit_count({a}.sig ^ {b}.sig) + bit_count({a}.sig2 ^ {b}.sig2)")
+
+
 def _similar(a: str, b: str) -> Column:
     """Length, position and parity filters; a position below 0 is -1 - position."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -118,7 +128,7 @@ def _similar(a: str, b: str) -> Column:
 
     need = _need(na, nb)
     return ((F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM) & (F.least(behind(a), behind(b)) >= need)
-            & (F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig"))) <= na + nb - 2 * need))
+            & (_apart(a, b) <= na + nb - 2 * need))
 
 
 def _bitmap(hashes: str) -> Column:
@@ -137,10 +147,8 @@ def _marked(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_IDS else df
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc, row, no of the later line of each pair (staged, and deleted with what
-    is built to verify it) that is similar, counted exactly; staged."""
-    given = pairs
+def _word_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The word hashes s of all lines of ``pairs``, their number n and bitmap bits, once for each place (at); staged."""
     sides = [pairs.select(F.col(c).alias("at")).distinct() for c in ("a", "b")]
     places = stage(sides[0].unionByName(sides[1]).distinct().select("at.*"), "line-verify")
     n = places.count()
@@ -153,6 +161,14 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     if sets.count() > n:  # rows that repeat a doc_id and text: each place once, or pairs multiply
         all_sets, sets = sets, stage(sets.dropDuplicates(["at"]), "line-sets-once")
         discard(all_sets)
+    discard(places)
+    return sets
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """doc, row, no of the later line of each pair (staged, and deleted here)
+    that is similar, counted exactly; staged.  ``sets``: word sets of these lines."""
+    given = pairs
     # a longer parity bitmap first: only pairs that it allows carry their whole sets along
     few = sets.select("at", "n", "bits")
     apart = " + ".join(f"bit_count(x.bits[{i}] ^ y.bits[{i}])" for i in range(BITMAP_LONGS))
@@ -163,37 +179,43 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     later = stage(pairs.join(sets.select(F.col("at").alias("a"), F.col("s").alias("sa")), "a")
                   .join(sets.select(F.col("at").alias("b"), F.col("s").alias("sb")), "b")
                   .filter(shared * (NUM + DEN) >= NUM * (F.size("sa") + F.size("sb"))).select("b.*").distinct(), "line-later")
-    discard(places, sets, pairs, given)
+    discard(pairs, given)
     return later
 
 
 def later_matches(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """doc, row, no of the first occurrence of every set that is similar to an earlier one."""
     able = sets.filter("n > 3")
-    ends = able.select(*PLACE, "n", "sig", F.posexplode("ends").alias("end", "token")).withColumn("pos", F.lit(0)).withColumn("y", F.struct(*PLACE, "n", "sig", "pos"))
+    ends = able.select(*PLACE, "n", "sig", "sig2", F.posexplode("ends").alias("end", "token")).withColumn("pos", F.lit(0)).withColumn("y", F.struct(*PLACE, "n", "sig", "sig2", "pos"))
     earlier = Window.partitionBy("token", "end").orderBy(*PLACE)
     place = lambda x: F.struct(*[f"{x}.{c}" for c in PLACE])
     met = (ends.withColumn("first", F.first("y").over(earlier)).withColumn("last", F.lag("y").over(earlier))
            .select("y", F.explode(F.array("first", "last")).alias("x")).filter("x IS NOT NULL").filter(place("x") < place("y")).filter(_similar("x", "y")))
     # of the lines that it met, each takes the likeliest
-    apart = F.bit_count(F.expr("x.sig ^ y.sig")).alias("apart")
+    apart = _apart("x", "y").alias("apart")
     likeliest = F.min_by("a", F.struct("apart", "a")).alias("a")
     best = met.select(place("x").alias("a"), place("y").alias("b"), apart).groupBy("b").agg(likeliest)
-    done = _verified(stage(best.select("a", "b"), "line-near"), docs)
+    near = stage(best.select("a", "b"), "line-near")
+    words = _word_sets(near, docs)
+    done = _verified(near, words)
+    discard(words)
     flagged = able.join(_marked(done.withColumn("done", F.lit(True)), done.count()), PLACE, "left")
-    entries = flagged.select(*PLACE, "n", "sig", "done", F.posexplode("prefix").alias("p", "token")).select(
-        "token", F.when(F.col("done"), -1 - F.col("p")).otherwise(F.col("p")).alias("pos"), *PLACE, "n", "sig")
+    entries = flagged.select(*PLACE, "n", "sig", "sig2", "done", F.posexplode("prefix").alias("p", "token")).select(
+        "token", F.when(F.col("done"), -1 - F.col("p")).otherwise(F.col("p")).alias("pos"), *PLACE, "n", "sig", "sig2")
     x, y = entries.alias("x"), entries.alias("y")
     # only y.pos >= 0 are open; the condition spans both sides, which then share one exchange
     is_open = F.when(F.col("y.pos") >= 0, F.col("x.n")).otherwise(F.lit(0)) > 0
     pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & is_open & F.expr("x.doc < y.doc OR x.doc = y.doc AND (x.row < y.row OR x.row = y.row AND x.no < y.no)") & _similar("x", "y"))
              .select(place("x").alias("a"), place("y").alias("b"), apart).distinct())
     pairs = stage(pairs, "line-pairs")
-    more = _verified(stage(pairs.groupBy("b").agg(likeliest).select("a", "b"), "line-likeliest"), docs)
+    words = _word_sets(pairs, docs)
+    more = _verified(stage(pairs.groupBy("b").agg(likeliest).select("a", "b"), "line-likeliest"), words)
     found = _marked(more.select(F.struct(*PLACE).alias("b")), more.count())
     rest = stage(pairs.join(found, "b", "left_anti").select("a", "b"), "line-rest")
     discard(pairs)
-    return done.unionByName(more).unionByName(_verified(rest, docs))
+    last = _verified(rest, words)
+    discard(words)
+    return done.unionByName(more).unionByName(last)
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:

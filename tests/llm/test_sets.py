@@ -187,6 +187,19 @@ def test_line_dedup_of_many_similar_lines(spark):
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == brute_lines(rows)
 
 
+def test_long_lines_that_only_share_words_are_no_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(2000)]
+    rows = [(i, " ".join(rng.sample(vocabulary, 170))) for i in range(150)]
+    rows += [(200 + i, " ".join(rows[i][1].split()[:-3] + ["new", "words"])) for i in range(10)]
+    staged, write = {}, line_dedup.stage
+    monkeypatch.setattr(line_dedup, "stage", lambda df, name: staged.setdefault(name, write(df, name)))
+    monkeypatch.setattr(line_dedup, "discard", lambda *tables: None)
+    got = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == brute_lines(rows)
+    assert staged["line-pairs"].count() <= len(rows)
+
+
 def test_line_dedup_of_texts_that_share_an_id(spark):
     rng = random.Random(11)
     base = [[f"p{k}w{i}" for i in range(12)] for k in range(6)]
