@@ -23,6 +23,19 @@ def shingle_set(text, k):
     return frozenset(tuple(w[j:j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
+def keep_staged(monkeypatch, module):
+    """The last table that ``module`` stages under each name; none is deleted."""
+    staged, write = {}, module.stage
+
+    def stage(df, name):
+        staged[name] = write(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(module, "stage", stage)
+    monkeypatch.setattr(module, "discard", lambda *tables: None)
+    return staged
+
+
 def brute_classes(rows, k, num, den):
     sets = [(i, shingle_set(t, k)) for i, t in rows if i is not None]
     root = {i: i for i, _ in sets}
@@ -118,9 +131,7 @@ def test_a_large_group_of_near_copies_does_not_emit_its_pairs(spark, monkeypatch
         w[rng.randrange(130)] = f"u{i}"
         rows.append((i, " ".join(w)))
     rows += [(200 + i, " ".join(base[:130 - i] + [f"v{j}" for j in range(i)])) for i in range(1, 12)]
-    staged, write = {}, jaccard_join.stage
-    monkeypatch.setattr(jaccard_join, "stage", lambda df, name: staged.setdefault(name, write(df, name)))
-    monkeypatch.setattr(jaccard_join, "discard", lambda *tables: None)
+    staged = keep_staged(monkeypatch, jaccard_join)
     # first links that leave the group in twenty parts
     parts = spark.createDataFrame([(i % 20, i) for i in range(20, 200)], "a bigint, b bigint")
     monkeypatch.setattr(jaccard_join, "first_links", lambda *_: parts)
@@ -192,9 +203,7 @@ def test_long_lines_that_only_share_words_are_no_pairs(spark, monkeypatch):
     vocabulary = [f"v{i}" for i in range(2000)]
     rows = [(i, " ".join(rng.sample(vocabulary, 170))) for i in range(150)]
     rows += [(200 + i, " ".join(rows[i][1].split()[:-3] + ["new", "words"])) for i in range(10)]
-    staged, write = {}, line_dedup.stage
-    monkeypatch.setattr(line_dedup, "stage", lambda df, name: staged.setdefault(name, write(df, name)))
-    monkeypatch.setattr(line_dedup, "discard", lambda *tables: None)
+    staged = keep_staged(monkeypatch, line_dedup)
     got = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == brute_lines(rows)
     assert staged["line-pairs"].count() <= len(rows)
