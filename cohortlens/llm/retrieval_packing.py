@@ -123,22 +123,22 @@ def idf(counts: np.ndarray, n: int) -> np.ndarray:
 
 def keyed(rests: DataFrame, counts: np.ndarray, weight: np.ndarray, key_bits: int = KEY_BITS) -> DataFrame:
     """The rests with ``key``: the leading bits of the most telling word that other documents share."""
-    bits, names = len(weight).bit_length() - 1, rests.columns
+    bits = len(weight).bit_length() - 1
     sent = rests.sparkSession.sparkContext.broadcast((counts, weight))  # 2^bits numbers each
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("int")
+    def key(terms: pa.Array, counts: pa.Array) -> pa.Array:
         held, value = sent.value
-        for batch in batches:
-            keys = []
-            for terms, tf in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()):
-                term, tf = np.frombuffer(terms, "<u4"), np.frombuffer(tf, "<u4")
-                at = term >> np.uint32(32 - bits)
-                telling = value[at] * (tf / (tf + np.float32(K1))) * (held[at] >= LEAST_SHARED)
-                keys.append(int(term[telling.argmax()] >> np.uint32(32 - key_bits)) if len(term) else 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int32())], [*names, "key"])
+        keys = []
+        for t, c in zip(terms.to_pylist(), counts.to_pylist()):
+            term, tf = np.frombuffer(t, "<u4"), np.frombuffer(c, "<u4")
+            at = term >> np.uint32(32 - bits)
+            telling = value[at] * (tf / (tf + np.float32(K1))) * (held[at] >= LEAST_SHARED)
+            keys.append(int(term[telling.argmax()] >> np.uint32(32 - key_bits)) if len(term) else 0)
+        return pa.array(keys, pa.int32())
 
-    kinds = dict(rests.dtypes)
-    return rests.mapInArrow(run, ", ".join([f"{c} {kinds[c]}" for c in names] + ["key int"]))
+    # only the words go to Python; as a deterministic function it would run again for the filter that a join on keys brings
+    return rests.withColumn("key", key.asNondeterministic()("terms", "counts"))
 
 
 def shard_plan(tokens: dict[int, int], shard_tokens: int) -> list[tuple[int, int, int]]:
@@ -196,25 +196,31 @@ def fill(index: Index, length: np.ndarray, capacity: int) -> list[list[tuple[int
     while unused:
         if seed is None:
             seed = next(i for i in by_length if left[i])
-        window, space = [], capacity
         score = index.scores(seed)
-        order = np.argsort(-score, kind="stable")
-        order = np.concatenate([[seed], order[(order != seed) & (left[order] > 0)]])
+        others = np.flatnonzero(left)
+        others = others[others != seed]
+        others = others[np.argsort(-score[others], kind="stable")]
+        falling, size = -score[others], left[others]
+        window, space, i, head = [], capacity, seed, 0
         seed = None
-        while space and len(order):
-            fits = (left[order] <= space) & (score[order] >= NEAR * score[order[0]])
-            best = int(fits.argmax())
-            if not fits[best]:
-                best = 0  # the best neighbour is cut, and its rest begins the next window
-                seed = int(order[0])
-            i = int(order[best])
+        while True:
             taken = int(min(left[i], space))
             window.append((i, int(begin[i]), int(begin[i]) + taken))
             begin[i] += taken
             left[i] -= taken
             space -= taken
             unused -= not left[i]
-            order = np.delete(order, best)
+            while head < len(others) and size[head] > capacity:  # taken
+                head += 1
+            if not space or head == len(others):
+                break
+            near = size[head:np.searchsorted(falling, NEAR * falling[head], "right")] <= space
+            best = head + int(near.argmax())
+            if size[best] > space:
+                best = head  # the best neighbour is cut, and its rest begins the next window
+                seed = int(others[best])
+            i = int(others[best])
+            size[best] = capacity + 1
         windows.append(window)
     return windows
 

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from edge import edge_rows, frame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cohortlens.llm import retrieval_packing as rp
@@ -131,3 +132,12 @@ def test_shard_plan_covers_every_key():
     plan = rp.shard_plan({0: 10, 3: 5, 4: 100, 9: 4, 12: 30}, 30)
     assert plan == [(0, 0, 1), (3, 0, 1), (4, 1, 4), (9, 5, 1), (12, 6, 1)]
     assert rp.shard_plan({}, 30) == []
+
+
+def test_only_words_go_to_python_for_keys(spark):
+    """One pass for the keys, also below the filter that a join on them brings, and no other column in it."""
+    rests = rp.blocks(frame(spark, edge_rows()))
+    keys = spark.createDataFrame([(1, 2)], "key int, first bigint")
+    joined = rp.keyed(rests, np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.float32)).join(F.broadcast(keys), "key")
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("MapInArrow") == 1  # the blocks
