@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from cohortlens.llm.components import components
 from cohortlens.llm.registry import register
 from cohortlens.llm.tables import discard, read, stage
-from cohortlens.llm.words import Hasher, chunks, mix, scan, shingles
+from cohortlens.llm.words import Hasher, chunks, mix, scan, shingles, tidy_worker
 
 #: Counters of the rarity table: each shingle is as rare as its counter.
 RARITY_BITS = 20
@@ -53,6 +53,8 @@ BITMAP_BITS = 1024
 MOST_LIGHT = 40
 #: Ids up to this number are broadcast to pick their documents; beyond it they join by shuffle.
 BROADCAST_IDS = 500_000
+#: Rows taken out of a batch, and bytes of text worked on, at once: Python workers share their executor's memory.
+ROWS, BYTES = 500, 1 << 19
 
 
 def _least_shared(n: int, num: int, den: int) -> int:
@@ -62,8 +64,9 @@ def _least_shared(n: int, num: int, den: int) -> int:
 
 def _sets(batch: pa.RecordBatch, hasher: Hasher, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of each text that has words."""
-    texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-    for at, part in chunks(texts):
+    column = batch.column(1).cast(pa.binary())
+    texts = (t or b"" for i in range(0, len(column), ROWS) for t in column.slice(i, ROWS).to_pylist())
+    for at, part in chunks(texts, BYTES):
         words = scan(part, lower=True)
         h, d = shingles(words, words.hashes(hasher), k)
         order = np.argsort(d, kind="stable")
@@ -82,21 +85,22 @@ def rarity(docs: DataFrame, k: int, bits: int = RARITY_BITS) -> np.ndarray:
     """How many sets hold a shingle of each counter, over all documents
     (2**bits numbers, whatever the size of the corpus)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, total = Hasher(), np.zeros(1 << bits, np.uint32)
-        for batch in batches:
-            held: list[np.ndarray] = []
-            size = 0
-            for _, h in _sets(batch, hasher, k):
-                held.append((h >> np.uint64(64 - bits)).astype(np.int64))
-                size += len(h)
-                if size > 1 << 20:
+        with tidy_worker():
+            hasher, total = Hasher(), np.zeros(1 << bits, np.uint32)
+            for batch in batches:
+                held: list[np.ndarray] = []
+                size = 0
+                for _, h in _sets(batch, hasher, k):
+                    held.append((h >> np.uint64(64 - bits)).astype(np.int64))
+                    size += len(h)
+                    if size > 1 << 19:
+                        total += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
+                        held, size = [], 0
+                if held:
                     total += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
-                    held, size = [], 0
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
-        if total.any():
-            parts = total.astype("<i8").reshape(-1, 1 << SLICE_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([x.tobytes() for x in parts], pa.binary())], ["slice", "counts"])
+            if total.any():
+                parts = total.astype("<i8").reshape(-1, 1 << SLICE_BITS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([x.tobytes() for x in parts], pa.binary())], ["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -126,28 +130,29 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray)
     names = [f.split()[0] for f in schema.split(", ")]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, rare = Hasher(), table.value
-        for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            seen = np.zeros(batch.num_rows, bool)
-            rows = []
-            for i, h in _sets(batch, hasher, k):
-                seen[i] = True
-                n = len(h)
-                held = rare[(h >> np.uint64(64 - bits)).astype(np.int64)]
-                first = np.argsort(held, kind="stable")[:n - _least_shared(n, num, den) + 1]
-                parity = np.bincount((h & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
-                signed = h.view(np.int64)
-                rows.append((doc_ids[i], n, int(np.bitwise_xor.reduce(mix(h)).view(np.int64)), int(np.sum(mix(h ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64)),
-                             signed[first], float(np.maximum(1.0, held[first] - mean).sum()),
-                             np.packbits(parity.astype(np.uint8)).view(np.int64), signed if n < MOST_LIGHT else None,
-                             [int(mix(h ^ np.uint64(0x2545F4914F6CDD1D * (j + 1) % 2 ** 64)).min().view(np.int64)) for j in range(MINIMA)]))
-                if len(rows) == 1000:
+        with tidy_worker():
+            hasher, rare = Hasher(), table.value
+            for batch in batches:
+                doc_ids = batch.column(0).to_pylist()
+                seen = np.zeros(batch.num_rows, bool)
+                rows = []
+                for i, h in _sets(batch, hasher, k):
+                    seen[i] = True
+                    n = len(h)
+                    held = rare[(h >> np.uint64(64 - bits)).astype(np.int64)]
+                    first = np.argsort(held, kind="stable")[:n - _least_shared(n, num, den) + 1]
+                    parity = np.bincount((h & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
+                    signed = h.view(np.int64)
+                    rows.append((doc_ids[i], n, int(np.bitwise_xor.reduce(mix(h)).view(np.int64)), int(np.sum(mix(h ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64)),
+                                 signed[first], float(np.maximum(1.0, held[first] - mean).sum()),
+                                 np.packbits(parity.astype(np.uint8)).view(np.int64), signed if n < MOST_LIGHT else None,
+                                 [int(mix(h ^ np.uint64(0x2545F4914F6CDD1D * (j + 1) % 2 ** 64)).min().view(np.int64)) for j in range(MINIMA)]))
+                    if len(rows) == 1000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                        rows = []
+                rows += [(doc_ids[i], 0, 0, 0, None, 0.0, None, None, None) for i in np.flatnonzero(~seen)]
+                if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-                    rows = []
-            rows += [(doc_ids[i], 0, 0, 0, None, 0.0, None, None, None) for i in np.flatnonzero(~seen)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     return _narrow(docs).mapInArrow(sign, schema)
 
@@ -223,18 +228,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
     picked = _narrow(docs).join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            rows, size = [], 0
-            for i, h in _sets(batch, hasher, k):
-                rows.append((doc_ids[i], h.view(np.int64)))
-                size += len(h)
-                if size > 1 << 18:
+        with tidy_worker():
+            hasher = Hasher()
+            for batch in batches:
+                doc_ids = batch.column(0).to_pylist()
+                rows, size = [], 0
+                for i, h in _sets(batch, hasher, k):
+                    rows.append((doc_ids[i], h.view(np.int64)))
+                    size += len(h)
+                    if size > 1 << 18:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.list_(pa.int64())))], ["id", "s"])
+                        rows, size = [], 0
+                if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.list_(pa.int64())))], ["id", "s"])
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.list_(pa.int64())))], ["id", "s"])
 
     sets = stage(picked.mapInArrow(whole, "id bigint, s array<bigint>"), "verify-sets")
     shared = F.size(F.array_intersect("sa", "sb"))

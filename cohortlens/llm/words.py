@@ -57,7 +57,7 @@ class Hasher:
         if len(self.powers) <= n:
             both = []
             for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-                p = np.full(max(n + 1, CHUNK_BYTES + (1 << 16)), base, np.uint64)
+                p = np.full(n + 1 + n // 8, base, np.uint64)
                 p[0] = 1
                 both.append(np.multiply.accumulate(p))
             self.powers, self.inverse = both

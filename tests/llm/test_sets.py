@@ -5,6 +5,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from edge import WORD, edge_rows, frame
 from pyspark.sql import functions as F
@@ -231,6 +232,20 @@ def test_line_dedup_of_texts_that_share_an_id(spark):
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(((back[k], t) for k, t in want), key=repr)
 
 
+def test_sets_of_a_batch_take_few_bytes_at_once(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10 ** 4)}" for _ in range(rng.randrange(400))) for _ in range(3000)] + [None, "", "x " * 10 ** 6]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    taken, real = [], jaccard_join.scan
+    monkeypatch.setattr(jaccard_join, "scan", lambda part, lower: taken.append((len(part), sum(map(len, part)))) or real(part, lower=lower))
+    hasher = Hasher()
+    got = {i: h.tolist() for i, h in jaccard_join._sets(batch, hasher, 3)}
+    assert max(size for n, size in taken if n > 1) <= 1 << 19 and sum(n for n, _ in taken) == len(texts)
+    monkeypatch.setattr(jaccard_join, "BYTES", 1 << 30)
+    assert got == {i: h.tolist() for i, h in jaccard_join._sets(batch, Hasher(), 3)}
+    assert len(got) == sum(bool((t or "").split()) for t in texts)
+
+
 def test_words_and_shingles_of_bytes():
     texts = [t or "" for _, t, _ in edge_rows()]
     words = scan([t.encode() for t in texts])
