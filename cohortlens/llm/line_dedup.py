@@ -27,7 +27,9 @@ a null doc_id orders first; an empty table gives no rows; other columns are kept
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,13 +51,19 @@ PLACE = ["doc", "row", "no"]
 
 def _spaced(text: Column) -> Column:
     """``text`` with other white space than line ends as plain spaces."""
-    return F.when(text.rlike("[\t\x0b\f\r]"), F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text)
+    other = functools.reduce(operator.or_, [text.contains(c) for c in "\t\x0b\f\r"])
+    return F.when(other, F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text)
 
 
 def _words(line: Column) -> Column:
     return F.split(line, " ")
 
 
+def _text_words(text: Column) -> Column:
+    """Words of all lines; line ends go by ``replace``, as ``translate`` looks up every character."""
+    return _words(F.replace(_spaced(text), F.lit("\n"), F.lit(" ")))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """doc (null: least), row (hash of the text: tells rows of one doc_id apart), no, line (null: no text).
 
@@ -69,9 +77,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def rarity_levels(docs: DataFrame) -> list[int]:
     """The level of each counter (2**RARITY_BITS numbers, whatever the input)."""
-    words = _words(F.translate(_spaced(F.col("text").cast("string")), "\n", " "))
-    counts = (docs.select(F.explode_outer(words).alias("w"))
-              .groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - RARITY_BITS).alias("counter")).count().collect())
+    counts = (docs.select(F.explode_outer(_text_words(F.col("text").cast("string"))).alias("w"))
+              .groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - RARITY_BITS).cast("int").alias("counter")).count().collect())
     levels = [0] * (1 << RARITY_BITS)
     for counter, n in counts:
         levels[counter] = min(127, int(LEVELS * math.log2(n)))
@@ -233,7 +240,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     own = docs.withColumn("__t", F.col("text").cast("string")).withColumn("__r", F.xxhash64("__t"))
     both = own.join(kept, (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-2 ** 63)) == F.col("__doc")) & (F.col("__r") == F.col("__row")), "left")
     both = both.withColumn("__lines", F.split("__t", "\n")).withColumn("__kept_no", F.coalesce("kept", F.array().cast("array<int>")))
-    both = both.withColumn("__blank", F.transform("__lines", lambda line: F.trim(_spaced(line)) == ""))
+    both = both.withColumn("__blank", F.transform(F.split(_spaced(F.col("__t")), "\n"), lambda line: F.trim(line) == ""))
     n = F.coalesce(F.size(F.filter("__blank", lambda b: ~b)), F.lit(0)).cast("bigint")
     stay = F.filter("__lines", lambda line, i: F.get(F.col("__blank"), i) | F.array_contains(F.col("__kept_no"), i))
     out = both.withColumn("__n", n).withColumn("__text", F.when(F.size("__kept_no") == F.col("__n"), F.col("__t")).otherwise(F.array_join(stay, "\n")))

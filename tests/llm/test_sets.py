@@ -232,6 +232,20 @@ def test_line_dedup_of_texts_that_share_an_id(spark):
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(((back[k], t) for k, t in want), key=repr)
 
 
+def test_rarity_counts_all_words_and_translates_no_plain_text(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "RARITY_BITS", 4)
+    rows = [(1, "a b\nc\ta\n\nb a"), (2, None), (3, ""), (4, "a\x0bb\rc\fd\u00a0d " * 3), (5, "b\n" * 40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    words = [w for _, t in rows for line in (t or "").split("\n") for w in line.translate(dict.fromkeys(map(ord, "\t\x0b\f\r"), " ")).split(" ") if w]
+    counter = F.shiftrightunsigned(F.xxhash64("w"), 60)
+    want = {r.c: r.n for r in spark.createDataFrame([(w,) for w in words], "w string").groupBy(counter.alias("c")).agg(F.count("*").alias("n")).collect()}
+    blank = spark.createDataFrame([("",)], "w string").select(counter).first()[0]
+    levels = line_dedup.rarity_levels(df)
+    assert [x for i, x in enumerate(levels) if i != blank] == [min(127, int(4 * np.log2(want[i]))) if i in want else 0 for i in range(16) if i != blank]
+    found = str(line_dedup._text_words(F.col("text")))
+    assert found.count("translate") == 1 and "CASE WHEN" in found  # the one for other white space
+
+
 def test_sets_of_a_batch_take_few_bytes_at_once(monkeypatch):
     rng = random.Random(5)
     texts = [" ".join(f"w{rng.randrange(10 ** 4)}" for _ in range(rng.randrange(400))) for _ in range(3000)] + [None, "", "x " * 10 ** 6]
