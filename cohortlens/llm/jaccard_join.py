@@ -53,6 +53,8 @@ BITMAP_BITS = 1024
 MOST_LIGHT = 40
 #: Ids up to this number are broadcast to pick their documents; beyond it they join by shuffle.
 BROADCAST_IDS = 500_000
+#: Rounds that chain the parts of large groups; the join of lists finds whatever links they leave.
+CHAIN_ROUNDS = 8
 #: Rows taken out of a batch, and bytes of text worked on, at once: Python workers share their executor's memory.
 ROWS, BYTES = 500, 1 << 19
 
@@ -302,10 +304,17 @@ def roots(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataF
     limit = boundary(costs, num, den)
     labelled = sets.join(found.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
     lists = stage(_mixed(_entries(labelled, limit, num, den)), "join-lists")
-    label = stage(_merged(labelled.select("id", "label").distinct(), chained_links(docs, lists, sets, limit, k, num, den)), "labels")
-    mixed = _mixed(lists.drop("label").join(label, "id"))
+    label = stage(labelled.select("id", "label").distinct(), "labels")
+    for _ in range(CHAIN_ROUNDS):
+        chained = chained_links(docs, lists, sets, limit, k, num, den)
+        if chained.isEmpty():
+            break
+        former = lists, label
+        label = stage(_merged(label, chained), "labels")
+        lists = stage(_mixed(lists.drop("label").join(label, "id")), "join-lists")
+        discard(*former)
     # the bitmaps join before the lists do, so that only close pairs leave that join
-    mixed = mixed.join(sets.select("id", "bitmap"), "id")
+    mixed = lists.join(sets.select("id", "bitmap"), "id")
     x, y = mixed.alias("x"), mixed.alias("y")
     more = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") == F.col("y.c")) & F.expr("x.id < y.id AND x.label <> y.label")
                    & _may_link("x", "y", limit, num, den) & _bits_allow("x", "y", num, den))

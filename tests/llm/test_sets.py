@@ -141,6 +141,23 @@ def test_a_large_group_of_near_copies_does_not_emit_its_pairs(spark, monkeypatch
     assert staged["join-more"].count() <= 2 * len(rows)
 
 
+def test_parts_that_one_round_of_chains_leaves_do_not_emit_their_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(130)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        w[rng.randrange(130)] = f"u{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(w[:130 - rng.randrange(4)] if rng.random() < .5 else w)))
+    staged = keep_staged(monkeypatch, jaccard_join)
+    # nothing is linked before; one round of chains left 8204 pairs
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    monkeypatch.setattr(jaccard_join, "first_links", lambda *_: none)
+    got = jaccard_join.classes(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 9, 10).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_classes(rows, 3, 9, 10)
+    assert staged["join-more"].count() <= len(rows)
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(4)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
